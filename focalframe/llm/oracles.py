@@ -20,3 +20,29 @@ WITH RECURSIVE w AS (
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(l.component_id, d.doc_id) AS component_id
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN sets USING (doc_id) LEFT JOIN reps r ON r.class = sets.class LEFT JOIN least l ON l.a = r.doc_id
 """
+
+OP4 = r"""
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
+), s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
+), s1 AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS sid FROM s0
+), s2 AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][(sid - 1) % 3 + 1] AS weight, source_size * 3.0::DOUBLE AS cap FROM s1
+), s3 AS (SELECT *, cap / weight AS full_at, sum(source_size) OVER () AS total FROM s2
+), s4 AS (
+  SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY full_at, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
+    / sum(weight) OVER (ORDER BY full_at, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lv FROM s3
+), s5 AS (SELECT *, max(CASE WHEN lv <= full_at THEN lv END) OVER () AS level FROM s4
+), s6 AS (SELECT source, sid, source_size, coalesce(CASE WHEN full_at <= level THEN cap ELSE level * weight END, cap) AS target, (source_size + 63) // 64 AS blocks FROM s5
+), s AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size * blocks + 0.5) AS BIGINT) ELSE 0 END AS slots FROM s6
+), j AS (SELECT sid, blocks, unnest(range(slots)) AS j FROM s WHERE slots > 0
+), u AS (
+  SELECT sid, ((CASE WHEN blocks % 15485863 <> 0 THEN 15485863 ELSE 15485867 END) * (j % blocks)
+    + CAST('0x' || substr(md5('mix/' || sid || '/' || (j // blocks)), 1, 7) AS BIGINT)) % blocks AS block, count(*) AS uses FROM j GROUP BY 1, 2
+), p AS (
+  SELECT d.doc_id, d.source, d.size, s.sid, s.source_size, s.target,
+    coalesce(sum(d.size) OVER (PARTITION BY s.sid ORDER BY d.doc_id % 4096, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source
+), b AS (SELECT sid, doc_id, start, size, unnest(range(CAST(start // 64 AS BIGINT), CAST((start + size - 1) // 64 + 1 AS BIGINT))) AS block FROM p WHERE size > 0
+), t AS (SELECT b.sid, b.start, sum(u.uses * (least(b.start + b.size, (b.block + 1) * 64) - greatest(b.start, b.block * 64))) AS taken FROM b JOIN u ON u.sid = b.sid AND u.block = b.block GROUP BY 1, 2)
+SELECT p.doc_id, p.source, p.size, p.source_size, p.target, CAST(CASE WHEN p.size > 0 THEN coalesce(t.taken, 0) ELSE 0 END AS BIGINT) AS taken
+FROM p LEFT JOIN t ON t.sid = p.sid AND t.start = p.start
+"""

@@ -6,12 +6,41 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import oracles
 from .common import table
+from .decontam import contaminated
+from .langid import identify
+from .line_dedup import dedup_lines
+from .mixing import mix_sources
 from .ngram_join import ngram_jaccard_join
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"), k=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op8_ngram_jaccard_join,)}
-ORACLES = {"op8_ngram_jaccard_join": oracles.OP8}
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_line_dedup,
+        op4_source_mixing,
+        op7_benchmark_decontamination,
+        op8_ngram_jaccard_join,
+        op9_language_id,
+    )
+}
+ORACLES = {"op4_source_mixing": oracles.OP4, "op8_ngram_jaccard_join": oracles.OP8}

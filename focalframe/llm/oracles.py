@@ -46,3 +46,75 @@ WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^
 SELECT p.doc_id, p.source, p.size, p.source_size, p.target, CAST(CASE WHEN p.size > 0 THEN coalesce(t.taken, 0) ELSE 0 END AS BIGINT) AS taken
 FROM p LEFT JOIN t ON t.sid = p.sid AND t.start = p.start
 """
+
+
+def _op6() -> str:
+    """The tree's levels, unrolled."""
+    steps = [
+        r"""
+WITH u AS (
+  SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), p AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u
+), m AS (SELECT doc_id, max(CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL AND (toxic = 1 OR quality = 0 OR (toxic = 0 AND quality = 1)) GROUP BY 1
+), x AS (
+  SELECT page_id, host, path, bad, list_filter(string_split(path, '/'), lambda s: s <> '') AS l
+  FROM p LEFT JOIN m ON m.doc_id = TRY_CAST(regexp_extract(p.path, '^/[^/]*/([0-9]+)', 1) AS BIGINT)
+), r0 AS (
+  SELECT page_id, host, path, bad, '' AS template, CASE WHEN len(l) > 4 THEN list_append(l[1:4], array_to_string(l[5:], '/')) ELSE l END AS parts FROM x
+)"""
+    ]
+    for d in range(5):
+        steps.append(f"""
+, b{d} AS (
+  SELECT host, template, parts[{d + 1}] AS seg, count(*) AS n, count(bad) AS known, sum(coalesce(bad, 0)) AS worse
+  FROM r{d} WHERE parts[{d + 1}] IS NOT NULL GROUP BY 1, 2, 3
+), c{d} AS (
+  SELECT *, sum(n) OVER w AS all_n, sum(known) OVER w AS all_known, sum(worse) OVER w AS all_worse FROM b{d} WINDOW w AS (PARTITION BY host, template)
+), n{d} AS (
+  SELECT host, template, seg, CASE WHEN n < greatest(2.0, 0.05 * all_n) THEN '*'
+    WHEN known > 0 AND all_known > known AND abs(worse / known - (all_worse - worse) / (all_known - known))
+      > 1.96 * sqrt((all_worse / all_known) * (1 - all_worse / all_known) * (1.0 / known + 1.0 / (all_known - known))) THEN seg
+    ELSE '+' END AS name FROM c{d}
+), r{d + 1} AS (
+  SELECT r.page_id, r.host, r.path, r.bad, r.template || CASE WHEN n.name IS NULL THEN '' ELSE '/' || n.name END AS template, r.parts
+  FROM r{d} r LEFT JOIN n{d} n ON n.host = r.host AND n.template = r.template AND n.seg = r.parts[{d + 1}]
+)""")
+    steps.append("""
+, leaf AS (SELECT host, template, count(bad) AS known, sum(CASE WHEN bad = 0 THEN 1 ELSE 0 END) AS good FROM r5 GROUP BY 1, 2
+), h AS (SELECT host, sum(known) AS hk, sum(good) AS hg FROM leaf GROUP BY 1
+), base AS (SELECT CASE WHEN sum(hk) > 0 THEN sum(hg) / sum(hk) ELSE 1.0 END AS base FROM h
+), f AS (
+  SELECT leaf.host, template, CAST((good + 4.0::DOUBLE * ((hg + 4.0::DOUBLE * base) / (hk + 4.0::DOUBLE))) / (known + 4.0::DOUBLE) AS DOUBLE) AS purity FROM leaf JOIN h USING (host), base
+), v AS (
+  SELECT r5.*, f.purity, CASE
+    WHEN (r5.host = 'example.com' OR r5.host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
+    WHEN (r5.host = 'example.net' OR r5.host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
+    WHEN (r5.host = 'org' OR r5.host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
+    WHEN (r5.host = 'net' OR r5.host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule
+  FROM r5 JOIN f ON f.host = r5.host AND f.template = r5.template
+)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/de/', 'net/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN purity < 0.5 THEN 'block' ELSE 'allow' END AS verdict, template, purity FROM v
+""")
+    return "".join(steps)
+
+
+OP6 = _op6()
+
+OP3 = r"""
+WITH p AS (
+  SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages
+), d AS (
+  SELECT page_id, url, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+    list_reduce(list_transform(range(0, 4), lambda c: list_reduce(list_transform(range(0, 8), lambda k:
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[CAST((CAST('0x' || substr(hex, CAST(1 + 10 * c AS INTEGER), 10) AS BIGINT) >> CAST(35 - 5 * k AS INTEGER)) & 31 AS INTEGER) + 1]), lambda x, y: x || y)), lambda x, y: x || y) AS payload_digest
+  FROM p
+), m AS (SELECT payload_digest, max(page_id) AS keep FROM d GROUP BY 1)
+SELECT d.page_id, payload_bytes, d.payload_digest, CASE WHEN d.page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN d.page_id = keep THEN NULL ELSE keep END AS refers_to,
+  array_to_string(list_reverse(string_split(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)), '.')), ',') || ')'
+    || lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)', 1)) AS url_key,
+  strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(d.page_id), '%Y-%m-%dT%H:%M:%SZ') AS captured
+FROM d JOIN m USING (payload_digest)
+"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import oracles
 from .common import table
@@ -11,16 +12,43 @@ from .langid import identify
 from .line_dedup import dedup_lines
 from .mixing import mix_sources
 from .ngram_join import ngram_jaccard_join
+from .toxicity import score_toxicity
+from .url_filter import judge_urls, split_url
+from .warc import archive
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures, index = archive(table(spark, sf_dir, "pages"))
+    captures = captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "file", "offset")
+    history = index.select("file", "offset", "url_key", F.col("date").alias("captured"))
+    return captures.join(history, ["file", "offset"]).drop("file", "offset")
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def page_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, bad): labels of the documents that pages show; the number in a page's path is the document's id."""
+    path = split_url("url")[1]
+    pages = table(spark, sf_dir, "pages").select("page_id", path.alias("path"))
+    shown = pages.select("page_id", F.expr("try_cast(regexp_extract(path, '^/[^/]*/([0-9]+)', 1) AS bigint)").alias("doc_id"))
+    bad = F.when((F.col("toxic") == 1) | (F.col("quality") == 0), 1).when((F.col("toxic") == 0) & (F.col("quality") == 1), 0)
+    return shown.join(table(spark, sf_dir, "labels").select("doc_id", bad.alias("bad")), "doc_id").select("page_id", "bad")
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), page_labels(spark, sf_dir))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -37,10 +65,13 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_line_dedup,
+        op2_toxicity,
+        op3_warc,
         op4_source_mixing,
+        op6_url_filter,
         op7_benchmark_decontamination,
         op8_ngram_jaccard_join,
         op9_language_id,
     )
 }
-ORACLES = {"op4_source_mixing": oracles.OP4, "op8_ngram_jaccard_join": oracles.OP8}
+ORACLES = {"op3_warc": oracles.OP3, "op4_source_mixing": oracles.OP4, "op6_url_filter": oracles.OP6, "op8_ngram_jaccard_join": oracles.OP8}

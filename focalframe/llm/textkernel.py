@@ -90,18 +90,21 @@ def chunks(at: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
         row = end
 
 
-def words(data: np.ndarray, at: np.ndarray, alphabet: Alphabet) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of the rows ``data[at[i]:at[i+1]]``, and for each row the offset of its words among them."""
-    buf, at = data[at[0] : at[-1]], at - at[0]
-    n = len(buf)
-    if not n:
-        return np.zeros(0, U), np.zeros(len(at), np.int64)
+def word_starts(buf: np.ndarray, at: np.ndarray, alphabet: Alphabet) -> np.ndarray:
+    """Places of the words' first bytes in rows that the offsets ``at`` bound."""
     inside = ~alphabet.parting[buf]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
-    edges = at[:-1][at[:-1] < n]
+    edges = at[:-1][at[:-1] < len(buf)]
     first[edges] = inside[edges]
-    starts = np.flatnonzero(first)
+    return np.flatnonzero(first)
+
+
+def words(data: np.ndarray, at: np.ndarray, alphabet: Alphabet) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of the rows ``data[at[i]:at[i+1]]``, and for each row the offset of its words among them."""
+    buf, at = data[at[0] : at[-1]], at - at[0]
+    n = len(buf)
+    starts = word_starts(buf, at, alphabet)
     if not len(starts):
         return np.zeros(0, U), np.zeros(len(at), np.int64)
     power, inverse = _powers(n)

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from . import oracles
 from .common import table
 from .decontam import contaminated
+from .html_extract import extract_main_text
 from .langid import identify
 from .line_dedup import dedup_lines
 from .mixing import mix_sources
 from .ngram_join import ngram_jaccard_join
+from .topk import integer_vectors, top_k
 from .toxicity import score_toxicity
 from .url_filter import judge_urls, split_url
 from .warc import archive
@@ -36,6 +38,12 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op5_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = integer_vectors(table(spark, sf_dir, "embeddings"))
+    queries = vectors.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    return top_k(vectors, queries, k=5)
+
+
 def page_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page_id, bad): labels of the documents that pages show; the number in a page's path is the document's id."""
     path = split_url("url")[1]
@@ -61,6 +69,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -68,10 +80,12 @@ QUERIES = {
         op2_toxicity,
         op3_warc,
         op4_source_mixing,
+        op5_top_k_search,
         op6_url_filter,
         op7_benchmark_decontamination,
         op8_ngram_jaccard_join,
         op9_language_id,
+        op10_html_extraction,
     )
 }
-ORACLES = {"op3_warc": oracles.OP3, "op4_source_mixing": oracles.OP4, "op6_url_filter": oracles.OP6, "op8_ngram_jaccard_join": oracles.OP8}
+ORACLES = {"op3_warc": oracles.OP3, "op4_source_mixing": oracles.OP4, "op5_top_k_search": oracles.OP5, "op6_url_filter": oracles.OP6, "op8_ngram_jaccard_join": oracles.OP8}

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import textkernel as tk
 from .common import BROADCAST_IDS, semi_by_id, written
-from .links import linked, shared_keys
+from .links import both_ends, linked, shared_keys
 
 U = np.uint64
 #: First bit and width of the five blocks of a fingerprint.
@@ -146,11 +146,9 @@ def fuzzy_line_groups(docs: DataFrame, min_words: int, similarity: float) -> tup
         wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("class_id")).distinct(), "wanted")
         holders = semi_by_id(lines.select("class_id", "doc_id"), wanted, "class_id").groupBy("class_id").agg(F.min("doc_id").alias("doc_id"))
         chosen = semi_by_id(docs, holders.select("doc_id").distinct(), "doc_id")
-        texts = semi_by_id(chosen.select("text").mapInArrow(_line_words(min_words), "class_id long, words array<long>"), wanted, "class_id").dropDuplicates(["class_id"])
+        texts = semi_by_id(chosen.select("text").mapInArrow(_line_words(min_words), "class_id long, words array<long>"), wanted, "class_id").dropDuplicates()
         texts = written(texts, "texts")
-        a, b = (texts.select(F.col("class_id").alias(x), F.col("words").alias(f"words_{x}")) for x in "ab")
-        both = pairs.join(b, "b").join(a, "a").select("a", "b", "words_a", "words_b")
-        return both.mapInArrow(_similar(similarity), "a long, b long")
+        return both_ends(pairs, texts.select(F.col("class_id").alias("id"), F.col("words").alias("value"))).mapInArrow(_similar(similarity), "a long, b long").distinct()
 
     components, _ = linked(groups, facts, near, verify)
     return lines.drop("fp"), components.select(F.col("node").alias("class_id"), F.col("component").alias("group_id"))

@@ -1,9 +1,9 @@
 """Components of similarity links between items that share keys, without listing all pairs of a group.
 
 Items are 64-bit class ids; exact copies share one and so never form pairs. Items that share a key are
-candidates. The first round compares each item only with the least item of each of its key groups. In groups that
+candidates. Star rounds compare each item with one central item of one of its key groups. In groups that
 the verified links leave in several components, every remaining pair across components is then compared by the
-caller's kernel, so no link between different items is lost, while pairs inside a component are never listed.
+caller's test, so no link that joins two components is lost, while pairs inside a component are never listed.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import BROADCAST_IDS, written
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -41,33 +41,67 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 
 def shared_keys(keyed: DataFrame) -> DataFrame:
-    """Of ``keyed(key, id)`` the distinct rows whose key two different ids share, with the group's least id as ``head``."""
+    """Of ``keyed(key, id)`` the distinct rows whose key two different ids share."""
     group = Window.partitionBy("key")
-    return keyed.select("key", "id", F.min("id").over(group).alias("head"), F.max("id").over(group).alias("last")).where("head <> last").select("key", "id", "head").distinct()
+    return keyed.select("key", "id", F.min("id").over(group).alias("low"), F.max("id").over(group).alias("high")).where("low <> high").select("key", "id").distinct()
 
 
-def across(groups: DataFrame, components: DataFrame, facts: DataFrame, near: Callable[[str, str], Column]) -> DataFrame:
-    """Pairs (a, b) of items of one key group that are in different components so far and pass ``near`` (a test inside the join)."""
-    members = groups.select("key", "id").join(components.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+def both_ends(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    """(a, b, value_a, value_b): for each pair what ``values(id, value)`` holds of its two items.
+
+    Counted pairs that are few are broadcast, so that only values of pairs are moved.
+    """
+    pairs = written(pairs, "pairs")
+    few = pairs.count() <= BROADCAST_IDS // 2
+    side = F.broadcast(pairs) if few else pairs
+    left, right = (values.join(side, values["id"] == side[x]).select("a", "b", F.col("value").alias(f"value_{x}")) for x in "ab")
+    return left.join(right, ["a", "b"])
+
+
+def apart(groups: DataFrame, components: DataFrame | None) -> DataFrame:
+    """(key, id, c) of the groups whose members are in different components ``c`` so far."""
+    members = groups.select("key", "id")
+    if components is None:
+        return members.withColumn("c", F.col("id"))
+    members = members.join(components.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
     group = Window.partitionBy("key")
-    apart = members.select("key", "id", "c", F.min("c").over(group).alias("low"), F.max("c").over(group).alias("high")).where("low <> high").select("key", "id", "c")
-    apart = written(apart.join(facts, "id"), "apart")
-    pairs = apart.alias("x").join(apart.alias("y"), (F.col("x.key") == F.col("y.key")) & F.expr("x.c < y.c") & near("x", "y"))
+    return members.withColumns({"low": F.min("c").over(group), "high": F.max("c").over(group)}).where("low <> high").select("key", "id", "c")
+
+
+def star(members: DataFrame, order: Column, facts: DataFrame, near: Callable[[str, str], Column]) -> DataFrame:
+    """For each id at most one pair (a, b): with the first item, by ``order``, of one of its groups, in another component and ``near``."""
+    head = F.min(F.struct(order.alias("o"), "id", "c")).over(Window.partitionBy("key"))
+    rays = members.withColumn("h", head).where("c <> h.c").select("id", F.col("h.id").alias("head")).distinct()
+    rays = rays.join(facts.alias("y"), "id").withColumnRenamed("id", "ray")
+    rays = rays.join(facts.alias("x"), (F.col("head") == F.col("x.id")) & near("x", "y"))
+    return rays.groupBy("ray").agg(F.min("head").alias("head")).select(F.col("head").alias("a"), F.col("ray").alias("b"))
+
+
+def across(members: DataFrame, facts: DataFrame, near: Callable[[str, str], Column]) -> DataFrame:
+    """All pairs (a, b) of ``members(key, id, c)`` that share a key, are in different components and ``near`` (a test inside the join)."""
+    members = written(members.join(facts, "id"), "apart")
+    pairs = members.alias("x").join(members.alias("y"), (F.col("x.key") == F.col("y.key")) & F.expr("x.c < y.c") & near("x", "y"))
     return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
+#: Orders in which the star rounds take the centres of the groups.
+ORDERS = (F.col, lambda name: -F.col(name), F.xxhash64)
+
+
 def linked(groups: DataFrame, facts: DataFrame, near: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """(components(node, component), links(a, b)) of the items in ``groups(key, id, head)``.
+    """(components(node, component), links(a, b)) of the items in ``groups(key, id)``; the links span the components.
 
     ``near`` builds, from the aliases of two rows of ``facts(id, ...)``, a cheap test that every link passes;
-    ``verify`` keeps the pairs that link.
+    ``verify`` keeps the pairs that link. Star rounds join most items with one comparison each; what they leave in different
+    components is compared completely.
     """
-    star = groups.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    first = star.join(facts.alias("y"), F.col("b") == F.col("y.id")).join(facts.alias("x"), (F.col("a") == F.col("x.id")) & near("x", "y")).select("a", "b")
-    links = written(verify(first), "links")
-    components = written(connected_components(links), "components")
-    more = written(verify(across(groups, components, facts, near)), "links")
-    if more.limit(1).count():
-        links = links.unionByName(more)
+    links = components = None
+    for step in (*ORDERS, None):
+        members = apart(groups, components)
+        pairs = star(members, step("id"), facts, near) if step else across(members, facts, near)
+        more = written(verify(pairs), "links")
+        if components is not None and not more.limit(1).count():
+            continue
+        links = more if links is None else links.unionByName(more)
         components = written(connected_components(links), "components")
     return components, links

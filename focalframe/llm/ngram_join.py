@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from . import textkernel as tk
 from .common import BROADCAST_IDS, semi_by_id, written
-from .links import linked, shared_keys
+from .links import both_ends, linked, shared_keys
 
 U = np.uint64
 
@@ -121,11 +121,11 @@ def _sets(k: int):
 
 
 def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, class_id, n_links.
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, class_id.
 
     Words are runs of anything but white space, A-Z lower-cased. A text of fewer than ``k`` words has its whole sequence as
-    its one shingle. ``component_id`` is the smallest id that links reach; ``class_id`` names the exact set, and
-    ``n_links`` counts the other classes found linked with it. Null and blank texts have no shingles, no class
+    its one shingle. ``component_id`` is the smallest id that links reach; ``class_id`` names the exact set.
+    Null and blank texts have no shingles, no class
     and no links: each is its own component. A null id is carried along and never becomes a component id unless the
     whole component has none. Rows with a repeated id count as separate texts of one document id. Other columns
     of ``docs`` are ignored.
@@ -138,13 +138,12 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     reps = written(semi_by_id(full.select("class_id", "doc_id"), wanted, "class_id").where("doc_id is not null").groupBy("class_id").agg(F.min("doc_id").alias("doc_id")), "reps")
     chosen = semi_by_id(source, reps.select("doc_id").distinct(), "doc_id").unionByName(source.where("doc_id is null"))
     sets = chosen.mapInArrow(_sets(k), "class_id long, set array<long>")
-    sets = written(semi_by_id(sets, wanted, "class_id").dropDuplicates(["class_id"]), "sets")
+    sets = written(semi_by_id(sets, wanted, "class_id"), "sets")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        a, b = (sets.select(F.col("class_id").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
-        both = F.size(F.array_intersect("set_a", "set_b"))
-        fits = 100 * both >= percent * (F.size("set_a") + F.size("set_b") - both)
-        return pairs.join(b, "b").join(a, "a").where(fits).select("a", "b")
+        both = F.size(F.array_intersect("value_a", "value_b"))
+        fits = 100 * both >= percent * (F.size("value_a") + F.size("value_b") - both)
+        return both_ends(pairs, sets.select(F.col("class_id").alias("id"), F.col("set").alias("value"))).where(fits).select("a", "b").distinct()
 
     def near(x: str, y: str) -> Column:
         apart = " + ".join(f"bit_count({x}.s{i} ^ {y}.s{i})" for i in range(WIDTH))
@@ -152,9 +151,8 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
 
     facts = full.select(F.col("class_id").alias("id"), "n_shingles", *(f"s{i}" for i in range(WIDTH)))
     facts = written(semi_by_id(facts, groups.select("id").distinct(), "id").dropDuplicates(["id"]), "facts")
-    components, links = linked(groups, facts, near, verify)
-    degree = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
-    classes = components.select(F.col("node").alias("class_id"), "component").join(degree, "class_id", "left")
+    components, _ = linked(groups, facts, near, verify)
+    classes = components.select(F.col("node").alias("class_id"), "component")
     named = sketched.select("doc_id", "n_shingles", "class_id").join(F.broadcast(classes) if classes.count() <= BROADCAST_IDS else classes, "class_id", "left")
     named = named.withColumn("component", F.when(F.col("n_shingles") > 0, F.coalesce("component", "class_id")))
     least = named.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
@@ -163,5 +161,4 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
         "n_shingles",
         F.when(F.col("n_shingles") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
         F.when(F.col("n_shingles") > 0, F.col("class_id")).alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )

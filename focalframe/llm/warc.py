@@ -21,12 +21,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, written
+from .common import BROADCAST_IDS, scratch_path, written
 
 END = "\r\n\r\n"
-#: Captures in a merge range, about; characters in an archive file, about.
+#: Captures in a merge range, about.
 RANGE_ROWS = 50_000
-FILE_CHARS = 64_000_000
 #: The digits of base 32 as conv() writes them and as RFC 4648 does.
 CONV32, RFC32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -50,7 +49,9 @@ def records(pages: DataFrame, least_bytes: int = 0, start: str = "2024-01-01T00:
     body = body.withColumn("bytes", F.octet_length("html").cast("long")).withColumn("url", F.regexp_replace(F.coalesce("url", F.lit("")), "[\\r\\n]", ""))
     ids = written(body.select("page_id", "digest", "bytes"), "digests")
     last = ids.where(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select("digest", "first_id")
-    body = body.join(last, "digest", "left")
+    last = written(last, "copies")
+    few = last.count() <= BROADCAST_IDS // 2
+    body = body.join(F.broadcast(last) if few else last, "digest", "left")
     revisit = F.col("first_id").isNotNull() & (F.col("bytes") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     name = "concat('<urn:capture:', coalesce(cast({} AS string), ''), '>')"
     when = F.date_format(F.to_timestamp(F.lit(start)) + F.make_interval(secs=F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(100_000_000))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
@@ -71,10 +72,8 @@ def records(pages: DataFrame, least_bytes: int = 0, start: str = "2024-01-01T00:
 
 
 def write_archives(pages: DataFrame, path: str, **options) -> None:
-    """Writes gzipped WARC files of about ``FILE_CHARS`` characters to ``path``."""
-    made = records(pages, **options)
-    chars = pages.agg(F.sum(F.length("html"))).first()[0] or 0
-    made.repartition(max(1, int(chars // FILE_CHARS) + 1, made.sparkSession.sparkContext.defaultParallelism), "page_id").select("record").write.option("lineSep", END).option("compression", "gzip").text(path)
+    """Writes gzipped WARC files to ``path``, one for each partition of ``pages``."""
+    records(pages, **options).select("record").write.option("lineSep", END).option("compression", "gzip").text(path)
 
 
 class Stream:

@@ -1,4 +1,6 @@
 """Registered queries and their oracle SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import catalog_queries, raster_queries, selection_queries, warp_queries
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "catalog_queries", "raster_queries", "selection_queries", "warp_queries"]

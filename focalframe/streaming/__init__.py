@@ -1 +1,18 @@
-"""Reference operators."""
+"""Incremental forms: the folds are associative and break ties by frame, so a streaming aggregation keeps them up to date."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StreamingQuery
+
+from ..operators import catalog, fuse
+
+
+def follow_winners(energy: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
+    """Keeps (y, x, winner, energy) of a stream of ``energy(frame, y, x, v)`` in the memory table ``name``."""
+    return fuse.winners(energy).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def follow_jobs(events: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
+    """Keeps the last status of each job of a stream of ``events(job_id, status, seq)`` in the memory table ``name``."""
+    return catalog.latest_jobs(events).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

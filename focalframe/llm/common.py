@@ -14,6 +14,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows in an Arrow batch at most: texts can be long, and a Python worker holds a batch or two.
+BATCH_ROWS = 1000
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batch size to ``BATCH_ROWS``; a lower setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it in ``spark.checkpoint.dir``.
 

@@ -17,13 +17,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import BROADCAST_IDS, semi_by_id, written
-from .links import both_ends, linked, shared_keys
+from .common import BROADCAST_IDS, semi_by_id, short_batches, written
+from .links import PACKED, Packer, both_ends, buckets_for, linked, shared_keys
 
 U = np.uint64
 #: First bit and width of the five blocks of a fingerprint.
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 RADIUS = len(BLOCKS) - 2
+TABLES = tuple(combinations(range(len(BLOCKS)), 2))
 
 
 def simhash(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -69,8 +70,9 @@ def _lines(min_words: int):
                         pa.array(number[use].astype(np.int32)),
                         pa.array(tk.sequences(hashes, offsets)[use].view(np.int64)),
                         pa.array(simhash(hashes, offsets)[use].view(np.int64)),
+                        pa.array(np.diff(offsets)[use]),
                     ],
-                    names=["doc_id", "line_no", "class_id", "fp"],
+                    names=["doc_id", "line_no", "class_id", "fp", "n_words"],
                 )
 
     return run
@@ -90,6 +92,21 @@ def _line_words(min_words: int):
     return run
 
 
+def _keyed(buckets: int):
+    """Packed (key, class) pairs: one key for each table, a hash of the table's number and its two blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = Packer(buckets)
+        for batch in batches:
+            ids, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(U)
+            blocks = [(fp >> U(at)) & U((1 << width) - 1) for at, width in BLOCKS]
+            for n, (i, j) in enumerate(TABLES):
+                yield from packer.add(tk.mix(blocks[i] | blocks[j] << U(16) | U(n + 1) << U(40)), ids, fp)
+        yield from packer.flush()
+
+    return run
+
+
 def edit_distance(a: np.ndarray, b: np.ndarray) -> int:
     """Levenshtein distance of two sequences: common ends are cut off, bit vectors do the rest (Myers 1999, Hyyro 2003)."""
     short = min(len(a), len(b))
@@ -132,14 +149,14 @@ def _similar(least: float):
 
 def fuzzy_line_groups(docs: DataFrame, min_words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """(lines(doc_id, line_no, class_id), groups(class_id, group_id)) of ``docs(doc_id, text)``; classes without links have no group row."""
-    lines = written(docs.mapInArrow(_lines(min_words), "doc_id long, line_no int, class_id long, fp long"), "lines")
-    facts = written(lines.select(F.col("class_id").alias("id"), "fp").distinct(), "facts")
-    block = ["(fp >> {}) & {}".format(at, (1 << width) - 1) for at, width in BLOCKS]
-    keys = [F.expr(f"xxhash64({n}, {block[i]}, {block[j]})") for n, (i, j) in enumerate(combinations(range(len(BLOCKS)), 2))]
-    groups = written(shared_keys(facts.select(F.explode(F.array(*keys)).alias("key"), "id")), "groups")
+    lines = written(docs.mapInArrow(_lines(min_words), "doc_id long, line_no int, class_id long, fp long, n_words long"), "lines")
+    facts = written(lines.select(F.col("class_id").alias("id"), "fp", "n_words").distinct(), "facts")
+    buckets = buckets_for(docs.sparkSession, facts.count() * len(TABLES))
+    groups = written(shared_keys(facts.select("id", "fp").mapInArrow(_keyed(buckets), PACKED), RADIUS), "groups")
 
     def near(x: str, y: str) -> Column:
-        return F.expr(f"bit_count({x}.fp ^ {y}.fp) <= {RADIUS}")
+        fits = f"least({x}.n_words, {y}.n_words) >= {similarity} * greatest({x}.n_words, {y}.n_words)"
+        return F.expr(f"bit_count({x}.fp ^ {y}.fp) <= {RADIUS} AND {fits}")
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = written(pairs, "pairs")
@@ -151,7 +168,7 @@ def fuzzy_line_groups(docs: DataFrame, min_words: int, similarity: float) -> tup
         return both_ends(pairs, texts.select(F.col("class_id").alias("id"), F.col("words").alias("value"))).mapInArrow(_similar(similarity), "a long, b long").distinct()
 
     components, _ = linked(groups, facts, near, verify)
-    return lines.drop("fp"), components.select(F.col("node").alias("class_id"), F.col("component").alias("group_id"))
+    return lines.drop("fp", "n_words"), components.select(F.col("node").alias("class_id"), F.col("component").alias("group_id"))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -163,6 +180,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 5, similarity: float = 0.8, id
     with a null id are returned as they are. Rows that share an id are one document: their equal line numbers count as
     one occurrence. Every other column is returned as it came.
     """
+    short_batches(docs.sparkSession)
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
     lines, groups = fuzzy_line_groups(plain, min_words, similarity)
     few = groups.count() <= BROADCAST_IDS

@@ -8,9 +8,11 @@ caller's test, so no link that joins two components is lost, while pairs inside
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_IDS, written
@@ -40,10 +42,125 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return roots.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct().join(roots.select("node"), "node", "left_anti"))
 
 
-def shared_keys(keyed: DataFrame) -> DataFrame:
-    """Of ``keyed(key, id)`` the distinct rows whose key two different ids share."""
-    group = Window.partitionBy("key")
-    return keyed.select("key", "id", F.min("id").over(group).alias("low"), F.max("id").over(group).alias("high")).where("low <> high").select("key", "id").distinct()
+#: Keys that one task groups, about; keys that a sending task gathers before it sends them off.
+BUCKET_KEYS = 1_000_000
+SENT_KEYS = 1_000_000
+_PACKED = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary()), ("marks", pa.binary()), ("refs", pa.binary())])
+PACKED = "bucket int, keys binary, ids binary, marks binary, refs binary"
+#: Members of a key group that are compared with each other before it is sent on; larger groups are sent on whole.
+COMPARED = 2048
+PASSES = 6
+
+
+class Packer:
+    """Gathers (key, id) pairs and sends them as one row per bucket: 48 bits of each key, and short references to the ids.
+
+    Keys of the full 64 bits choose the bucket; pairs of different keys that agree in bucket and 48 bits only add candidates.
+    """
+
+    def __init__(self, buckets: int) -> None:
+        self.buckets, self.keys, self.ids, self.marks, self.size = buckets, [], [], [], 0
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, marks: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+        """``marks`` are fingerprints of the ids that travel with them."""
+        self.keys.append(keys)
+        self.ids.append(ids)
+        self.marks.append(np.zeros(len(ids), np.uint64) if marks is None else marks)
+        self.size += len(keys)
+        if self.size >= SENT_KEYS:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.size:
+            return
+        keys, ids, marks = (np.concatenate(x) for x in (self.keys, self.ids, self.marks))
+        self.keys, self.ids, self.marks, self.size = [], [], [], 0
+        bucket = (keys >> np.uint64(48)).astype(np.int64) * self.buckets >> 16 if self.buckets <= 1 << 16 else (keys % np.uint64(self.buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        keys, ids, marks, bucket = keys[order], ids[order], marks[order], bucket[order]
+        edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=self.buckets))
+        rows = []
+        for lo, hi in zip(edges, edges[1:]):
+            own, first, refs = np.unique(ids[lo:hi], return_index=True, return_inverse=True)
+            fp = marks[lo:hi][first]
+            refs = refs.astype(np.uint16 if len(own) <= 1 << 16 else np.uint32)
+            short = np.ascontiguousarray(keys[lo:hi]).view(np.uint8).reshape(-1, 8)[:, :6]
+            rows.append((int(bucket[lo]), short.tobytes(), own.tobytes(), fp.tobytes() if fp.any() else b"", refs.tobytes()))
+        columns = list(zip(*rows))
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PACKED)], schema=_PACKED)
+
+
+def _near_clusters(starts: np.ndarray, marks: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """For members of sorted groups: whether another is within Hamming distance ``radius``, and a label that all members of a cluster of such neighbours share.
+
+    Groups of more than ``COMPARED`` members, and those whose labels have not settled after ``PASSES``, are one cluster.
+    """
+    sizes = np.diff(np.append(starts, len(marks)))
+    first, left = np.repeat(starts, sizes), np.repeat(starts + sizes, sizes) - np.arange(len(marks))
+    large = np.repeat(sizes > COMPARED, sizes)
+    near, label = large.copy(), np.where(large, first, np.arange(len(marks)))
+    for _ in range(PASSES):
+        moved = np.zeros(len(marks), bool)
+        at = np.flatnonzero(~large)
+        for step in range(1, COMPARED):
+            at = at[left[at] > step]
+            if not len(at):
+                break
+            a = at[np.bitwise_count(marks[at] ^ marks[at + step]) <= radius]
+            b = a + step
+            near[a] = near[b] = True
+            least = np.minimum(label[a], label[b])
+            moved[a[label[a] != least]] = moved[b[label[b] != least]] = True
+            label[a], label[b] = least, least
+        if not moved.any():
+            break
+    else:
+        unsettled = np.isin(first, first[moved])
+        label[unsettled] = first[unsettled]
+    return near, label
+
+
+def _grouped(radius: int | None):
+    """The distinct (key, id) of a bucket whose key two different ids share; with a radius only those that have a near partner."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        parts: list[list[np.ndarray]] = [[], [], []]
+        for k, i, m, r in zip(*(table[c] for c in ("keys", "ids", "marks", "refs"))):
+            short = np.frombuffer(k.as_buffer(), np.uint8).reshape(-1, 6)
+            wide = np.zeros((len(short), 8), np.uint8)
+            wide[:, :6] = short
+            refs = np.frombuffer(r.as_buffer(), np.uint16 if len(r.as_buffer()) == 2 * len(short) else np.uint32)
+            own = np.frombuffer(i.as_buffer(), np.int64)
+            fp = np.frombuffer(m.as_buffer(), np.uint64) if len(m.as_buffer()) else np.zeros(len(own), np.uint64)
+            for part, x in zip(parts, (wide.view(np.int64).ravel(), own[refs], fp[refs])):
+                part.append(x)
+        keys, ids, marks = (np.concatenate(p) for p in parts)
+        order = np.lexsort((ids, keys))
+        keys, ids, marks = keys[order], ids[order], marks[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
+        keys, ids, marks = keys[new], ids[new], marks[new]
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        sizes = np.diff(np.append(starts, len(keys)))
+        use = np.repeat(sizes > 1, sizes)
+        if radius is not None:
+            near, label = _near_clusters(starts, marks, radius)
+            use &= near
+            keys = keys ^ (label - np.repeat(starts, sizes)) * 0x9E3779B1
+        bucket = key[0].as_py()
+        return pa.table({"key": pa.array((keys[use] << 15) ^ bucket), "id": pa.array(ids[use])})
+
+    return run
+
+
+def buckets_for(spark: SparkSession, keys: int) -> int:
+    """How many buckets hold about ``BUCKET_KEYS`` keys each, at least one for each shuffle partition."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-keys // BUCKET_KEYS))
+
+
+def shared_keys(packed: DataFrame, radius: int | None = None) -> DataFrame:
+    """(key, id) of ``packed`` rows: the distinct pairs whose key two different ids share, with marks within ``radius`` if one is given."""
+    return packed.groupBy("bucket").applyInArrow(_grouped(radius), "key long, id long")
 
 
 def both_ends(pairs: DataFrame, values: DataFrame) -> DataFrame:
@@ -85,7 +202,7 @@ def across(members: DataFrame, facts: DataFrame, near: Callable[[str, str], Colu
 
 
 #: Orders in which the star rounds take the centres of the groups.
-ORDERS = (F.col, lambda name: -F.col(name), F.xxhash64)
+ORDERS = (F.col, lambda name: -F.col(name))
 
 
 def linked(groups: DataFrame, facts: DataFrame, near: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:

@@ -4,8 +4,12 @@ Each document's set of k-word shingles is hashed into a bit sketch: every shingl
 of two sketches is at most the size of the sets' symmetric difference. Two sets link when
 ``100 * intersection >= percent * union``; then their difference is at most ``(100 - percent) / (100 + percent)`` of the sum
 of their sizes. Sizes fall into bands such that linked sets lie in one band or in neighbouring ones. For each band the
-sketch has one block of 64 bits more than the largest difference possible there, so that linked sets agree in at least one
-whole block (pigeonhole). Equal blocks make the candidates; the exact sets decide.
+sketch has one block more than the largest difference possible there, so that linked sets agree in at least one whole block
+(pigeonhole). Equal blocks make the candidates; a fixed-size sketch of the whole set sorts out most, the exact sets decide.
+
+Two large sets often agree in blocks that hold nothing. Linked sets with at least ``MANY`` blocks agree in more than a third of
+them on average, whatever their difference; that all of these are empty has a chance below 0.64 ** 64 < 1e-12 over
+the hash function, less than that of a false match of hashes. So empty blocks of such sets give no keys.
 """
 
 from __future__ import annotations
@@ -18,8 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import BROADCAST_IDS, semi_by_id, written
-from .links import both_ends, linked, shared_keys
+from .common import BROADCAST_IDS, semi_by_id, short_batches, written
+from .links import PACKED, Packer, both_ends, buckets_for, linked, shared_keys
 
 U = np.uint64
 
@@ -43,6 +47,9 @@ class Bands:
         return np.searchsorted(np.array(self.low), sizes, "right") - 1
 
 
+#: Bits in a block; only the odd ones are kept, as the XOR of their numbers' hashes. Blocks from which on empty ones give no key.
+WIDE = 1 << 20
+MANY = 64
 #: 64-bit words of the fixed-size parity sketch that sorts out candidates before their sets are compared.
 WIDTH = 8
 
@@ -60,51 +67,67 @@ def class_ids(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return tk.sequences(sets, offsets, 43)
 
 
-def sketch_keys(sets: np.ndarray, offsets: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """The keys of each non-empty set: a hash of (band, block number, block bits) for its own band and the one below."""
-    sizes = np.diff(offsets)
+def _band_blocks(sizes: np.ndarray, bands: Bands) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each set its own band and the one below, each with the number of blocks there (0 where there is no such band)."""
     own = bands.of(sizes)
     blocks = np.array(bands.blocks)
-    row = tk.rows_of(offsets)
-    parts, owners = [], []
     for band in (own, own - 1):
-        live = (sizes > 0) & (band >= 0)
-        k = np.where(live, blocks[np.maximum(band, 0)], 0)
+        yield band, np.where((sizes > 0) & (band >= 0), blocks[np.maximum(band, 0)], 0)
+
+
+def key_counts(offsets: np.ndarray, bands: Bands) -> np.ndarray:
+    return sum(k for _, k in _band_blocks(np.diff(offsets), bands))
+
+
+def sketch_keys(sets: np.ndarray, offsets: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of all sets, and the set of each: a hash of (band, block number, block bits) for the band of the set and the one below."""
+    sizes, row = np.diff(offsets), tk.rows_of(offsets)
+    parts, owners = [], []
+    for band, k in _band_blocks(sizes, bands):
         begin = np.concatenate([[0], np.cumsum(k)])
-        use = live[row]
+        use = k[row] > 0
         h, r = sets[use], row[use]
         block = begin[r] + ((h >> U(32)) % k[r].astype(U)).astype(np.int64)
-        bits = np.bincount(block * 64 + (h & U(63)).astype(np.int64), minlength=int(begin[-1]) * 64) & 1
-        sketch = np.packbits(bits.astype(np.uint8)).view(U)
+        sketch = np.zeros(int(begin[-1]), U)
+        np.bitwise_xor.at(sketch, block, tk.mix((h & U(WIDE - 1)) + U(1)))
         of = np.repeat(np.arange(len(sizes)), k)
         number = np.arange(begin[-1]) - begin[of]
         with np.errstate(over="ignore"):
             name = tk.mix(band[of].astype(U) * U(0x9E3779B97F4A7C15) + number.astype(U) + U(1))
-        parts.append(tk.mix(sketch ^ name))
-        owners.append(of)
-    keys, owner = np.concatenate(parts), np.concatenate(owners)
-    order = np.argsort(owner, kind="stable")
-    return keys[order], np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(sizes)))])
+        full = (np.bincount(block, minlength=len(sketch)) > 0) | (k[of] < MANY)
+        parts.append(tk.mix(sketch ^ name)[full])
+        owners.append(of[full])
+    return np.concatenate(parts), np.concatenate(owners)
 
 
 def _sketched(k: int, percent: int):
+    """Document rows: id, size and class of the set, number of keys, fixed-size sketch."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
         for batch in batches:
             data, at = tk.bytes_of(batch.column(1))
             for lo, hi in tk.chunks(at):
                 sets, offsets = tk.shingle_sets(*tk.words(data, at[lo : hi + 1], tk.SPACED), k)
-                keys, ends = sketch_keys(sets, offsets, bands)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(lo, hi - lo),
-                        pa.array(np.diff(offsets)),
-                        pa.array(class_ids(sets, offsets).view(np.int64)),
-                        tk.listed(keys, ends),
-                        *(pa.array(x.copy().view(np.int64)) for x in fixed_sketches(sets, offsets).T),
-                    ],
-                    names=["doc_id", "n_shingles", "class_id", "keys", *(f"s{i}" for i in range(WIDTH))],
-                )
+                columns = [np.diff(offsets), class_ids(sets, offsets).view(np.int64), key_counts(offsets, bands), *(x.copy().view(np.int64) for x in fixed_sketches(sets, offsets).T)]
+                names = ["doc_id", "n_shingles", "class_id", "n_keys", *(f"s{i}" for i in range(WIDTH))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *map(pa.array, columns)], names=names)
+
+    return run
+
+
+def _keyed(k: int, percent: int, buckets: int):
+    """Packed (block key, class) pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands, packer = Bands(percent), Packer(buckets)
+        for batch in batches:
+            data, at = tk.bytes_of(batch.column(0))
+            for lo, hi in tk.chunks(at):
+                sets, offsets = tk.shingle_sets(*tk.words(data, at[lo : hi + 1], tk.SPACED), k)
+                keys, owner = sketch_keys(sets, offsets, bands)
+                yield from packer.add(keys, class_ids(sets, offsets).view(np.int64)[owner])
+        yield from packer.flush()
 
     return run
 
@@ -130,10 +153,12 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     whole component has none. Rows with a repeated id count as separate texts of one document id. Other columns
     of ``docs`` are ignored.
     """
+    short_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sketched = written(source.mapInArrow(_sketched(k, percent), "doc_id long, n_shingles long, class_id long, keys array<long>, " + ", ".join(f"s{i} long" for i in range(WIDTH))), "sketches")
+    sketched = written(source.mapInArrow(_sketched(k, percent), "doc_id long, n_shingles long, class_id long, n_keys long, " + ", ".join(f"s{i} long" for i in range(WIDTH))), "sketches")
     full = sketched.where("n_shingles > 0")
-    groups = written(shared_keys(full.select(F.explode("keys").alias("key"), F.col("class_id").alias("id"))), "groups")
+    buckets = buckets_for(docs.sparkSession, sketched.agg(F.sum("n_keys")).first()[0] or 0)
+    groups = written(shared_keys(source.select("text").mapInArrow(_keyed(k, percent, buckets), PACKED)), "groups")
     wanted = groups.select(F.col("id").alias("class_id")).distinct()
     reps = written(semi_by_id(full.select("class_id", "doc_id"), wanted, "class_id").where("doc_id is not null").groupBy("class_id").agg(F.min("doc_id").alias("doc_id")), "reps")
     chosen = semi_by_id(source, reps.select("doc_id").distinct(), "doc_id").unionByName(source.where("doc_id is null"))

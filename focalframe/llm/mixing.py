@@ -99,5 +99,6 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: f
     spans = placed.where("size > 0").select("sid", "part", "tie", "start", "size", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")).alias("block"))
     uses = mixture_slots(sources).groupBy("sid", "block").agg(F.count("*").alias("uses"))
     words = F.expr(f"uses * (least(start + size, (block + 1) * {block}) - greatest(start, block * {block}))")
-    taken = spans.join(uses, ["sid", "block"]).groupBy("sid", "part", "tie").agg(F.sum(words).alias("taken"))
+    # Slots are made from a small table, which would make the planner take them for few.
+    taken = spans.join(uses.hint("merge"), ["sid", "block"]).groupBy("sid", "part", "tie").agg(F.sum(words).alias("taken"))
     return placed.join(taken, ["sid", "part", "tie"], "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

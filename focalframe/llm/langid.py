@@ -20,7 +20,7 @@ from . import textkernel as tk
 U = np.uint64
 #: Buckets of hashed n-grams, texts per language that the classifiers are fitted on (about), languages told apart.
 BUCKETS = 1 << 13
-SAMPLE = 500
+SAMPLE = 300
 LANGUAGES = 256
 #: Rows in a block of features, training steps, penalty, and the score under which a decision counts as ambiguous.
 ROWS = 128
@@ -139,8 +139,11 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
     if not rows:
         return None
     names = sorted({r["lang"] for r in rows})
-    x = np.stack([np.frombuffer(r["x"], np.float16) for r in rows]).astype(np.float32)
-    return Model(names, x, np.array([names.index(r["lang"]) for r in rows]))
+    y, x = np.array([names.index(r["lang"]) for r in rows]), np.empty((len(rows), BUCKETS), np.float32)
+    for i in range(len(rows)):
+        x[i] = np.frombuffer(rows[i]["x"], np.float16)
+        rows[i] = None
+    return Model(names, x, y)
 
 
 def _predicted(model: Model):

@@ -24,6 +24,8 @@ U = np.uint64
 #: First bit and width of the five blocks of a fingerprint.
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 RADIUS = len(BLOCKS) - 2
+#: Documents with dropped lines that are broadcast at most (with five lines each); more are joined by a shuffle.
+BROADCAST_DROPS = 10_000
 TABLES = tuple(combinations(range(len(BLOCKS)), 2))
 
 
@@ -189,7 +191,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 5, similarity: float = 0.8, id
     out = named.join(keep, "g").where("struct(doc_id, line_no) <> keep")
     drops = written(out.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line_no").alias("__drop")), "drops")
     size = drops.agg(F.count("*"), F.sum(F.size("__drop"))).first()
-    few = size[0] <= BROADCAST_IDS // 4 and (size[1] or 0) <= BROADCAST_IDS
+    few = size[0] <= BROADCAST_DROPS and (size[1] or 0) <= 5 * BROADCAST_DROPS
     joined = docs.join(F.broadcast(drops) if few else drops, F.col(id_col).cast("long") == F.col("__id"), "left")
     parts = F.split(F.col(text_col).cast("string"), "\n", -1)
     left = F.concat_ws("\n", F.filter(parts, lambda line, i: ~F.array_contains("__drop", i)))

@@ -1,15 +1,16 @@
 """Fuzzy line deduplication.
 
-Lines are normalised to their letters and digits in lower case. Lines of the same words form a class. Each class
-gets a 64-bit SimHash of its words, cut into five blocks; fingerprints within Hamming distance 3 agree in at
-least two blocks, so ten tables keyed by pairs of blocks find every such pair. Candidates are verified by the
-edit similarity of their word sequences, verified links form groups, and the first line of each group stays.
+Lines are normalised to their letters and digits in lower case. Lines of the same words form a class. Two lines are
+similar when the edit distance of their word sequences is at most a share of the longer one's words; nothing else
+decides. Edits cut what two lines have in common into few runs, so one run has at least a known number of words:
+tables keyed by all runs of that length find every similar pair. Parity sketches, whose bits cannot differ more often than
+the words do, part most other pairs early. Verified links form groups, and the first line of each group stays.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +22,13 @@ from .common import BROADCAST_IDS, semi_by_id, short_batches, written
 from .links import PACKED, Packer, both_ends, buckets_for, linked, shared_keys
 
 U = np.uint64
-#: First bit and width of the five blocks of a fingerprint.
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
-RADIUS = len(BLOCKS) - 2
+#: Bits in which the SimHashes of similar lines may differ: any number, so no pair is refused for them.
+RADIUS = 64
+#: Words in a key's run at most; class ids that a task remembers, so as to key each class about once.
+LONGEST = 4
+SEEN = 500_000
 #: Documents with dropped lines that are broadcast at most (with five lines each); more are joined by a shuffle.
 BROADCAST_DROPS = 10_000
-TABLES = tuple(combinations(range(len(BLOCKS)), 2))
 
 
 def simhash(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -49,6 +51,53 @@ def simhash(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def sketches(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """64-bit parity sketch of each row of word hashes: every word flips one bit; a row without words gets 0."""
+    out = np.zeros(len(offsets) - 1, U)
+    full = np.flatnonzero(np.diff(offsets) > 0)
+    if len(full):
+        out[full] = np.bitwise_xor.reduceat(U(1) << (hashes >> U(58)), offsets[full])
+    return out
+
+
+def allowed(n: np.ndarray, similarity: float) -> np.ndarray:
+    """The greatest edit distance of similar lines of which the longer one has ``n`` words."""
+    return np.floor((1 - similarity) * np.asarray(n) + 1e-9).astype(np.int64)
+
+
+@cache
+def run_table(size: int, similarity: float) -> np.ndarray:
+    """Whether lines of n < ``size`` words are keyed by runs of q words, at [n, q].
+
+    With d edits and n words in the longer line at least n - d words stay, in at most d + 1 runs.
+    """
+    n = np.arange(int(size / similarity) + 2)
+    d = allowed(n, similarity)
+    run = np.minimum(-(-(n - d) // (d + 1)), LONGEST)
+    last = np.minimum(np.floor(n[:size] / similarity + 1e-9).astype(np.int64), len(n) - 1)
+    out = np.zeros((size, LONGEST + 1), bool)
+    for q in range(1, LONGEST + 1):
+        before = np.concatenate([[0], np.cumsum((run == q) & (d > 0))])
+        out[:, q] = before[last + 1] > before[:size]
+    return out
+
+
+def run_keys(hashes: np.ndarray, offsets: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, keys): similar rows that are not equal have a key in common."""
+    counts, row = np.diff(offsets), tk.rows_of(offsets)
+    table = run_table(1 << int(counts.max(initial=0)).bit_length(), similarity)
+    for q in range(1, LONGEST + 1):
+        n = len(hashes) - q + 1
+        if n <= 0:
+            return
+        use = np.flatnonzero((row[:n] == row[q - 1 :]) & table[counts[row[:n]], q])
+        with np.errstate(over="ignore"):
+            keys = np.full(len(use), q, U)
+            for j in range(q):
+                keys = tk.mix(keys + hashes[use + j])
+        yield row[use], keys
+
+
 def line_bounds(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Offsets of the lines (parted by line feeds) of the rows, and each line's row."""
     feeds = np.flatnonzero(data[at[0] : at[-1]] == 10) + at[0] + 1
@@ -71,7 +120,7 @@ def _lines(min_words: int):
                         batch.column(0).slice(lo, hi - lo).take(pa.array(row[use])),
                         pa.array(number[use].astype(np.int32)),
                         pa.array(tk.sequences(hashes, offsets)[use].view(np.int64)),
-                        pa.array(simhash(hashes, offsets)[use].view(np.int64)),
+                        pa.array(sketches(hashes, offsets)[use].view(np.int64)),
                         pa.array(np.diff(offsets)[use]),
                     ],
                     names=["doc_id", "line_no", "class_id", "fp", "n_words"],
@@ -94,21 +143,42 @@ def _line_words(min_words: int):
     return run
 
 
-def _keyed(buckets: int):
-    """Packed (key, class) pairs: one key for each table, a hash of the table's number and its two blocks."""
+def _keyed(min_words: int, similarity: float, buckets: int):
+    """Packed (key, class) pairs of the classes in a text column, marked with 56 bits of the sketch and the number of words up to 255."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(buckets)
+        packer, seen = Packer(buckets), set()
         for batch in batches:
-            ids, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(U)
-            blocks = [(fp >> U(at)) & U((1 << width) - 1) for at, width in BLOCKS]
-            for n, (i, j) in enumerate(TABLES):
-                yield from packer.add(tk.mix(blocks[i] | blocks[j] << U(16) | U(n + 1) << U(40)), ids, fp)
+            data, at = tk.bytes_of(batch.column(0))
+            for lo, hi in tk.chunks(at):
+                bounds, _ = line_bounds(data, at[lo : hi + 1])
+                hashes, offsets = tk.words(data, bounds, tk.ALNUM)
+                counts, ids = np.diff(offsets), tk.sequences(hashes, offsets).view(np.int64)
+                fresh = np.zeros(len(ids), bool)
+                for i in np.unique(ids, return_index=True)[1]:
+                    fresh[i] = counts[i] >= min_words and int(ids[i]) not in seen
+                if len(seen) < SEEN:
+                    seen.update(ids[fresh].tolist())
+                marks = sketches(hashes, offsets) & ~U(255) | np.minimum(counts, 255).astype(U)
+                for row, keys in run_keys(hashes, offsets, similarity):
+                    use = fresh[row]
+                    yield from packer.add(keys[use], ids[row[use]], marks[row[use]])
         yield from packer.flush()
 
     return run
 
 
+def _marks_near(similarity: float):
+    """A test on marks that all similar classes pass; lines of 255 words or more pass with any other."""
+
+    def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        longer, shorter = np.maximum(a & U(255), b & U(255)), np.minimum(a & U(255), b & U(255))
+        most = allowed(longer, similarity)
+        return (longer == 255) | (np.bitwise_count((a ^ b) >> U(8)) <= 2 * most) & ((longer - shorter).astype(np.int64) <= most)
+
+    return near
+
+
 def edit_distance(a: np.ndarray, b: np.ndarray) -> int:
     """Levenshtein distance of two sequences: common ends are cut off, bit vectors do the rest (Myers 1999, Hyyro 2003)."""
     short = min(len(a), len(b))
@@ -142,8 +212,8 @@ def _similar(least: float):
             keep = []
             for a, b in zip(batch.column(2), batch.column(3)):
                 a, b = a.values.to_numpy(), b.values.to_numpy()
-                longer = max(len(a), len(b))
-                keep.append(min(len(a), len(b)) >= least * longer and edit_distance(a, b) <= (1 - least) * longer + 1e-9)
+                most = allowed(max(len(a), len(b)), least)
+                keep.append(bool(abs(len(a) - len(b)) <= most and edit_distance(a, b) <= most))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -152,13 +222,16 @@ def _similar(least: float):
 def fuzzy_line_groups(docs: DataFrame, min_words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """(lines(doc_id, line_no, class_id), groups(class_id, group_id)) of ``docs(doc_id, text)``; classes without links have no group row."""
     lines = written(docs.mapInArrow(_lines(min_words), "doc_id long, line_no int, class_id long, fp long, n_words long"), "lines")
-    facts = written(lines.select(F.col("class_id").alias("id"), "fp", "n_words").distinct(), "facts")
-    buckets = buckets_for(docs.sparkSession, facts.count() * len(TABLES))
-    groups = written(shared_keys(facts.select("id", "fp").mapInArrow(_keyed(buckets), PACKED), RADIUS), "groups")
+    n_keys = lines.agg(F.sum("n_words")).first()[0] or 0
+    buckets = buckets_for(docs.sparkSession, n_keys)
+    packed = docs.select("text").mapInArrow(_keyed(min_words, similarity, buckets), PACKED)
+    groups = written(shared_keys(packed, _marks_near(similarity)), "groups")
+    facts = lines.select(F.col("class_id").alias("id"), "fp", "n_words")
+    facts = written(semi_by_id(facts, groups.select("id").distinct(), "id").distinct(), "facts")
 
     def near(x: str, y: str) -> Column:
-        fits = f"least({x}.n_words, {y}.n_words) >= {similarity} * greatest({x}.n_words, {y}.n_words)"
-        return F.expr(f"bit_count({x}.fp ^ {y}.fp) <= {RADIUS} AND {fits}")
+        most = f"floor({1 - similarity!r}D * greatest({x}.n_words, {y}.n_words) + 1e-9D)"
+        return F.expr(f"bit_count({x}.fp ^ {y}.fp) <= 2 * {most} AND abs({x}.n_words - {y}.n_words) <= {most}")
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = written(pairs, "pairs")

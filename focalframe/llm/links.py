@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_IDS, written
+from .textkernel import mix
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -90,8 +91,8 @@ class Packer:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PACKED)], schema=_PACKED)
 
 
-def _near_clusters(starts: np.ndarray, marks: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """For members of sorted groups: whether another is within Hamming distance ``radius``, and a label that all members of a cluster of such neighbours share.
+def _near_clusters(starts: np.ndarray, marks: np.ndarray, near_marks: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """For members of sorted groups: whether the marks of another are near, and a label that all members of a cluster of such neighbours share.
 
     Groups of more than ``COMPARED`` members, and those whose labels have not settled after ``PASSES``, are one cluster.
     """
@@ -106,7 +107,7 @@ def _near_clusters(starts: np.ndarray, marks: np.ndarray, radius: int) -> tuple[
             at = at[left[at] > step]
             if not len(at):
                 break
-            a = at[np.bitwise_count(marks[at] ^ marks[at + step]) <= radius]
+            a = at[near_marks(marks[at], marks[at + step])]
             b = a + step
             near[a] = near[b] = True
             least = np.minimum(label[a], label[b])
@@ -120,8 +121,8 @@ def _near_clusters(starts: np.ndarray, marks: np.ndarray, radius: int) -> tuple[
     return near, label
 
 
-def _grouped(radius: int | None):
-    """The distinct (key, id) of a bucket whose key two different ids share; with a radius only those that have a near partner."""
+def _grouped(near_marks: Callable[[np.ndarray, np.ndarray], np.ndarray] | None):
+    """The distinct (key, id) of a bucket whose key two different ids share; with a test of marks the clusters of near ones, keyed by their members."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         parts: list[list[np.ndarray]] = [[], [], []]
@@ -143,10 +144,22 @@ def _grouped(radius: int | None):
         starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         sizes = np.diff(np.append(starts, len(keys)))
         use = np.repeat(sizes > 1, sizes)
-        if radius is not None:
-            near, label = _near_clusters(starts, marks, radius)
+        if near_marks is not None:
+            near, label = _near_clusters(starts, marks, near_marks)
             use &= near
-            keys = keys ^ (label - np.repeat(starts, sizes)) * 0x9E3779B1
+            ids, label = ids[use], label[use]
+            order = np.argsort(label, kind="stable")
+            ids, label = ids[order], label[order]
+            first = np.flatnonzero(np.diff(label, prepend=-1))
+            if not len(first):
+                return pa.table({"key": pa.array([], pa.int64()), "id": pa.array([], pa.int64())})
+            # Clusters of the same members, found by several keys, get one key.
+            sums = np.add.reduceat(mix(ids.view(np.uint64)), first)
+            once = np.zeros(len(first), bool)
+            once[np.unique(sums, return_index=True)[1]] = True
+            sizes = np.diff(np.append(first, len(ids)))
+            kept = np.repeat(once, sizes)
+            return pa.table({"key": pa.array(np.repeat(sums, sizes)[kept].view(np.int64)), "id": pa.array(ids[kept])})
         bucket = key[0].as_py()
         return pa.table({"key": pa.array((keys[use] << 15) ^ bucket), "id": pa.array(ids[use])})
 
@@ -158,9 +171,10 @@ def buckets_for(spark: SparkSession, keys: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-keys // BUCKET_KEYS))
 
 
-def shared_keys(packed: DataFrame, radius: int | None = None) -> DataFrame:
-    """(key, id) of ``packed`` rows: the distinct pairs whose key two different ids share, with marks within ``radius`` if one is given."""
-    return packed.groupBy("bucket").applyInArrow(_grouped(radius), "key long, id long")
+def shared_keys(packed: DataFrame, near_marks: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """(key, id) of ``packed`` rows: the distinct pairs whose key two different ids share; with a test of marks only ids near another."""
+    groups = packed.groupBy("bucket").applyInArrow(_grouped(near_marks), "key long, id long")
+    return groups if near_marks is None else groups.distinct()
 
 
 def both_ends(pairs: DataFrame, values: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes repeated lines out; a document goes when nothing but white space is left of it."""
-    left = dedup_lines(docs)
+    left = dedup_lines(docs, short_copies=True)
     return left.where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S")).select(*docs.columns)
 
 

@@ -1,6 +1,6 @@
 """Fuzzy line deduplication.
 
-Lines are normalised to their letters and digits in lower case. Lines of the same words form a class. Two lines are
+Lines are normalised to their letters and digits in lower case; each letter of a script without spaces is a word. Lines of the same words form a class. Two lines are
 similar when the edit distance of their word sequences is at most a share of the longer one's words; nothing else
 decides. Edits cut what two lines have in common into few runs, so one run has at least a known number of words:
 tables keyed by all runs of that length find every similar pair. Parity sketches, whose bits cannot differ more often than
@@ -112,7 +112,7 @@ def _lines(min_words: int):
             data, at = tk.bytes_of(batch.column(1))
             for lo, hi in tk.chunks(at):
                 bounds, row = line_bounds(data, at[lo : hi + 1])
-                hashes, offsets = tk.words(data, bounds, tk.ALNUM)
+                hashes, offsets = tk.words(data, bounds, tk.LINES)
                 number = np.arange(len(row)) - np.searchsorted(row, row)
                 use = np.diff(offsets) >= min_words
                 yield pa.RecordBatch.from_arrays(
@@ -135,7 +135,7 @@ def _line_words(min_words: int):
             data, at = tk.bytes_of(batch.column(0))
             for lo, hi in tk.chunks(at):
                 bounds, _ = line_bounds(data, at[lo : hi + 1])
-                hashes, offsets = tk.words(data, bounds, tk.ALNUM)
+                hashes, offsets = tk.words(data, bounds, tk.LINES)
                 use = np.flatnonzero(np.diff(offsets) >= min_words)
                 lists = tk.listed(hashes, offsets).take(pa.array(use))
                 yield pa.RecordBatch.from_arrays([pa.array(tk.sequences(hashes, offsets)[use].view(np.int64)), lists], names=["class_id", "words"])
@@ -152,7 +152,7 @@ def _keyed(min_words: int, similarity: float, buckets: int):
             data, at = tk.bytes_of(batch.column(0))
             for lo, hi in tk.chunks(at):
                 bounds, _ = line_bounds(data, at[lo : hi + 1])
-                hashes, offsets = tk.words(data, bounds, tk.ALNUM)
+                hashes, offsets = tk.words(data, bounds, tk.LINES)
                 counts, ids = np.diff(offsets), tk.sequences(hashes, offsets).view(np.int64)
                 fresh = np.zeros(len(ids), bool)
                 for i in np.unique(ids, return_index=True)[1]:
@@ -219,10 +219,13 @@ def _similar(least: float):
     return run
 
 
-def fuzzy_line_groups(docs: DataFrame, min_words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """(lines(doc_id, line_no, class_id), groups(class_id, group_id)) of ``docs(doc_id, text)``; classes without links have no group row."""
-    lines = written(docs.mapInArrow(_lines(min_words), "doc_id long, line_no int, class_id long, fp long, n_words long"), "lines")
-    n_keys = lines.agg(F.sum("n_words")).first()[0] or 0
+def fuzzy_line_groups(docs: DataFrame, min_words: int, similarity: float, short_copies: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(lines(doc_id, line_no, class_id), groups(class_id, group_id)) of ``docs(doc_id, text)``; classes without links have no group row.
+
+    With ``short_copies`` the lines hold those of fewer than ``min_words`` words too, which get no links.
+    """
+    lines = written(docs.mapInArrow(_lines(1 if short_copies else min_words), "doc_id long, line_no int, class_id long, fp long, n_words long"), "lines")
+    n_keys = lines.where(F.col("n_words") >= min_words).agg(F.sum("n_words")).first()[0] or 0
     buckets = buckets_for(docs.sparkSession, n_keys)
     packed = docs.select("text").mapInArrow(_keyed(min_words, similarity, buckets), PACKED)
     groups = written(shared_keys(packed, _marks_near(similarity)), "groups")
@@ -246,18 +249,19 @@ def fuzzy_line_groups(docs: DataFrame, min_words: int, similarity: float) -> tup
     return lines.drop("fp", "n_words"), components.select(F.col("node").alias("class_id"), F.col("component").alias("group_id"))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", short_copies: bool = False) -> DataFrame:
     """``docs`` with repeated lines taken out of ``text_col``, and columns n_lines and n_removed (long) added or replaced.
 
     Of each group of equal or similar lines the one with the least (id, line number) stays. Lines of fewer than
-    ``min_words`` normalised words are left alone: they repeat by chance. ``n_chars``, if there is such a column,
+    ``min_words`` normalised words are left alone, or with ``short_copies`` only their exact copies (equal words) are taken out;
+    lines without a word stay. ``n_chars``, if there is such a column,
     is brought up to date. A null text stays null with no lines; an empty text is one line and stays. Rows
     with a null id are returned as they are. Rows that share an id are one document: their equal line numbers count as
     one occurrence. Every other column is returned as it came.
     """
     short_batches(docs.sparkSession)
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
-    lines, groups = fuzzy_line_groups(plain, min_words, similarity)
+    lines, groups = fuzzy_line_groups(plain, min_words, similarity, short_copies)
     few = groups.count() <= BROADCAST_IDS
     named = lines.join(F.broadcast(groups) if few else groups, "class_id", "left").select("doc_id", "line_no", F.coalesce("group_id", "class_id").alias("g"))
     keep = named.groupBy("g").agg(F.min(F.struct("doc_id", "line_no")).alias("keep"), F.count("*").alias("n")).where("n > 1").select("g", "keep")

@@ -20,7 +20,7 @@ from .warc import archive
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), short_copies=True)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

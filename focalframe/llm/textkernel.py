@@ -31,10 +31,13 @@ def seeded(n: int, seed: int) -> np.ndarray:
 
 
 class Alphabet:
-    """Which bytes part words, and the value each other byte adds to a word's hash; A-Z count as a-z."""
+    """Which bytes part words, and the value each other byte adds to a word's hash; A-Z count as a-z.
 
-    def __init__(self, parting: np.ndarray) -> None:
-        self.parting = parting
+    With ``characters`` the letters of scripts written without spaces are words of their own, and full-width signs part words.
+    """
+
+    def __init__(self, parting: np.ndarray, characters: bool = False) -> None:
+        self.parting, self.characters = parting, characters
         self.value = seeded(256, 11) | U(1)
         self.value[65:91] = self.value[97:123]
         self.value[parting] = 0
@@ -57,6 +60,27 @@ def _beside_letters(digits: bool) -> np.ndarray:
 SPACED = Alphabet(_spaces())
 ALNUM = Alphabet(_beside_letters(True))
 LETTERS = Alphabet(_beside_letters(False))
+LINES = Alphabet(_beside_letters(True), characters=True)
+
+#: First and last code points: letters of scripts without spaces (Thai, Lao, Myanmar, Khmer, kana, Han), and full-width signs.
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3041, 0x30FA), (0x30FC, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
+SIGNS = ((0x2000, 0x206F), (0x3000, 0x303F), (0x30FB, 0x30FB), (0xFF01, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65))
+
+
+def unspaced(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the UTF-8 bytes: which begin a letter of a script without spaces, which follow one, which belong to full-width signs."""
+    alone, after, signs = (np.zeros(len(buf) + 4, bool) for _ in range(3))
+    for size, low, high in ((3, 0xE0, 0xF0), (4, 0xF0, 0xF8)):
+        at = np.flatnonzero((buf >= low) & (buf < high))
+        at = at[at + size <= len(buf)]
+        code = (buf[at] & (0xFF >> (size + 1))).astype(np.int64)
+        for j in range(1, size):
+            code = code << 6 | (buf[at + j] & 0x3F)
+        letter, sign = (np.logical_or.reduce([(code >= a) & (code <= b) for a, b in ranges]) for ranges in (UNSPACED, SIGNS))
+        alone[at[letter]] = after[at[letter] + size] = True
+        for j in range(size):
+            signs[at[sign] + j] = True
+    return alone[: len(buf)], after[: len(buf)], signs[: len(buf)]
 
 _BASE = 0x5851F42D4C957F2D
 _POWERS = [np.ones(1, U), np.ones(1, U)]
@@ -93,8 +117,14 @@ def chunks(at: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
 def word_starts(buf: np.ndarray, at: np.ndarray, alphabet: Alphabet) -> np.ndarray:
     """Places of the words' first bytes in rows that the offsets ``at`` bound."""
     inside = ~alphabet.parting[buf]
+    if alphabet.characters and len(buf) and buf.max() >= 0xE0:
+        alone, after, signs = unspaced(buf)
+        inside &= ~signs
+    else:
+        alone = after = False
     first = inside.copy()
     first[1:] &= ~inside[:-1]
+    first |= inside & (alone | after)
     edges = at[:-1][at[:-1] < len(buf)]
     first[edges] = inside[edges]
     return np.flatnonzero(first)
@@ -108,8 +138,11 @@ def words(data: np.ndarray, at: np.ndarray, alphabet: Alphabet) -> tuple[np.ndar
     if not len(starts):
         return np.zeros(0, U), np.zeros(len(at), np.int64)
     power, inverse = _powers(n)
+    value = alphabet.value[buf]
+    if alphabet.characters and buf.max() >= 0xE0:
+        value[unspaced(buf)[2]] = 0
     with np.errstate(over="ignore"):
-        sums = np.add.reduceat(alphabet.value[buf] * power[:n], starts) * inverse[starts]
+        sums = np.add.reduceat(value * power[:n], starts) * inverse[starts]
     return mix(sums), np.searchsorted(starts, at)
 
 

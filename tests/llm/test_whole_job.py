@@ -3,9 +3,10 @@
 import itertools
 import random
 
+import pyarrow as pa
 from test_edges import edited, levenshtein, norm, sentence
 
-from focalframe.llm import line_dedup
+from focalframe.llm import line_dedup, textkernel
 
 
 def groups_by_edit_distance(lines):
@@ -45,3 +46,17 @@ def test_line_dedup_finds_all_lines_of_the_edit_similarity(spark):
     got = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()}
     assert [got[i] for i in range(len(texts))] == [int(g != i) for i, g in enumerate(want)]
     assert sum(got.values()) > 150
+
+
+def test_line_dedup_takes_copies_of_short_lines(spark):
+    docs = [(1, "Contact us\n\n---\nread more"), (2, "contact us!\n\n---\nnothing else"), (3, "contact them\nread  more")]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), short_copies=True).collect()}
+    assert got == {1: docs[0][1], 2: "\n---\nnothing else", 3: "contact them"}
+
+
+def test_line_dedup_splits_scripts_without_spaces(spark):
+    docs = [(1, "今天的天气非常好，我们去公园散步吧。"), (2, "今天的天气非常好，我们去公园走路吧！"), (3, "昨日は雨が降っていたので家にいました。"), (4, "昨日は雨が降っていたので家にいました"), (5, "abc今天 déjà vu"), (6, "完全不同的另外一句话在这里出现了")]
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 1, 3: 0, 4: 1, 5: 0, 6: 0}
+    hashes, at = textkernel.words(*textkernel.bytes_of(pa.array(["abc今天x，y", "ABC 今 天 x y", "𠀀𠀁"])), textkernel.LINES)
+    assert at.tolist() == [0, 5, 10, 12] and hashes[:5].tolist() == hashes[5:10].tolist()

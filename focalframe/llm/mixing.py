@@ -1,11 +1,11 @@
 """Mixing sources to target weights with DataFrame functions only.
 
 The words of each source form one stream, packed into blocks of ``BLOCK`` words. A mix of as many words as there are is
-drawn in slots of one block. A global permutation deals the slots of all sources to output shards, so that
-a shard's source counts are a multinomial draw conditioned on the totals: whatever the shards get, each source gets its
-target to within half a block. A per-source pseudorandom permutation of the block numbers, with another offset in each
-round, says which block a slot holds. Blocks are then joined by number. All permutations are affine maps, computed where
-they are needed; no index is stored, collected or sorted.
+drawn in slots of one block. A seeded hash of each slot orders the slots of all sources, and runs of this order are the
+output shards, so that a shard's source counts are a multinomial draw conditioned on the totals: whatever the shards get,
+each source gets its target to within half a block. An affine permutation of each source's block numbers, with another offset in
+each round, says which block a slot holds. Blocks are joined by number with their words: that is the mix, and what
+it takes of each document is counted from it.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_IDS, written
 
-#: Words in a block, slots in an output shard, parts that a source's documents are numbered in, slots made at a time.
+#: Words in a block, slots in an output shard, parts that a source's documents and the slots are numbered in, slots made at a time.
 BLOCK = 64
 SHARD = 1024
 PARTS = 4096
@@ -62,14 +62,18 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...], most: float, bl
 
 
 def mixture_slots(sources: DataFrame, shard: int = SHARD, seed: str = "mix") -> DataFrame:
-    """(shard, place, sid, block): what each slot of the mix holds."""
-    starts = sources.where("slots > 0").select("sid", "blocks", "slots", "first_slot", "n_slots", F.explode(F.expr(f"sequence(0L, slots - 1, {STRIDE}L)")).alias("from"))
+    """(shard, place, sid, block): what each slot of the mix holds; slots are numbered in the order of a seeded hash."""
+    starts = sources.where("slots > 0").select("sid", "blocks", "slots", F.explode(F.expr(f"sequence(0L, slots - 1, {STRIDE}L)")).alias("from"))
     starts = starts.repartition("sid", "from")
     slots = starts.select("*", F.explode(F.expr(f"sequence(from, least(from + {STRIDE - 1}, slots - 1))")).alias("j"))
-    dealt = f"(({_coprime('n_slots')}) * (first_slot + j) + {_seeded(repr(seed))}) % n_slots"
     offset = _seeded(f"concat('{seed}/', sid, '/', j div blocks)")
     block = f"(({_coprime('blocks')}) * (j % blocks) + {offset}) % blocks"
-    return slots.select("sid", F.expr(block).alias("block"), F.expr(dealt).alias("slot")).select(F.expr(f"slot div {shard}").alias("shard"), F.expr(f"slot % {shard}").alias("place"), "sid", "block")
+    drawn = written(slots.select("sid", "j", F.expr(block).alias("block"), F.xxhash64(F.lit(seed), "sid", "j").alias("h")), "drawn").withColumn("part", F.expr(f"pmod(h, {PARTS})"))
+    base = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base")
+    bases = drawn.groupBy("part").agg(F.count("*").alias("n")).select("part", base)
+    inside = Window.partitionBy("part").orderBy("h", "sid", "j")
+    slot = drawn.withColumn("rank", F.row_number().over(inside)).join(F.broadcast(bases), "part").select("sid", "block", (F.col("base") + F.col("rank") - 1).alias("slot"))
+    return slot.select(F.expr(f"slot div {shard}").alias("shard"), F.expr(f"slot % {shard}").alias("place"), "sid", "block")
 
 
 def shard_counts(slots: DataFrame) -> DataFrame:
@@ -77,28 +81,52 @@ def shard_counts(slots: DataFrame) -> DataFrame:
     return slots.groupBy("shard", "sid").agg(F.count("*").alias("n"))
 
 
+def _placed(docs: DataFrame, weights: tuple[float, ...], most: float, block: int, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame]:
+    """Documents with their place in the stream of their source (sid, part, tie, start), and the sources."""
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"), F.expr(f"coalesce(regexp_count(cast({text_col} AS string), {WORDS}), 0)").cast("long").alias("size"))
+    sources = written(source_targets(texts.select("source", "size"), weights, most, block), "sources")
+    few = sources.count() <= BROADCAST_IDS // 16
+    known = F.broadcast(sources) if few else sources
+    placed = texts.alias("d").join(known.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")), "left").select("d.*", "s.sid", "s.source_size", "s.target").withColumn("part", F.expr(f"coalesce(pmod(doc_id, {PARTS}), 0)"))
+    inside = Window.partitionBy("sid", "part").orderBy("doc_id", "size")
+    ahead = F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = written(placed.withColumns({"ahead": ahead, "tie": F.row_number().over(inside)}), "placed")
+    parts = placed.groupBy("sid", "part").agg(F.sum("size").alias("words"))
+    base = F.coalesce(F.sum("words").over(Window.partitionBy("sid").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("sid", "part", base.alias("base"))
+    few = parts.count() <= BROADCAST_IDS // 2
+    return placed.join(F.broadcast(parts) if few else parts, ["sid", "part"]).withColumn("start", F.col("base") + F.col("ahead")).drop("base", "ahead"), sources
+
+
+def _mixed(placed: DataFrame, sources: DataFrame, block: int) -> DataFrame:
+    """(shard, place, source, sid, block, text, pieces): the mix; pieces(part, tie, n) say whose words a block holds."""
+    first, last = f"greatest(start, b * {block})", f"least(start + size, (b + 1) * {block})"
+    # The lambda over an array of one keeps a text's words from being parted again for every block.
+    piece = f"b -> struct(b AS block, {first} AS at, {last} - {first} AS n, array_join(slice(w, cast({first} - start + 1 AS int), cast({last} - {first} AS int)), ' ') AS words)"
+    pieces = f"transform(array(regexp_extract_all(text, {WORDS}, 0)), w -> transform(sequence(start div {block}, (start + size - 1) div {block}), {piece}))[0]"
+    spans = placed.where("size > 0").select("sid", "part", "tie", F.explode(F.expr(pieces)).alias("p")).select("sid", "p.block", "p.at", "part", "tie", "p.n", "p.words")
+    blocks = spans.groupBy("sid", "block").agg(F.sort_array(F.collect_list(F.struct("at", "part", "tie", "n", "words"))).alias("p"))
+    text, pieces = F.expr("array_join(transform(p, x -> x.words), ' ')"), F.expr("transform(p, x -> struct(x.part, x.tie, x.n))")
+    blocks = blocks.select("sid", "block", text.alias("text"), pieces.alias("pieces"))
+    # Slots are made from a small table, which would make the planner take them for few.
+    mix = blocks.join(mixture_slots(sources).hint("merge"), ["sid", "block"])
+    return mix.join(sources.select("sid", "source"), "sid").select("shard", "place", "source", "sid", "block", "text", "pieces")
+
+
+def mixture(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix, one row per slot: shard, place, source, block, text (the block's words); shards hold ``SHARD`` slots, the last one what is left."""
+    return _mixed(*_placed(docs, weights, most, block, id_col, text_col, source_col), block).drop("sid", "pieces")
+
+
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per row of ``docs``: doc_id, source, size, source_size, target, taken.
 
-    ``taken`` counts the words of the document that the mix holds, repeats included; it is at most ``most`` times the size.
+    The mix is made in the shared folder. ``taken`` counts the words of the document that it holds, repeats included; it is at most ``most`` times the size.
     Null and blank texts have size 0 and nothing is taken. A null source is a source of its own, ranked last. Null ids and repeated
     rows are documents like others. A source without words has target 0. No documents give no rows. Other columns are
     ignored.
     """
-    sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.expr(f"coalesce(regexp_count(cast({text_col} AS string), {WORDS}), 0)").cast("long").alias("size"))
-    sized = written(sized, "sized")
-    sources = written(source_targets(sized, weights, most, block), "sources")
-    few = sources.count() <= BROADCAST_IDS // 16
-    known = F.broadcast(sources) if few else sources
-    placed = sized.alias("d").join(known.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")), "left").select("d.*", "s.sid", "s.source_size", "s.target").withColumn("part", F.expr(f"coalesce(pmod(doc_id, {PARTS}), 0)"))
-    parts = placed.groupBy("sid", "part").agg(F.sum("size").alias("words"))
-    parts = parts.withColumn("base", F.coalesce(F.sum("words").over(Window.partitionBy("sid").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = Window.partitionBy("sid", "part").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.withColumn("ahead", F.coalesce(F.sum("size").over(inside), F.lit(0))).withColumn("tie", F.row_number().over(Window.partitionBy("sid", "part").orderBy("doc_id", "size")))
-    placed = written(placed.join(parts.select("sid", "part", "base"), ["sid", "part"]).withColumn("start", F.col("base") + F.col("ahead")).drop("base", "ahead"), "placed")
-    spans = placed.where("size > 0").select("sid", "part", "tie", "start", "size", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")).alias("block"))
-    uses = mixture_slots(sources).groupBy("sid", "block").agg(F.count("*").alias("uses"))
-    words = F.expr(f"uses * (least(start + size, (block + 1) * {block}) - greatest(start, block * {block}))")
-    # Slots are made from a small table, which would make the planner take them for few.
-    taken = spans.join(uses.hint("merge"), ["sid", "block"]).groupBy("sid", "part", "tie").agg(F.sum(words).alias("taken"))
+    placed, sources = _placed(docs, weights, most, block, id_col, text_col, source_col)
+    mix = written(_mixed(placed, sources, block), "mix")
+    taken = mix.select("sid", F.explode("pieces").alias("p")).groupBy("sid", "p.part", "p.tie").agg(F.sum("p.n").alias("taken"))
     return placed.join(taken, ["sid", "part", "tie"], "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

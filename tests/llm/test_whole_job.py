@@ -6,7 +6,7 @@ import random
 import pyarrow as pa
 from test_edges import edited, levenshtein, norm, sentence
 
-from focalframe.llm import line_dedup, textkernel
+from focalframe.llm import line_dedup, mixing, textkernel
 
 
 def groups_by_edit_distance(lines):
@@ -60,3 +60,23 @@ def test_line_dedup_splits_scripts_without_spaces(spark):
     assert got == {1: 0, 2: 1, 3: 0, 4: 1, 5: 0, 6: 0}
     hashes, at = textkernel.words(*textkernel.bytes_of(pa.array(["abc今天x，y", "ABC 今 天 x y", "𠀀𠀁"])), textkernel.LINES)
     assert at.tolist() == [0, 5, 10, 12] and hashes[:5].tolist() == hashes[5:10].tolist()
+
+
+def test_shards_of_the_mix_are_drawn(spark):
+    sources = spark.createDataFrame([(1, 30_000, 70_000), (2, 20_000, 30_000)], "sid long, blocks long, slots long").selectExpr("*", "(sid - 1) * 70000L AS first_slot", "100000L AS n_slots")
+    counts = mixing.shard_counts(mixing.mixture_slots(sources, shard=100)).toPandas()
+    ones = counts[counts.sid == 1].n
+    assert counts.n.sum() == 100_000 and ones.sum() == 70_000 and len(ones) == 1000
+    assert 18 < ones.var() < 24  # 100 * 0.7 * 0.3 = 21
+
+
+def test_mix_holds_the_words_of_its_blocks(spark):
+    docs = [(i, " ".join(f"{s}{i}.{j}" for j in range(n)), s) for s, sizes in (("a", (150, 3, 70)), ("b", (200, 0, 31))) for i, n in enumerate(sizes)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    mix, taken = mixing.mixture(df).toPandas(), mixing.mix_sources(df).toPandas()
+    assert sorted(mix.place) == list(range(len(mix))) and set(mix.shard) == {0}
+    streams = {s: " ".join(t for _, t, source in docs if source == s and t).split() for s in "ab"}
+    for r in mix.itertuples():
+        assert r.text.split() == streams[r.source][64 * r.block : 64 * (r.block + 1)]
+    for r in taken.itertuples():
+        assert r.taken == sum(w.startswith(f"{r.source}{r.doc_id}.") for t in mix.text for w in t.split())

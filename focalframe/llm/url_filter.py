@@ -1,7 +1,8 @@
 """URL filter with DataFrame functions only: fixed rules first, then a path-template tree for each host.
 
-The tree is grown a segment at a time. Below each node the segments that are rare among its pages are variable and become a
-wildcard; of the others, those whose labelled share of bad pages does not differ from that of all pages below the node are
+The tree is grown a segment at a time, to the end of the longest path. Below each node a segment with enough labels whose
+share of bad pages differs from that of the others stays apart, however many siblings it has. Else the segments that are rare
+among the node's pages are variable and become a wildcard, and of the others those that do not differ are
 merged into one branch. A path's templates end in a leaf; leaves are judged by their labelled purity, smoothed towards
 the purity of their host, and that towards the purity of all.
 """
@@ -15,9 +16,9 @@ from .common import BROADCAST_IDS, written
 
 #: Fixed values: (host, path, verdict) of the production rules.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-#: Segments told apart; what follows them is one segment. Share of a node's pages below which a segment is variable.
-DEPTH = 4
+#: Share of a node's pages below which a segment is variable, unless it has enough labels to be judged for itself.
 RARE = 0.05
+ENOUGH = 20
 #: Standard errors that a branch's share of bad pages must lie from its siblings' to stay apart; weight of the prior purity; least purity.
 APART = 1.96
 PRIOR = 4.0
@@ -51,19 +52,22 @@ def _joined(rows: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
 def path_templates(pages: DataFrame) -> DataFrame:
     """``pages(host, path, bad)`` (bad is 1, 0 or null) with ``template`` added: the leaf each path falls in."""
     parts = F.filter(F.split("path", "/"), lambda x: x != "")
-    tail = F.when(F.size(parts) > DEPTH, F.array(F.concat_ws("/", F.slice(parts, DEPTH + 1, 1 << 20)))).otherwise(F.array().cast("array<string>"))
-    rows = pages.withColumn("__parts", F.concat(F.slice(parts, 1, DEPTH), tail)).withColumn("template", F.lit(""))
-    for depth in range(DEPTH + 1):
+    rows = pages.withColumn("__parts", parts).withColumn("template", F.lit(""))
+    longest = rows.agg(F.max(F.size("__parts"))).first()[0] or 0
+    for depth in range(longest):
+        if depth:
+            rows = written(rows, "rows")
         rows = rows.withColumn("__segment", F.get("__parts", F.lit(depth)))
         here = rows.where("__segment is not null").groupBy("host", "template", "__segment").agg(F.count("*").alias("n"), F.count("bad").alias("known"), F.sum(F.coalesce("bad", F.lit(0))).alias("worse"))
         here = written(here, "branches")
         node = here.groupBy("host", "template").agg(F.sum("n").alias("all_n"), F.sum("known").alias("all_known"), F.sum("worse").alias("all_worse"))
         rest = F.col("all_known") - F.col("known")
-        pooled = F.col("all_worse") / F.col("all_known")
-        spread = F.sqrt(pooled * (1 - pooled) * (1.0 / F.col("known") + 1.0 / rest))
-        differs = (F.col("known") > 0) & (rest > 0) & (F.abs(F.col("worse") / F.col("known") - (F.col("all_worse") - F.col("worse")) / rest) > APART * spread)
+        pooled = F.try_divide("all_worse", "all_known")
+        spread = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), "known") + F.try_divide(F.lit(1.0), rest)))
+        gap = F.try_divide("worse", "known") - F.try_divide(F.col("all_worse") - F.col("worse"), rest)
+        differs = F.coalesce(F.abs(gap) > APART * spread, F.lit(False))
         rare = F.col("n") < F.greatest(F.lit(2.0), RARE * F.col("all_n"))
-        name = F.when(rare, WILDCARD).when(differs, F.col("__segment")).otherwise(MERGED)
+        name = F.when(differs & (F.col("known") >= ENOUGH), F.col("__segment")).when(rare, WILDCARD).when(differs, F.col("__segment")).otherwise(MERGED)
         named = written(here.join(node, ["host", "template"]).select("host", "template", "__segment", name.alias("__name")), "names")
         rows = _joined(rows, named, ["host", "template", "__segment"])
         rows = rows.withColumn("template", F.when(F.col("__name").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "__name"))).drop("__name", "__segment")

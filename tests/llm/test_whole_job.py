@@ -6,7 +6,7 @@ import random
 import pyarrow as pa
 from test_edges import edited, levenshtein, norm, sentence
 
-from focalframe.llm import line_dedup, mixing, textkernel
+from focalframe.llm import line_dedup, mixing, textkernel, url_filter
 
 
 def groups_by_edit_distance(lines):
@@ -80,3 +80,11 @@ def test_mix_holds_the_words_of_its_blocks(spark):
         assert r.text.split() == streams[r.source][64 * r.block : 64 * (r.block + 1)]
     for r in taken.itertuples():
         assert r.taken == sum(w.startswith(f"{r.source}{r.doc_id}.") for t in mix.text for w in t.split())
+
+
+def test_bad_sections_of_a_broad_host_are_judged_apart(spark):
+    for n, prefix in ((3, "/"), (40, "/"), (3, "/a/b/c/d/e/"), (40, "/a/b/c/d/e/")):
+        pages = [(100 * s + i, f"http://host.test{prefix}s{s}/p{s}.{i}") for s in range(n) for i in range(100)]
+        labels = [(p, int(p < 100)) for p, _ in pages]
+        got = url_filter.judge_urls(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, bad int"))
+        assert {r["page_id"] for r in got.where("verdict = 'block'").collect()} == set(range(100))

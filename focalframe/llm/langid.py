@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 from . import textkernel as tk
 
 U = np.uint64
-#: Buckets of hashed n-grams, texts per language that the classifiers are fitted on (about), languages told apart.
+#: Buckets of hashed n-grams, texts per language that the classifiers are fitted on (about); with more than ``MANY`` languages fewer
+#: of each, but ``LEAST``.
 BUCKETS = 1 << 13
 SAMPLE = 300
-LANGUAGES = 256
+MANY = 256
+LEAST = 30
 #: Rows in a block of features, training steps, penalty, and the score under which a decision counts as ambiguous.
 ROWS = 128
 STEPS = 150
@@ -126,12 +128,13 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
     """A model from ``labelled(key, text, lang)``; None without any row.
 
-    About ``sample`` texts of each language are taken by a hash of their key, so the same rows give the same model; of
-    more than ``LANGUAGES`` languages the most frequent are learned.
+    About ``sample`` texts of each language are taken by a hash of their key, so the same rows give the same model; every
+    language is learned, with more than ``MANY`` of them each from fewer texts.
     """
-    langs = sorted((r["lang"], r["n"]) for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect())
+    langs = sorted((r["lang"], r["n"]) for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect())
     if not langs:
         return None
+    sample = min(sample, max(LEAST, sample * MANY // len(langs)))
     rates = labelled.sparkSession.createDataFrame([(lang, min(1.0, sample / n)) for lang, n in langs], "lang string, rate double")
     chance = (F.pmod(F.xxhash64("key"), F.lit(1_000_003)) / 1_000_003.0)
     chosen = labelled.join(F.broadcast(rates), "lang").where(chance < F.col("rate")).orderBy(F.xxhash64("key"), "text").limit(2 * sample * len(langs))

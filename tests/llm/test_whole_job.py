@@ -6,7 +6,7 @@ import random
 import pyarrow as pa
 from test_edges import edited, levenshtein, norm, sentence
 
-from focalframe.llm import line_dedup, mixing, textkernel, url_filter
+from focalframe.llm import langid, line_dedup, mixing, textkernel, url_filter
 
 
 def groups_by_edit_distance(lines):
@@ -88,3 +88,8 @@ def test_bad_sections_of_a_broad_host_are_judged_apart(spark):
         labels = [(p, int(p < 100)) for p, _ in pages]
         got = url_filter.judge_urls(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, bad int"))
         assert {r["page_id"] for r in got.where("verdict = 'block'").collect()} == set(range(100))
+
+
+def test_every_language_is_learned(spark):
+    rows = [(f"{n}.{i}", f"x{n}y z{n}w " * 5, f"l{n:03}") for n in range(270) for i in range(2)]
+    assert langid.fit(spark.createDataFrame(rows, "key string, text string, lang string")).names == [f"l{n:03}" for n in range(270)]

@@ -24,14 +24,10 @@ def depth_map_winner(frames: DataFrame, radius: int) -> DataFrame:
 
 
 def weighted_blend(frames: DataFrame, radius: int, temperature: float) -> DataFrame:
-    """(y, x, v): softmax-weighted mean of the frames; sharpness is scaled by its 99.9th percentile in the middle frame (at least 1e-8)."""
-    sharp = pixels(sharpness(frames, radius), "s").join(pixels(frames), ["frame", "y", "x"])
-    middle = frames.agg((F.countDistinct("frame") / 2).cast("int").alias("m"))
-    scale = sharp.join(F.broadcast(middle), F.col("frame") == F.col("m")).agg(F.greatest(F.expr("percentile(s, 0.999)"), F.lit(1e-8)).alias("scale"))
-    logit = sharp.crossJoin(F.broadcast(scale)).withColumn("l", F.col("s") / F.col("scale") / F.lit(temperature))
-    top = logit.groupBy("y", "x").agg(F.max("l").alias("top"), F.collect_list(F.struct("l", "v")).alias("all"))
-    weight = "exp(p.l - top)"
-    return top.select("y", "x", F.expr(f"aggregate(all, 0D, (s, p) -> s + {weight} * p.v) / greatest(aggregate(all, 0D, (s, p) -> s + {weight}), 1e-8D)").alias("v"))
+    """(y, x, v) of the softmax blend of one stack."""
+    from .dense import weighted
+
+    return pixels(weighted(frames, radius, temperature).withColumn("frame", F.lit(0))).select("y", "x", "v")
 
 
 def composite(frames: DataFrame, index: DataFrame, n: int) -> DataFrame:
@@ -42,29 +38,30 @@ def composite(frames: DataFrame, index: DataFrame, n: int) -> DataFrame:
     return wanted.join(pixels(frames), ["frame", "y", "x"]).groupBy("y", "x").agg(F.sum(F.col("w") * F.col("v")).alias("v"))
 
 
-def slabs(n: int, size: int, overlap: int) -> list[tuple[int, int, int]]:
-    """(slab, start, end) of overlapping slabs; the first that reaches the end is the last."""
-    out, start = [], 0
-    while True:
-        end = min(start + size, n)
-        out.append((len(out), start, end))
-        if end >= n:
-            return out
-        start += max(1, size - overlap)
+def slab_step(size: int, overlap: int) -> int:
+    if size <= overlap:
+        raise ValueError(f"slabs of {size} frames cannot overlap by {overlap}")
+    return size - overlap
 
 
 def slab_plan(counts: DataFrame, size: int, overlap: int) -> DataFrame:
-    """(stack, slab, start_frame, end_frame) for ``counts(stack, n)``."""
-    step = max(1, size - overlap)
+    """(stack, slab, start_frame, end_frame) of overlapping slabs for ``counts(stack, n)``; the first that reaches the end is the last."""
+    step = slab_step(size, overlap)
     last = f"greatest(0, ceil((n - {size}) / {step}))"
     return counts.select("stack", "n", F.explode(F.expr(f"sequence(0L, cast({last} AS bigint))")).alias("slab")).select("stack", "slab", (F.col("slab") * step).alias("start_frame"), F.expr(f"least(slab * {step} + {size}, n)").alias("end_frame"))
 
 
+def in_slabs(frames: DataFrame, n: int, size: int, overlap: int) -> DataFrame:
+    """``frames`` with ``slab``, once for each slab of a stack of ``n`` frames that holds the frame."""
+    step = slab_step(size, overlap)
+    last = max(0, -(-(n - size) // step))
+    return frames.withColumn("slab", F.explode(F.expr(f"sequence(greatest(0, cast(ceil((frame - {size - 1}) / {step}D) AS int)), least({last}, cast(frame div {step} AS int)))")))
+
+
 def slab_winners(frames: DataFrame, radius: int, size: int, overlap: int, n: int) -> DataFrame:
     """(slab, y, x, winner): the arg-max inside each slab; frames in two slabs take part in both."""
-    spans = F.array(*(F.struct(F.lit(k).alias("slab"), F.lit(a).alias("a"), F.lit(b).alias("b")) for k, a, b in slabs(n, size, overlap)))
-    dealt = pixels(sharpness(frames, radius)).withColumn("s", F.explode(F.filter(spans, lambda s: (F.col("frame") >= s["a"]) & (F.col("frame") < s["b"]))))
-    return dealt.groupBy(F.col("s.slab").alias("slab"), "y", "x").agg(F.max_by("frame", F.struct("v", -F.col("frame"))).alias("winner"))
+    dealt = in_slabs(pixels(sharpness(frames, radius)), n, size, overlap)
+    return dealt.groupBy("slab", "y", "x").agg(F.max_by("frame", F.struct("v", -F.col("frame"))).alias("winner"))
 
 
 def tile_plan(sizes: DataFrame, tile: int, overlap: int) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Registered fusion methods with the parameters that forms show; ranges are not enforced when a method runs."""
+"""The parameters of the fusion methods as forms show them (``dense.METHODS`` holds the methods); ranges are not enforced when a method runs."""
 
 from __future__ import annotations
 
@@ -15,16 +15,19 @@ class Parameter:
     default: str
     least: float | None = None
     most: float | None = None
+    choices: tuple[str, ...] | None = None
 
 
+#: Methods that slabs may use.
+CHOICES = ("pmax", "dmap", "weighted")
 #: Methods, parameters, defaults and ranges.
 PARAMETERS = (
     Parameter("dmap", "contrast_threshold", "float", "7.0", 0, 50),
     Parameter("dmap", "estimation_radius", "int", "8", 2, 40),
     Parameter("dmap", "smoothing_radius", "int", "16", 1, 64),
     Parameter("pmax", "selection_smoothing", "int", "1", 0, 3),
-    Parameter("slab", "inner_method", "choice", "pmax"),
-    Parameter("slab", "outer_method", "choice", "dmap"),
+    Parameter("slab", "inner_method", "choice", "pmax", choices=CHOICES),
+    Parameter("slab", "outer_method", "choice", "dmap", choices=CHOICES),
     Parameter("slab", "slab_overlap", "int", "2", 0, 50),
     Parameter("slab", "slab_size", "int", "10", 2, 100),
     Parameter("weighted", "sharpness_radius", "int", "8", 2, 40),
@@ -34,8 +37,8 @@ METHODS = tuple(sorted({p.method for p in PARAMETERS}))
 
 
 def parameters(spark: SparkSession) -> DataFrame:
-    rows = [(p.method, p.name, p.kind, p.default, None if p.least is None else float(p.least), None if p.most is None else float(p.most)) for p in PARAMETERS]
-    return spark.createDataFrame(rows, "method string, name string, kind string, default string, least double, most double")
+    rows = [(p.method, p.name, p.kind, p.default, None if p.least is None else float(p.least), None if p.most is None else float(p.most), p.choices and ",".join(p.choices)) for p in PARAMETERS]
+    return spark.createDataFrame(rows, "method string, name string, kind string, default string, least double, most double, choices string")
 
 
 def method(name: str) -> tuple[Parameter, ...]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Sigmas out to which a dab has values above zero (exp(-REACH ** 2 / 2) is none).
+REACH = 39
 
 def dabs(strokes: DataFrame) -> DataFrame:
     """(seq, k, x, y, p, radius, hardness) of ``strokes(seq, points ARRAY<STRUCT<x, y, p>>, radius, hardness, ...)``.
@@ -22,19 +24,23 @@ def dabs(strokes: DataFrame) -> DataFrame:
 def stroke_masks(strokes: DataFrame, height: int, width: int) -> DataFrame:
     """(seq, py, px, mask): Gaussian dabs times pressure, the greatest at each pixel of the stroke's box; strokes of radius under 1 give none."""
     d = dabs(strokes.where("bround(cast(radius AS decimal(20, 6))) >= 1"))
+    # The stroke's box is its dabs' extent and a radius on each side; a dab's values beyond ``REACH`` sigmas are below any double and left out.
     box = d.groupBy("seq").agg(
-        F.expr(f"cast(greatest(0, floor(min(x) - ceil(max(radius)))) AS int)").alias("x0"), F.expr("cast(greatest(0, floor(min(y) - ceil(max(radius)))) AS int)").alias("y0"),
+        F.expr("cast(greatest(0, floor(min(x) - ceil(max(radius)))) AS int)").alias("x0"), F.expr("cast(greatest(0, floor(min(y) - ceil(max(radius)))) AS int)").alias("y0"),
         F.expr(f"cast(least({width}, ceil(max(x) + ceil(max(radius))) + 1) AS int)").alias("x1"), F.expr(f"cast(least({height}, ceil(max(y) + ceil(max(radius))) + 1) AS int)").alias("y1"),
     )
-    spots = d.join(box.where("x1 > x0 AND y1 > y0"), "seq").withColumn("py", F.explode(F.expr("sequence(y0, y1 - 1)"))).withColumn("px", F.explode(F.expr("sequence(x0, x1 - 1)")))
     sigma = "(radius * (1 - hardness) + 1e-3)"
+    spots = d.join(box.where("x1 > x0 AND y1 > y0"), "seq")
+    for axis, name in (("y", "py"), ("x", "px")):
+        low, high = f"cast(greatest({axis}0, ceil({axis} - {REACH} * {sigma})) AS int)", f"cast(least({axis}1 - 1, floor({axis} + {REACH} * {sigma})) AS int)"
+        spots = spots.withColumn(name, F.explode(F.expr(f"CASE WHEN {low} <= {high} THEN sequence({low}, {high}) END")))
     value = F.expr(f"exp(-(pow(px - x, 2) + pow(py - y, 2)) / (2 * {sigma} * {sigma})) * p")
     return spots.groupBy("seq", "py", "px").agg(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.max(value))).alias("mask"))
 
 
 def retouched(base: DataFrame, strokes: DataFrame, sources: DataFrame, height: int, width: int) -> DataFrame:
     """(y, x, v): ``base(y, x, v)`` with the strokes blended in order of seq; brush strokes paint ``sources(source, y, x, s)``, erasers the base."""
-    masks = stroke_masks(strokes, height, width).withColumnsRenamed({"py": "y", "px": "x"}).join(F.broadcast(strokes.select("seq", "source", "mode", "opacity")), "seq")
+    masks = stroke_masks(strokes, height, width).withColumnsRenamed({"py": "y", "px": "x"}).join(strokes.select("seq", "source", "mode", "opacity"), "seq")
     painted = masks.join(sources, ["source", "y", "x"], "left").select("y", "x", F.struct("seq", (F.col("mask") * F.col("opacity")).alias("a"), F.when(F.col("mode") != "erase", F.col("s")).alias("s")).alias("t"))
     steps = painted.groupBy("y", "x").agg(F.array_sort(F.collect_list("t")).alias("steps"))
     fold = "aggregate(coalesce(steps, array()), v, (acc, t) -> acc * (1 - t.a) + coalesce(t.s, v) * t.a)"
@@ -42,10 +48,12 @@ def retouched(base: DataFrame, strokes: DataFrame, sources: DataFrame, height: i
 
 
 def live_strokes(log: DataFrame) -> DataFrame:
-    """(session, stroke, position) that remain after an ordered log(session, seq, action, stroke) of apply, undo and redo.
+    """(session, stroke, position) that remain after an ordered log(session, seq, action, stroke) of apply, undo and redo; strokes that are ``empty`` (an optional column) count for nothing.
 
     An undo takes the last stroke, a redo brings the last undone one back, a new stroke empties the redo list.
     """
+    if "empty" in log.columns:
+        log = log.where(~F.coalesce("empty", F.lit(False)) | (F.col("action") != "apply"))
     ordered = log.groupBy("session").agg(F.array_sort(F.collect_list(F.struct("seq", "action", "stroke"))).alias("log"))
     empty = "cast(array() AS array<bigint>)"
     step = (
@@ -57,9 +65,10 @@ def live_strokes(log: DataFrame) -> DataFrame:
     return ordered.select("session", F.posexplode(state).alias("position", "stroke"))
 
 
-def checkpoint_for(counts: DataFrame, every: int = 20) -> DataFrame:
-    """``counts(session, n)`` with the latest checkpoint at or before n strokes and the number of strokes to replay."""
-    return counts.withColumn("checkpoint", F.expr(f"n div {every} * {every}")).withColumn("replay", F.expr(f"n % {every}"))
+def checkpoint_for(counts: DataFrame, checkpoints: DataFrame) -> DataFrame:
+    """``counts(session, n)`` with the latest of ``checkpoints(session, at)`` at or before n strokes (0 without one) and the number of strokes to replay: an as-of join."""
+    met = counts.join(checkpoints, "session", "left").groupBy("session", "n").agg(F.coalesce(F.max(F.when(F.col("at") <= F.col("n"), F.col("at"))), F.lit(0)).alias("checkpoint"))
+    return met.withColumn("replay", F.col("n") - F.col("checkpoint"))
 
 
 def viewer_levels(width: int, height: int, tile: int = 256) -> list[tuple[int, int, int]]:

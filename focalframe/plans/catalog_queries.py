@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import catalog, retouch
@@ -124,10 +124,15 @@ def error_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT session, n, CAST(n // 20 * 20 AS BIGINT) AS checkpoint, CAST(n % 20 AS BIGINT) AS replay FROM (SELECT user_id AS session, count(*) AS n FROM events GROUP BY 1)")
 def undo_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retouch.checkpoint_for(table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("session")).agg(F.count("*").alias("n")))
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long").alias("at"))
+    return retouch.checkpoint_for(e.groupBy("session").agg(F.count("*").alias("n")), e.where("at % 20 = 0"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id AS session, event_id AS stroke, CASE event_type WHEN 'view' THEN 'undo' WHEN 'click' THEN 'redo' ELSE 'apply' END AS action, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events
+), s AS (SELECT DISTINCT session, n, 0::BIGINT AS i, []::BIGINT[] AS done, []::BIGINT[] AS undone FROM e
+  UNION ALL SELECT s.session, s.n, e.i, CASE e.action WHEN 'apply' THEN list_append(done, e.stroke) WHEN 'undo' THEN done[1:len(done) - 1] ELSE CASE WHEN len(undone) > 0 THEN list_append(done, undone[len(undone)]) ELSE done END END,
+    CASE e.action WHEN 'apply' THEN []::BIGINT[] WHEN 'undo' THEN CASE WHEN len(done) > 0 THEN list_append(undone, done[len(done)]) ELSE undone END ELSE undone[1:len(undone) - 1] END FROM s JOIN e ON e.session = s.session AND e.i = s.i + 1
+) SELECT session, unnest(range(len(done)))::INTEGER AS position, unnest(done) AS stroke FROM s WHERE i = n""")
 def live_strokes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event log as strokes: views undo, clicks redo, all else paints; tested against a plain replay."""
     e = table(spark, sf_dir, "events")

@@ -1,18 +1,39 @@
-"""Whole-frame operators over the embedding raster; floating point and iterative, so tests compare them with numpy."""
+"""Fusion methods over the embedding raster; most are floating point and iterative, so tests compare them with numpy."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import dense, fuse, registry
-from ..raster import embedding_frames, rows
+from ..operators import dense, registry
+from ..raster import embedding_frames
+from .raster_queries import GAUSS, RASTER
 from .registry import query
 
+#: Rasters of the driver tables are at most 64 pixels wide, so their pyramids have one detail level.
+PYRAMID = RASTER + GAUSS + """, dn AS MATERIALIZED (SELECT frame, CAST(y // 2 AS INTEGER) AS y, CAST(x // 2 AS INTEGER) AS x, v FROM gy WHERE y % 2 = 0 AND x % 2 = 0
+), g0 AS (SELECT px.frame, y, x, v, CAST((h + 1) // 2 AS INTEGER) AS h2, CAST((w + 1) // 2 AS INTEGER) AS w2, (y + 0.5::DOUBLE) * ((h + 1) // 2) / h - 0.5::DOUBLE AS sy, (x + 0.5::DOUBLE) * ((w + 1) // 2) / w - 0.5::DOUBLE AS sx FROM px JOIN dim USING (frame)
+), g1 AS (SELECT frame, y, x, v, h2, w2, greatest(0.0, least(h2 - 1.0, sy)) AS sy, greatest(0.0, least(w2 - 1.0, sx)) AS sx FROM g0
+), g2 AS (SELECT *, CAST(floor(sy) AS INTEGER) AS y0, CAST(floor(sx) AS INTEGER) AS x0, sy - floor(sy) AS fy, sx - floor(sx) AS fx FROM g1
+), lv AS (SELECT g.frame, 0 AS level, g.y, g.x, g.v - ((1 - fy) * ((1 - fx) * a.v + fx * b.v) + fy * ((1 - fx) * c.v + fx * d.v)) AS v FROM g2 g
+  JOIN dn a ON a.frame = g.frame AND a.y = y0 AND a.x = x0 JOIN dn b ON b.frame = g.frame AND b.y = y0 AND b.x = least(x0 + 1, w2 - 1)
+  JOIN dn c ON c.frame = g.frame AND c.y = least(y0 + 1, h2 - 1) AND c.x = x0 JOIN dn d ON d.frame = g.frame AND d.y = least(y0 + 1, h2 - 1) AND d.x = least(x0 + 1, w2 - 1)
+  UNION ALL SELECT frame, 1, y, x, v FROM dn)"""
+
+
+def _masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames whose darkest samples, and all of frame 3 left of its middle, are masked."""
+    return embedding_frames(spark, sf_dir).withColumn("valid", F.expr("transform(row, (v, x) -> v >= 16 AND (frame <> 3 OR x >= 32))"))
+
+
+def _pixels(rows: DataFrame, column: str = "row", name: str = "v") -> DataFrame:
+    return rows.select("y", F.posexplode(column).alias("x", name))
+
 
 @query()
 def pmax_image(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dense.pmax(embedding_frames(spark, sf_dir)).select("y", F.posexplode("row").alias("x", "v"))
+    """Pyramid fusion with the default smoothing of its winner maps."""
+    return _pixels(dense.pmax(embedding_frames(spark, sf_dir)))
 
 
 @query()
@@ -21,15 +42,46 @@ def pmax_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query()
+def pmax_unsmoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pixels(dense.pmax(embedding_frames(spark, sf_dir), 0))
+
+
+@query()
+def pmax_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pixels(dense.pmax(_masked(spark, sf_dir)))
+
+
+@query(PYRAMID + " SELECT frame, level, y, x, round(v, 4) + 0.0 AS v FROM lv")
 def laplacian_pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dense.pyramid_levels(embedding_frames(spark, sf_dir)).select("frame", "level", "y", F.posexplode("value").alias("x", "v"))
+    out = dense.pyramid_levels(embedding_frames(spark, sf_dir)).select("frame", "level", "y", F.posexplode("value").alias("x", "v"))
+    return out.withColumn("v", F.round("v", 4) + 0.0)
 
 
 @query()
 def dmap_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = fuse.depth_map_winner(embedding_frames(spark, sf_dir), 2).withColumn("frame", F.lit(0))
-    index, sharp = (rows(best, c).select("y", F.col("row").alias(n)) for c, n in (("winner", "index"), ("energy", "sharp")))
-    return dense.refine_index(index.join(sharp, "y"), 7.0, 4).select("y", F.posexplode("row").alias("x", "v"))
+    return _pixels(dense.refine_index(dense.dmap_fold(embedding_frames(spark, sf_dir), 2), 7.0, 4))
+
+
+@query()
+def dmap_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The depth map of the whole method: fold, refinement, composite."""
+    out = dense.fused_by("dmap", embedding_frames(spark, sf_dir), estimation_radius=2, smoothing_radius=4)
+    return out.select("y", F.posexplode(F.arrays_zip("row", "depth")).alias("x", "p")).select("y", "x", F.col("p.row").alias("v"), "p.depth")
+
+
+@query()
+def weighted_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pixels(dense.fused_by("weighted", _masked(spark, sf_dir), sharpness_radius=2))
+
+
+@query()
+def slab_pmax_dmap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pixels(dense.fused_by("slab", embedding_frames(spark, sf_dir), slab_size=4, slab_overlap=1, estimation_radius=2, smoothing_radius=4))
+
+
+@query()
+def tiled_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dense.tiled("weighted", embedding_frames(spark, sf_dir), 40, 8, sharpness_radius=2)
 
 
 @query()
@@ -38,8 +90,8 @@ def phase_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT * FROM (VALUES ('dmap', 'contrast_threshold', 'float', '7.0', 0.0::DOUBLE, 50.0::DOUBLE), ('dmap', 'estimation_radius', 'int', '8', 2, 40), ('dmap', 'smoothing_radius', 'int', '16', 1, 64), ('pmax', 'selection_smoothing', 'int', '1', 0, 3), "
-    "('slab', 'inner_method', 'choice', 'pmax', NULL, NULL), ('slab', 'outer_method', 'choice', 'dmap', NULL, NULL), ('slab', 'slab_overlap', 'int', '2', 0, 50), ('slab', 'slab_size', 'int', '10', 2, 100), ('weighted', 'sharpness_radius', 'int', '8', 2, 40), ('weighted', 'temperature', 'float', '0.05', 0.001, 1)) t(method, name, kind, \"default\", least, most)"
+    "SELECT * FROM (VALUES ('dmap', 'contrast_threshold', 'float', '7.0', 0.0::DOUBLE, 50.0::DOUBLE, NULL), ('dmap', 'estimation_radius', 'int', '8', 2, 40, NULL), ('dmap', 'smoothing_radius', 'int', '16', 1, 64, NULL), ('pmax', 'selection_smoothing', 'int', '1', 0, 3, NULL), "
+    "('slab', 'inner_method', 'choice', 'pmax', NULL, NULL, 'pmax,dmap,weighted'), ('slab', 'outer_method', 'choice', 'dmap', NULL, NULL, 'pmax,dmap,weighted'), ('slab', 'slab_overlap', 'int', '2', 0, 50, NULL), ('slab', 'slab_size', 'int', '10', 2, 100, NULL), ('weighted', 'sharpness_radius', 'int', '8', 2, 40, NULL), ('weighted', 'temperature', 'float', '0.05', 0.001, 1, NULL)) t(method, name, kind, \"default\", least, most, choices)"
 )
 def registry_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.parameters(spark)

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_operators import stack
 
 from focalframe import sources, streaming
@@ -52,13 +53,77 @@ def test_pmax_beats_every_frame(fixture):
     assert similar(image, scene) > 0.95 and similar(image, scene) > max(similar(f, scene) for f in frames)
 
 
-def test_pmax_equals_a_whole_numpy_fold(fixture):
+def whole_pmax(frames, masks=None, smoothing=1, depth=1):
+    """The fold over whole arrays, written for the test alone."""
+    pyramids = [dense.pyramid(f.astype(float), depth) for f in frames]
+    masks = [np.ones(f.shape) for f in frames] if masks is None else [m.astype(float) for m in masks]
+    levels, winners = [], []
+    for k in range(depth):
+        good = np.array([m > 0.5 for m in masks])
+        energy = np.where(good, [dense.mean3(np.abs(p[k])) for p in pyramids], -np.inf)
+        pick = energy.argmax(0)
+        out = np.take_along_axis(np.array([p[k] for p in pyramids]), pick[None], 0)[0]
+        if smoothing:
+            views = np.lib.stride_tricks.sliding_window_view(np.pad(pick, smoothing, mode="edge"), (2 * smoothing + 1,) * 2)
+            smooth = np.median(views, axis=(2, 3)).astype(int)
+            for y, x in zip(*np.nonzero(smooth != pick)):
+                if good[smooth[y, x], y, x]:
+                    out[y, x] = pyramids[smooth[y, x]][k][y, x]
+            pick = smooth
+        levels.append(out)
+        winners.append(pick)
+        masks = [dense.halve(m) for m in masks]
+    rest = np.array([p[-1] for p in pyramids])
+    weight = np.array([(dense.mean3(np.abs(r - dense.mean3(r))) + 1e-6) * (m > 0.5) for r, m in zip(rest, masks)])
+    return dense.collapse([*levels, (rest * weight).sum(0) / np.maximum(weight.sum(0), 1e-8)]), winners
+
+
+def image_of(rows, column="row"):
+    return np.array([r[column] for r in rows.orderBy("y").collect()])
+
+
+@pytest.mark.parametrize("smoothing, depth", [(0, 1), (1, 1), (2, 3)])
+def test_pmax_equals_a_whole_numpy_fold(fixture, monkeypatch, smoothing, depth):
     _, _, frames, df = fixture
-    pyramids = [dense.pyramid(f.astype(float), 1) for f in frames]
-    energy = np.array([dense.mean3(np.abs(p[0])) for p in pyramids])
-    winner = energy.argmax(0)
-    got = np.array([r["winner"] for r in dense.pmax_levels(df).where("level = 0").orderBy("y").collect()])
-    assert (got == winner).all()
+    monkeypatch.setattr(dense, "ROWS", 16)
+    image, winners = whole_pmax(frames, None, smoothing, depth)
+    got = dense.pmax_levels(df, smoothing, depth)
+    for k in range(depth):
+        assert (image_of(got.where(f"level = {k}"), "winner") == winners[k]).all()
+    assert np.allclose(image_of(dense.pmax(df, smoothing, depth, band=16)), image)
+
+
+def test_masked_methods(spark, fixture):
+    _, _, frames, df = fixture
+    masked = df.withColumn("valid", F.expr("transform(row, (v, x) -> (v + x + frame) % 7 <> 0 AND (frame <> 1 OR x > 40))"))
+    masks = [np.array([[(v + x + k) % 7 != 0 and (k != 1 or x > 40) for x, v in enumerate(row)] for row in f]) for k, f in enumerate(frames)]
+    assert np.allclose(image_of(dense.pmax(masked)), whole_pmax(frames, masks)[0])
+    flat = dense.dmap_fold(df.where("frame < 2").withColumn("valid", F.expr("transform(row, v -> frame = 1)")), 2)
+    assert set(image_of(flat, "index").ravel()) == {1.0}
+
+
+def test_dmap_gives_image_and_depth(fixture):
+    scene, depth, _, df = fixture
+    out = dense.fused_by("dmap", df, estimation_radius=4, smoothing_radius=8)
+    assert similar(image_of(out), scene) > 0.93 and np.corrcoef(image_of(out, "depth").ravel(), depth.ravel())[0, 1] > 0.95
+
+
+def test_refinement_in_bands_equals_the_whole(spark, fixture, monkeypatch):
+    df = fixture[3]
+    winners = dense.dmap_fold(df, 2)
+    whole = image_of(dense.refine_index(winners, 7.0, 4))
+    monkeypatch.setattr(dense, "ROWS", 16)
+    assert np.allclose(image_of(dense.refine_index(winners, 7.0, 4)), whole, atol=1e-4)
+
+
+def test_slab_and_tiles(fixture):
+    scene, _, _, df = fixture
+    assert similar(image_of(dense.fused_by("slab", df, slab_size=3, slab_overlap=1, estimation_radius=4, smoothing_radius=8)), scene) > 0.93
+    whole = image_of(dense.fused_by("pmax", df))
+    got = np.zeros(whole.shape)
+    for r in dense.tiled("pmax", df, 64, 24).collect():
+        got[r["y"], r["x"]] = r["v"]
+    assert np.abs(got - whole).max() < 0.02 * 255 and similar(got, whole) > 0.99
 
 
 def test_depth_map_follows_the_ramp(fixture):
@@ -86,7 +151,7 @@ def test_pyramid_collapses_to_the_image():
 def test_diffusion_keeps_known_and_fills():
     known = np.zeros((20, 20), bool)
     known[5:8, 5:8] = True
-    out = dense.diffuse(np.where(known, 4.0, 99.0), known, 2)
+    out = dense.fill_unknown(np.where(known, 4.0, 99.0), known, 2)
     assert np.allclose(out[known], 4) and np.allclose(out, 4, atol=1e-3)
 
 
@@ -130,5 +195,7 @@ def test_streams_equal_batches(spark, tmp_path):
 
 def test_registry():
     assert registry.METHODS == ("dmap", "pmax", "slab", "weighted") and len(registry.method("dmap")) == 3
-    with pytest.raises(ValueError, match="dmap, pmax"):
-        registry.method("nope")
+    assert sorted(dense.METHODS) == sorted(registry.METHODS)
+    for lookup in (registry.method, lambda name: dense.fused_by(name, None)):
+        with pytest.raises(ValueError, match="dmap, pmax"):
+            lookup("nope")

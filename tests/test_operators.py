@@ -63,10 +63,14 @@ def test_weighted_mean_of_two_constant_frames(spark):
 
 @pytest.mark.parametrize("n, size, overlap", [(25, 10, 2), (10, 10, 2), (3, 10, 2), (26, 10, 2), (11, 10, 9)])
 def test_slabs(spark, n, size, overlap):
-    spans = fuse.slabs(n, size, overlap)
-    assert spans[0][1] == 0 and spans[-1][2] == n and set(range(n)) == {i for _, a, b in spans for i in range(a, b)}
     plan = fuse.slab_plan(spark.createDataFrame([(1, n)], "stack int, n bigint"), size, overlap)
-    assert [(r["slab"], r["start_frame"], r["end_frame"]) for r in plan.orderBy("slab").collect()] == spans
+    spans = [(r["slab"], r["start_frame"], r["end_frame"]) for r in plan.orderBy("slab").collect()]
+    assert spans[0][1] == 0 and spans[-1][2] == n and set(range(n)) == {i for _, a, b in spans for i in range(a, b)}
+    assert all(b - a == size for _, a, b in spans[:-1]) and len({b for _, _, b in spans}) == len(spans)
+    held = fuse.in_slabs(spark.range(n).selectExpr("cast(id AS int) AS frame"), n, size, overlap)
+    assert {(r["slab"], r["frame"]) for r in held.collect()} == {(k, i) for k, a, b in spans for i in range(a, b)}
+    with pytest.raises(ValueError):
+        fuse.in_slabs(held, n, overlap, overlap)
 
 
 @pytest.mark.parametrize("curve, percent, want", [([20, 90, 100, 86, 50], 85, (1, 3)), ([1, 1, 10, 1, 1], 85, (2, 2)), ([95, 20, 100, 20, 90], 85, (2, 2))])
@@ -158,10 +162,13 @@ def test_exposure_gain_clamps(spark, value, want):
     assert analysis.exposure_gain(spark.createDataFrame([(value,)] * 4, "luma double")).first()["gain"] == want
 
 
-def test_camera_matrix():
-    m = analysis.camera_to_srgb(list(np.linalg.inv(np.array(analysis.SRGB_TO_XYZ)).ravel()))
-    assert np.allclose(m, np.eye(3), atol=1e-6)
-    assert analysis.camera_to_srgb(None) is None and analysis.camera_to_srgb([0.0] * 9) is None
+def test_camera_matrix(spark):
+    given = [np.linalg.inv(np.array(analysis.SRGB_TO_XYZ)).ravel().tolist(), [0.0] * 9, None, [1.0, float("nan")] + [0.5] * 7, [1.0], [0.8, 0.1, 0.05, 0.2, 1.1, -0.1, 0.02, 0.1, 0.7]]
+    df = spark.createDataFrame([*enumerate(given)], "i int, m array<double>").withColumn("out", F.expr("m"))
+    got = {r["i"]: r["c"] for r in df.select("i", analysis.camera_to_srgb("m").alias("c")).collect()}
+    assert np.allclose(np.reshape(got[0], (3, 3)), np.eye(3), atol=1e-6) and [got[i] for i in range(1, 5)] == [None] * 4
+    cam = np.reshape(given[5], (3, 3)) @ np.array(analysis.SRGB_TO_XYZ)
+    assert np.allclose(np.reshape(got[5], (3, 3)) @ (cam / cam.sum(1, keepdims=True)), np.eye(3))
 
 
 @pytest.mark.parametrize(

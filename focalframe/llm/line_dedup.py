@@ -2,9 +2,16 @@
 
 Lines are normalised to their letters and digits in lower case; each letter of a script without spaces is a word. Lines of the same words form a class. Two lines are
 similar when the edit distance of their word sequences is at most a share of the longer one's words; nothing else
-decides. Edits cut what two lines have in common into few runs, so one run has at least a known number of words:
-tables keyed by all runs of that length find every similar pair. Parity sketches, whose bits cannot differ more often than
-the words do, part most other pairs early. Verified links form groups, and the first line of each group stays.
+decides. Candidates share a key:
+
+* lines of fewer than ``SHORT`` words are keyed by all their runs of one length. Edits cut what two lines have in common into few runs, so one run has
+  at least a known number of words: this finds every similar pair;
+* longer lines are keyed by the ``PICKED`` least hashes of their runs of ``PICKED_RUN`` words, those with several frequent words last. Of the runs of two lines of
+  similarity 0.8 a third is common, so that all of their least ones differ has a chance of 0.66 ** 12 < 1%, and of less than
+  1e-6 at similarity 0.95.
+
+Parity sketches, whose bits cannot differ more often than the words do, part most other pairs before anything is compared. Verified links
+form groups, and the first line of each group stays.
 """
 
 from __future__ import annotations
@@ -14,49 +21,44 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
 from .common import BROADCAST_IDS, semi_by_id, short_batches, written
-from .links import PACKED, Packer, both_ends, buckets_for, linked, shared_keys
+from .links import PACKED, Packer, both_ends, buckets_for, candidates, linked
 
 U = np.uint64
-#: Bits in which the SimHashes of similar lines may differ: any number, so no pair is refused for them.
-RADIUS = 64
 #: Words in a key's run at most; class ids that a task remembers, so as to key each class about once.
 LONGEST = 4
+#: Words from which on lines are keyed by a choice of their runs; runs chosen of a line, and their words.
+SHORT = 20
+PICKED = 12
+PICKED_RUN = 3
+#: 64-bit words of the parity sketches.
+WIDTH = 8
+SKETCH = [f"s{i}" for i in range(WIDTH)]
+#: Share of all words from which on a word is frequent (so there are at most ``FREQUENT`` such words).
+FREQUENT = 500
 SEEN = 500_000
 #: Documents with dropped lines that are broadcast at most (with five lines each); more are joined by a shuffle.
-BROADCAST_DROPS = 10_000
-
-
-def simhash(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """64-bit SimHash of each row of word hashes; words count as often as they occur; a row without words gets 0.
-
-    Bits are counted eight at a time in the lanes of a 64-bit word, over runs of at most 255 words.
-    """
-    counts = np.diff(offsets)
-    out = np.zeros(len(counts), U)
-    full = np.flatnonzero(counts > 0)
-    if not len(full):
-        return out
-    runs = (counts[full] + 254) // 255
-    first = np.concatenate([[0], np.cumsum(runs)[:-1]])
-    starts = np.repeat(offsets[full], runs) + 255 * (np.arange(runs.sum()) - np.repeat(first, runs))
-    spread = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(U).ravel()
-    lanes = [np.add.reduceat(spread[byte], starts).view(np.uint8).reshape(-1, 8) for byte in hashes.view(np.uint8).reshape(-1, 8).T]
-    ones = np.add.reduceat(np.concatenate(lanes, axis=1).astype(np.int64), first, axis=0)
-    out[full] = np.packbits(2 * ones > counts[full][:, None], axis=1, bitorder="little").view(U).ravel()
-    return out
+BROADCAST_DROPS = 200_000
 
 
 def sketches(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """64-bit parity sketch of each row of word hashes: every word flips one bit; a row without words gets 0."""
-    out = np.zeros(len(offsets) - 1, U)
-    full = np.flatnonzero(np.diff(offsets) > 0)
-    if len(full):
-        out[full] = np.bitwise_xor.reduceat(U(1) << (hashes >> U(58)), offsets[full])
+    """Parity sketches of ``64 * WIDTH`` bits, a row of 64-bit words for each row of word hashes: every word flips one bit; a row without words gets 0."""
+    rows, bits = len(offsets) - 1, 64 * WIDTH
+    at = tk.rows_of(offsets) * bits + (hashes >> U(64 - bits.bit_length() + 1)).astype(np.int64)
+    odd = np.bincount(at, minlength=rows * bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(U).reshape(rows, WIDTH)
+
+
+def marks_of(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Two 64-bit words for each row: 120 bits of its sketch folded, and the number of its words up to 255."""
+    wide = sketches(hashes, offsets)
+    out = np.stack([np.bitwise_xor.reduce(wide[:, k::2], axis=1) for k in (0, 1)], axis=1)
+    out[:, 0] = out[:, 0] & ~U(255) | np.minimum(np.diff(offsets), 255).astype(U)
     return out
 
 
@@ -82,20 +84,46 @@ def run_table(size: int, similarity: float) -> np.ndarray:
     return out
 
 
-def run_keys(hashes: np.ndarray, offsets: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(rows, keys): similar rows that are not equal have a key in common."""
+def all_runs(hashes: np.ndarray, q: int, use: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of ``q`` words that begin at the places ``use``."""
+    with np.errstate(over="ignore"):
+        keys = np.full(len(use), q, U)
+        for j in range(q):
+            keys = tk.mix(keys + hashes[use + j])
+    return keys
+
+
+def run_keys(hashes: np.ndarray, offsets: np.ndarray, similarity: float, frequent: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, keys) of the lines.
+
+    Lines of fewer than ``SHORT`` words get the hashes of all runs of the lengths in ``run_table``: similar ones that are not equal
+    share one. Lines of ``similarity * SHORT`` words or more get the ``PICKED`` least hashes of their runs of ``PICKED_RUN``
+    words; runs with several ``frequent`` words (sorted) come last.
+    """
     counts, row = np.diff(offsets), tk.rows_of(offsets)
-    table = run_table(1 << int(counts.max(initial=0)).bit_length(), similarity)
+    table = run_table(SHORT, similarity)
     for q in range(1, LONGEST + 1):
-        n = len(hashes) - q + 1
-        if n <= 0:
-            return
-        use = np.flatnonzero((row[:n] == row[q - 1 :]) & table[counts[row[:n]], q])
-        with np.errstate(over="ignore"):
-            keys = np.full(len(use), q, U)
-            for j in range(q):
-                keys = tk.mix(keys + hashes[use + j])
-        yield row[use], keys
+        n = max(len(hashes) - q + 1, 0)
+        use = np.flatnonzero((row[:n] == row[len(row) - n :]) & (counts[row[:n]] < SHORT))
+        use = use[table[counts[row[use]], q]]
+        yield row[use], all_runs(hashes, q, use)
+    n = max(len(hashes) - PICKED_RUN + 1, 0)
+    use = np.flatnonzero((row[:n] == row[len(row) - n :]) & (counts[row[:n]] >= similarity * SHORT - 1e-9))
+    if not len(use):
+        return
+    common = np.zeros(len(hashes), np.int8)
+    if len(frequent):
+        common[frequent[np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)] == hashes] = 1
+    late = sum(common[use + j] for j in range(PICKED_RUN)) > 1
+    keys, rows = all_runs(hashes, PICKED_RUN, use) >> U(1) | late.astype(U) << U(63), row[use]
+    order = np.lexsort((keys, rows))
+    keys, rows = keys[order], rows[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (rows[1:] != rows[:-1])
+    keys, rows = keys[new], rows[new]
+    least = np.arange(len(rows)) - np.searchsorted(rows, rows) < PICKED
+    # Least hashes have few high bits; mixed again they choose buckets evenly.
+    yield rows[least], tk.mix(keys[least])
 
 
 def line_bounds(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,6 +135,8 @@ def line_bounds(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _lines(min_words: int):
+    """The lines, and rows with a null id for the words that are frequent in a chunk: their hash as class_id, their number below zero as n_words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = tk.bytes_of(batch.column(1))
@@ -115,36 +145,37 @@ def _lines(min_words: int):
                 hashes, offsets = tk.words(data, bounds, tk.LINES)
                 number = np.arange(len(row)) - np.searchsorted(row, row)
                 use = np.diff(offsets) >= min_words
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(lo, hi - lo).take(pa.array(row[use])),
-                        pa.array(number[use].astype(np.int32)),
-                        pa.array(tk.sequences(hashes, offsets)[use].view(np.int64)),
-                        pa.array(sketches(hashes, offsets)[use].view(np.int64)),
-                        pa.array(np.diff(offsets)[use]),
-                    ],
-                    names=["doc_id", "line_no", "class_id", "fp", "n_words"],
-                )
+                words, counts = np.unique(hashes, return_counts=True)
+                often = counts * 2 * FREQUENT >= len(hashes)
+                none, extra = pa.nulls(int(often.sum()), pa.int64()), np.zeros(int(often.sum()), np.int64)
+                columns = [
+                    (batch.column(0).slice(lo, hi - lo).take(pa.array(row[use])), none),
+                    (pa.array(number[use].astype(np.int32)), pa.array(extra.astype(np.int32))),
+                    (pa.array(tk.sequences(hashes, offsets)[use].view(np.int64)), pa.array(words[often].view(np.int64))),
+                    (pa.array(np.diff(offsets)[use]), pa.array(-counts[often].astype(np.int64))),
+                ]
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], names=["doc_id", "line_no", "class_id", "n_words"])
 
     return run
 
 
-def _line_words(min_words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, at = tk.bytes_of(batch.column(0))
-            for lo, hi in tk.chunks(at):
-                bounds, _ = line_bounds(data, at[lo : hi + 1])
-                hashes, offsets = tk.words(data, bounds, tk.LINES)
-                use = np.flatnonzero(np.diff(offsets) >= min_words)
-                lists = tk.listed(hashes, offsets).take(pa.array(use))
-                yield pa.RecordBatch.from_arrays([pa.array(tk.sequences(hashes, offsets)[use].view(np.int64)), lists], names=["class_id", "words"])
-
-    return run
+def _line_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the lines whose class is in a row's list: number of words, sketch, and the words as 32 bits of their hashes."""
+    for batch in batches:
+        data, at = tk.bytes_of(batch.column(0))
+        for lo, hi in tk.chunks(at):
+            bounds, _ = line_bounds(data, at[lo : hi + 1])
+            hashes, offsets = tk.words(data, bounds, tk.LINES)
+            ids = tk.sequences(hashes, offsets).view(np.int64)
+            first = np.unique(ids, return_index=True)[1]
+            use = np.sort(first[np.isin(ids[first], batch.column(1).slice(lo, hi - lo).flatten().to_numpy())])
+            words = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array((hashes >> U(32)).astype(np.uint32).view(np.int32))).take(pa.array(use))
+            sketch = [pa.array(x.copy().view(np.int64)) for x in sketches(hashes, offsets)[use].T]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[use]), pa.array(np.diff(offsets)[use]), *sketch, words], names=["id", "size", *SKETCH, "value"])
 
 
-def _keyed(min_words: int, similarity: float, buckets: int):
-    """Packed (key, class) pairs of the classes in a text column, marked with 56 bits of the sketch and the number of words up to 255."""
+def _keyed(min_words: int, similarity: float, buckets: int, frequent: np.ndarray):
+    """Packed (key, class) pairs of the classes in a text column, marked with 120 bits of the sketch and the number of words up to 255."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, seen = Packer(buckets), set()
@@ -159,8 +190,8 @@ def _keyed(min_words: int, similarity: float, buckets: int):
                     fresh[i] = counts[i] >= min_words and int(ids[i]) not in seen
                 if len(seen) < SEEN:
                     seen.update(ids[fresh].tolist())
-                marks = sketches(hashes, offsets) & ~U(255) | np.minimum(counts, 255).astype(U)
-                for row, keys in run_keys(hashes, offsets, similarity):
+                marks = marks_of(hashes, offsets)
+                for row, keys in run_keys(hashes, offsets, similarity, frequent):
                     use = fresh[row]
                     yield from packer.add(keys[use], ids[row[use]], marks[row[use]])
         yield from packer.flush()
@@ -170,11 +201,13 @@ def _keyed(min_words: int, similarity: float, buckets: int):
 
 def _marks_near(similarity: float):
     """A test on marks that all similar classes pass; lines of 255 words or more pass with any other."""
+    table = allowed(np.arange(256), similarity)
 
     def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        longer, shorter = np.maximum(a & U(255), b & U(255)), np.minimum(a & U(255), b & U(255))
-        most = allowed(longer, similarity)
-        return (longer == 255) | (np.bitwise_count((a ^ b) >> U(8)) <= 2 * most) & ((longer - shorter).astype(np.int64) <= most)
+        x, y = (a[:, 0] & U(255)).astype(np.int64), (b[:, 0] & U(255)).astype(np.int64)
+        longer, most = np.maximum(x, y), table[np.maximum(x, y)]
+        differ = np.bitwise_count((a[:, 0] ^ b[:, 0]) >> U(8)).astype(np.int64) + np.bitwise_count(a[:, 1] ^ b[:, 1])
+        return (longer == 255) | (differ <= 2 * most) & (np.abs(x - y) <= most)
 
     return near
 
@@ -209,11 +242,15 @@ def edit_distance(a: np.ndarray, b: np.ndarray) -> int:
 def _similar(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for a, b in zip(batch.column(2), batch.column(3)):
-                a, b = a.values.to_numpy(), b.values.to_numpy()
-                most = allowed(max(len(a), len(b)), least)
-                keep.append(bool(abs(len(a) - len(b)) <= most and edit_distance(a, b) <= most))
+            ends = []
+            for c in (2, 3):
+                sizes = pc.list_value_length(batch.column(c)).to_numpy()
+                ends.append((batch.column(c).flatten().to_numpy(), np.concatenate([[0], np.cumsum(sizes)]), sizes))
+            (x, x_at, nx), (y, y_at, ny) = ends
+            most = allowed(np.maximum(nx, ny), least)
+            keep = np.abs(nx - ny) <= most
+            for i in np.flatnonzero(keep):
+                keep[i] = edit_distance(x[x_at[i] : x_at[i + 1]], y[y_at[i] : y_at[i + 1]]) <= most[i]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -224,29 +261,33 @@ def fuzzy_line_groups(docs: DataFrame, min_words: int, similarity: float, short_
 
     With ``short_copies`` the lines hold those of fewer than ``min_words`` words too, which get no links.
     """
-    lines = written(docs.mapInArrow(_lines(1 if short_copies else min_words), "doc_id long, line_no int, class_id long, fp long, n_words long"), "lines")
-    n_keys = lines.where(F.col("n_words") >= min_words).agg(F.sum("n_words")).first()[0] or 0
-    buckets = buckets_for(docs.sparkSession, n_keys)
-    packed = docs.select("text").mapInArrow(_keyed(min_words, similarity, buckets), PACKED)
-    groups = written(shared_keys(packed, _marks_near(similarity)), "groups")
-    facts = lines.select(F.col("class_id").alias("id"), "fp", "n_words")
-    facts = written(semi_by_id(facts, groups.select("id").distinct(), "id").distinct(), "facts")
+    lines = written(docs.mapInArrow(_lines(1 if short_copies else min_words), "doc_id long, line_no int, class_id long, n_words long"), "lines")
+    keyed = F.when(F.col("n_words") >= min_words, F.least("n_words", F.lit(SHORT)))
+    total, n_keys = lines.where("doc_id is not null").agg(F.sum("n_words"), F.sum(keyed)).first()
+    often = lines.where("doc_id is null").groupBy("class_id").agg(F.sum("n_words").alias("n")).where(-F.col("n") * FREQUENT >= (total or 0)).select("class_id").collect()
+    frequent = np.sort(np.array([r[0] for r in often], np.int64).view(U))
+    lines = lines.where("doc_id is not null")
+    buckets = buckets_for(docs.sparkSession, n_keys or 0)
+    packed = docs.select("text").mapInArrow(_keyed(min_words, similarity, buckets, frequent), PACKED)
+    found = written(candidates(packed, buckets, _marks_near(similarity)), "found")
+    wanted = written(found.select(F.explode(F.array("a", "b")).alias("class_id")).where("class_id is not null").distinct(), "wanted")
+    held = semi_by_id(lines.select("class_id", "doc_id"), wanted, "class_id").groupBy("class_id").agg(F.min("doc_id").alias("doc_id"))
+    holders = written(held.groupBy("doc_id").agg(F.collect_list("class_id").alias("ids")), "holders")
+    size = holders.agg(F.count("*"), F.sum(F.size("ids"))).first()
+    few = size[0] + (size[1] or 0) <= BROADCAST_IDS
+    chosen = docs.join(F.broadcast(holders) if few else holders, "doc_id").select("text", "ids")
+    values = written(chosen.mapInArrow(_line_words, f"id long, size long, {', '.join(f'{c} long' for c in SKETCH)}, value array<int>"), "values")
 
     def near(x: str, y: str) -> Column:
-        most = f"floor({1 - similarity!r}D * greatest({x}.n_words, {y}.n_words) + 1e-9D)"
-        return F.expr(f"bit_count({x}.fp ^ {y}.fp) <= 2 * {most} AND abs({x}.n_words - {y}.n_words) <= {most}")
+        most = f"floor({1 - similarity!r}D * greatest({x}.size, {y}.size) + 1e-9D)"
+        apart = " + ".join(f"bit_count({x}.{c} ^ {y}.{c})" for c in SKETCH)
+        return F.expr(f"abs({x}.size - {y}.size) <= {most} AND {apart} <= 2 * {most}")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        pairs = written(pairs, "pairs")
-        wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("class_id")).distinct(), "wanted")
-        holders = semi_by_id(lines.select("class_id", "doc_id"), wanted, "class_id").groupBy("class_id").agg(F.min("doc_id").alias("doc_id"))
-        chosen = semi_by_id(docs, holders.select("doc_id").distinct(), "doc_id")
-        texts = semi_by_id(chosen.select("text").mapInArrow(_line_words(min_words), "class_id long, words array<long>"), wanted, "class_id").dropDuplicates()
-        texts = written(texts, "texts")
-        return both_ends(pairs, texts.select(F.col("class_id").alias("id"), F.col("words").alias("value"))).mapInArrow(_similar(similarity), "a long, b long").distinct()
-
-    components, _ = linked(groups, facts, near, verify)
-    return lines.drop("fp", "n_words"), components.select(F.col("node").alias("class_id"), F.col("component").alias("group_id"))
+        return both_ends(pairs, values.select("id", "value")).mapInArrow(_similar(similarity), "a long, b long")
+
+    components = linked(found, values.drop("value"), near, verify, similarity)
+    return lines.drop("n_words"), components.select(F.col("node").alias("class_id"), F.col("component").alias("group_id"))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", short_copies: bool = False) -> DataFrame:

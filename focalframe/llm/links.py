@@ -1,9 +1,10 @@
 """Components of similarity links between items that share keys, without listing all pairs of a group.
 
 Items are 64-bit class ids; exact copies share one and so never form pairs. Items that share a key are
-candidates. Star rounds compare each item with one central item of one of its key groups. In groups that
-the verified links leave in several components, every remaining pair across components is then compared by the
-caller's test, so no link that joins two components is lost, while pairs inside a component are never listed.
+candidates, unless fingerprints that travel with them (marks) prove them apart. Small groups give all their pairs. Of a larger one each
+item is compared with a central item first; what the verified links leave in several components is then compared completely
+across components, by the caller's test and in parts of bounded size, so no link that joins two components is lost, while pairs inside a component are
+never listed. Keys that many items share are never gathered: the sending tasks pass their items by as rows.
 """
 
 from __future__ import annotations
@@ -12,12 +13,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_IDS, written
 from .textkernel import mix
 
+U = np.uint64
+
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges(a, b)``; the component is its smallest node.
@@ -25,48 +28,68 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Large-star and small-star steps alternate until the edges no longer change; each step is written to the shared
     folder. Self links and repeated edges are allowed; null ends are left out; no edges give no rows.
     """
-    edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    edges, state = _observed(edges.distinct())
     seen = None
-    while True:
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == seen or not state[0]:
-            break
+    while state != seen and state[0]:
         seen = state
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.unionByName(least.where("m < a").select("a", F.col("m").alias("b"))).distinct()
+        large = large.unionByName(least.where("m < a").select("a", F.col("m").alias("b")))
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lowest, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = written(small.unionByName(lowest.select("a", F.col("m").alias("b"))).distinct(), "edges")
-    roots = edges.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
-    return roots.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct().join(roots.select("node"), "node", "left_anti"))
+        edges, state = _observed(small.unionByName(lowest.select("a", F.col("m").alias("b"))).distinct())
+    return edges.select("a", F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("a"), F.col("b").alias("component"))).withColumnRenamed("a", "node").distinct()
+
+
+def _observed(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """Edges as a table, with their number and a sum that tells them from others, taken while they are written."""
+    seen = Observation()
+    table = written(edges.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")), "edges")
+    return table, (seen.get["n"], seen.get["sum"])
 
 
-#: Keys that one task groups, about; keys that a sending task gathers before it sends them off.
+#: Keys that one task groups, about; keys that a sending task gathers before it sends them off; items of a key that it sends packed.
 BUCKET_KEYS = 1_000_000
 SENT_KEYS = 1_000_000
-_PACKED = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary()), ("marks", pa.binary()), ("refs", pa.binary())])
-PACKED = "bucket int, keys binary, ids binary, marks binary, refs binary"
-#: Members of a key group that are compared with each other before it is sent on; larger groups are sent on whole.
+HOT = 256
+_PACKED = pa.schema([("bucket", pa.int64()), ("keys", pa.binary()), ("ids", pa.binary()), ("marks", pa.binary()), ("refs", pa.binary()), ("hot", pa.binary())])
+PACKED = "bucket long, keys binary, ids binary, marks binary, refs binary, hot binary"
+_GROUPED = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+GROUPED = "key long, a long, b long"
+#: Members of a key group that are compared with each other before it is sent on; larger groups are sent on whole. Members of a
+#: cluster that gives all its pairs; passes that labels may take to settle.
 COMPARED = 2048
+PAIRED = 6
 PASSES = 6
+#: Items of a group that one task compares with all others of the group.
+PART = 4096
+
+#: A test on two arrays of marks, a row of 64-bit words for each item.
+Near = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def _named(short: np.ndarray, bucket: np.ndarray | int) -> np.ndarray:
+    """The name of a key by its 48 low bits and its bucket."""
+    return (short.astype(np.int64) << 15) ^ bucket
 
 
 class Packer:
     """Gathers (key, id) pairs and sends them as one row per bucket: 48 bits of each key, and short references to the ids.
 
-    Keys of the full 64 bits choose the bucket; pairs of different keys that agree in bucket and 48 bits only add candidates.
+    The highest bits of a key choose the bucket; pairs of different keys that agree in bucket and 48 bits only add candidates. Of a
+    key with more than ``HOT`` ids in hand one id is packed; all of them go past the buckets in a row of their own.
     """
 
     def __init__(self, buckets: int) -> None:
-        self.buckets, self.keys, self.ids, self.marks, self.size = buckets, [], [], [], 0
+        self.buckets, self.keys, self.ids, self.marks, self.size, self.sent = buckets, [], [], [], 0, 0
 
-    def add(self, keys: np.ndarray, ids: np.ndarray, marks: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-        """``marks`` are fingerprints of the ids that travel with them."""
+    def add(self, keys: np.ndarray, ids: np.ndarray, marks: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """``marks`` are fingerprints of the ids that travel with them, a row of 64-bit words each."""
         self.keys.append(keys)
         self.ids.append(ids)
-        self.marks.append(np.zeros(len(ids), np.uint64) if marks is None else marks)
+        self.marks.append(marks)
         self.size += len(keys)
         if self.size >= SENT_KEYS:
             yield from self.flush()
@@ -76,29 +99,43 @@ class Packer:
             return
         keys, ids, marks = (np.concatenate(x) for x in (self.keys, self.ids, self.marks))
         self.keys, self.ids, self.marks, self.size = [], [], [], 0
-        bucket = (keys >> np.uint64(48)).astype(np.int64) * self.buckets >> 16 if self.buckets <= 1 << 16 else (keys % np.uint64(self.buckets)).astype(np.int64)
+        order = np.lexsort((ids, keys))
+        keys, ids, marks = keys[order], ids[order], marks[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
+        keys, ids, marks = keys[new], ids[new], marks[new]
+        bucket = (keys >> U(48)).astype(np.int64) * self.buckets >> 16 if self.buckets <= 1 << 16 else (mix(keys) % U(self.buckets)).astype(np.int64)
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        sizes = np.diff(np.append(starts, len(keys)))
+        rows, hot = [], np.repeat(sizes > HOT, sizes)
+        if hot.any():
+            names = _named(keys[hot] & U((1 << 48) - 1), bucket[hot])
+            self.sent += 1
+            past = self.buckets + int(mix(ids[:1].view(U) + U(self.sent))[0] >> U(20))
+            rows.append((past, names.tobytes(), ids[hot].tobytes(), b"", b"", b""))
+            kept = ~hot
+            kept[starts] = True
+            keys, ids, marks, bucket, hot = (x[kept] for x in (keys, ids, marks, bucket, hot))
         order = np.argsort(bucket, kind="stable")
-        keys, ids, marks, bucket = keys[order], ids[order], marks[order], bucket[order]
+        keys, ids, marks, bucket, hot = (x[order] for x in (keys, ids, marks, bucket, hot))
         edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=self.buckets))
-        rows = []
         for lo, hi in zip(edges, edges[1:]):
             own, first, refs = np.unique(ids[lo:hi], return_index=True, return_inverse=True)
-            fp = marks[lo:hi][first]
             refs = refs.astype(np.uint16 if len(own) <= 1 << 16 else np.uint32)
             short = np.ascontiguousarray(keys[lo:hi]).view(np.uint8).reshape(-1, 8)[:, :6]
-            rows.append((int(bucket[lo]), short.tobytes(), own.tobytes(), fp.tobytes() if fp.any() else b"", refs.tobytes()))
+            rows.append((int(bucket[lo]), short.tobytes(), own.tobytes(), marks[lo:hi][first].tobytes(), refs.tobytes(), np.flatnonzero(hot[lo:hi]).astype(np.int32).tobytes()))
         columns = list(zip(*rows))
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PACKED)], schema=_PACKED)
 
 
-def _near_clusters(starts: np.ndarray, marks: np.ndarray, near_marks: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def _near_clusters(starts: np.ndarray, marks: np.ndarray, whole: np.ndarray, near_marks: Near) -> tuple[np.ndarray, np.ndarray]:
     """For members of sorted groups: whether the marks of another are near, and a label that all members of a cluster of such neighbours share.
 
-    Groups of more than ``COMPARED`` members, and those whose labels have not settled after ``PASSES``, are one cluster.
+    ``whole`` groups, and those whose labels have not settled after ``PASSES``, are one cluster.
     """
     sizes = np.diff(np.append(starts, len(marks)))
     first, left = np.repeat(starts, sizes), np.repeat(starts + sizes, sizes) - np.arange(len(marks))
-    large = np.repeat(sizes > COMPARED, sizes)
+    large = np.repeat(whole, sizes)
     near, label = large.copy(), np.where(large, first, np.arange(len(marks)))
     for _ in range(PASSES):
         moved = np.zeros(len(marks), bool)
@@ -121,47 +158,79 @@ def _near_clusters(starts: np.ndarray, marks: np.ndarray, near_marks: Callable[[
     return near, label
 
 
-def _grouped(near_marks: Callable[[np.ndarray, np.ndarray], np.ndarray] | None):
-    """The distinct (key, id) of a bucket whose key two different ids share; with a test of marks the clusters of near ones, keyed by their members."""
+def _grouped(buckets: int, near_marks: Near):
+    """The candidates of a bucket: pairs (key null) of two ids, and the members (b null) of clusters too large to be listed in pairs."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        parts: list[list[np.ndarray]] = [[], [], []]
-        for k, i, m, r in zip(*(table[c] for c in ("keys", "ids", "marks", "refs"))):
+        bucket = key[0].as_py()
+        if bucket >= buckets:
+            names, ids = (np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table[c]]) for c in ("keys", "ids"))
+            return pa.table([pa.array(names), pa.array(ids), pa.nulls(len(ids), pa.int64())], schema=_GROUPED)
+        parts: list[list[np.ndarray]] = [[], [], [], []]
+        for k, i, m, r, h in zip(*(table[c] for c in ("keys", "ids", "marks", "refs", "hot"))):
             short = np.frombuffer(k.as_buffer(), np.uint8).reshape(-1, 6)
             wide = np.zeros((len(short), 8), np.uint8)
             wide[:, :6] = short
             refs = np.frombuffer(r.as_buffer(), np.uint16 if len(r.as_buffer()) == 2 * len(short) else np.uint32)
+            hot = np.zeros(len(short), bool)
+            hot[np.frombuffer(h.as_buffer(), np.int32)] = True
             own = np.frombuffer(i.as_buffer(), np.int64)
-            fp = np.frombuffer(m.as_buffer(), np.uint64) if len(m.as_buffer()) else np.zeros(len(own), np.uint64)
-            for part, x in zip(parts, (wide.view(np.int64).ravel(), own[refs], fp[refs])):
+            for part, x in zip(parts, (wide.view(np.int64).ravel(), own[refs], np.frombuffer(m.as_buffer(), U).reshape(len(own), -1)[refs], hot)):
                 part.append(x)
-        keys, ids, marks = (np.concatenate(p) for p in parts)
+        keys, ids, marks, hot = (np.concatenate(p) for p in parts)
         order = np.lexsort((ids, keys))
-        keys, ids, marks = keys[order], ids[order], marks[order]
+        keys, ids, marks, hot = keys[order], ids[order], marks[order], hot[order]
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        hot_groups = np.logical_or.reduceat(hot, starts) if len(starts) else np.zeros(0, bool)
         new = np.ones(len(keys), bool)
         new[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
         keys, ids, marks = keys[new], ids[new], marks[new]
         starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         sizes = np.diff(np.append(starts, len(keys)))
-        use = np.repeat(sizes > 1, sizes)
-        if near_marks is not None:
-            near, label = _near_clusters(starts, marks, near_marks)
-            use &= near
-            ids, label = ids[use], label[use]
-            order = np.argsort(label, kind="stable")
-            ids, label = ids[order], label[order]
-            first = np.flatnonzero(np.diff(label, prepend=-1))
-            if not len(first):
-                return pa.table({"key": pa.array([], pa.int64()), "id": pa.array([], pa.int64())})
-            # Clusters of the same members, found by several keys, get one key.
-            sums = np.add.reduceat(mix(ids.view(np.uint64)), first)
-            once = np.zeros(len(first), bool)
-            once[np.unique(sums, return_index=True)[1]] = True
-            sizes = np.diff(np.append(first, len(ids)))
-            kept = np.repeat(once, sizes)
-            return pa.table({"key": pa.array(np.repeat(sums, sizes)[kept].view(np.int64)), "id": pa.array(ids[kept])})
-        bucket = key[0].as_py()
-        return pa.table({"key": pa.array((keys[use] << 15) ^ bucket), "id": pa.array(ids[use])})
+        many = np.repeat((sizes > 1) | hot_groups, sizes)
+        keys, ids, marks = keys[many], ids[many], marks[many]
+        hot_groups = hot_groups[(sizes > 1) | hot_groups]
+        if not len(keys):
+            return _GROUPED.empty_table()
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        sizes = np.diff(np.append(starts, len(keys)))
+        near, label = _near_clusters(starts, marks, (sizes > COMPARED) | hot_groups, near_marks)
+        keys, ids, marks, label, hot = keys[near], ids[near], marks[near], label[near], np.repeat(hot_groups, sizes)[near]
+        order = np.argsort(label, kind="stable")
+        keys, ids, marks, label, hot = keys[order], ids[order], marks[order], label[order], hot[order]
+        first = np.flatnonzero(np.diff(label, prepend=-1))
+        if not len(first):
+            return _GROUPED.empty_table()
+        # Clusters of the same members, found by several keys, count once; those of hot keys go by the key's name.
+        sums = np.add.reduceat(mix(ids.view(U)), first).view(np.int64)
+        sums = np.where(hot[first], _named(keys[first], bucket), sums)
+        once = np.zeros(len(first), bool)
+        once[np.unique(sums, return_index=True)[1]] = True
+        sizes = np.diff(np.append(first, len(ids)))
+        kept = np.repeat(once, sizes)
+        ids, marks, hot, sums, sizes = ids[kept], marks[kept], hot[kept], sums[once], sizes[once]
+        first = np.cumsum(sizes) - sizes
+        small = (sizes <= PAIRED) & ~hot[first] if len(first) else np.zeros(0, bool)
+        left = np.where(np.repeat(small, sizes), np.repeat(first + sizes, sizes) - np.arange(len(ids)), 0)
+        at, pairs = np.flatnonzero(left > 1), []
+        for step in range(1, PAIRED):
+            at = at[left[at] > step]
+            a = at[near_marks(marks[at], marks[at + step])]
+            pairs.append((ids[a], ids[a + step]))
+        rest = np.repeat(~small, sizes)
+        head = np.repeat(first, sizes)
+        rays = np.flatnonzero(rest & (head != np.arange(len(ids))))
+        rays = rays[near_marks(marks[rays], marks[head[rays]])]
+        pairs.append((ids[rays], ids[head[rays]]))
+        a, b = (np.concatenate(x) for x in zip(*pairs))
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        a, b = a[new], b[new]
+        columns = [pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(np.repeat(sums, sizes)[rest])]), pa.array(np.concatenate([a, ids[rest]])), pa.concat_arrays([pa.array(b), pa.nulls(int(rest.sum()), pa.int64())])]
+        return pa.table(columns, schema=_GROUPED)
 
     return run
 
@@ -171,68 +240,79 @@ def buckets_for(spark: SparkSession, keys: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-keys // BUCKET_KEYS))
 
 
-def shared_keys(packed: DataFrame, near_marks: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
-    """(key, id) of ``packed`` rows: the distinct pairs whose key two different ids share; with a test of marks only ids near another."""
-    groups = packed.groupBy("bucket").applyInArrow(_grouped(near_marks), "key long, id long")
-    return groups if near_marks is None else groups.distinct()
+def candidates(packed: DataFrame, buckets: int, near_marks: Near) -> DataFrame:
+    """(key, a, b) of ``packed`` rows: pairs with a null key, members ``a`` of large groups with a null ``b``."""
+    return packed.groupBy("bucket").applyInArrow(_grouped(buckets, near_marks), GROUPED)
 
 
 def both_ends(pairs: DataFrame, values: DataFrame) -> DataFrame:
     """(a, b, value_a, value_b): for each pair what ``values(id, value)`` holds of its two items.
 
-    Counted pairs that are few are broadcast, so that only values of pairs are moved.
+    ``pairs`` is counted; when there are few of them they are broadcast, so that only values of pairs are moved.
     """
-    pairs = written(pairs, "pairs")
     few = pairs.count() <= BROADCAST_IDS // 2
     side = F.broadcast(pairs) if few else pairs
     left, right = (values.join(side, values["id"] == side[x]).select("a", "b", F.col("value").alias(f"value_{x}")) for x in "ab")
     return left.join(right, ["a", "b"])
 
 
-def apart(groups: DataFrame, components: DataFrame | None) -> DataFrame:
-    """(key, id, c) of the groups whose members are in different components ``c`` so far."""
-    members = groups.select("key", "id")
-    if components is None:
-        return members.withColumn("c", F.col("id"))
+def apart(members: DataFrame, components: DataFrame) -> DataFrame:
+    """(key, id, c, parts) of ``members(key, id)`` of groups whose members are in different components ``c``; parts tell how many a group is dealt to."""
     members = members.join(components.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    group = Window.partitionBy("key")
-    return members.withColumns({"low": F.min("c").over(group), "high": F.max("c").over(group)}).where("low <> high").select("key", "id", "c")
+    ends = members.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).where("low <> high")
+    return members.join(ends.select("key", F.expr(f"cast(n div {PART} + 1 AS int)").alias("parts")), "key").select("key", "id", "c", "parts")
 
 
-def star(members: DataFrame, order: Column, facts: DataFrame, near: Callable[[str, str], Column]) -> DataFrame:
-    """For each id at most one pair (a, b): with the first item, by ``order``, of one of its groups, in another component and ``near``."""
-    head = F.min(F.struct(order.alias("o"), "id", "c")).over(Window.partitionBy("key"))
-    rays = members.withColumn("h", head).where("c <> h.c").select("id", F.col("h.id").alias("head")).distinct()
+def star(members: DataFrame, facts: DataFrame, near: Callable[[str, str], Column]) -> DataFrame:
+    """For each id at most one pair (a, b): with the greatest item of one of its groups, in another component and ``near``."""
+    heads = members.groupBy("key").agg(F.max(F.struct("id", "c")).alias("h"))
+    rays = members.join(heads, "key").where("c <> h.c").select("id", F.col("h.id").alias("head")).distinct()
     rays = rays.join(facts.alias("y"), "id").withColumnRenamed("id", "ray")
     rays = rays.join(facts.alias("x"), (F.col("head") == F.col("x.id")) & near("x", "y"))
-    return rays.groupBy("ray").agg(F.min("head").alias("head")).select(F.col("head").alias("a"), F.col("ray").alias("b"))
+    return rays.groupBy("ray").agg(F.max("head").alias("head")).select(F.col("head").alias("a"), F.col("ray").alias("b"))
 
 
-def across(members: DataFrame, facts: DataFrame, near: Callable[[str, str], Column]) -> DataFrame:
-    """All pairs (a, b) of ``members(key, id, c)`` that share a key, are in different components and ``near`` (a test inside the join)."""
-    members = written(members.join(facts, "id"), "apart")
-    pairs = members.alias("x").join(members.alias("y"), (F.col("x.key") == F.col("y.key")) & F.expr("x.c < y.c") & near("x", "y"))
+def across(members: DataFrame, facts: DataFrame, near: Callable[[str, str], Column], ratio: float) -> DataFrame:
+    """All pairs (a, b) of ``members(key, id, c, parts)`` that share a key, are in different components and ``near`` (a test inside the join).
+
+    Sizes of linked items differ by the factor ``ratio`` at most, so an item meets those of its own band of sizes and of the two beside it. One side of
+    a large group is dealt to parts, the other is copied to each of them.
+    """
+    band = F.floor(F.ln(F.greatest("size", F.lit(1))) / float(-np.log(ratio))).cast("int")
+    members = written(members.join(facts, "id").withColumn("band", band), "apart")
+    one = members.withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+    other = members.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("band", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)))
+    pairs = one.alias("x").join(other.alias("y"), [F.col(f"x.{k}") == F.col(f"y.{k}") for k in ("key", "part", "band")] + [F.expr("x.c <> y.c"), near("x", "y")])
     return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
-#: Orders in which the star rounds take the centres of the groups.
-ORDERS = (F.col, lambda name: -F.col(name))
+def joined_by(components: DataFrame, links: DataFrame) -> DataFrame:
+    """``components`` after further ``links(a, b)``: these are contracted to components first."""
+    of = {x: components.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab"}
+    ends = links.join(of["a"], "a", "left").join(of["b"], "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    merged = written(connected_components(ends).select(F.col("node").alias("component"), F.col("component").alias("to")), "merged")
+    old = components.join(merged, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    new = merged.join(components, merged["component"] == components["node"], "left_anti").select(F.col("component").alias("node"), F.col("to").alias("component"))
+    return written(old.unionByName(new), "components")
 
 
-def linked(groups: DataFrame, facts: DataFrame, near: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """(components(node, component), links(a, b)) of the items in ``groups(key, id)``; the links span the components.
+def linked(found: DataFrame, facts: DataFrame, near: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], ratio: float) -> DataFrame:
+    """(node, component) of the items that verified links join, from the candidates ``found(key, a, b)``.
 
-    ``near`` builds, from the aliases of two rows of ``facts(id, ...)``, a cheap test that every link passes;
-    ``verify`` keeps the pairs that link. Star rounds join most items with one comparison each; what they leave in different
-    components is compared completely.
+    ``near`` builds, from the aliases of two rows of ``facts(id, size, ...)``, a cheap test that every link passes;
+    ``verify`` keeps the pairs that link; ``ratio`` is the least that the sizes of linked items can have.
     """
-    links = components = None
-    for step in (*ORDERS, None):
-        members = apart(groups, components)
-        pairs = star(members, step("id"), facts, near) if step else across(members, facts, near)
-        more = written(verify(pairs), "links")
-        if components is not None and not more.limit(1).count():
-            continue
-        links = more if links is None else links.unionByName(more)
-        components = written(connected_components(links), "components")
-    return components, links
+    pairs = written(found.where("key is null").select("a", "b").distinct(), "pairs")
+    values = facts.select("id", F.struct(*(c for c in facts.columns if c != "id")).alias("value"))
+    close = written(both_ends(pairs, values).where(near("value_a", "value_b")).select("a", "b"), "close")
+    components = written(connected_components(verify(close)), "components")
+    members = written(found.where("key is not null").select("key", F.col("a").alias("id")).distinct(), "members")
+    for step in ("star", "across") if members.limit(1).count() else ():
+        left = written(apart(members, components), "left")
+        if not left.limit(1).count():
+            break
+        pairs = star(left, facts, near) if step == "star" else across(left, facts, near, ratio)
+        links = written(verify(written(pairs, "pairs")), "links")
+        if links.limit(1).count():
+            components = joined_by(components, links)
+    return components

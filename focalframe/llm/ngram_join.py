@@ -7,9 +7,9 @@ of their sizes. Sizes fall into bands such that linked sets lie in one band or i
 sketch has one block more than the largest difference possible there, so that linked sets agree in at least one whole block
 (pigeonhole). Equal blocks make the candidates; a fixed-size sketch of the whole set sorts out most, the exact sets decide.
 
-Two large sets often agree in blocks that hold nothing. Linked sets with at least ``MANY`` blocks agree in more than a third of
-them on average, whatever their difference; that all of these are empty has a chance below 0.64 ** 64 < 1e-12 over
-the hash function, less than that of a false match of hashes. So empty blocks of such sets give no keys.
+An empty block says nothing, and all documents of a band with the same empty block would be candidates; so empty blocks give no keys.
+Linked sets whose equal blocks are all empty would be lost: bands where the chance of that is above ``MISS`` cut
+their sets several times, by independent hash functions, so that it falls below ``MISS`` over the hash functions, less than that of a false match.
 """
 
 from __future__ import annotations
@@ -23,22 +23,42 @@ from pyspark.sql import functions as F
 
 from . import textkernel as tk
 from .common import BROADCAST_IDS, semi_by_id, short_batches, written
-from .links import PACKED, Packer, both_ends, buckets_for, linked, shared_keys
+from .links import PACKED, Packer, both_ends, buckets_for, candidates, linked
 
 U = np.uint64
 
 
+#: Chance at most that a link is lost because all equal blocks are empty; blocks from which on it is below 1e-12 for one hash function.
+MISS = 1e-6
+MANY = 64
+
+
+def chance_of_empty(blocks: int, common: int) -> float:
+    """The chance that all of the blocks without any of ``blocks - 1`` differing items hold none of ``common`` items either."""
+    free = np.zeros(blocks + 1)
+    free[blocks] = 1.0
+    for _ in range(blocks - 1):
+        u = np.arange(blocks + 1)
+        free = free * (1 - u / blocks) + np.append((free * u / blocks)[1:], 0.0)
+    return float((free * (1 - np.arange(blocks + 1) / blocks) ** common).sum())
+
+
 class Bands:
-    """Bounds of the size bands, and of each band (with its upper neighbour) the number of sketch blocks."""
+    """Bounds of the size bands, and of each band (with its upper neighbour) the number of sketch blocks and of hash functions."""
 
     def __init__(self, percent: int) -> None:
-        self.percent, self.low, self.blocks = percent, [1], []
+        self.percent, self.low, self.blocks, self.cuts = percent, [1], [], []
 
     def upto(self, size: int) -> None:
         while self.low[-1] <= size or len(self.blocks) < len(self.low) - 1:
-            if len(self.low) > len(self.blocks) + 1:
-                a = self.low[len(self.blocks) + 1] - 1
-                self.blocks.append((a + 100 * a // self.percent) * (100 - self.percent) // (100 + self.percent) + 1)
+            band = len(self.blocks)
+            if len(self.low) > band + 1:
+                a = self.low[band + 1] - 1
+                blocks = (a + 100 * a // self.percent) * (100 - self.percent) // (100 + self.percent) + 1
+                common = -(-2 * self.low[band] * self.percent // (100 + self.percent))
+                self.blocks.append(blocks)
+                # One block means equal sets, which are one class already.
+                self.cuts.append(0 if blocks == 1 else 1 if blocks >= MANY else int(np.ceil(np.log(MISS) / np.log(chance_of_empty(blocks, common)))))
             else:
                 self.low.append(100 * self.low[-1] // self.percent + 1)
 
@@ -47,11 +67,34 @@ class Bands:
         return np.searchsorted(np.array(self.low), sizes, "right") - 1
 
 
-#: Bits in a block; only the odd ones are kept, as the XOR of their numbers' hashes. Blocks from which on empty ones give no key.
+#: Bits in a block; only the odd ones are kept, as the XOR of their numbers' hashes.
 WIDE = 1 << 20
-MANY = 64
 #: 64-bit words of the fixed-size parity sketch that sorts out candidates before their sets are compared.
 WIDTH = 8
+#: Bits of the small parity sketch in a mark; the others hold the size, at most ``LARGEST``.
+MARK = 48
+LARGEST = (1 << 16) - 1
+
+
+def marks_of(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Small parity sketch and size of each set in 64 bits."""
+    out = np.zeros(len(offsets) - 1, U)
+    full = np.flatnonzero(np.diff(offsets) > 0)
+    if len(full):
+        out[full] = np.bitwise_xor.reduceat(U(1) << ((sets >> U(8)) % U(MARK)), offsets[full])
+    return (out << U(16) | np.minimum(np.diff(offsets), LARGEST).astype(U))[:, None]
+
+
+def _marks_near(percent: int):
+    """A test on marks that all linked sets pass; sets of ``LARGEST`` items or more pass with any other."""
+
+    def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        a, b = a[:, 0], b[:, 0]
+        x, y = ((m & U(LARGEST)).astype(np.int64) for m in (a, b))
+        fits = (100 * np.minimum(x, y) >= percent * np.maximum(x, y)) & (np.bitwise_count((a ^ b) >> U(16)) <= (x + y) * (100 - percent) // (100 + percent))
+        return (x == LARGEST) | (y == LARGEST) | fits
+
+    return near
 
 
 def fixed_sketches(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -67,37 +110,40 @@ def class_ids(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return tk.sequences(sets, offsets, 43)
 
 
-def _band_blocks(sizes: np.ndarray, bands: Bands) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each set its own band and the one below, each with the number of blocks there (0 where there is no such band)."""
+def _band_blocks(sizes: np.ndarray, bands: Bands) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each set its own band and the one below, each with the numbers of blocks and of hash functions there (0 where there is no such band)."""
     own = bands.of(sizes)
-    blocks = np.array(bands.blocks)
+    blocks, cuts = np.array(bands.blocks), np.array(bands.cuts)
     for band in (own, own - 1):
-        yield band, np.where((sizes > 0) & (band >= 0), blocks[np.maximum(band, 0)], 0)
+        there = (sizes > 0) & (band >= 0)
+        yield band, np.where(there, blocks[np.maximum(band, 0)], 0), np.where(there, cuts[np.maximum(band, 0)], 0)
 
 
 def key_counts(offsets: np.ndarray, bands: Bands) -> np.ndarray:
-    return sum(k for _, k in _band_blocks(np.diff(offsets), bands))
+    """At most how many keys each set has."""
+    sizes = np.diff(offsets)
+    return sum(np.minimum(blocks, sizes) * cuts for _, blocks, cuts in _band_blocks(sizes, bands))
 
 
-def sketch_keys(sets: np.ndarray, offsets: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """The keys of all sets, and the set of each: a hash of (band, block number, block bits) for the band of the set and the one below."""
+def sketch_keys(sets: np.ndarray, offsets: np.ndarray, bands: Bands) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(keys, the set of each): hashes of (band, hash function, block number, block bits) of the blocks that hold items, for the band of the set and the one below."""
     sizes, row = np.diff(offsets), tk.rows_of(offsets)
-    parts, owners = [], []
-    for band, k in _band_blocks(sizes, bands):
-        begin = np.concatenate([[0], np.cumsum(k)])
-        use = k[row] > 0
-        h, r = sets[use], row[use]
-        block = begin[r] + ((h >> U(32)) % k[r].astype(U)).astype(np.int64)
-        sketch = np.zeros(int(begin[-1]), U)
-        np.bitwise_xor.at(sketch, block, tk.mix((h & U(WIDE - 1)) + U(1)))
-        of = np.repeat(np.arange(len(sizes)), k)
-        number = np.arange(begin[-1]) - begin[of]
-        with np.errstate(over="ignore"):
-            name = tk.mix(band[of].astype(U) * U(0x9E3779B97F4A7C15) + number.astype(U) + U(1))
-        full = (np.bincount(block, minlength=len(sketch)) > 0) | (k[of] < MANY)
-        parts.append(tk.mix(sketch ^ name)[full])
-        owners.append(of[full])
-    return np.concatenate(parts), np.concatenate(owners)
+    for band, blocks, cuts in _band_blocks(sizes, bands):
+        for cut in range(int(cuts.max(initial=0))):
+            k = np.where(cuts > cut, blocks, 0)
+            begin = np.concatenate([[0], np.cumsum(k)])
+            use = k[row] > 0
+            h, r = sets[use], row[use]
+            if cut:
+                h = tk.mix(h + U(cut))
+            block = begin[r] + ((h >> U(32)) % k[r].astype(U)).astype(np.int64)
+            sketch = np.zeros(int(begin[-1]), U)
+            np.bitwise_xor.at(sketch, block, tk.mix((h & U(WIDE - 1)) + U(1)))
+            full = np.flatnonzero(np.bincount(block, minlength=len(sketch)) > 0)
+            of = np.repeat(np.arange(len(sizes)), k)[full]
+            with np.errstate(over="ignore"):
+                name = tk.mix((band[of].astype(U) * U(64) + U(cut)) * U(0x9E3779B97F4A7C15) + (full - begin[of]).astype(U) + U(1))
+            yield tk.mix(sketch[full] ^ name), of
 
 
 def _sketched(k: int, percent: int):
@@ -125,8 +171,9 @@ def _keyed(k: int, percent: int, buckets: int):
             data, at = tk.bytes_of(batch.column(0))
             for lo, hi in tk.chunks(at):
                 sets, offsets = tk.shingle_sets(*tk.words(data, at[lo : hi + 1], tk.SPACED), k)
-                keys, owner = sketch_keys(sets, offsets, bands)
-                yield from packer.add(keys, class_ids(sets, offsets).view(np.int64)[owner])
+                ids, marks = class_ids(sets, offsets).view(np.int64), marks_of(sets, offsets)
+                for keys, owner in sketch_keys(sets, offsets, bands):
+                    yield from packer.add(keys, ids[owner], marks[owner])
         yield from packer.flush()
 
     return run
@@ -158,25 +205,25 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     sketched = written(source.mapInArrow(_sketched(k, percent), "doc_id long, n_shingles long, class_id long, n_keys long, " + ", ".join(f"s{i} long" for i in range(WIDTH))), "sketches")
     full = sketched.where("n_shingles > 0")
     buckets = buckets_for(docs.sparkSession, sketched.agg(F.sum("n_keys")).first()[0] or 0)
-    groups = written(shared_keys(source.select("text").mapInArrow(_keyed(k, percent, buckets), PACKED)), "groups")
-    wanted = groups.select(F.col("id").alias("class_id")).distinct()
-    reps = written(semi_by_id(full.select("class_id", "doc_id"), wanted, "class_id").where("doc_id is not null").groupBy("class_id").agg(F.min("doc_id").alias("doc_id")), "reps")
-    chosen = semi_by_id(source, reps.select("doc_id").distinct(), "doc_id").unionByName(source.where("doc_id is null"))
-    sets = chosen.mapInArrow(_sets(k), "class_id long, set array<long>")
-    sets = written(semi_by_id(sets, wanted, "class_id"), "sets")
+    found = written(candidates(source.select("text").mapInArrow(_keyed(k, percent, buckets), PACKED), buckets, _marks_near(percent)), "found")
+    wanted = written(found.select(F.explode(F.array("a", "b")).alias("class_id")).where("class_id is not null").distinct(), "wanted")
+    sketch = [f"s{i}" for i in range(WIDTH)]
+    facts = full.select(F.col("class_id").alias("id"), "doc_id", F.col("n_shingles").alias("size"), *sketch)
+    facts = semi_by_id(facts, wanted.withColumnRenamed("class_id", "id"), "id").groupBy("id")
+    facts = written(facts.agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("size", *sketch))), "facts")
+    chosen = semi_by_id(source, facts.select("doc_id").distinct(), "doc_id").unionByName(source.where("doc_id is null"))
+    sets = written(semi_by_id(chosen.mapInArrow(_sets(k), "class_id long, set array<long>"), wanted, "class_id"), "sets")
+
+    def near(x: str, y: str) -> Column:
+        apart = " + ".join(f"bit_count({x}.s{i} ^ {y}.s{i})" for i in range(WIDTH))
+        return F.expr(f"{apart} <= ({x}.size + {y}.size) * {100 - percent} div {100 + percent}")
 
     def verify(pairs: DataFrame) -> DataFrame:
         both = F.size(F.array_intersect("value_a", "value_b"))
         fits = 100 * both >= percent * (F.size("value_a") + F.size("value_b") - both)
-        return both_ends(pairs, sets.select(F.col("class_id").alias("id"), F.col("set").alias("value"))).where(fits).select("a", "b").distinct()
-
-    def near(x: str, y: str) -> Column:
-        apart = " + ".join(f"bit_count({x}.s{i} ^ {y}.s{i})" for i in range(WIDTH))
-        return F.expr(f"{apart} <= ({x}.n_shingles + {y}.n_shingles) * {100 - percent} div {100 + percent}")
+        return both_ends(pairs, sets.select(F.col("class_id").alias("id"), F.col("set").alias("value"))).where(fits).select("a", "b")
 
-    facts = full.select(F.col("class_id").alias("id"), "n_shingles", *(f"s{i}" for i in range(WIDTH)))
-    facts = written(semi_by_id(facts, groups.select("id").distinct(), "id").dropDuplicates(["id"]), "facts")
-    components, _ = linked(groups, facts, near, verify)
+    components = linked(found, facts.drop("doc_id"), near, verify, percent / 100)
     classes = components.select(F.col("node").alias("class_id"), "component")
     named = sketched.select("doc_id", "n_shingles", "class_id").join(F.broadcast(classes) if classes.count() <= BROADCAST_IDS else classes, "class_id", "left")
     named = named.withColumn("component", F.when(F.col("n_shingles") > 0, F.coalesce("component", "class_id")))

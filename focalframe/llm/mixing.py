@@ -81,30 +81,53 @@ def shard_counts(slots: DataFrame) -> DataFrame:
     return slots.groupBy("shard", "sid").agg(F.count("*").alias("n"))
 
 
-def _placed(docs: DataFrame, weights: tuple[float, ...], most: float, block: int, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame]:
-    """Documents with their place in the stream of their source (sid, part, tie, start), and the sources."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"), F.expr(f"coalesce(regexp_count(cast({text_col} AS string), {WORDS}), 0)").cast("long").alias("size"))
-    sources = written(source_targets(texts.select("source", "size"), weights, most, block), "sources")
+def _placed(docs: DataFrame, weights: tuple[float, ...], most: float, block: int, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(texts, placed, sources): the texts with their source's sid; the documents, without texts, with their place in the stream of
+    their source (sid, part, tie, start); the sources. Rows of one id and source are told apart by ``copy``, in the order of their sizes."""
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
+    sized = written(texts.select("doc_id", "source", F.expr(f"coalesce(regexp_count(text, {WORDS}), 0)").cast("long").alias("size")), "sized")
+    sources = written(source_targets(sized.select("source", "size"), weights, most, block), "sources")
     few = sources.count() <= BROADCAST_IDS // 16
     known = F.broadcast(sources) if few else sources
-    placed = texts.alias("d").join(known.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")), "left").select("d.*", "s.sid", "s.source_size", "s.target").withColumn("part", F.expr(f"coalesce(pmod(doc_id, {PARTS}), 0)"))
+    placed = sized.alias("d").join(known.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")), "left").select("d.*", "s.sid", "s.source_size", "s.target").withColumn("part", F.expr(f"coalesce(pmod(doc_id, {PARTS}), 0)"))
     inside = Window.partitionBy("sid", "part").orderBy("doc_id", "size")
     ahead = F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = written(placed.withColumns({"ahead": ahead, "tie": F.row_number().over(inside)}), "placed")
+    placed = placed.withColumns({"ahead": ahead, "tie": F.row_number().over(inside)})
+    placed = written(placed.withColumn("copy", F.row_number().over(Window.partitionBy("sid", "part", "doc_id").orderBy("tie"))), "placed")
     parts = placed.groupBy("sid", "part").agg(F.sum("size").alias("words"))
     base = F.coalesce(F.sum("words").over(Window.partitionBy("sid").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = parts.select("sid", "part", base.alias("base"))
     few = parts.count() <= BROADCAST_IDS // 2
-    return placed.join(F.broadcast(parts) if few else parts, ["sid", "part"]).withColumn("start", F.col("base") + F.col("ahead")).drop("base", "ahead"), sources
-
-
-def _mixed(placed: DataFrame, sources: DataFrame, block: int) -> DataFrame:
+    placed = placed.join(F.broadcast(parts) if few else parts, ["sid", "part"]).withColumn("start", F.col("base") + F.col("ahead")).drop("base", "ahead")
+    texts = texts.alias("t").join(known.alias("s"), F.col("t.source").eqNullSafe(F.col("s.source"))).select("t.doc_id", "t.text", "s.sid")
+    return texts, placed, sources
+
+
+def _located(texts: DataFrame, placed: DataFrame) -> DataFrame:
+    """Texts with their place; only the texts of repeated ids are ordered, to be told apart."""
+    again = written(placed.where("copy > 1").select("doc_id", "sid").distinct(), "again")
+    same = F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & (F.col("x.sid") == F.col("y.sid"))
+    n = again.count()
+    if n:
+        side = (F.broadcast(again) if n <= BROADCAST_IDS else again).alias("y")
+        order = Window.partitionBy("doc_id", "sid").orderBy(F.expr(f"coalesce(regexp_count(text, {WORDS}), 0)"), "text")
+        repeated = texts.alias("x").join(side, same, "left_semi").withColumn("copy", F.row_number().over(order))
+        texts = texts.alias("x").join(side, same, "left_anti").withColumn("copy", F.lit(1)).unionByName(repeated)
+    else:
+        texts = texts.withColumn("copy", F.lit(1))
+    spots = placed.where("size > 0").select("doc_id", "sid", "copy", "size", "part", "tie", "start")
+    few = placed.count() <= BROADCAST_IDS
+    spots = (F.broadcast(spots) if few else spots).alias("y")
+    return texts.alias("x").join(spots, same & (F.col("x.copy") == F.col("y.copy"))).select("x.sid", "text", "size", "part", "tie", "start")
+
+
+def _mixed(texts: DataFrame, placed: DataFrame, sources: DataFrame, block: int) -> DataFrame:
     """(shard, place, source, sid, block, text, pieces): the mix; pieces(part, tie, n) say whose words a block holds."""
     first, last = f"greatest(start, b * {block})", f"least(start + size, (b + 1) * {block})"
     # The lambda over an array of one keeps a text's words from being parted again for every block.
     piece = f"b -> struct(b AS block, {first} AS at, {last} - {first} AS n, array_join(slice(w, cast({first} - start + 1 AS int), cast({last} - {first} AS int)), ' ') AS words)"
     pieces = f"transform(array(regexp_extract_all(text, {WORDS}, 0)), w -> transform(sequence(start div {block}, (start + size - 1) div {block}), {piece}))[0]"
-    spans = placed.where("size > 0").select("sid", "part", "tie", F.explode(F.expr(pieces)).alias("p")).select("sid", "p.block", "p.at", "part", "tie", "p.n", "p.words")
+    spans = _located(texts, placed).select("sid", "part", "tie", F.explode(F.expr(pieces)).alias("p")).select("sid", "p.block", "p.at", "part", "tie", "p.n", "p.words")
     blocks = spans.groupBy("sid", "block").agg(F.sort_array(F.collect_list(F.struct("at", "part", "tie", "n", "words"))).alias("p"))
     text, pieces = F.expr("array_join(transform(p, x -> x.words), ' ')"), F.expr("transform(p, x -> struct(x.part, x.tie, x.n))")
     blocks = blocks.select("sid", "block", text.alias("text"), pieces.alias("pieces"))
@@ -126,7 +149,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: f
     rows are documents like others. A source without words has target 0. No documents give no rows. Other columns are
     ignored.
     """
-    placed, sources = _placed(docs, weights, most, block, id_col, text_col, source_col)
-    mix = written(_mixed(placed, sources, block), "mix")
+    texts, placed, sources = _placed(docs, weights, most, block, id_col, text_col, source_col)
+    mix = written(_mixed(texts, placed, sources, block), "mix")
     taken = mix.select("sid", F.explode("pieces").alias("p")).groupBy("sid", "p.part", "p.tie").agg(F.sum("p.n").alias("taken"))
     return placed.join(taken, ["sid", "part", "tie"], "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

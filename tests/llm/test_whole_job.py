@@ -1,12 +1,13 @@
 """Operators against brute force that knows nothing of how they find their candidates."""
 
+import collections
 import itertools
 import random
 
 import pyarrow as pa
 from test_edges import edited, levenshtein, norm, sentence
 
-from focalframe.llm import langid, line_dedup, mixing, textkernel, url_filter
+from focalframe.llm import decontam, langid, line_dedup, mixing, textkernel, url_filter
 
 
 def groups_by_edit_distance(lines):
@@ -93,3 +94,44 @@ def test_bad_sections_of_a_broad_host_are_judged_apart(spark):
 def test_every_language_is_learned(spark):
     rows = [(f"{n}.{i}", f"x{n}y z{n}w " * 5, f"l{n:03}") for n in range(270) for i in range(2)]
     assert langid.fit(spark.createDataFrame(rows, "key string, text string, lang string")).names == [f"l{n:03}" for n in range(270)]
+
+
+def windows_by_brute_force(texts, items, k=5, similarity=0.8):
+    """Every (document, item) with a window, laid at any word, of weighted Jaccard similarity ``similarity``, and its best one."""
+    found = {}
+    for i, text in enumerate(texts):
+        for j, item in enumerate(items):
+            a, b = text.lower().split(), item.lower().split()
+            if not a or not b:
+                continue
+            n = min(k, len(b))
+            bag = lambda w: collections.Counter(tuple(w[p : p + n]) for p in range(len(w) - n + 1))
+            want, best = bag(b), (0, 0)
+            for p in range(max(1, len(a) - len(b) + 1)):
+                have = bag(a[p : p + len(b)])
+                both = sum((have & want).values())
+                best = max(best, (both / max(sum(have.values()) + sum(want.values()) - both, 1), -p))
+            if best[0] >= similarity:
+                found[i, j] = (round(best[0], 9), -best[1])
+    return found
+
+
+def test_decontamination_against_all_windows(spark):
+    rnd = random.Random(5)
+    items = [sentence(rnd, n) for n in (2, 4, 6, 20, 20, 50, 100, 100)] + ["same " * 30]
+    texts = []
+    for item in items:
+        w, noise = item.split(), lambda: sentence(rnd, 40).split()
+        half = len(w) // 2
+        texts += [noise() + w + noise(), noise() + w[half:] + w[:half] + noise(), w[: -max(1, len(w) // 10)], noise() + w[: half] + ["x"] + w[half:] + noise(), noise() + w[3:] + noise() + w]
+        for share in (25, 12, 6):
+            near = list(w)
+            near[share // 2 :: share] = ["other"] * len(near[share // 2 :: share])
+            texts.append(noise() + near + noise())
+    texts = [" ".join(t) for t in texts] + ["same " * 300, "", sentence(rnd, 3000) + " " + items[6] + " " + sentence(rnd, 3000)]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (round(r["similarity"], 9), r["start_word"]) for r in decontam.contaminated(docs, spark.createDataFrame([*enumerate(items)], "item_id long, text string")).collect()}
+    want = windows_by_brute_force(texts, items)
+    assert set(got) <= set(want) and len(got) >= 0.97 * len(want) and len(want) >= 40
+    assert sum(got[x] == want[x] for x in got) >= 0.97 * len(got)
+    assert (8 * 6 + 1, 6) in got and got[8 * 6 + 1, 6][0] > 0.9

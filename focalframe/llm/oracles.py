@@ -111,12 +111,13 @@ WITH p AS (
       'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[CAST((CAST('0x' || substr(hex, CAST(1 + 10 * c AS INTEGER), 10) AS BIGINT) >> CAST(35 - 5 * k AS INTEGER)) & 31 AS INTEGER) + 1]), lambda x, y: x || y)), lambda x, y: x || y) AS payload_digest
   FROM p
 ), m AS (SELECT payload_digest, max(page_id) AS keep FROM d GROUP BY 1)
+SELECT *, row_number() OVER (ORDER BY url_key, captured, page_id) - 1 AS position FROM (
 SELECT d.page_id, payload_bytes, d.payload_digest, CASE WHEN d.page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN d.page_id = keep THEN NULL ELSE keep END AS refers_to,
   array_to_string(list_reverse(string_split(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)), '.')), ',') || ')'
     || lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)', 1)) AS url_key,
   strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(d.page_id), '%Y-%m-%dT%H:%M:%SZ') AS captured
-FROM d JOIN m USING (payload_digest)
+FROM d JOIN m USING (payload_digest))
 """
 
 OP5 = r"""

@@ -28,10 +28,8 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    captures, index = archive(table(spark, sf_dir, "pages"))
-    captures = captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "file", "offset")
-    history = index.select("file", "offset", "url_key", F.col("date").alias("captured"))
-    return captures.join(history, ["file", "offset"]).drop("file", "offset")
+    _, index = archive(table(spark, sf_dir, "pages"))
+    return index.select(F.col("page").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", F.col("date").alias("captured"), "position")
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,9 @@ that ends a record as line separator, gzipped, in any file system and under its
 Reading: the files' parts between blank lines come back in order; a parser per file joins them again and cuts records by
 Content-Length alone, so payloads may contain anything. Digests are computed anew and compared.
 
-Index: each reading task writes its captures as a run sorted by (URL key, time, id). Ranges of that order, with bounds
-taken from all runs, are then merged by k-way loser trees, one task a range, into one globally ordered index.
+Index: each reading task writes its captures as a run sorted by (URL key, time, id, file, offset). Ranges of that order, with bounds
+taken from all runs, are then merged by k-way loser trees, one task a range, into one globally ordered index, which
+holds all of a capture but its payload.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_IDS, scratch_path, written
@@ -176,6 +177,26 @@ class LoserTree:
             self._play(winner)
 
 
+ORDER = ("url_key", "date", "page", "file", "offset")
+
+
+def ascending(table: pa.Table) -> list[tuple[int, int]]:
+    """The spans of a run's rows that are in order: one, unless the shuffle brought parts of the run out of turn."""
+    keys = list(zip(*(table[c].to_pylist() if c != "page" else [-1 << 63 if x is None else x for x in table[c].to_pylist()] for c in ORDER)))
+    cuts = [0, *(i for i in range(1, len(keys)) if keys[i] < keys[i - 1]), len(keys)]
+    return [(a, b) for a, b in zip(cuts, cuts[1:]) if b > a]
+
+
+def _items(table: pa.Table, start: int, end: int, base: int) -> Iterator[tuple]:
+    """(keys of the order, row number) one after another, converted a thousand rows at a time."""
+    for at in range(start, end, 1000):
+        part = table.slice(at, min(1000, end - at))
+        columns = [part[c].to_pylist() for c in ORDER]
+        columns[2] = [-1 << 63 if x is None else x for x in columns[2]]
+        for k, row in enumerate(zip(*columns)):
+            yield (*row, base + at + k)
+
+
 def _merged(schema: pa.Schema):
     """Each task's rows: slices of runs, each in order; the merged rows and their place in the range."""
 
@@ -188,8 +209,7 @@ def _merged(schema: pa.Schema):
         tables = [pa.Table.from_batches(slices[r]) for r in sorted(slices)]
         runs, total = [], 0
         for t in tables:
-            keys = zip(t["url_key"].to_pylist(), t["date"].to_pylist(), (-1 << 63 if x is None else x for x in t["page"].to_pylist()), range(total, total + t.num_rows))
-            runs.append(iter(sorted(keys)))  # in order already, unless the shuffle took parts of a run out of turn
+            runs += [_items(t, a, b, total) for a, b in ascending(t)]
             total += t.num_rows
         if not total:
             return
@@ -202,32 +222,37 @@ def _merged(schema: pa.Schema):
 
 
 def merge_index(runs: DataFrame) -> DataFrame:
-    """(range, place, url_key, date, page, ...): the captures of ``runs(run, url_key, date, page, file, offset)`` in global order.
+    """(range, place, position, url_key, date, page, file, offset, ...): the captures of ``runs(run, ...)`` in global order; ``position`` numbers them from 0.
 
-    Each run is in order by (url_key, date, page). Rows go to ranges of that triple, so a hot key spreads over many ranges;
-    a task holds one range of about ``RANGE_ROWS`` rows. Sorted by (range, place) the captures are in global order.
+    Each run is in order by ``ORDER``. Rows go to ranges of that order, so a hot key spreads over many ranges;
+    a task holds one range of about ``RANGE_ROWS`` rows. Merged ranges are written once, then numbered through.
     """
     ranges = max(1, int(runs.count() // RANGE_ROWS) + 1, runs.sparkSession.sparkContext.defaultParallelism)
-    dealt = runs.withColumn("run", F.xxhash64("run", F.spark_partition_id())).repartitionByRange(ranges, "url_key", "date", "page")
-    schema = pa.schema([("url_key", pa.string()), ("date", pa.string()), ("page", pa.int64()), ("file", pa.string()), ("offset", pa.int64()), ("place", pa.int64())])
-    merged = dealt.select("run", "url_key", "date", "page", "file", "offset").mapInArrow(_merged(schema), "url_key string, date string, page long, file string, offset long, place long")
-    return merged.withColumn("range", F.spark_partition_id())
+    dealt = runs.withColumn("run", F.xxhash64("run", F.spark_partition_id())).repartitionByRange(ranges, *ORDER)
+    schema = runs.drop("run").withColumn("place", F.lit(0).cast("long")).schema
+    arrow = pa.schema([(f.name, {"long": pa.int64(), "string": pa.string()}[f.dataType.typeName()]) for f in schema])
+    merged = written(dealt.mapInArrow(_merged(arrow), schema).withColumn("range", F.spark_partition_id()), "merged")
+    sizes = merged.groupBy("range").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = sizes.select("range", before.alias("base"))
+    return merged.join(F.broadcast(bases), "range").withColumn("position", F.col("base") + F.col("place")).drop("base")
 
 
 def archive(pages: DataFrame, path: str | None = None, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> tuple[DataFrame, DataFrame]:
     """Writes archives of ``pages``, reads them back; (captures, index).
 
-    Captures: page_id, payload_bytes, payload_digest, record_type, refers_to, url, date, file, offset, html (of responses). A
+    Captures: page_id, payload_bytes, payload_digest, record_type, refers_to, url, date, file, offset, html (of responses). The index has
+    the same rows without url and html, with url_key, in the global order of ``ORDER``, numbered by ``position``. A
     null html is an empty payload, a null url an empty one. Payloads of fewer than ``least_bytes`` bytes never refer. A null
-    page_id is written and read back as null and never referred to unless no other row has its payload. Rows with equal ids and
-    payloads are one capture each; none refers to the other. Line breaks in urls are taken out. No pages give no records.
+    page_id is written and read back as null, comes first among equal keys, and is never referred to unless no other row has its payload. Rows with equal ids and
+    payloads are one capture each; none refers to the other. Payloads of any length are whole. Line breaks in urls are taken out. No pages give no records.
     """
     spark = pages.sparkSession
     path = path or scratch_path(spark, "warc")
     plain = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     write_archives(plain, path, least_bytes=least_bytes)
     number = "cast(nullif(regexp_extract({}, '<urn:capture:(-?[0-9]*)>', 1), '') AS bigint)"
-    back = read_archives(spark, path).select(
+    captures = read_archives(spark, path).select(
         F.expr(number.format("record_id")).alias("page_id"),
         F.col("length").alias("payload_bytes"),
         F.col("digest").alias("payload_digest"),
@@ -239,6 +264,5 @@ def archive(pages: DataFrame, path: str | None = None, least_bytes: int = 0, id_
         "offset",
         "html",
     )
-    runs = back.select(F.spark_partition_id().cast("long").alias("run"), url_key().alias("url_key"), "date", F.col("page_id").alias("page"), "file", "offset")
-    runs = written(runs.sortWithinPartitions("url_key", "date", "page"), "runs")
-    return back, merge_index(runs)
+    runs = captures.select(F.spark_partition_id().cast("long").alias("run"), url_key().alias("url_key"), "date", F.col("page_id").alias("page"), "file", "offset", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return captures, merge_index(written(runs.sortWithinPartitions(*ORDER), "runs"))

@@ -287,14 +287,28 @@ def test_warc_round_trip(spark):
         first = keep[h or ""]
         assert (r["record_type"], r["refers_to"]) == (("response", None) if i == first else ("revisit", first))
         assert r["html"] == (None if r["record_type"] == "revisit" else h or "")
-    order = [(r["url_key"], r["date"]) for r in index.orderBy("range", "place").collect()]
-    assert order == sorted(order) and len(order) == len(rows)
+    placed = index.orderBy("position").collect()
+    order = [(r["url_key"], r["date"]) for r in placed]
+    assert order == sorted(order) and len(order) == len(rows) and [r["position"] for r in placed] == list(range(len(rows)))
+    assert sorted((r["page_id"] or -1, r["record_type"], r["offset"]) for r in captures.collect()) == sorted((r["page"] or -1, r["record_type"], r["offset"]) for r in placed)
     least = {r["page_id"]: r["record_type"] for r in warc.archive(pages, least_bytes=6)[0].collect()}
     assert least[0] == "response" and least[3] == "response"
     empty, none = warc.archive(pages.where("false"))
     assert empty.count() == 0 and none.count() == 0
 
 
+def test_runs_in_pieces_are_merged_in_order(spark):
+    import pyarrow as pa
+
+    rnd = random.Random(3)
+    rows = [(rnd.randrange(3), f"k{rnd.randrange(9)}", "d", rnd.choice([None, *range(5)]), "f", i) for i in range(200)]
+    kept = pa.schema([("url_key", pa.string()), ("date", pa.string()), ("page", pa.int64()), ("file", pa.string()), ("offset", pa.int64())])
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k + 1] for r in rows], f.type) for k, f in enumerate(kept))], names=["run", *kept.names])
+    out = pa.Table.from_batches(list(warc._merged(kept.append(pa.field("place", pa.int64())))(iter([batch.slice(0, 90), batch.slice(90)])))).to_pylist()
+    key = lambda r: (r["url_key"], r["date"], -1 if r["page"] is None else r["page"], r["offset"])
+    assert [key(r) for r in out] == sorted(map(key, out)) and [r["place"] for r in out] == list(range(200))
+
+
 def test_loser_tree():
     rnd = random.Random(1)
     for k in (0, 1, 2, 3, 7):
@@ -311,6 +325,35 @@ def test_wrappers_without_article(spark):
     assert got == {i: f"Title {i}\nBody one of {i} & more text\nSecond part {i}" for i in range(12)}
 
 
+PLAIN = "<html><body><div><ul><li>Home of all<li>About us here<li>Shop for things</ul></div><div><h1>Title {i}</h1><p>Body {i} says {j} and more words of its own than any other part, so that it weighs most of all here, which a page's text does nearly everywhere; it goes on for one more clause.<p>Join our list and never miss a thing<p>Second part {j}</div><div><p>Reader {j} wrote this</p></div><div>All rights reserved by the site</div></body></html>"
+
+
+def test_the_wrapper_decides_where_tags_and_classes_say_nothing(spark):
+    import hashlib
+
+    pages = [(i, f"http://h/{i}", PLAIN.format(i=i, j=hashlib.md5(str(i).encode()).hexdigest())) for i in range(30)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for i, _, html in pages:
+        j = hashlib.md5(str(i).encode()).hexdigest()
+        assert got[i] == f"Title {i}\nBody {i} says {j} and more words of its own than any other part, so that it weighs most of all here, which a page's text does nearly everywhere; it goes on for one more clause.\nSecond part {j}"
+        alone = html_extract.main_text(html_extract.parse(html), {})
+        assert alone != got[i] and "Join our list" in alone
+
+
+def test_one_pivot_a_host_whatever_the_partitions(spark):
+    pages = [(i, f"http://h{i % 3}/{i}", PLAIN.format(i=i, j=i * i) if i % 4 else PAGE.format(i=i)) for i in range(60)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = [sorted(map(tuple, html_extract.extract_main_text(df.repartition(n)).collect())) for n in (1, 7)]
+    assert got[0] == got[1]
+
+
+def test_a_teaser_in_an_article_is_not_the_text(spark):
+    page = "<html><body><div><h2>Head {0}</h2><p>" + "word{0} " * 60 + "</p></div><article><p>short teaser {0}</p></article></body></html>"
+    pages = spark.createDataFrame([(i, f"http://h/{i}", page.format(i)) for i in range(6)] + [(9, "http://other/", page.format(9))], "page_id long, url string, html string")
+    for r in html_extract.extract_main_text(pages).collect():
+        assert r["text"].startswith(f"Head {r['page_id']}\nword") and "teaser" not in r["text"]
+
+
 def test_html_edges(spark):
     rows = [(1, None, None), (2, "http://a/x", ""), (None, "u", "plain &lt;b&gt; text"), (4, "http://a/x", "<article><p>a&nbsp; b<p>c<aside>no</aside></article>tail"), (5, "http://a/y", "<div>" * 3000 + "deep" + "</div>" * 3000), (4, "http://a/x", "<article><p>a&nbsp; b<p>c<aside>no</aside></article>tail")]
     got = html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()

@@ -12,11 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import BROADCAST_IDS
 
 U = np.uint64
 #: Labelled texts of each grade that the model is fitted on (about), words in the vocabulary, texts that must hold a word.
@@ -130,22 +130,29 @@ class Ordinal:
         return 1 / (1 + np.exp(-np.clip(score[:, None] - self.thresholds, -30, 30)))
 
 
-def fit(labelled: DataFrame, top: int, sample: int = SAMPLE) -> Ordinal | None:
-    """A model from ``labelled(key, text, grade)`` with grades 0 to ``top``; None unless two grades occur.
-
-    About ``sample`` texts of each grade are taken by a hash of their key (all clean ones count the more the fewer are toxic).
-    """
-    counts = {r["grade"]: r["n"] for r in labelled.groupBy("grade").agg(F.count("*").alias("n")).collect()}
-    if len(counts) < 2:
-        return None
-    chance = F.pmod(F.xxhash64("key"), F.lit(1_000_003)) / 1_000_003.0
+def sampled(marks: DataFrame, top: int, sample: int) -> DataFrame:
+    """About ``sample`` of ``marks(doc_id, grade)`` of each grade, three times as many of grade 0, by a hash of their id; the bound is hard at twice that."""
+    counts = {r["grade"]: r["n"] for r in marks.groupBy("grade").agg(F.count("*").alias("n")).collect()}
+    chance = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003.0
     rate = F.lit(0.0)
     for grade, n in counts.items():
         rate = F.when(F.col("grade") == grade, min(1.0, sample * (3 if grade == 0 else 1) / n)).otherwise(rate)
-    chosen = labelled.where(chance < rate).orderBy(F.xxhash64("key"), "text").limit(6 * sample * (top + 1))
-    rows = chosen.select("grade", "text").mapInArrow(_words_of, "grade int, words array<long>, counts array<long>, n long").toArrow()
+    return marks.where(chance < rate).orderBy(F.xxhash64("doc_id"), "grade").limit(6 * sample * (top + 1))
+
+
+def fit(labelled: DataFrame, top: int) -> Ordinal | None:
+    """A model from a bounded sample ``labelled(text, grade)`` with grades 0 to ``top``; None unless two grades occur. Only features reach the driver."""
+    rows = labelled.select("grade", "text").mapInArrow(_words_of, "grade int, words array<long>, counts array<long>, n long").toArrow()
+    grades = rows.column("grade").to_numpy()
+    if len(set(grades.tolist())) < 2:
+        return None
     words, counts = (rows.column(name).combine_chunks() for name in ("words", "counts"))
-    return Ordinal(words.values.to_numpy().view(U), counts.values.to_numpy(), words.offsets.to_numpy(), rows.column("n").to_numpy(), rows.column("grade").to_numpy(), top)
+    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy())])
+    # The same rows in any order give the same model.
+    order = np.lexsort((tk.sequences(words.flatten().to_numpy().view(U), ends), grades))
+    words, counts = (c.take(pa.array(order)) for c in (words, counts))
+    ends = np.concatenate([[0], np.cumsum(np.diff(ends)[order])])
+    return Ordinal(words.flatten().to_numpy().view(U), counts.flatten().to_numpy(), ends, rows.column("n").to_numpy()[order], grades[order], top)
 
 
 def _scored(model: Ordinal):
@@ -169,20 +176,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, grade: Column | None = No
 
     Labels without an id or grade are ignored; a document with several labels counts once for each. Null and empty texts
     have no features and get the severity of a text without any telling word. Null ids are scored like others but never
-    learned from. Without labels of two grades nothing can be learned: severity and grade are null and toxic is null. Other
+    learned from. Texts of any length are read whole; a text on a threshold has passed it; repeated rows get equal results. Without labels of two grades nothing can be learned: severity and grade are null and toxic is null. Other
     columns are ignored; empty tables give no rows.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     marks = labels.select(F.col(label_id).cast("long").alias("doc_id"), (grade if grade is not None else grade_of()).alias("grade")).where("doc_id is not null and grade is not null")
-    counts = {r["grade"]: r["n"] for r in marks.groupBy("grade").agg(F.count("*").alias("n")).collect()}
-    chance = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003.0
-    rate = F.lit(0.0)
-    for g, n in counts.items():
-        rate = F.when(F.col("grade") == g, min(1.0, sample * (3 if g == 0 else 1) / n)).otherwise(rate)
-    marks = marks.where(chance < rate)
-    few = marks.count() <= BROADCAST_IDS // 4
-    labelled = source.join(F.broadcast(marks) if few else marks, "doc_id").select(F.col("doc_id").alias("key"), F.coalesce("text", F.lit("")).alias("text"), "grade")
-    model = fit(labelled, top, sample)
+    chosen = sampled(marks, top, sample)
+    labelled = source.join(F.broadcast(chosen), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "grade")
+    model = fit(labelled, top)
     if model is None:
         return source.select("doc_id", F.lit(None).cast("double").alias("severity"), F.lit(None).cast("int").alias("grade"), F.lit(None).cast("boolean").alias("toxic"))
     out = source.mapInArrow(_scored(model), "doc_id long, severity double, grade int")

@@ -20,7 +20,7 @@ from .common import written
 
 #: Vectors in a shard, queries in a block, vectors in a leaf.
 SHARD = 8192
-QUERIES = 2048
+QUERIES = 32768
 LEAF = 256
 
 

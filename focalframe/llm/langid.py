@@ -22,7 +22,7 @@ U = np.uint64
 #: of each, but ``LEAST``.
 BUCKETS = 1 << 13
 SAMPLE = 300
-MANY = 256
+MANY = 16
 LEAST = 30
 #: Rows in a block of features, training steps, penalty, and the score under which a decision counts as ambiguous.
 ROWS = 128
@@ -174,7 +174,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     Learns from rows with a label and a letter whose crc32 of the id (as text) modulo 4 is not 2. ``lang_pred`` is ``und``
     with score 0, and ambiguous, where the text is null or has no letter, and everywhere when there is nothing to learn
-    from. A null id is never learned from and not held out. Repeated rows get equal results. Empty tables stay empty.
+    from. A null id is never learned from and not held out. Repeated rows get equal results; of languages with equal loss the first by name
+    wins. Texts of any length are read whole. Empty tables stay empty.
     """
     held = F.crc32(F.col(id_col).cast("string")) % 4 == 2
     learned = docs.where(~held & F.col(lang_col).isNotNull() & has_letter(text_col))

@@ -298,7 +298,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 5, similarity: float = 0.8, id
     lines without a word stay. ``n_chars``, if there is such a column,
     is brought up to date. A null text stays null with no lines; an empty text is one line and stays. Rows
     with a null id are returned as they are. Rows that share an id are one document: their equal line numbers count as
-    one occurrence. Every other column is returned as it came.
+    one occurrence. Lines and texts of any length are read whole. Every other column is returned as it came.
     """
     short_batches(docs.sparkSession)
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")

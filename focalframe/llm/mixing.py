@@ -146,7 +146,8 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: f
 
     The mix is made in the shared folder. ``taken`` counts the words of the document that it holds, repeats included; it is at most ``most`` times the size.
     Null and blank texts have size 0 and nothing is taken. A null source is a source of its own, ranked last. Null ids and repeated
-    rows are documents like others. A source without words has target 0. No documents give no rows. Other columns are
+    rows are documents like others; rows of one id and size take each other's place freely. Texts of any length are read whole. A source without words has target 0; sources that are full
+    at the same level go in the order of their names. No documents give no rows. Other columns are
     ignored.
     """
     texts, placed, sources = _placed(docs, weights, most, block, id_col, text_col, source_col)

@@ -80,7 +80,7 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: tuple[tuple[str, str,
     ``labels(page_id, bad)`` marks some pages 1 (bad) or 0; other values, nulls and null ids say nothing, and of several labels
     of a page the worst counts. A null url, or one without ``://``, has an empty host and path and belongs to the
     template of the empty host. Hosts without labels are judged by the overall purity; without any label all is pure. Rows
-    with a null or repeated id are judged like others. Other columns are ignored; no pages give no rows.
+    with a null or repeated id are judged like others. Of rules of equal length the later one counts; urls of any length are read whole. Other columns are ignored; no pages give no rows.
     """
     host, path = split_url("url")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"))

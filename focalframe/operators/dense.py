@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -193,7 +193,7 @@ def _collapsed(band: int):
         stack, number = (k.as_py() for k in key)
         image = first = height = None
         for k in range(table["top"][0].as_py(), -1, -1):
-            level = table.filter(pa.compute.equal(table["level"], k)).sort_by("y")
+            level = table.filter(pc.equal(table["level"], k)).sort_by("y")
             rows, block, size = level["y"].to_numpy(), _dense(level, "value"), level["height"][0].as_py()
             image = block if image is None else stretched(image, first, height, rows, size, block.shape[1]) + block
             first, height = rows[0], size
@@ -406,7 +406,7 @@ def neighbour_shifts(frames: DataFrame) -> DataFrame:
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         link = key[0].as_py()
-        pair = [table.filter(pa.compute.equal(table["frame"], f)).sort_by("y") for f in (link, link + 1)]
+        pair = [table.filter(pc.equal(table["frame"], f)).sort_by("y") for f in (link, link + 1)]
         made = []
         if all(t.num_rows for t in pair):
             a, b = (_dense(t).astype(float) for t in pair)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import dense, registry
+from ..operators import dense, register, registry
 from ..raster import embedding_frames
 from .raster_queries import GAUSS, RASTER
 from .registry import query
@@ -89,6 +89,13 @@ def phase_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense.neighbour_shifts(embedding_frames(spark, sf_dir))
 
 
+@query()
+def alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registration of the whole stack; its frames are noise, so links stay bad and frames are dropped. Tests use stacks of known geometry."""
+    frames = register.proxies(embedding_frames(spark, sf_dir))
+    return register.align(frames, 10, 5, 0.9).select("frame", "affected", "recovered", "dropped", *(F.col("m")[k].alias(f"m{k}") for k in range(6)))
+
+
 @query(
     "SELECT * FROM (VALUES ('dmap', 'contrast_threshold', 'float', '7.0', 0.0::DOUBLE, 50.0::DOUBLE, NULL), ('dmap', 'estimation_radius', 'int', '8', 2, 40, NULL), ('dmap', 'smoothing_radius', 'int', '16', 1, 64, NULL), ('pmax', 'selection_smoothing', 'int', '1', 0, 3, NULL), "
     "('slab', 'inner_method', 'choice', 'pmax', NULL, NULL, 'pmax,dmap,weighted'), ('slab', 'outer_method', 'choice', 'dmap', NULL, NULL, 'pmax,dmap,weighted'), ('slab', 'slab_overlap', 'int', '2', 0, 50, NULL), ('slab', 'slab_size', 'int', '10', 2, 100, NULL), ('weighted', 'sharpness_radius', 'int', '8', 2, 40, NULL), ('weighted', 'temperature', 'float', '0.05', 0.001, 1, NULL)) t(method, name, kind, \"default\", least, most, choices)"

@@ -46,11 +46,16 @@ def warp_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(RASTER + SIM + """, tap AS (SELECT pt.*, CAST(greatest(0, least(h - 1, floor(sy) + i.range)) AS INTEGER) AS iy, CAST(greatest(0, least(w - 1, floor(sx) + j.range)) AS INTEGER) AS ix, sy - floor(sy) - i.range AS dy, sx - floor(sx) - j.range AS dx FROM pt, range(-2, 4) i, range(-2, 4) j
 ), wt AS (SELECT *, CASE WHEN dy = 0 THEN 1 WHEN abs(dy) < 3 THEN sin(pi() * dy) / (pi() * dy) * sin(pi() * dy / 3) / (pi() * dy / 3) ELSE 0 END * CASE WHEN dx = 0 THEN 1 WHEN abs(dx) < 3 THEN sin(pi() * dx) / (pi() * dx) * sin(pi() * dx / 3) / (pi() * dx / 3) ELSE 0 END AS wt FROM tap)
-SELECT wt.frame, wt.y, wt.x, round(sum(wt.wt * px.v) / sum(wt.wt), 5) AS v FROM wt JOIN px ON px.frame = wt.frame AND px.y = iy AND px.x = ix WHERE wt.frame = 3 GROUP BY 1, 2, 3""")
+SELECT wt.frame, wt.y, wt.x, round(sum(wt.wt * px.v) / sum(wt.wt), 5) AS v FROM wt JOIN px ON px.frame = wt.frame AND px.y = iy AND px.x = ix GROUP BY 1, 2, 3""")
 def warp_lanczos3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Resamples one frame of the stack."""
-    frames = embedding_frames(spark, sf_dir).where("frame = 3")
-    return geometry.warp(frames, transforms(spark), "lanczos3").withColumn("v", F.round("v", 5))
+    return geometry.warp(embedding_frames(spark, sf_dir), transforms(spark), "lanczos3").withColumn("v", F.round("v", 5))
+
+
+@query(RASTER + SIM + """, tap AS (SELECT pt.*, CAST(greatest(0, least(h - 1, floor(sy) + i.range)) AS INTEGER) AS iy, CAST(greatest(0, least(w - 1, floor(sx) + j.range)) AS INTEGER) AS ix, abs(sy - floor(sy) - i.range) AS dy, abs(sx - floor(sx) - j.range) AS dx FROM pt, range(-1, 3) i, range(-1, 3) j
+), wt AS (SELECT *, CASE WHEN dy <= 1 THEN 1.25 * dy ** 3 - 2.25 * dy ** 2 + 1 WHEN dy < 2 THEN -0.75 * dy ** 3 + 3.75 * dy ** 2 - 6 * dy + 3 ELSE 0 END * CASE WHEN dx <= 1 THEN 1.25 * dx ** 3 - 2.25 * dx ** 2 + 1 WHEN dx < 2 THEN -0.75 * dx ** 3 + 3.75 * dx ** 2 - 6 * dx + 3 ELSE 0 END AS wt FROM tap)
+SELECT wt.frame, wt.y, wt.x, round(sum(wt.wt * px.v) / sum(wt.wt), 4) + 0.0 AS v FROM wt JOIN px ON px.frame = wt.frame AND px.y = iy AND px.x = ix GROUP BY 1, 2, 3""")
+def warp_bicubic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geometry.warp(embedding_frames(spark, sf_dir), transforms(spark), "bicubic").withColumn("v", F.round("v", 4) + 0.0)
 
 
 @query()

@@ -51,12 +51,13 @@ def auto_group(frames: DataFrame, by: list[str], order: list[str], time: str | N
 
 
 def validate_stack(frames: DataFrame, by: list[str]) -> DataFrame:
-    """``frames(ordinal, ext, readable, channels, domain, width, height, bit_depth, camera, black, missing)`` with ``status``.
+    """``frames(ordinal, ext, readable, channels, domain, width, height, bit_depth, camera, sensor, cfa, black, missing)`` with ``status``.
 
-    The first readable frame of a list is the reference; the first rule that a frame breaks names its status.
+    The first readable frame of a list is the reference; the first rule that a frame breaks names its status. Raw frames are held against the
+    reference's camera, sensor mode, colour filter array and calibration, others against its size and depth.
     """
     usable = F.col("readable") & (F.col("channels") == 3) & F.col("ext").isin(*RENDERED, *RAW)
-    parts = ("domain", "width", "height", "bit_depth", "camera", "black")
+    parts = ("domain", "width", "height", "bit_depth", "camera", "sensor", "cfa", "black")
     first = frames.where(usable).groupBy(*by).agg(F.min_by(F.struct(*parts), "ordinal").alias("ref"))
     known = frames.join(first, by, "left")
     raw = F.col("domain") == "scene_linear_camera_rgb"
@@ -71,9 +72,11 @@ def validate_stack(frames: DataFrame, by: list[str]) -> DataFrame:
         .when(raw & (F.size("missing") > 0), "missing_raw_calibration")
         .when(other("domain"), "mixed_domain")
         .when(raw & other("camera"), "incompatible_camera")
+        .when(raw & other("sensor"), "incompatible_sensor_mode")
+        .when(raw & other("cfa"), "incompatible_cfa")
         .when(raw & other("black"), "incompatible_raw_calibration")
-        .when(other("width") | other("height"), "wrong_size")
-        .when(other("bit_depth"), "wrong_bit_depth")
+        .when(~raw & (other("width") | other("height")), "wrong_size")
+        .when(~raw & other("bit_depth"), "wrong_bit_depth")
         .otherwise("ok")
     )
     return known.withColumn("status", status).drop("ref")
@@ -105,9 +108,10 @@ def reindex(frames: DataFrame, kept: DataFrame) -> DataFrame:
 
 def first_names(names: DataFrame, most: int = 8) -> DataFrame:
     """(label): the first names in order, and how many more there are."""
-    listed = names.agg(F.array_sort(F.collect_list(F.struct("ordinal", "name"))).alias("a"))
-    shown = F.array_join(F.transform(F.slice("a", 1, most), lambda p: p["name"]), ", ")
-    return listed.select(F.concat(shown, F.when(F.size("a") > most, F.concat(F.lit(" (+"), (F.size("a") - most).cast("string"), F.lit(" more)"))).otherwise("")).alias("label"))
+    listed = names.orderBy("ordinal", "name").limit(most).agg(F.array_sort(F.collect_list(F.struct("ordinal", "name"))).alias("a"))
+    more = names.agg((F.count("*") - most).alias("more"))
+    shown = F.array_join(F.transform("a", lambda p: p["name"]), ", ")
+    return listed.crossJoin(F.broadcast(more)).select(F.concat(shown, F.when(F.col("more") > 0, F.concat(F.lit(" (+"), F.col("more").cast("string"), F.lit(" more)"))).otherwise("")).alias("label"))
 
 
 def latest_jobs(events: DataFrame) -> DataFrame:

@@ -241,6 +241,11 @@ def manifest_fits(stored: DataFrame, expected: DataFrame, key: str) -> DataFrame
     return both.select(key, F.when(F.col("s.version").isNull(), "new").when(same, "reuse").otherwise("clash").alias("verdict"))
 
 
+def memo(requests: DataFrame, results: DataFrame, key: list[str]) -> DataFrame:
+    """``requests`` with ``hit``: whether there is a result under their key; only the others need work."""
+    return requests.join(results.select(*key).distinct().withColumn("hit", F.lit(True)), key, "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+
+
 def best_stable(candidates: DataFrame, by: list[str]) -> DataFrame:
     """(by, candidate, correlation): the stable candidate of finite and greatest correlation, ties to the first; candidate 0 with correlation 0 where there is none."""
     good = candidates.where(F.col("stable") & finite("correlation"))

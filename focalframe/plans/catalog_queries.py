@@ -29,21 +29,22 @@ def auto_group_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
 HEADERS = """WITH f AS (
   SELECT p_brand AS stack, p_partkey AS ordinal, ['tif', 'png', 'dng', 'gif', 'jpg', 'tiff', 'nef'][p_partkey % 7 + 1] AS ext, p_partkey % 11 <> 0 AS readable, CASE WHEN p_partkey % 13 = 0 THEN 4 ELSE 3 END AS channels,
     CASE WHEN p_partkey % 7 IN (2, 6) THEN 'scene_linear_camera_rgb' ELSE 'rendered_rgb' END AS domain, 4000 + p_size % 2 AS width, 3000 AS height, CASE WHEN p_size % 5 = 0 THEN 8 ELSE 16 END AS bit_depth,
-    CASE WHEN p_size % 3 = 0 THEN 'a' ELSE 'b' END AS camera, p_size % 4 AS black, p_partkey % 17 = 0 AS lacks FROM part
+    CASE WHEN p_size % 3 = 0 THEN 'a' ELSE 'b' END AS camera, p_size % 4 AS black, p_size % 2 AS sensor, CASE WHEN p_partkey % 19 = 0 THEN 'x' ELSE 'rggb' END AS cfa, p_partkey % 17 = 0 AS lacks FROM part
 )"""
 
 
-@query(HEADERS + """, u AS (SELECT *, readable AND channels = 3 AND ext <> 'gif' AS ok FROM f), r AS (SELECT stack, arg_min(domain, ordinal) AS rd, arg_min(width, ordinal) AS rw, arg_min(bit_depth, ordinal) AS rb, arg_min(camera, ordinal) AS rc, arg_min(black, ordinal) AS rk FROM u WHERE ok GROUP BY stack)
+@query(HEADERS + """, u AS (SELECT *, readable AND channels = 3 AND ext <> 'gif' AS ok FROM f), r AS (SELECT stack, arg_min(domain, ordinal) AS rd, arg_min(width, ordinal) AS rw, arg_min(bit_depth, ordinal) AS rb, arg_min(camera, ordinal) AS rc, arg_min(black, ordinal) AS rk, arg_min(sensor, ordinal) AS rs, arg_min(cfa, ordinal) AS rf FROM u WHERE ok GROUP BY stack)
 SELECT ordinal, CASE WHEN ext = 'gif' THEN 'unsupported' WHEN NOT readable THEN CASE WHEN ext IN ('dng', 'nef') THEN 'raw_decode_error' ELSE 'unreadable' END WHEN channels <> 3 THEN 'not_rgb'
   WHEN domain = 'scene_linear_camera_rgb' AND lacks THEN 'missing_raw_calibration' WHEN domain IS DISTINCT FROM rd THEN 'mixed_domain' WHEN domain = 'scene_linear_camera_rgb' AND camera IS DISTINCT FROM rc THEN 'incompatible_camera'
-  WHEN domain = 'scene_linear_camera_rgb' AND black IS DISTINCT FROM rk THEN 'incompatible_raw_calibration' WHEN width IS DISTINCT FROM rw THEN 'wrong_size' WHEN bit_depth IS DISTINCT FROM rb THEN 'wrong_bit_depth' ELSE 'ok' END AS status
+  WHEN domain = 'scene_linear_camera_rgb' AND sensor IS DISTINCT FROM rs THEN 'incompatible_sensor_mode' WHEN domain = 'scene_linear_camera_rgb' AND cfa IS DISTINCT FROM rf THEN 'incompatible_cfa'
+  WHEN domain = 'scene_linear_camera_rgb' AND black IS DISTINCT FROM rk THEN 'incompatible_raw_calibration' WHEN domain = 'scene_linear_camera_rgb' THEN 'ok' WHEN width IS DISTINCT FROM rw THEN 'wrong_size' WHEN bit_depth IS DISTINCT FROM rb THEN 'wrong_bit_depth' ELSE 'ok' END AS status
 FROM f LEFT JOIN r USING (stack)""")
 def validate_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     frames = p.select(
         F.col("p_brand").alias("stack"), F.col("p_partkey").alias("ordinal"), F.expr("array('tif', 'png', 'dng', 'gif', 'jpg', 'tiff', 'nef')[cast(p_partkey % 7 AS int)]").alias("ext"), F.expr("p_partkey % 11 <> 0").alias("readable"),
         F.expr("CASE WHEN p_partkey % 13 = 0 THEN 4 ELSE 3 END").alias("channels"), F.expr("CASE WHEN p_partkey % 7 IN (2, 6) THEN 'scene_linear_camera_rgb' ELSE 'rendered_rgb' END").alias("domain"), F.expr("4000 + p_size % 2").alias("width"), F.lit(3000).alias("height"),
-        F.expr("CASE WHEN p_size % 5 = 0 THEN 8 ELSE 16 END").alias("bit_depth"), F.expr("CASE WHEN p_size % 3 = 0 THEN 'a' ELSE 'b' END").alias("camera"), F.expr("p_size % 4").alias("black"),
+        F.expr("CASE WHEN p_size % 5 = 0 THEN 8 ELSE 16 END").alias("bit_depth"), F.expr("CASE WHEN p_size % 3 = 0 THEN 'a' ELSE 'b' END").alias("camera"), F.expr("p_size % 4").alias("black"), F.expr("p_size % 2").alias("sensor"), F.expr("CASE WHEN p_partkey % 19 = 0 THEN 'x' ELSE 'rggb' END").alias("cfa"),
         F.expr("CASE WHEN p_partkey % 17 = 0 THEN array('white level') ELSE cast(array() AS array<string>) END").alias("missing"),
     )
     return catalog.validate_stack(frames, ["stack"]).select("ordinal", "status")

@@ -325,3 +325,28 @@ def local_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     frames = embedding_frames(spark, sf_dir).withColumn("row", F.expr("transform(row, v -> abs(v - 128))"))
     return pixels(stencils.box_sum(frames, 1))
+
+
+@query("SELECT p_partkey, '{\"schema\":1,\"processing_domain\":\"scene_linear_camera_rgb\",\"no_bake\":{\"white_balance\":true,\"tone_curve\":true},\"decoder\":\"' || p_brand || '\",\"integer_mapping\":{\"offset\":' || p_size || ',\"span\":65535}}' AS provenance FROM part")
+def provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an export says of how it was made, as JSON."""
+    made = F.struct(
+        F.lit(1).alias("schema"), F.lit("scene_linear_camera_rgb").alias("processing_domain"), F.struct(F.lit(True).alias("white_balance"), F.lit(True).alias("tone_curve")).alias("no_bake"),
+        F.col("p_brand").alias("decoder"), F.struct(F.col("p_size").alias("offset"), F.lit(65535).alias("span")).alias("integer_mapping"),
+    )
+    return table(spark, sf_dir, "part").select("p_partkey", F.to_json(made).alias("provenance"))
+
+
+@query("SELECT p_brand, p_name AS name, p_size AS radius FROM part")
+def preset_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Presets persisted as one JSON list for each brand."""
+    text = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.to_json(F.collect_list(F.struct(F.col("p_name").alias("name"), F.col("p_size").alias("radius")))).alias("text"))
+    read = text.select("p_brand", F.explode(F.from_json("text", "array<struct<name:string,radius:int>>")).alias("p"))
+    return read.select("p_brand", "p.name", "p.radius")
+
+
+@query("SELECT e.event_id, c.revision IS NOT NULL AS hit FROM (SELECT event_id, user_id AS image_id, event_id % 3 AS revision FROM events) e LEFT JOIN (SELECT DISTINCT user_id AS image_id, event_id % 3 AS revision FROM events WHERE event_id % 10 = 0) c USING (image_id, revision)")
+def analysis_memo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests whose (image, revision) was analysed before."""
+    e = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("image_id"), (F.col("event_id") % 3).alias("revision"))
+    return projects.memo(e, e.where("event_id % 10 = 0"), ["image_id", "revision"]).select("event_id", "hit")

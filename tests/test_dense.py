@@ -182,6 +182,47 @@ def test_png_round_trip(spark, tmp_path, bits):
         sources.decode_png(b"nonsense")
 
 
+@pytest.mark.parametrize("bits", [8, 16, 32])
+def test_tiff_round_trip(spark, tmp_path, bits):
+    img = np.random.default_rng(2).random((9, 7, 3)) * 1.2 - 0.1
+    data = sources.encode_tiff(img, bits)
+    want = img.astype(np.float32) if bits == 32 else np.floor(np.clip(img, 0, 1) * ((1 << bits) - 1) + 0.5)
+    assert (sources.decode_tiff(data) == want).all()
+    (tmp_path / "a.tif").write_bytes(data)
+    (tmp_path / "b.png").write_bytes(sources.encode_png(img, 8))
+    (tmp_path / "c.jpg").write_bytes(b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x11\x08\x00\x09\x00\x07\x03" + bytes(12))
+    (tmp_path / "d.tif").write_bytes(b"nonsense")
+    got = {r["path"][-5:]: r for r in sources.probe(spark.read.format("binaryFile").load(str(tmp_path))).collect()}
+    assert [tuple(got[n])[1:6] for n in ("a.tif", "b.png", "c.jpg")] == [("tiff", 7, 9, bits, 3), ("png", 7, 9, 8, 3), ("jpeg", 7, 9, 8, 3)]
+    assert got["d.tif"]["width"] is None and got["d.tif"]["error"]
+    if bits == 16:
+        rows = [(0, y, *([float(v) for v in img[y, :, c]] for c in range(3))) for y in range(9)]
+        made = sources.encoded(spark.createDataFrame(rows, "frame int, y int, r array<double>, g array<double>, b array<double>"), "tiff").first()
+        assert (bytes(made["content"]), made["height"], made["width"]) == (data, 9, 7)
+        (tmp_path / "d.tif").unlink()
+        assert sources.read_frames(spark, str(tmp_path)).select("frame").distinct().count() == 2
+
+
+def test_stateful_streams_equal_batches(spark, tmp_path):
+    from focalframe.operators import catalog, retouch
+
+    rnd = np.random.default_rng(4)
+    rows = [(f"s{k % 3}", k, int(1_700_000_000 + 4 * k + 30 * (k // 17)), ["apply", "apply", "undo", "redo"][rnd.integers(4)]) for k in range(90)]
+    df = spark.createDataFrame(rows, "stack string, frame long, t long, action string").selectExpr("stack", "frame", "timestamp_seconds(t) AS captured", "action", "frame % 4 AS session")
+    for part in (0, 1, 2):
+        df.where(f"frame div 30 = {part}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    run = lambda q, name: q.writeStream.outputMode("append").format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination()
+    run(streaming.grouped_by_gaps(stream()), "gaps_now")
+    want = catalog.auto_group(df, ["stack"], ["captured", "frame"], "captured", None).select("stack", "frame", "grp")
+    key = lambda d: sorted(map(tuple, d.collect()))
+    assert key(spark.table("gaps_now")) == key(want)
+    run(streaming.stroke_history(stream().selectExpr("session", "frame AS seq", "action", "frame AS stroke")), "strokes_now")
+    last = spark.table("strokes_now").groupBy("session").agg(F.max_by("n", "seq").alias("n"))
+    live = retouch.live_strokes(df.selectExpr("session", "frame AS seq", "action", "frame AS stroke")).groupBy("session").agg(F.count("*").cast("int").alias("n"))
+    assert key(last.where("n > 0")) == key(live)
+
+
 def test_streams_equal_batches(spark, tmp_path):
     rows = [(f, y, x, (f * 7 + y * 3 + x) % 5) for f in range(6) for y in range(4) for x in range(5)]
     df = spark.createDataFrame(rows, "frame int, y int, x int, v bigint")

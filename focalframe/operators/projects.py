@@ -90,6 +90,13 @@ def as_shot_neutral(tag: str = "tag", wb: str = "wb") -> Column:
     return F.expr(f"CASE WHEN size({tag}) = 3 THEN {tag} WHEN {fit} THEN transform(slice({wb}, 1, 3), v -> (1D / v) / (1D / {wb}[1])) END")
 
 
+def colour_matrix(tag: str = "tag", given: str = "given") -> Column:
+    """The colour matrix a file names, else the decoder's; null for a singular one."""
+    m = f"CASE WHEN size({tag}) = 9 THEN {tag} WHEN size({given}) = 9 THEN {given} END"
+    det = "(m[0] * (m[4] * m[8] - m[5] * m[7]) - m[1] * (m[3] * m[8] - m[5] * m[6]) + m[2] * (m[3] * m[7] - m[4] * m[6]))"
+    return F.expr(f"transform(array({m}), m -> CASE WHEN abs({det}) > 1e-12 THEN m END)[0]")
+
+
 def proxy_stretch(pixels: DataFrame, by: list[str], value: str = "v", low: float = 0.005, high: float = 0.995) -> DataFrame:
     """``pixels`` with ``proxy``: values between the two percentiles of their frame to [0, 1], clipped; 0 in a flat frame."""
     span = pixels.groupBy(*by).agg(F.expr(f"percentile({value}, array({low}D, {high}D))").alias("p"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,6 +81,51 @@ def viewer_levels(width: int, height: int, tile: int = 256) -> list[tuple[int, i
     return [(z, max(1, width // 2 ** (n - 1 - z)), max(1, height // 2 ** (n - 1 - z))) for z in range(n)]
 
 
+def triangle(n: int, size: int) -> np.ndarray:
+    """Weights (size, n) that shrink ``n`` samples to ``size``: triangles as wide as two output samples, each row of sum 1."""
+    scale = n / size
+    apart = np.abs(np.arange(n)[None] + 0.5 - (np.arange(size)[:, None] + 0.5) * scale) / max(scale, 1.0)
+    weights = np.maximum(0.0, 1.0 - apart)
+    return weights / weights.sum(1, keepdims=True)
+
+
+def shrunk(image: DataFrame, height: int, width: int, sizes: list[tuple[int, int, int]]) -> DataFrame:
+    """(z, y, row) of an image (y, row) of ``height`` x ``width`` at each of ``sizes(z, width, height)``: rows go to the output rows that they weigh in."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        z, y = (k.as_py() for k in key)
+        w, h = {k: (a, b) for k, a, b in sizes}[z]
+        table = table.sort_by("from")
+        rows = table["row"].combine_chunks()
+        scale = height / h
+        apart = np.abs(table["from"].to_numpy() + 0.5 - (y + 0.5) * scale) / max(scale, 1.0)
+        weight = np.maximum(0.0, 1.0 - apart)
+        mixed = weight @ rows.flatten().to_numpy().astype(float).reshape(len(rows), -1) / weight.sum()
+        return pa.table({"z": pa.array([z], pa.int32()), "y": pa.array([y], pa.int32()), "row": pa.array([(triangle(width, w) @ mixed).tolist()], pa.list_(pa.float64()))})
+
+    spots = []
+    for z, _, h in sizes:
+        scale = height / h
+        wide = max(scale, 1.0)
+        low, high = f"greatest(0, cast(floor((y + 0.5D - {wide}D) / {scale}D - 0.5D) AS int))", f"least({h - 1}, cast(ceil((y + 0.5D + {wide}D) / {scale}D - 0.5D) AS int))"
+        spots.append(f"filter(transform(sequence({low}, {high}), o -> struct({z} AS z, o AS y)), t -> abs(y + 0.5D - (t.y + 0.5D) * {scale}D) < {wide}D)")
+    dealt = image.select(F.col("y").alias("from"), "row", F.explode(F.expr(f"concat({', '.join(spots)})")).alias("t")).select("t.z", "t.y", "from", "row")
+    return dealt.groupBy("z", "y").applyInArrow(run, "z int, y int, row array<double>")
+
+
+def tile_rows(image: DataFrame, height: int, width: int, tile: int = 256) -> DataFrame:
+    """(z, ty, tx, dy, row): the viewer tiles of an image, by rows; the last level is the image at full size."""
+    cut = f"transform(sequence(0, (size(row) - 1) div {tile}), t -> struct(t AS tx, slice(row, t * {tile} + 1, {tile}) AS row))"
+    parts = shrunk(image, height, width, viewer_levels(width, height, tile)).select("z", "y", F.explode(F.expr(cut)).alias("t"))
+    return parts.select("z", F.expr(f"cast(y div {tile} AS int)").alias("ty"), F.col("t.tx").alias("tx"), (F.col("y") % tile).alias("dy"), F.col("t.row").alias("row"))
+
+
+def thumbnail(image: DataFrame, height: int, width: int, longest: int = 256) -> DataFrame:
+    """(y, row): the image with its longer edge at most ``longest``; never larger."""
+    scale = min(1.0, longest / max(height, width, 1))
+    return shrunk(image, height, width, [(0, max(1, int(width * scale)), max(1, int(height * scale)))]).select("y", "row")
+
+
 def dirty_tiles(boxes: DataFrame, width: int, height: int, tile: int = 256) -> DataFrame:
     """(id, z, ty, tx): viewer tiles that the boxes (id, y0, x0, y1, x1) touch, found by number on each level."""
     levels = viewer_levels(width, height, tile)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import geometry, projects
+from ..operators import geometry, projects, retouch
 from ..raster import embedding_frames, pixels, table
 from .raster_queries import RASTER
 from .registry import query
@@ -350,3 +350,37 @@ def analysis_memo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests whose (image, revision) was analysed before."""
     e = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("image_id"), (F.col("event_id") % 3).alias("revision"))
     return projects.memo(e, e.where("event_id % 10 = 0"), ["image_id", "revision"]).select("event_id", "hit")
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 2 = 0 THEN p_size + 1.0 ELSE 2.0 END AS m0 FROM part")
+def colour_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tag = "CASE WHEN p_partkey % 5 = 0 THEN array(1D, 1D, 1D, 1D, 1D, 1D, 0D, 0D, 1D) WHEN p_partkey % 2 = 0 THEN array(p_size + 1D, 0D, 0D, 0D, 1D, 0D, 0D, 0D, 1D) END"
+    p = table(spark, sf_dir, "part").select("p_partkey", F.expr(tag).alias("tag"), F.expr("array(2D, 0D, 0D, 0D, 1D, 0D, 0D, 0D, 1D)").alias("given"))
+    return p.select("p_partkey", projects.colour_matrix().getItem(0).alias("m0"))
+
+
+@query("SELECT user_id AS job_id FROM events GROUP BY 1 HAVING arg_max(event_type, event_id) = 'view'")
+def pending_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The jobs of a status, as lists show them."""
+    from ..operators.catalog import latest_jobs
+
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), F.col("event_type").alias("status"), F.col("event_id").alias("seq"))
+    return latest_jobs(e).where("status = 'view'").select("job_id")
+
+
+@query("SELECT s_suppkey AS link, s_acctbal / 10000.0::DOUBLE AS correlation FROM supplier WHERE s_acctbal / 10000.0::DOUBLE < 0.9")
+def low_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links below the correlation that reviews ask for."""
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("link"), F.expr("cast(s_acctbal AS double) / 10000D").alias("correlation")).where("correlation < 0.9")
+
+
+@query()
+def viewer_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tiles of the mean frame, 16 pixels a side."""
+    frames = embedding_frames(spark, sf_dir)
+    mean = pixels(frames).groupBy("y", "x").agg(F.sum("v").alias("v")).withColumn("frame", F.lit(0))
+    from ..raster import rows
+
+    height = frames.agg(F.max("height")).first()[0] or 1
+    out = retouch.tile_rows(rows(mean).select("y", "row"), height, 64, 16)
+    return out.select("z", "ty", "tx", "dy", F.posexplode("row").alias("dx", "v"))

@@ -237,3 +237,18 @@ def test_live_strokes_against_replay(spark):
         want[session] = done
     rows = retouch.live_strokes(spark.createDataFrame(log, "session int, seq int, action string, stroke bigint")).orderBy("session", "position").collect()
     assert {s: [r["stroke"] for r in rows if r["session"] == s] for s in range(5)} == want
+
+
+@pytest.mark.parametrize("height, width", [(60, 100), (33, 70), (9, 7)])
+def test_tiles_are_triangle_means(spark, height, width):
+    img = np.random.default_rng(3).integers(0, 255, (height, width))
+    df = spark.createDataFrame([(y, [int(v) for v in row]) for y, row in enumerate(img)], "y int, row array<bigint>")
+    levels = retouch.viewer_levels(width, height, 16)
+    got = {}
+    for r in retouch.tile_rows(df, height, width, 16).collect():
+        got[r["z"], r["ty"] * 16 + r["dy"], r["tx"]] = r["row"]
+    for z, w, h in levels:
+        want = retouch.triangle(height, h) @ img @ retouch.triangle(width, w).T
+        have = np.array([sum((got[z, y, t] for t in range(-(-w // 16))), []) for y in range(h)])
+        assert np.allclose(have, want)
+    assert np.allclose([r["row"] for r in retouch.thumbnail(df, height, width, 16).orderBy("y").collect()], retouch.triangle(height, max(1, int(height * min(1, 16 / max(height, width))))) @ img @ retouch.triangle(width, max(1, int(width * min(1, 16 / max(height, width))))).T)

@@ -32,8 +32,10 @@ def test_stages(spark):
 
 def test_empty_and_null_rows_pass_through_all_stages(spark, tmp_path):
     text = "the same few words are said here again and again by all"
-    rows = [(1, text, "en", "s", 3), (2, None, "en", None, None), (3, "", None, "s", 0), (None, text + " more", "en", "s", 5), (1, text, "en", "s", 3)]
-    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    long = " ".join(f"word{i * i % 7919} of the very long text" for i in range(20_000))
+    rows = [(1, text, "en", "s", 3), (2, None, "en", None, None), (3, "", None, "s", 0), (None, text + " more", "en", "s", 5), (1, text, "en", "s", 3), (4, long, "en", "s", len(long))]
+    rows = [(*r, "clash", 7, "x", 1.0) for r in rows]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, class_id string, size int, component_id string, n_removed double"
     for data in (rows, []):
         docs = spark.createDataFrame(data, schema)
         for _, stage in pipeline.STAGES:

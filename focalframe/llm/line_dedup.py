@@ -207,7 +207,7 @@ def _marks_near(similarity: float):
         x, y = (a[:, 0] & U(255)).astype(np.int64), (b[:, 0] & U(255)).astype(np.int64)
         longer, most = np.maximum(x, y), table[np.maximum(x, y)]
         differ = np.bitwise_count((a[:, 0] ^ b[:, 0]) >> U(8)).astype(np.int64) + np.bitwise_count(a[:, 1] ^ b[:, 1])
-        return (longer == 255) | (differ <= 2 * most) & (np.abs(x - y) <= most)
+        return (longer == 255) | (differ <= 2 * most - np.abs(x - y))
 
     return near
 
@@ -281,7 +281,8 @@ def fuzzy_line_groups(docs: DataFrame, min_words: int, similarity: float, short_
     def near(x: str, y: str) -> Column:
         most = f"floor({1 - similarity!r}D * greatest({x}.size, {y}.size) + 1e-9D)"
         apart = " + ".join(f"bit_count({x}.{c} ^ {y}.{c})" for c in SKETCH)
-        return F.expr(f"abs({x}.size - {y}.size) <= {most} AND {apart} <= 2 * {most}")
+        # One side has at least half of the differing words and of the difference in length; each costs an edit.
+        return F.expr(f"{apart} <= 2 * {most} - abs({x}.size - {y}.size)")
 
     def verify(pairs: DataFrame) -> DataFrame:
         return both_ends(pairs, values.select("id", "value")).mapInArrow(_similar(similarity), "a long, b long")

@@ -158,6 +158,12 @@ def _near_clusters(starts: np.ndarray, marks: np.ndarray, whole: np.ndarray, nea
     return near, label
 
 
+def _central(marks: np.ndarray) -> int:
+    """The item whose marks differ least from the majority of each bit: near copies of one text lie around it, often too far from each other to link."""
+    bits = np.unpackbits(np.ascontiguousarray(marks).view(np.uint8).reshape(len(marks), -1), axis=1)
+    return int((bits ^ (2 * bits.sum(0, dtype=np.int64) > len(bits))).sum(1).argmin())
+
+
 def _grouped(buckets: int, near_marks: Near):
     """The candidates of a bucket: pairs (key null) of two ids, and the members (b null) of clusters too large to be listed in pairs."""
 
@@ -219,6 +225,8 @@ def _grouped(buckets: int, near_marks: Near):
             pairs.append((ids[a], ids[a + step]))
         rest = np.repeat(~small, sizes)
         head = np.repeat(first, sizes)
+        for lo, n in zip(first[~small], sizes[~small]):
+            head[lo : lo + n] = lo + _central(marks[lo : lo + n])
         rays = np.flatnonzero(rest & (head != np.arange(len(ids))))
         rays = rays[near_marks(marks[rays], marks[head[rays]])]
         pairs.append((ids[rays], ids[head[rays]]))
@@ -263,26 +271,34 @@ def apart(members: DataFrame, components: DataFrame) -> DataFrame:
     return members.join(ends.select("key", F.expr(f"cast(n div {PART} + 1 AS int)").alias("parts")), "key").select("key", "id", "c", "parts")
 
 
-def star(members: DataFrame, facts: DataFrame, near: Callable[[str, str], Column]) -> DataFrame:
-    """For each id at most one pair (a, b): with the greatest item of one of its groups, in another component and ``near``."""
-    heads = members.groupBy("key").agg(F.max(F.struct("id", "c")).alias("h"))
-    rays = members.join(heads, "key").where("c <> h.c").select("id", F.col("h.id").alias("head")).distinct()
-    rays = rays.join(facts.alias("y"), "id").withColumnRenamed("id", "ray")
-    rays = rays.join(facts.alias("x"), (F.col("head") == F.col("x.id")) & near("x", "y"))
-    return rays.groupBy("ray").agg(F.max("head").alias("head")).select(F.col("head").alias("a"), F.col("ray").alias("b"))
+def banded(members: DataFrame, facts: DataFrame, ratio: float) -> DataFrame:
+    """``members`` with their ``facts`` and the band of their size: sizes of linked items differ by the factor ``ratio`` at most, so they are in one band or in two beside each other."""
+    return members.join(facts, "id").withColumn("band", F.floor(F.ln(F.greatest("size", F.lit(1))) / float(-np.log(ratio))).cast("int"))
+
+
+def star(members: DataFrame, near: Callable[[str, str], Column], bits: str) -> DataFrame:
+    """For each id at most one pair (a, b): with the central item of a group and band, in another component and ``near``.
+
+    The central item differs least, in the 64-bit column ``bits``, from the majority of each bit over the items of one band.
+    """
+    sums = [F.sum(F.expr(f"shiftright({bits}, {k}) & 1L")).alias(f"n{k}") for k in range(64)]
+    most = " | ".join(f"CASE WHEN 2 * n{k} > n THEN shiftleft(1L, {k}) ELSE 0L END" for k in range(64))
+    usual = members.groupBy("key", "band").agg(F.count("*").alias("n"), *sums).select("key", "band", F.expr(most).alias("usual"))
+    heads = members.join(usual, ["key", "band"]).groupBy("key", "band").agg(F.min_by(F.struct(*members.columns), F.struct(F.expr(f"bit_count({bits} ^ usual)"), "id")).alias("h"))
+    around = heads.select("key", F.explode(F.expr("sequence(band - 1, band + 1)")).alias("band"), "h")
+    met = members.alias("y").join(around.alias("x"), [F.col(f"x.{k}") == F.col(f"y.{k}") for k in ("key", "band")] + [F.expr("y.c <> x.h.c"), near("x.h", "y")])
+    return met.groupBy(F.col("y.id").alias("b")).agg(F.min("x.h.id").alias("a")).select("a", "b")
 
 
-def across(members: DataFrame, facts: DataFrame, near: Callable[[str, str], Column], ratio: float) -> DataFrame:
-    """All pairs (a, b) of ``members(key, id, c, parts)`` that share a key, are in different components and ``near`` (a test inside the join).
+def across(members: DataFrame, near: Callable[[str, str], Column]) -> DataFrame:
+    """All pairs (a, b) of ``members(key, id, c, parts, band, ...)`` that share a key, are in different components and ``near`` (a test inside the join).
 
-    Sizes of linked items differ by the factor ``ratio`` at most, so an item meets those of its own band of sizes and of the two beside it. One side of
+    An item meets those of its own band of sizes and of the two beside it. One side of
     a large group is dealt to parts, the other is copied to each of them.
     """
-    band = F.floor(F.ln(F.greatest("size", F.lit(1))) / float(-np.log(ratio))).cast("int")
-    members = written(members.join(facts, "id").withColumn("band", band), "apart")
     one = members.withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
     other = members.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("band", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)))
-    pairs = one.alias("x").join(other.alias("y"), [F.col(f"x.{k}") == F.col(f"y.{k}") for k in ("key", "part", "band")] + [F.expr("x.c <> y.c"), near("x", "y")])
+    pairs = one.alias("x").join(other.alias("y"), [F.col(f"x.{k}") == F.col(f"y.{k}") for k in ("key", "part", "band")] + [F.expr("x.c < y.c"), near("x", "y")])
     return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
@@ -296,11 +312,11 @@ def joined_by(components: DataFrame, links: DataFrame) -> DataFrame:
     return written(old.unionByName(new), "components")
 
 
-def linked(found: DataFrame, facts: DataFrame, near: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], ratio: float) -> DataFrame:
+def linked(found: DataFrame, facts: DataFrame, near: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], ratio: float, bits: str = "s0") -> DataFrame:
     """(node, component) of the items that verified links join, from the candidates ``found(key, a, b)``.
 
     ``near`` builds, from the aliases of two rows of ``facts(id, size, ...)``, a cheap test that every link passes;
-    ``verify`` keeps the pairs that link; ``ratio`` is the least that the sizes of linked items can have.
+    ``verify`` keeps the pairs that link; ``ratio`` is the least that the sizes of linked items can have, ``bits`` a column of 64 bits in which linked items differ little.
     """
     pairs = written(found.where("key is null").select("a", "b").distinct(), "pairs")
     values = facts.select("id", F.struct(*(c for c in facts.columns if c != "id")).alias("value"))
@@ -308,11 +324,10 @@ def linked(found: DataFrame, facts: DataFrame, near: Callable[[str, str], Column
     components = written(connected_components(verify(close)), "components")
     members = written(found.where("key is not null").select("key", F.col("a").alias("id")).distinct(), "members")
     for step in ("star", "across") if members.limit(1).count() else ():
-        left = written(apart(members, components), "left")
+        left = written(banded(apart(members, components), facts, ratio), "left")
         if not left.limit(1).count():
             break
-        pairs = star(left, facts, near) if step == "star" else across(left, facts, near, ratio)
-        links = written(verify(written(pairs, "pairs")), "links")
+        links = written(verify(written(star(left, near, bits) if step == "star" else across(left, near), "pairs")), "links")
         if links.limit(1).count():
             components = joined_by(components, links)
     return components

@@ -51,7 +51,7 @@ def _observed(edges: DataFrame) -> tuple[DataFrame, tuple]:
 
 
 #: Keys that one task groups, about; keys that a sending task gathers before it sends them off; items of a key that it sends packed.
-BUCKET_KEYS = 1_000_000
+BUCKET_KEYS = 2_000_000
 SENT_KEYS = 1_000_000
 HOT = 256
 _PACKED = pa.schema([("bucket", pa.int64()), ("keys", pa.binary()), ("ids", pa.binary()), ("marks", pa.binary()), ("refs", pa.binary()), ("hot", pa.binary())])

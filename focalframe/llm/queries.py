@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from . import oracles
 from .common import table
+from .conversation import damaged, repair_conversations
 from .decontam import contaminated
+from .filter_audit import audit_filters
 from .html_extract import extract_main_text
 from .langid import identify
+from .license_scan import scan_licenses, templates_of
 from .line_dedup import dedup_lines
 from .mixing import mix_sources
 from .ngram_join import ngram_jaccard_join
@@ -71,6 +74,24 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations that lost all their turns have zeros, an empty audit and the hash of an empty text."""
+    conversations = table(spark, sf_dir, "conversations")
+    report, _ = repair_conversations(damaged(conversations))
+    every = conversations.select(F.col("conv_id").cast("long").alias("conv_id")).distinct()
+    out = every.alias("c").join(report.alias("r"), F.col("c.conv_id").eqNullSafe(F.col("r.conv_id")), "left")
+    zeros = [F.coalesce(F.col(f"r.{c}"), F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("c.conv_id", *zeros, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"), templates_of(spark)).drop("blocks")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -84,6 +105,9 @@ QUERIES = {
         op8_ngram_jaccard_join,
         op9_language_id,
         op10_html_extraction,
+        op11_conversation_repair,
+        op12_filter_audit,
+        op13_license_scan,
     )
 }
-ORACLES = {"op3_warc": oracles.OP3, "op4_source_mixing": oracles.OP4, "op5_top_k_search": oracles.OP5, "op6_url_filter": oracles.OP6, "op8_ngram_jaccard_join": oracles.OP8}
+ORACLES = {"op3_warc": oracles.OP3, "op4_source_mixing": oracles.OP4, "op5_top_k_search": oracles.OP5, "op6_url_filter": oracles.OP6, "op8_ngram_jaccard_join": oracles.OP8, "op11_conversation_repair": oracles.OP11, "op12_filter_audit": oracles.OP12, "op13_license_scan": oracles.OP13}

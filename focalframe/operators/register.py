@@ -12,6 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..raster import BAND
 from . import geometry, stencils
 from .dense import _dense, halve, phase_shift
 
@@ -73,7 +74,9 @@ def about_centre(scale: float, angle: float, shape: tuple[int, int]) -> np.ndarr
 
 def moved(image: np.ndarray, m: np.ndarray, shape: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
     y, x = np.mgrid[: shape[0], : shape[1]]
-    return sampled(image, m[1, 0] * x + m[1, 1] * y + m[1, 2], m[0, 0] * x + m[0, 1] * y + m[0, 2])
+    depth = m[2, 0] * x + m[2, 1] * y + m[2, 2]
+    depth = np.where(np.abs(depth) < 1e-8, 1e-8, depth)
+    return sampled(image, (m[1, 0] * x + m[1, 1] * y + m[1, 2]) / depth, (m[0, 0] * x + m[0, 1] * y + m[0, 2]) / depth)
 
 
 def guess(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -95,43 +98,93 @@ def similar_to(m: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
     return out
 
 
-def correlate(a: np.ndarray, b: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, float]:
-    """An affine transform near ``m`` that maximises the correlation of ``a`` with the moved ``b``, and that correlation; nan where the images have no overlap or texture.
+#: Numbers that each model of motion has; an affine transform serves similarities, which are projected from it.
+MODELS = {"translation": 2, "affine": 6, "perspective": 8}
 
-    With zero-mean samples t of ``a`` and w of the moved ``b`` and the Jacobian G of w, a step is the least-squares solution of G p = l t - w, where
-    l makes the step ascend.
+
+def centring(shape: tuple[int, int]) -> np.ndarray:
+    """Takes pixels to coordinates about the centre of a frame, with its longer half as unit; normal equations are well conditioned in them."""
+    half = max(*shape, 2) / 2
+    return np.array([[1 / half, 0, -(shape[1] - 1) / 2 / half], [0, 1 / half, -(shape[0] - 1) / 2 / half], [0, 0, 1]])
+
+
+def derivatives(model: str, m: np.ndarray, x: np.ndarray, y: np.ndarray, gx: np.ndarray, gy: np.ndarray) -> np.ndarray:
+    """(samples, parameters): how the moved samples change with the parameters of ``m``, at the points (x, y) with the gradients (gx, gy) there."""
+    if model == "translation":
+        return np.stack([gx, gy], axis=1)
+    if model == "affine":
+        return np.stack([gx * x, gx * y, gx, gy * x, gy * y, gy], axis=1)
+    px, py, depth = m @ np.stack([x, y, np.ones_like(x)])
+    gx, gy = gx / depth, gy / depth
+    along = -(gx * px + gy * py) / depth
+    return np.stack([gx * x, gx * y, gx, gy * x, gy * y, gy, along * x, along * y], axis=1)
+
+
+def partial_sums(t: np.ndarray, w: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """All that a step needs to know of some samples, additive over bands: counts, sums and products of the fixed samples t, the moved ones w and the derivatives g."""
+    plain = np.array([len(t), t.sum(), w.sum(), t @ t, w @ w, t @ w])
+    return np.concatenate([plain, g.sum(0), t @ g, w @ g, (g.T @ g).ravel()])
+
+
+def ascent(sums: np.ndarray, p: int) -> tuple[np.ndarray | None, float]:
+    """(step, correlation) from the sums over all samples; no step where the images have no overlap or texture.
+
+    With zero-mean t, w and g a step is the least-squares solution of g p = l t - w, where l makes the step ascend.
     """
+    n, st, sw, tt, ww, tw = sums[:6]
+    if n < 16:
+        return None, np.nan
+    sg, gt, gw = sums[6 : 6 + 3 * p].reshape(3, p)
+    gg = sums[6 + 3 * p :].reshape(p, p) - np.outer(sg, sg) / n
+    tt, ww, tw, gt, gw = tt - st * st / n, ww - sw * sw / n, tw - st * sw / n, gt - sg * st / n, gw - sg * sw / n
+    norm = np.sqrt(max(tt, 0.0) * max(ww, 0.0))
+    if not norm > 1e-12 * n:
+        return None, np.nan
+    try:
+        fit_t, fit_w = np.linalg.solve(gg, np.stack([gt, gw], axis=1)).T
+    except np.linalg.LinAlgError:
+        return None, np.nan
+    below = tw - gt @ fit_w
+    lift = (ww - gw @ fit_w) / below if below > 0 else 1.0
+    return lift * fit_t - fit_w, float(tw / norm)
+
+
+def moved_by(m: np.ndarray, step: np.ndarray, model: str) -> np.ndarray:
+    """``m`` after a step; a perspective transform is divided by its last element."""
+    m = m.copy()
+    if model == "translation":
+        m[:2, 2] += step
+    elif model == "affine":
+        m[:2] += step.reshape(2, 3)
+    else:
+        m = (m.ravel() + np.append(step, 0.0)).reshape(3, 3)
+        m = m / m[2, 2] if abs(m[2, 2]) > 1e-8 else np.full((3, 3), np.nan)
+    return m
+
+
+def correlate(a: np.ndarray, b: np.ndarray, m: np.ndarray, model: str = "affine", steps: int = STEPS) -> tuple[np.ndarray, float]:
+    """A transform near ``m`` that maximises the correlation of ``a`` with the moved ``b``, and that correlation; nan where the images have no overlap or texture."""
+    to, rho = centring(a.shape), np.nan
+    back = np.linalg.inv(to)
     y, x = np.mgrid[: a.shape[0], : a.shape[1]].astype(float)
     gy, gx = np.gradient(b)
-    rho = np.nan
-    for _ in range(STEPS):
+    for _ in range(steps):
         w, inside = moved(b, m, a.shape)
-        if inside.sum() < 16:
-            return m, np.nan
-        px, py = (moved(g, m, a.shape)[0][inside] for g in (gx, gy))
-        xs, ys = x[inside], y[inside]
-        g = np.stack([px * xs, px * ys, px, py * xs, py * ys, py], axis=1)
-        g -= g.mean(0)
-        t, w = a[inside] - a[inside].mean(), w[inside] - w[inside].mean()
-        norm = np.sqrt((t @ t) * (w @ w))
-        if not norm > 0:
+        unit = to @ np.stack([x[inside], y[inside], np.ones(inside.sum())])
+        slopes = (moved(g, m, a.shape)[0][inside] * back[0, 0] for g in (gx, gy))
+        step, found = ascent(partial_sums(a[inside], w[inside], derivatives(model, to @ m @ back, unit[0], unit[1], *slopes)), MODELS[model])
+        if step is None:
             return m, np.nan
-        before, rho = rho, float(t @ w / norm)
-        try:
-            left = np.linalg.solve(g.T @ g, np.stack([g.T @ t, g.T @ w], axis=1))
-        except np.linalg.LinAlgError:
-            return m, np.nan
-        fit_t, fit_w = left.T
-        below = t @ w - (g.T @ t) @ fit_w
-        lift = (w @ w - (g.T @ w) @ fit_w) / below if below > 0 else 1.0
-        m = m.copy()
-        m[:2] += (lift * fit_t - fit_w).reshape(2, 3)
+        before, rho = rho, found
+        m = back @ moved_by(to @ m @ back, step, model) @ to
+        if model == "perspective":
+            m = m / m[2, 2]
         if not np.isfinite(m).all() or abs(rho - before) < TOLERANCE:
             break
     return m, rho
 
 
-def coarse_to_fine(a: np.ndarray, b: np.ndarray, m: np.ndarray, levels: int) -> tuple[np.ndarray, float]:
+def coarse_to_fine(a: np.ndarray, b: np.ndarray, m: np.ndarray, levels: int, model: str = "affine") -> tuple[np.ndarray, float]:
     """``correlate`` from the coarsest of ``levels`` levels to the finest."""
     pyramid = [(a, b)]
     for _ in range(levels - 1):
@@ -139,20 +192,20 @@ def coarse_to_fine(a: np.ndarray, b: np.ndarray, m: np.ndarray, levels: int) ->
     rho = np.nan
     for k in range(levels - 1, -1, -1):
         scale = np.diag([2.0**k, 2.0**k, 1.0])
-        found, rho = correlate(*pyramid[k], np.linalg.inv(scale) @ m @ scale)
+        found, rho = correlate(*pyramid[k], np.linalg.inv(scale) @ m @ scale, model)
         if np.isfinite(rho) and np.isfinite(found).all():
             m = scale @ found @ np.linalg.inv(scale)
     return m, rho
 
 
 def stable(m: np.ndarray, start: np.ndarray, shape: tuple[int, int]) -> bool:
-    """Whether refinement changed scale and corners little enough to count as one."""
-    if not np.isfinite(m).all():
+    """Whether refinement stayed near its start: what leads from one transform to the other hardly scales, and hardly moves the corners of a frame."""
+    if not np.isfinite(m).all() or min(abs(np.linalg.det(x)) for x in (m, start)) < 1e-16:
         return False
-    old, new = (np.sqrt(abs(np.linalg.det(x[:2, :2]))) for x in (start, m))
-    corners = np.array([[0, shape[1] - 1, shape[1] - 1, 0], [0, 0, shape[0] - 1, shape[0] - 1], [1, 1, 1, 1.0]])
-    far = np.linalg.norm(((m - start) @ corners)[:2], axis=0).max()
-    return bool(min(old, new) > 1e-8 and abs(new / old - 1) <= CHANGE and far <= CHANGE * np.hypot(*shape))
+    between = m @ np.linalg.inv(start)
+    corners = np.array([(x, y, 1.0) for x in (0, shape[1] - 1) for y in (0, shape[0] - 1)])
+    drift = corners @ (between - np.eye(3))[:2].T
+    return bool(abs(abs(np.linalg.det(between)) ** 0.5 - 1) <= CHANGE and np.hypot(*drift.T).max() <= CHANGE * np.hypot(*shape))
 
 
 def refine(a: np.ndarray, b: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, float]:
@@ -178,16 +231,38 @@ def refine(a: np.ndarray, b: np.ndarray, start: np.ndarray) -> tuple[np.ndarray,
     return best[2], float(best[0])
 
 
-def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, float]:
-    """Guess and refinement of a pair of equal shape; an implausible scale gives the guess with correlation 0."""
-    start = guess(a, b)
-    m, rho = refine(a, b, start)
-    scale = np.sqrt(abs(np.linalg.det(m[:2, :2])))
-    return (m, rho) if PLAUSIBLE[0] < scale < PLAUSIBLE[1] else (start, 0.0)
-
-
-def estimate_pairs(frames: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(link, m, correlation) for ``pairs(link, a, b)`` of ``frames(frame, y, row, height)`` (proxies); pairs of different shapes give none."""
+def believable(m: np.ndarray, model: str, shape: tuple[int, int]) -> bool:
+    """Whether a transform is one that frames of a stack can have: a scale near 1; for a perspective one corners that move by less than half the diagonal."""
+    if not np.isfinite(m).all() or abs(np.linalg.det(m)) <= 1e-8:
+        return False
+    if model != "perspective":
+        return bool(PLAUSIBLE[0] < abs(np.linalg.det(m[:2, :2])) ** 0.5 < PLAUSIBLE[1])
+    corners = np.array([(x, y, 1.0) for x in (0, shape[1] - 1) for y in (0, shape[0] - 1)])
+    far = corners @ m.T
+    return bool(np.abs(far[:, 2]).min() > 1e-6 and np.hypot(*(far[:, :2] / far[:, 2:] - corners[:, :2]).T).max() < np.hypot(*shape) / 2)
+
+
+def estimate(a: np.ndarray, b: np.ndarray, model: str = "similarity") -> tuple[np.ndarray, float]:
+    """Guess and refinement of a pair of equal shape by a translation, similarity or perspective transform; an implausible result gives the guess with correlation 0."""
+    if model == "translation":
+        dy, dx, _ = phase_shift(a, b)
+        start = np.array([[1, 0, dx], [0, 1, dy], [0, 0, 1.0]])
+        m, rho = coarse_to_fine(a, b, start, LEVELS, model)
+    elif model == "perspective":
+        start = guess(a, b)
+        # The similarity is a start from which the two terms of depth have little way to go.
+        near, _ = refine(a, b, start)
+        m, rho = coarse_to_fine(a, b, near, LEVELS, model)
+    elif model == "similarity":
+        start = guess(a, b)
+        m, rho = refine(a, b, start)
+    else:
+        raise ValueError(f"unknown model of motion {model!r}; known are translation, similarity and perspective")
+    return (m, float(rho)) if np.isfinite(rho) and believable(m, model, a.shape) else (start, 0.0)
+
+
+def estimate_pairs(frames: DataFrame, pairs: DataFrame, model: str = "similarity") -> DataFrame:
+    """(link, m, correlation) for ``pairs(link, a, b)`` of ``frames(frame, y, row, height)`` (proxies) by a ``model`` of motion; pairs of different shapes give none."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         first, second = (table.filter(pc.equal(table["side"], side)).sort_by("y") for side in (0, 1))
@@ -195,7 +270,7 @@ def estimate_pairs(frames: DataFrame, pairs: DataFrame) -> DataFrame:
         if first.num_rows and second.num_rows:
             a, b = (_dense(t).astype(float) / 255 for t in (first, second))
             if a.shape == b.shape and min(a.shape) >= 16:
-                m, rho = estimate(a, b)
+                m, rho = estimate(a, b, model)
                 made = [(key[0].as_py(), m.ravel().tolist(), rho)]
         columns = list(zip(*made)) or [[], [], []]
         return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.list_(pa.float64()), pa.float64()))], names=["link", "m", "correlation"])
@@ -204,6 +279,121 @@ def estimate_pairs(frames: DataFrame, pairs: DataFrame) -> DataFrame:
     return frames.select("frame", "y", "row").join(F.broadcast(sides), "frame").groupBy("link").applyInArrow(run, "link int, m array<double>, correlation double")
 
 
+def _halo_rows(m: str, band: int) -> str:
+    """SQL for the rows of the second frame, as an array, that a band of the first one needs: the band's corners moved, and a row more than the samples' gradients touch."""
+    first, last = f"(band * {band})", f"least((band + 1) * {band}, height) - 1"
+    depth = f"({m}[6] * c.x + {m}[7] * c.y + {m}[8])"
+    rows = f"transform(array(struct(0D AS x, cast({first} AS double) AS y), struct(width - 1D AS x, cast({first} AS double) AS y), struct(0D AS x, cast({last} AS double) AS y), struct(width - 1D AS x, cast({last} AS double) AS y)), c -> ({m}[3] * c.x + {m}[4] * c.y + {m}[5]) / {depth})"
+    low, high = f"cast(greatest(0, floor(array_min({rows})) - 2) AS int)", f"cast(least(height - 1, floor(array_max({rows})) + 3) AS int)"
+    return f"CASE WHEN {low} <= {high} THEN sequence({low}, {high}) ELSE cast(array() AS array<int>) END"
+
+
+def _band_sums(model: str, p: int):
+    """Partial sums of a band: its rows of the first frame (side 0) and the rows around it of the second (side 1)."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        link, _ = (k.as_py() for k in key)
+        out = np.zeros(6 + 3 * p + p * p)
+        first, second = (table.filter(pc.equal(table["side"], side)).sort_by("y") for side in (0, 1))
+        if first.num_rows and second.num_rows:
+            m, height = np.array(table["m"][0].as_py()).reshape(3, 3), table["height"][0].as_py()
+            a, b = (_dense(t).astype(float) / 255 for t in (first, second))
+            top, width = second["y"][0].as_py(), a.shape[1]
+            to = centring((height, width))
+            back = np.linalg.inv(to)
+            x, y = (v.ravel() for v in np.meshgrid(np.arange(width, dtype=float), first["y"].to_numpy().astype(float)))
+            sx, sy, depth = m @ np.stack([x, y, np.ones_like(x)])
+            depth = np.where(np.abs(depth) < 1e-8, 1e-8, depth)
+            sx, sy = sx / depth, sy / depth
+            inside = (sy >= 0) & (sx >= 0) & (sy <= height - 1) & (sx <= width - 1)
+            if inside.any():
+                sy, sx = sy[inside] - top, sx[inside]
+                gy, gx = np.gradient(b) if len(b) > 1 else (np.zeros_like(b), np.gradient(b, axis=1))
+                w, slope_x, slope_y = (sampled(v, sy, sx)[0] for v in (b, gx, gy))
+                unit = to @ np.stack([x[inside], y[inside], np.ones(inside.sum())])
+                out = partial_sums(a.ravel()[inside], w, derivatives(model, to @ m @ back, unit[0], unit[1], slope_x * back[0, 0], slope_y * back[0, 0]))
+        return pa.table({"link": pa.array([link], pa.int32()), "sums": pa.array([out.tolist()], pa.list_(pa.float64()))})
+
+    return run
+
+
+def polish(frames: DataFrame, starts: DataFrame, model: str = "affine", rounds: int = 10, band: int = BAND) -> DataFrame:
+    """(link, m, correlation): correlation steps from ``starts(link, a, b, m)`` on ``frames(frame, y, row, height)`` of full size and equal shape.
+
+    A frame is never in one task: each band of the first frame meets the rows of the second that its samples come from, and gives the sums of its normal
+    equations. These are added up; a few dozen numbers a link reach the driver, which solves them and sends the next transforms. Links that have
+    settled leave. A link without overlap or texture keeps its start, with a null correlation.
+    """
+    spark, p = frames.sparkSession, MODELS[model]
+    links = {r["link"]: (r["a"], r["b"], np.array(r["m"]).reshape(3, 3)) for r in starts.select("link", "a", "b", "m").collect()}
+    known = {r["frame"]: (r["height"], r["width"]) for r in frames.groupBy("frame").agg(F.max("height").alias("height"), F.max(F.size("row")).alias("width")).collect()}
+    rho, open_ = dict.fromkeys(links, np.nan), {k for k, (a, b, _) in links.items() if a in known and known.get(a) == known.get(b)}
+    for _ in range(rounds):
+        if not open_:
+            break
+        made = [(k, a, b, m.ravel().tolist(), *known[a]) for k, (a, b, m) in sorted(links.items()) if k in open_]
+        now = F.broadcast(spark.createDataFrame(made, "link int, a int, b int, m array<double>, height int, width int"))
+        values = frames.select("frame", "y", F.col("row").cast("array<double>").alias("row"))
+        one = values.join(now, F.col("frame") == F.col("a")).select("link", F.expr(f"cast(y div {band} AS int)").alias("band"), F.lit(0).alias("side"), "y", "row", "m", "height")
+        needed = now.select("*", F.explode(F.expr(f"sequence(0, (height - 1) div {band})")).alias("band")).select("link", "band", "b", "m", "height", F.explode(F.expr(_halo_rows("m", band))).alias("row_b"))
+        two = values.join(needed, (F.col("frame") == F.col("b")) & (F.col("y") == F.col("row_b"))).select("link", F.col("band").cast("int").alias("band"), F.lit(1).alias("side"), "y", "row", "m", "height")
+        each = one.unionByName(two).groupBy("link", "band").applyInArrow(_band_sums(model, p), "link int, sums array<double>")
+        total = {k: np.zeros(6 + 3 * p + p * p) for k in open_}
+        for r in each.select("link", F.posexplode("sums")).groupBy("link", "pos").agg(F.sum("col").alias("v")).collect():
+            total[r["link"]][r["pos"]] = r["v"]
+        for k in sorted(open_):
+            step, found = ascent(total[k], p)
+            a, b, m = links[k]
+            if step is None:
+                open_.discard(k)
+                continue
+            to = centring(known[a])
+            back = np.linalg.inv(to)
+            after = back @ moved_by(to @ m @ back, step, model) @ to
+            after = after / after[2, 2]
+            if not np.isfinite(after).all():
+                open_.discard(k)
+                continue
+            if abs(found - rho[k]) < TOLERANCE:
+                open_.discard(k)
+            links[k], rho[k] = (a, b, after), found
+    rows = [(k, m.ravel().tolist(), None if np.isnan(rho[k]) else rho[k]) for k, (_, _, m) in links.items()]
+    return spark.createDataFrame(rows, "link int, m array<double>, correlation double")
+
+
+def estimate_full(frames: DataFrame, pairs: DataFrame, model: str = "similarity", longest: int = 2048) -> DataFrame:
+    """(link, m, correlation, gain) at full resolution for ``pairs(link, a, b)`` of ``frames(frame, y, row, height)``.
+
+    Proxies give the estimate; where frames are larger than their proxies it is scaled up and polished on all their pixels, and an
+    implausible polish falls back to it. ``gain`` is what the second frame's brightness is multiplied by to have the first one's mean.
+    """
+    small = proxies(frames, longest)
+    factor = small.agg(F.max("factor")).first()[0] or 1.0
+    found = estimate_pairs(small, pairs, model)
+    full = found.select("link", F.expr(geometry.rescale("m", factor)).alias("m"), "correlation")
+    if factor > 1:
+        held = full.collect()
+        rough = frames.sparkSession.createDataFrame(held, full.schema)
+        motion = "affine" if model == "similarity" else model
+        fine = {r["link"]: r for r in polish(frames, rough.join(pairs, "link"), motion).collect()}
+        shape = frames.agg(F.max("height"), F.max(F.size("row"))).first()
+        rows = []
+        for r in held:
+            m, rho, better = np.array(r["m"]).reshape(3, 3), r["correlation"], fine.get(r["link"])
+            if better is not None and better["correlation"] is not None:
+                polished = np.array(better["m"]).reshape(3, 3)
+                polished = similar_to(polished, tuple(shape)) if model == "similarity" else polished
+                if believable(polished, model, tuple(shape)):
+                    m, rho = polished, better["correlation"]
+            rows.append((r["link"], m.ravel().tolist(), rho))
+        full = frames.sparkSession.createDataFrame(rows, full.schema)
+    means = small.select("frame", F.expr("aggregate(row, 0D, (s, v) -> s + v)").alias("s"), F.size("row").alias("n")).groupBy("frame").agg((F.sum("s") / F.sum("n")).alias("mean"))
+    bright = pairs.join(means.select(F.col("frame").alias("a"), F.col("mean").alias("ma")), "a").join(means.select(F.col("frame").alias("b"), F.col("mean").alias("mb")), "b")
+    # Samples are codes: 255 stands for 1.
+    gain = F.when(F.col("mb") < 255e-6, 1.0).otherwise(F.col("ma") / F.col("mb"))
+    return full.join(bright.select("link", gain.alias("gain")), "link")
+
+
 def align(frames: DataFrame, n: int, ref: int, threshold: float = 0.9) -> DataFrame:
     """(frame, m, affected, recovered, dropped) of a stack of ``n`` frames (``frames`` are its proxies, numbered from 0; their pairs are broadcast).
 

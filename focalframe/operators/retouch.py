@@ -40,13 +40,17 @@ def stroke_masks(strokes: DataFrame, height: int, width: int) -> DataFrame:
     return spots.groupBy("seq", "py", "px").agg(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.max(value))).alias("mask"))
 
 
-def retouched(base: DataFrame, strokes: DataFrame, sources: DataFrame, height: int, width: int) -> DataFrame:
-    """(y, x, v): ``base(y, x, v)`` with the strokes blended in order of seq; brush strokes paint ``sources(source, y, x, s)``, erasers the base."""
+def retouched(base: DataFrame, strokes: DataFrame, sources: DataFrame, height: int, width: int, start: DataFrame | None = None) -> DataFrame:
+    """(y, x, v): ``base(y, x, v)`` with the strokes blended in order of seq; brush strokes paint ``sources(source, y, x, s)``, erasers the base.
+
+    With ``start(y, x, v)`` the strokes are blended into that image, which earlier strokes have made of the base.
+    """
     masks = stroke_masks(strokes, height, width).withColumnsRenamed({"py": "y", "px": "x"}).join(strokes.select("seq", "source", "mode", "opacity"), "seq")
     painted = masks.join(sources, ["source", "y", "x"], "left").select("y", "x", F.struct("seq", (F.col("mask") * F.col("opacity")).alias("a"), F.when(F.col("mode") != "erase", F.col("s")).alias("s")).alias("t"))
     steps = painted.groupBy("y", "x").agg(F.array_sort(F.collect_list("t")).alias("steps"))
-    fold = "aggregate(coalesce(steps, array()), v, (acc, t) -> acc * (1 - t.a) + coalesce(t.s, v) * t.a)"
-    return base.join(steps, ["y", "x"], "left").select("y", "x", F.expr(fold).alias("v"))
+    begun = base.withColumn("begun", F.col("v")) if start is None else base.join(start.withColumnRenamed("v", "begun"), ["y", "x"])
+    fold = "aggregate(coalesce(steps, array()), begun, (acc, t) -> acc * (1 - t.a) + coalesce(t.s, v) * t.a)"
+    return begun.join(steps, ["y", "x"], "left").select("y", "x", F.expr(fold).alias("v"))
 
 
 def live_strokes(log: DataFrame) -> DataFrame:
@@ -89,8 +93,11 @@ def triangle(n: int, size: int) -> np.ndarray:
     return weights / weights.sum(1, keepdims=True)
 
 
-def shrunk(image: DataFrame, height: int, width: int, sizes: list[tuple[int, int, int]]) -> DataFrame:
-    """(z, y, row) of an image (y, row) of ``height`` x ``width`` at each of ``sizes(z, width, height)``: rows go to the output rows that they weigh in."""
+def shrunk(image: DataFrame, height: int, width: int, sizes: list[tuple[int, int, int]], only: DataFrame | None = None, every: int = 1) -> DataFrame:
+    """(z, y, row) of an image (y, row) of ``height`` x ``width`` at each of ``sizes(z, width, height)``: rows go to the output rows that they weigh in.
+
+    With ``only(z, ty)`` just the output rows of the named runs of ``every`` rows are made.
+    """
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         z, y = (k.as_py() for k in key)
@@ -110,13 +117,15 @@ def shrunk(image: DataFrame, height: int, width: int, sizes: list[tuple[int, int
         low, high = f"greatest(0, cast(floor((y + 0.5D - {wide}D) / {scale}D - 0.5D) AS int))", f"least({h - 1}, cast(ceil((y + 0.5D + {wide}D) / {scale}D - 0.5D) AS int))"
         spots.append(f"filter(transform(sequence({low}, {high}), o -> struct({z} AS z, o AS y)), t -> abs(y + 0.5D - (t.y + 0.5D) * {scale}D) < {wide}D)")
     dealt = image.select(F.col("y").alias("from"), "row", F.explode(F.expr(f"concat({', '.join(spots)})")).alias("t")).select("t.z", "t.y", "from", "row")
+    if only is not None:
+        dealt = dealt.withColumn("ty", F.expr(f"cast(y div {every} AS int)")).join(only.select("z", "ty").distinct(), ["z", "ty"], "left_semi").drop("ty")
     return dealt.groupBy("z", "y").applyInArrow(run, "z int, y int, row array<double>")
 
 
-def tile_rows(image: DataFrame, height: int, width: int, tile: int = 256) -> DataFrame:
-    """(z, ty, tx, dy, row): the viewer tiles of an image, by rows; the last level is the image at full size."""
+def tile_rows(image: DataFrame, height: int, width: int, tile: int = 256, only: DataFrame | None = None) -> DataFrame:
+    """(z, ty, tx, dy, row): the viewer tiles of an image, by rows; the last level is the image at full size. With ``only(z, ty)`` just those rows of tiles."""
     cut = f"transform(sequence(0, (size(row) - 1) div {tile}), t -> struct(t AS tx, slice(row, t * {tile} + 1, {tile}) AS row))"
-    parts = shrunk(image, height, width, viewer_levels(width, height, tile)).select("z", "y", F.explode(F.expr(cut)).alias("t"))
+    parts = shrunk(image, height, width, viewer_levels(width, height, tile), only, tile).select("z", "y", F.explode(F.expr(cut)).alias("t"))
     return parts.select("z", F.expr(f"cast(y div {tile} AS int)").alias("ty"), F.col("t.tx").alias("tx"), (F.col("y") % tile).alias("dy"), F.col("t.row").alias("row"))
 
 

@@ -372,15 +372,3 @@ def pending_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def low_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links below the correlation that reviews ask for."""
     return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("link"), F.expr("cast(s_acctbal AS double) / 10000D").alias("correlation")).where("correlation < 0.9")
-
-
-@query()
-def viewer_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tiles of the mean frame, 16 pixels a side."""
-    frames = embedding_frames(spark, sf_dir)
-    mean = pixels(frames).groupBy("y", "x").agg(F.sum("v").alias("v")).withColumn("frame", F.lit(0))
-    from ..raster import rows
-
-    height = frames.agg(F.max("height")).first()[0] or 1
-    out = retouch.tile_rows(rows(mean).select("y", "row"), height, 64, 16)
-    return out.select("z", "ty", "tx", "dy", F.posexplode("row").alias("dx", "v"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -82,23 +82,30 @@ TIFF_TYPES = {1: "B", 3: "H", 4: "I", 16: "Q"}
 WIDTH, HEIGHT, BITS, COMPRESSION, OFFSETS, ORIENTATION, CHANNELS, STRIP_ROWS, COUNTS, PREDICTOR, FORMAT = 256, 257, 258, 259, 273, 274, 277, 278, 279, 317, 339
 
 
-def tiff_tags(data: bytes) -> tuple[str, dict[int, tuple[int, ...]]]:
-    """The byte order of a TIFF file, and the whole-number tags of its first image."""
-    if data[:4] not in (b"II*\0", b"MM\0*"):
+def tiff_fields(fetch: Callable[[int, int], bytes]) -> tuple[str, dict[int, tuple[int, ...]]]:
+    """The byte order of a TIFF file, and the whole-number tags of its first image; ``fetch(at, size)`` gives bytes of the file."""
+    head = fetch(0, 8)
+    if head[:4] not in (b"II*\0", b"MM\0*"):
         raise ValueError("not a TIFF file")
-    order = "<" if data[:1] == b"I" else ">"
-    at = struct.unpack_from(order + "I", data, 4)[0]
-    tags = {}
-    for k in range(struct.unpack_from(order + "H", data, at)[0]):
-        spot = at + 2 + 12 * k
-        tag, kind, n = struct.unpack_from(order + "HHI", data, spot)
+    order = "<" if head[:1] == b"I" else ">"
+    at = struct.unpack_from(order + "I", head, 4)[0]
+    n = struct.unpack(order + "H", fetch(at, 2))[0]
+    entries, tags = fetch(at + 2, 12 * n), {}
+    for k in range(n):
+        tag, kind, count = struct.unpack_from(order + "HHI", entries, 12 * k)
         if kind in TIFF_TYPES:
-            code = order + TIFF_TYPES[kind] * n
-            where = spot + 8 if struct.calcsize(code) <= 4 else struct.unpack_from(order + "I", data, spot + 8)[0]
-            tags[tag] = struct.unpack_from(code, data, where)
+            code = order + TIFF_TYPES[kind] * count
+            size = struct.calcsize(code)
+            body = entries[12 * k + 8 : 12 * k + 8 + size] if size <= 4 else fetch(struct.unpack_from(order + "I", entries, 12 * k + 8)[0], size)
+            tags[tag] = struct.unpack(code, body)
     return order, tags
 
 
+def tiff_tags(data: bytes) -> tuple[str, dict[int, tuple[int, ...]]]:
+    """``tiff_fields`` of a whole file."""
+    return tiff_fields(lambda at, size: data[at : at + size])
+
+
 def decode_tiff(data: bytes) -> np.ndarray:
     """(height, width, 3) samples of an RGB TIFF in strips, plain or deflated: codes, or floats of 32 bits."""
     order, tags = tiff_tags(data)
@@ -111,21 +118,28 @@ def decode_tiff(data: bytes) -> np.ndarray:
     return pixels.astype(np.float64 if form == 3 else np.int64)
 
 
-def encode_tiff(image: np.ndarray, bits: int = 16) -> bytes:
-    """A plain TIFF in one strip: values clamped to [0, 1] and rounded half up, or with 32 bits floats as they are."""
-    samples = image.astype("<f4") if bits == 32 else np.floor(np.clip(image, 0, 1) * ((1 << bits) - 1) + 0.5).astype(f"<u{bits // 8}")
-    height, width = image.shape[:2]
-    form = 3 if bits == 32 else 1
-    fields = [(WIDTH, 4, [width]), (HEIGHT, 4, [height]), (BITS, 3, [bits] * 3), (COMPRESSION, 3, [1]), (262, 3, [2]), (OFFSETS, 4, [0]), (CHANNELS, 3, [3]), (STRIP_ROWS, 4, [height]), (COUNTS, 4, [samples.nbytes]), (FORMAT, 3, [form] * 3)]
+def tiff_head(height: int, width: int, bits: int, strip_rows: int) -> bytes:
+    """All that comes before the samples of a plain RGB TIFF, whose strips follow each other."""
+    line = width * 3 * bits // 8
+    rows = [min(strip_rows, height - y) for y in range(0, height, strip_rows)]
+    fields = [(WIDTH, 4, [width]), (HEIGHT, 4, [height]), (BITS, 3, [bits] * 3), (COMPRESSION, 3, [1]), (262, 3, [2]), (OFFSETS, 4, [0] * len(rows)), (CHANNELS, 3, [3]), (STRIP_ROWS, 4, [strip_rows]), (COUNTS, 4, [n * line for n in rows]), (FORMAT, 3, [3 if bits == 32 else 1] * 3)]
     after = 8 + 2 + 12 * len(fields) + 4
-    start = after + 12
+    start = after + sum(size for _, kind, values in fields if (size := struct.calcsize("<" + TIFF_TYPES[kind] * len(values))) > 4)
     head, extra = b"", b""
     for tag, kind, values in fields:
-        body = struct.pack("<" + TIFF_TYPES[kind] * len(values), *([start] if tag == OFFSETS else values))
+        if tag == OFFSETS:
+            values = [start + strip_rows * line * k for k in range(len(rows))]
+        body = struct.pack("<" + TIFF_TYPES[kind] * len(values), *values)
         if len(body) > 4:
             extra, body = extra + body, struct.pack("<I", after + len(extra))
         head += struct.pack("<HHI", tag, kind, len(values)) + body.ljust(4, b"\0")
-    return b"II*\0" + struct.pack("<I", 8) + struct.pack("<H", len(fields)) + head + b"\0\0\0\0" + extra + samples.tobytes()
+    return b"II*\0" + struct.pack("<I", 8) + struct.pack("<H", len(fields)) + head + b"\0\0\0\0" + extra
+
+
+def encode_tiff(image: np.ndarray, bits: int = 16) -> bytes:
+    """A plain TIFF in one strip: values clamped to [0, 1] and rounded half up, or with 32 bits floats as they are."""
+    samples = image.astype("<f4") if bits == 32 else np.floor(np.clip(image, 0, 1) * ((1 << bits) - 1) + 0.5).astype(f"<u{bits // 8}")
+    return tiff_head(*image.shape[:2], bits, image.shape[0]) + samples.tobytes()
 
 
 def jpeg_size(data: bytes) -> tuple[int, int, int, int]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordinal import numbered
+
 #: Extensions of frames, raw and rendered.
 RENDERED = ("jpeg", "jpg", "png", "tif", "tiff")
 RAW = ("3fr", "arw", "cr2", "cr3", "crw", "dcr", "dng", "erf", "fff", "iiq", "kdc", "mef", "mos", "mrw", "nef", "nrw", "orf", "pef", "raf", "raw", "rw2", "srw", "x3f")
@@ -91,8 +93,8 @@ def source_digest(files: DataFrame, by: list[str], name: str = "name", digest: s
 def add_frames(have: DataFrame, new: DataFrame) -> DataFrame:
     """(path, ordinal): the new paths that are not there yet go to the end, in order, each once."""
     once = new.groupBy("path").agg(F.min("ordinal").alias("o")).join(have.select("path"), "path", "left_anti")
-    tail = have.agg(F.coalesce(F.max("ordinal") + 1, F.lit(0)).alias("next"))
-    placed = once.withColumn("k", F.row_number().over(Window.orderBy("o")) - 1).crossJoin(F.broadcast(tail)).select("path", (F.col("next") + F.col("k")).alias("ordinal"))
+    tail = have.agg(F.coalesce(F.max("ordinal") + 1, F.lit(0))).first()[0]
+    placed = numbered(once, "o", "path", name="k").select("path", (F.col("k") + tail).alias("ordinal"))
     return have.select("path", "ordinal").unionByName(placed)
 
 
@@ -102,8 +104,7 @@ def remove_frames(have: DataFrame, drop: DataFrame) -> DataFrame:
 
 def reindex(frames: DataFrame, kept: DataFrame) -> DataFrame:
     """(frame, position): the kept frames numbered from 0."""
-    chosen = frames.select("frame").distinct().join(kept, "frame", "left_semi")
-    return chosen.select("frame", (F.dense_rank().over(Window.orderBy("frame")) - 1).alias("position"))
+    return numbered(frames.select("frame").distinct().join(kept, "frame", "left_semi"), "frame")
 
 
 def first_names(names: DataFrame, most: int = 8) -> DataFrame:
@@ -120,9 +121,14 @@ def latest_jobs(events: DataFrame) -> DataFrame:
 
 
 def job_order(jobs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(job_id, position): pending jobs as the user ordered them, the others after them as they came; the rest unchanged in front."""
-    placed = jobs.join(wanted, "job_id", "left").withColumn("rank", F.when(F.col("status") != "pending", 0).when(F.col("wanted").isNotNull(), 1).otherwise(2))
-    return placed.select("job_id", (F.row_number().over(Window.orderBy("rank", "wanted", "seq")) - 1).alias("position"))
+    """(job_id, position): of ``jobs(job_id, status, seq)`` first the job in front, then the pending ones that the user has ordered (``wanted(job_id, wanted)``), then the rest as they came.
+
+    The job in front is the first that is not among those; a wanted job that is not pending stays where it is.
+    """
+    marked = jobs.join(wanted, "job_id", "left").withColumn("moved", (F.col("status") == "pending") & F.col("wanted").isNotNull())
+    front = marked.where("NOT moved").agg(F.min("seq")).first()[0]
+    rank = F.when(F.col("moved"), 1).when(F.col("seq").eqNullSafe(F.lit(front)), 0).otherwise(2)
+    return numbered(marked.select("job_id", rank.alias("rank"), F.when(F.col("moved"), F.col("wanted")).otherwise(F.col("seq")).alias("key")), "rank", "key", "job_id").select("job_id", "position")
 
 
 def export_name(template: str, **values: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..raster import pixels
+from .ordinal import numbered
 
 IDENTITY = "array(1D, 0D, 0D, 0D, 1D, 0D, 0D, 0D, 1D)"
 
@@ -129,4 +130,6 @@ def flagged_and_dropped(affected: DataFrame, recovered: DataFrame, bad: DataFram
 
 def consecutive_pairs(frames: DataFrame) -> DataFrame:
     """(link, a, b): a frame and the one after it in the list."""
-    return frames.select(F.col("frame").alias("a"), F.lead("frame").over(Window.orderBy("frame")).alias("b")).where("b IS NOT NULL").select((F.row_number().over(Window.orderBy("a")) - 1).alias("link"), "a", "b")
+    listed = numbered(frames.select("frame"), "frame", name="link")
+    after = listed.select((F.col("link") - 1).alias("link"), F.col("frame").alias("b"))
+    return listed.withColumnRenamed("frame", "a").join(after, "link").select(F.col("link").cast("int").alias("link"), "a", "b")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from xml.etree import ElementTree
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,12 +79,83 @@ def without_single_exposure(keys: str) -> Column:
     return F.map_filter(keys, lambda k, _: ~plain(k).rlike("|".join(SINGLE_EXPOSURE)))
 
 
-def xmp_map(packet: str = "packet") -> Column:
-    """``Xmp.<prefix>.<name>`` to value: attributes with a known prefix in an XMP packet; an empty map for null."""
-    found = rf"regexp_extract_all({packet}, '\\b(?:{'|'.join(XMP)}):\\w+=\"[^\"]*\"', 0)"
-    pairs = F.expr(f"transform({found}, a -> struct(concat('Xmp.', replace(substring_index(a, '=', 1), ':', '.')) AS key, substring(a, instr(a, '=\"') + 2, length(a) - instr(a, '=\"') - 2) AS value))")
-    grouped = F.aggregate(pairs, F.create_map().cast("map<string,string>"), lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != p["key"]), F.create_map(p["key"], p["value"])))
-    return F.coalesce(grouped, F.create_map().cast("map<string,string>"))
+def xmp_map(packet: str = "packet", namespaces: dict[str, str] = XMP) -> Column:
+    """``Xmp.<prefix>.<name>`` to value, of the attributes and element texts of an XMP packet (a string) that belong to known ``namespaces``, whatever prefixes the packet gives them.
+
+    Of several values of a name the last in the document counts, an element's text after its attributes. Null, empty and malformed packets give an empty map.
+    SQL's XML functions neither resolve prefixes nor tell names, so a parser reads each packet.
+    """
+    prefixes = {uri: prefix for prefix, uri in namespaces.items()}
+
+    @F.arrow_udf("map<string,string>")
+    def read(packets: pa.Array) -> pa.Array:
+        found = []
+        for packet in packets.to_pylist():
+            values: dict[str, str] = {}
+
+            def say(name: str, value: str) -> None:
+                uri, _, local = name[1:].partition("}")
+                if name[:1] == "{" and uri in prefixes:
+                    values[f"Xmp.{prefixes[uri]}.{local}"] = value
+
+            try:
+                for element in ElementTree.fromstring(packet).iter() if packet else ():
+                    for name, value in element.attrib.items():
+                        say(name, value)
+                    if element.text and element.text.strip():
+                        say(element.tag, element.text.strip())
+            except ElementTree.ParseError:
+                values.clear()
+            found.append(list(values.items()))
+        return pa.array(found, pa.map_(pa.string(), pa.string()))
+
+    return read(F.col(packet))
+
+
+#: The namespaces that wrap an XMP packet, and the entities of signs in attributes.
+WRAPPERS = {"x": "adobe:ns:meta/", "rdf": "http://www.w3.org/1999/02/22-rdf-syntax-ns#"}
+ENTITIES = {"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&quot;", "\r": "&#13;", "\n": "&#10;", "\t": "&#09;"}
+
+
+def xmp_packet(values: str = "xmp", namespaces: dict[str, str] = XMP) -> Column:
+    """An XMP packet of a map ``Xmp.<prefix>.<name>`` to value: an attribute for each known name, sorted by name; null for a null or empty map. ``xmp_map`` reads it back."""
+
+    def prefix(e: Column) -> Column:
+        return F.get(F.split(e["key"], "[.]"), F.lit(1))
+
+    def attribute(e: Column) -> Column:
+        shown = e["value"]
+        for sign, entity in ENTITIES.items():
+            shown = F.replace(shown, F.lit(sign), F.lit(entity))
+        name = F.substring(e["key"], F.lit(6) + F.length(prefix(e)), F.length(e["key"]))
+        return F.concat(F.lit(" "), prefix(e), F.lit(":"), name, F.lit('="'), shown, F.lit('"'))
+
+    named = F.filter(F.map_entries(values), lambda e: e["key"].rlike(r"^Xmp\.[^.]+\..") & prefix(e).isin(*namespaces) & e["value"].isNotNull())
+    attributes = F.array_join(F.transform(F.array_sort(named), attribute), "")
+    declared = "".join(f' xmlns:{p}="{uri}"' for p, uri in {**WRAPPERS, **namespaces}.items())
+    return F.when(F.size(values) > 0, F.concat(F.lit(f"<x:xmpmeta{declared}><rdf:RDF><rdf:Description"), attributes, F.lit("/></rdf:RDF></x:xmpmeta>")))
+
+
+def merged_metadata(files: DataFrame) -> DataFrame:
+    """``files(exif, portable_exif, packet, portable_xmp, ...)`` with the maps merged (what the portable reader says wins) as exif and xmp, and the fields that are read from them.
+
+    exif, portable_exif and portable_xmp are maps of names to strings, any may be null; ``packet`` is the XMP packet. Added: make, model, lens, captured, orientation (1:
+    pixels are upright) and source_orientation (that of the file, 1 where there is none).
+    """
+    none = F.create_map().cast("map<string,string>")
+
+    def over(low: str, high: str) -> Column:
+        """The entries of both maps; those of ``high`` count."""
+        return F.map_concat(F.map_filter(low, lambda k, _: ~F.map_contains_key(high, k)), F.col(high))
+
+    known = files.withColumns({c: F.coalesce(c, none) for c in ("exif", "portable_exif", "portable_xmp")}).withColumn("xmp", xmp_map("packet"))
+    known = known.withColumns({"exif": over("exif", "portable_exif"), "xmp": over("xmp", "portable_xmp")})
+    said = lambda *keys: F.coalesce(*(F.nullif(F.col("exif")[k], F.lit("")) for k in keys))
+    fields = {
+        "make": said("Exif.Image.Make"), "model": said("Exif.Image.Model"), "lens": said("Exif.Photo.LensModel"), "captured": said("Exif.Photo.DateTimeOriginal", "Exif.Image.DateTime"),
+        "orientation": F.lit(1), "source_orientation": F.coalesce(F.nullif(said("Exif.Image.Orientation").try_cast("int"), F.lit(0)), F.lit(1)),
+    }
+    return known.withColumns(fields).drop("portable_exif", "portable_xmp", "packet")
 
 
 def as_shot_neutral(tag: str = "tag", wb: str = "wb") -> Column:

@@ -95,7 +95,7 @@ def job_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 JOBS = "WITH j AS (SELECT o_orderkey AS job_id, CASE WHEN o_orderstatus = 'O' THEN 'pending' ELSE 'done' END AS status, o_orderkey AS seq, CASE WHEN o_orderkey % 3 = 0 THEN -o_orderkey END AS wanted FROM orders)"
 
 
-@query(JOBS + " SELECT job_id, CAST(row_number() OVER (ORDER BY CASE WHEN status <> 'pending' THEN 0 WHEN wanted IS NOT NULL THEN 1 ELSE 2 END, wanted NULLS FIRST, seq) - 1 AS INTEGER) AS position FROM j")
+@query(JOBS + ", m AS (SELECT *, status = 'pending' AND wanted IS NOT NULL AS moved FROM j), r AS (SELECT *, CASE WHEN moved THEN 1 WHEN seq = (SELECT min(seq) FROM m WHERE NOT moved) THEN 0 ELSE 2 END AS rank FROM m) SELECT job_id, row_number() OVER (ORDER BY rank, CASE WHEN moved THEN wanted ELSE seq END) - 1 AS position FROM r")
 def job_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     jobs = o.select(F.col("o_orderkey").alias("job_id"), F.expr("CASE WHEN o_orderstatus = 'O' THEN 'pending' ELSE 'done' END").alias("status"), F.col("o_orderkey").alias("seq"))

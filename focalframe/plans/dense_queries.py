@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import dense, register, registry
-from ..raster import embedding_frames
-from .raster_queries import GAUSS, RASTER
+from .. import scratch
+from ..operators import dense, geometry, register, registry, stencils
+from ..raster import embedding_frames, rows
+from .raster_queries import GAUSS, RASTER, SHARP, off
 from .registry import query
 
 #: Rasters of the driver tables are at most 64 pixels wide, so their pyramids have one detail level.
@@ -30,20 +31,38 @@ def _pixels(rows: DataFrame, column: str = "row", name: str = "v") -> DataFrame:
     return rows.select("y", F.posexplode(column).alias("x", name))
 
 
-@query()
+def _energies(rest: float, floor: float) -> str:
+    """Winners and values of both levels: the detail of most energy, and the rest averaged by energy."""
+    own = lambda cte: cte.replace("dim", "dm1")
+    return (
+        PYRAMID + ", d0 AS (SELECT frame, y, x, v FROM lv WHERE level = 0), a0 AS (SELECT frame, y, x, abs(v) AS v FROM d0), r1 AS (SELECT frame, y, x, v FROM lv WHERE level = 1), dm1 AS (SELECT frame, CAST((h + 1) // 2 AS INTEGER) AS h, CAST((w + 1) // 2 AS INTEGER) AS w FROM dim)"
+        + off("e0", "a0", 1, "sum(n.v) / 9") + own(off("m1", "r1", 1, "sum(n.v) / 9")) + ", a1 AS (SELECT r1.frame, y, x, abs(r1.v - m1.v) AS v FROM r1 JOIN m1 USING (frame, y, x))" + own(off("e1", "a1", 1, "sum(n.v) / 9"))
+        + f""", fd AS MATERIALIZED (SELECT y, x, arg_max(frame, (e0.v, -frame)) AS winner, arg_max(d0.v, (e0.v, -frame)) AS v FROM d0 JOIN e0 USING (frame, y, x) GROUP BY 1, 2
+), fr AS MATERIALIZED (SELECT y, x, arg_max(frame, (e1.v, -frame)) AS winner, sum(r1.v * (e1.v + {rest!r})) / greatest(sum(e1.v + {rest!r}), {floor!r}) AS v FROM r1 JOIN e1 USING (frame, y, x) GROUP BY 1, 2
+), up AS (SELECT g.y, g.x, (1 - fy) * ((1 - fx) * a.v + fx * b.v) + fy * ((1 - fx) * c.v + fx * d.v) AS v FROM (SELECT * FROM g2 WHERE frame = 0) g
+  JOIN fr a ON a.y = y0 AND a.x = x0 JOIN fr b ON b.y = y0 AND b.x = least(x0 + 1, w2 - 1) JOIN fr c ON c.y = least(y0 + 1, h2 - 1) AND c.x = x0 JOIN fr d ON d.y = least(y0 + 1, h2 - 1) AND d.x = least(x0 + 1, w2 - 1)
+), fw AS (SELECT 0 AS frame, y, x, winner AS v FROM fd)"""
+        + off("sm", "fw", 1, "CAST(quantile_disc(n.v, 0.5) AS INTEGER)", "replicate")
+    )
+
+
+PMAX = _energies(dense.REST, dense.FLOOR)
+
+
+@query(PMAX + " SELECT y, x, round(up.v + d0.v, 4) + 0.0 AS v FROM sm JOIN up USING (y, x) JOIN d0 ON d0.frame = sm.v AND d0.y = sm.y AND d0.x = sm.x".replace("SELECT y, x", "SELECT sm.y, sm.x"))
 def pmax_image(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pyramid fusion with the default smoothing of its winner maps."""
-    return _pixels(dense.pmax(embedding_frames(spark, sf_dir)))
+    return _pixels(dense.pmax(embedding_frames(spark, sf_dir))).withColumn("v", F.round("v", 4) + 0.0)
 
 
-@query()
+@query(PMAX + " SELECT 0 AS level, y, x, v AS winner FROM sm UNION ALL SELECT 1, y, x, winner FROM fr")
 def pmax_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense.pmax_levels(embedding_frames(spark, sf_dir)).select("level", "y", F.posexplode("winner").alias("x", "winner"))
 
 
-@query()
+@query(PMAX + " SELECT y, x, round(up.v + fd.v, 4) + 0.0 AS v FROM fd JOIN up USING (y, x)")
 def pmax_unsmoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pixels(dense.pmax(embedding_frames(spark, sf_dir), 0))
+    return _pixels(dense.pmax(embedding_frames(spark, sf_dir), 0)).withColumn("v", F.round("v", 4) + 0.0)
 
 
 @query()
@@ -69,9 +88,12 @@ def dmap_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("y", F.posexplode(F.arrays_zip("row", "depth")).alias("x", "p")).select("y", "x", F.col("p.row").alias("v"), "p.depth")
 
 
-@query()
+@query(SHARP + """, ok AS (SELECT frame, y, x, v >= 16 AND (frame <> 3 OR x >= 32) AS ok FROM px), q AS (SELECT greatest(quantile_cont(v, 0.999), 1e-8) AS s FROM sh WHERE frame = 5
+), l AS (SELECT sh.frame, y, x, CASE WHEN ok THEN sh.v ELSE 0 END / s / 0.05 AS l, px.v FROM sh JOIN px USING (frame, y, x) JOIN ok USING (frame, y, x), q), m AS (SELECT y, x, max(l) AS m FROM l GROUP BY 1, 2)
+SELECT y, x, round(sum(exp(l - m) * v) / greatest(sum(exp(l - m)), 1e-8), 6) AS v FROM l JOIN m USING (y, x) GROUP BY 1, 2""")
 def weighted_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pixels(dense.fused_by("weighted", _masked(spark, sf_dir), sharpness_radius=2))
+    return _pixels(dense.fused_by("weighted", _masked(spark, sf_dir), sharpness_radius=2)).withColumn("v", F.round("v", 6))
+
 
 
 @query()
@@ -96,6 +118,21 @@ def alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return register.align(frames, 10, 5, 0.9).select("frame", "affected", "recovered", "dropped", *(F.col("m")[k].alias(f"m{k}") for k in range(6)))
 
 
+@query("SELECT DISTINCT CAST(vec_id % 10 AS INTEGER) AS frame, TRUE AS recovered, TRUE AS correlates FROM embeddings")
+def polish_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each blurred frame is registered with a copy of itself moved by a known transform; it is recovered if no corner is off by 0.1 pixels."""
+    frames = stencils.gaussian_blur(embedding_frames(spark, sf_dir), 1.5).withColumn("row", F.expr("transform(row, v -> cast(v AS double))"))
+    moves = spark.range(10).select(F.col("id").cast("int").alias("frame"), F.expr("array(1.004D, -0.003D, 0.3D + id * 0.03D, 0.002D, 0.997D, 0.35D - id * 0.02D, 0D, 0D, 1D)").alias("m"))
+    moved = rows(geometry.warp(frames, moves, "bicubic")).join(frames.select("frame", "y", "height"), ["frame", "y"])
+    both = frames.select((2 * F.col("frame") + 1).alias("frame"), "y", "row", "height").unionByName(moved.select((2 * F.col("frame")).alias("frame"), "y", "row", "height"))
+    pairs = frames.select("frame").distinct().select(F.col("frame").alias("link"), (2 * F.col("frame")).alias("a"), (2 * F.col("frame") + 1).alias("b"), F.expr(geometry.IDENTITY).alias("m"))
+    found = register.polish(scratch.written(both, "planted"), pairs, "affine").join(moves.withColumnsRenamed({"frame": "link", "m": "want"}), "link")
+    size = frames.groupBy("frame").agg(F.max("height").alias("h"), F.max(F.size("row")).alias("w")).withColumnRenamed("frame", "link")
+    off_by = "sqrt(pow((m[0] - want[0]) * c.x + (m[1] - want[1]) * c.y + m[2] - want[2], 2) + pow((m[3] - want[3]) * c.x + (m[4] - want[4]) * c.y + m[5] - want[5], 2))"
+    corners = "array(struct(0 AS x, 0 AS y), struct(w - 1 AS x, 0 AS y), struct(0 AS x, h - 1 AS y), struct(w - 1 AS x, h - 1 AS y))"
+    return found.join(size, "link").select(F.col("link").alias("frame"), F.expr(f"forall({corners}, c -> {off_by} < 0.1D)").alias("recovered"), (F.col("correlation") > 0.95).alias("correlates"))
+
+
 @query(
     "SELECT * FROM (VALUES ('dmap', 'contrast_threshold', 'float', '7.0', 0.0::DOUBLE, 50.0::DOUBLE, NULL), ('dmap', 'estimation_radius', 'int', '8', 2, 40, NULL), ('dmap', 'smoothing_radius', 'int', '16', 1, 64, NULL), ('pmax', 'selection_smoothing', 'int', '1', 0, 3, NULL), "
     "('slab', 'inner_method', 'choice', 'pmax', NULL, NULL, 'pmax,dmap,weighted'), ('slab', 'outer_method', 'choice', 'dmap', NULL, NULL, 'pmax,dmap,weighted'), ('slab', 'slab_overlap', 'int', '2', 0, 50, NULL), ('slab', 'slab_size', 'int', '10', 2, 100, NULL), ('weighted', 'sharpness_radius', 'int', '8', 2, 40, NULL), ('weighted', 'temperature', 'float', '0.05', 0.001, 1, NULL)) t(method, name, kind, \"default\", least, most, choices)"

@@ -78,13 +78,6 @@ def portable_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", exif.alias("m")).select("p_partkey", F.array_join(F.map_keys(projects.without_single_exposure("m")), ",").alias("kept"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN 0 ELSE 2 END AS n, CASE WHEN p_partkey % 10 <> 0 THEN p_name END AS lens, CASE WHEN p_partkey % 10 <> 0 THEN CAST(p_size AS VARCHAR) END AS rating FROM part")
-def xmp_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packet = F.expr("CASE WHEN p_partkey % 10 <> 0 THEN concat('<x:xmpmeta><rdf:Description aux:Lens=\"', p_name, '\" foo:Bar=\"1\" xmp:Rating=\"', p_size, '\"/></x:xmpmeta>') END")
-    m = table(spark, sf_dir, "part").withColumn("packet", packet).select("p_partkey", projects.xmp_map("packet").alias("m"))
-    return m.select("p_partkey", F.size("m").alias("n"), F.col("m")["Xmp.aux.Lens"].alias("lens"), F.col("m")["Xmp.xmp.Rating"].alias("rating"))
-
-
 @query("SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 0.5 WHEN p_partkey % 4 = 1 THEN NULL ELSE round((1 / CAST(p_size AS DOUBLE)) / (1 / CAST(p_size + 1 AS DOUBLE)), 9) END AS red FROM part")
 def shot_neutral(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_partkey", F.expr("CASE WHEN p_partkey % 4 = 0 THEN array(0.5D, 1D, 0.7D) END").alias("tag"), F.expr("CASE WHEN p_partkey % 4 = 1 THEN array(0D, 1D, 1D) ELSE array(cast(p_size AS double), p_size + 1D, p_size + 2D, 0D) END").alias("wb"))
@@ -323,8 +316,8 @@ def local_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nine times the 3 x 3 mean of the distances from mid grey."""
     from ..operators import stencils
 
-    frames = embedding_frames(spark, sf_dir).withColumn("row", F.expr("transform(row, v -> abs(v - 128))"))
-    return pixels(stencils.box_sum(frames, 1))
+    frames = embedding_frames(spark, sf_dir).withColumn("row", F.expr("transform(row, v -> v - 128)"))
+    return pixels(stencils.local_energy(frames)).withColumn("v", F.round(F.col("v") * 9).cast("long"))
 
 
 @query("SELECT p_partkey, '{\"schema\":1,\"processing_domain\":\"scene_linear_camera_rgb\",\"no_bake\":{\"white_balance\":true,\"tone_curve\":true},\"decoder\":\"' || p_brand || '\",\"integer_mapping\":{\"offset\":' || p_size || ',\"span\":65535}}' AS provenance FROM part")

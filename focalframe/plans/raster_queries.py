@@ -152,15 +152,15 @@ def _axis(at: str, lo: str, hi: str, n: str) -> str:
     return f"CASE WHEN {hi} <> {n} AND {at} >= {hi} - 4 THEN [1.0, 0.7333333333333334, 0.4666666666666667, 0.2][{at} - ({hi} - 4) + 1] WHEN {lo} <> 0 AND {at} < {lo} + 4 THEN [0.2, 0.4666666666666667, 0.7333333333333333, 1.0][{at} - {lo} + 1] ELSE 1.0 END"
 
 
-@query(RASTER + f""", im AS (SELECT y, x, v, (SELECT h FROM dim WHERE frame = 0) AS h FROM px WHERE frame = 0), t AS (
+@query(RASTER + f""", im AS (SELECT y, x, sum(v) AS v, (SELECT h FROM dim WHERE frame = 0) AS h FROM px GROUP BY 1, 2), t AS (
   SELECT a.range AS y0, b.range AS x0, least(a.range + 20, h) AS y1, least(b.range + 20, 64) AS x1, h FROM (SELECT h FROM dim WHERE frame = 0), range(0, h - 4, 16) a, range(0, 60, 16) b
 ), w AS (SELECT y, x, v, CAST({_axis('y', 'y0', 'y1', 't.h')} AS DOUBLE) * CAST({_axis('x', 'x0', 'x1', '64')} AS DOUBLE) AS wt FROM im JOIN t ON y >= y0 AND y < y1 AND x >= x0 AND x < x1)
 SELECT y, x, count(*) AS tiles, round(sum(wt), 6) AS weight, round(sum(wt * v) / greatest(sum(wt), 1e-8), 6) AS v FROM w GROUP BY 1, 2""")
 def tile_feather(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = embedding_frames(spark, sf_dir).where("frame = 0")
+    frames = embedding_frames(spark, sf_dir)
     size = frames.select(F.lit(0).alias("stack"), F.col("height").cast("long").alias("h"), F.lit(64).cast("long").alias("w")).distinct()
     h = size.first()["h"]
-    image = pixels(frames).drop("frame")
+    image = pixels(frames).groupBy("y", "x").agg(F.sum("v").alias("v"))
     return fuse.feathered(image, fuse.tile_plan(size, 20, 4), 4, h, 64).withColumns({"weight": F.round("weight", 6), "v": F.round("v", 6)})
 
 

@@ -127,13 +127,13 @@ def tile_store(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT y, x, k, v * (1 - a) + coalesce(s, v) * a AS v FROM t WHERE k = 1 UNION ALL
   SELECT t.y, t.x, t.k, f.v * (1 - t.a) + coalesce(t.s, t.v) * t.a FROM fold f JOIN t ON t.y = f.y AND t.x = f.x AND t.k = f.k + 1
 ), last AS (SELECT y, x, arg_max(v, k) AS v FROM fold GROUP BY 1, 2)
-SELECT px.y, px.x, round(coalesce(last.v, px.v), 6) AS v, CAST((SELECT max(seq) - 1 FROM st) % 20 AS BIGINT) AS replayed FROM px LEFT JOIN last ON last.y = px.y AND last.x = px.x WHERE px.frame = 0""")
+SELECT px.y, px.x, round(coalesce(last.v, px.v), 6) AS v, CAST((SELECT max(seq) FROM st) % 20 AS BIGINT) AS replayed FROM px LEFT JOIN last ON last.y = px.y AND last.x = px.x WHERE px.frame = 0""")
 def retouch_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The image after all strokes but the last, as an undo shows it: from the latest stored checkpoint and the strokes after it."""
     flat = pixels(embedding_frames(spark, sf_dir))
     base = flat.where("frame = 0").select("y", "x", F.col("v").cast("double").alias("v"))
     sources = flat.where("frame > 0").select(F.col("frame").alias("source"), "y", "x", F.col("v").cast("double").alias("s"))
-    strokes = _strokes(spark, sf_dir).withColumn("position", F.col("seq"))
+    strokes = _strokes(spark, sf_dir).withColumn("position", F.col("seq") + 1)
     store = RetouchImages(spark, fresh_path(spark, "retouch"), 50, 64)
     store.save(base, strokes, sources)
     last = strokes.agg(F.max("position")).first()[0]

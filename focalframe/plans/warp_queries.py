@@ -20,9 +20,13 @@ SIM = """, k AS (SELECT CAST(range AS INTEGER) AS frame, (1 + range * 0.01::DOUB
 ), pt AS MATERIALIZED (SELECT px.frame, y, x, h, w, b * x + a * y + 24.5 - b * 31.5 - a * 24.5 + ty AS sy, a * x - b * y + 31.5 - a * 31.5 + b * 24.5 + tx AS sx FROM px JOIN dim USING (frame) JOIN k USING (frame))"""
 
 
-@query("SELECT CAST(range AS INTEGER) AS frame, round((1 + range * 0.01) * cos(range * 0.02), 6) AS a, round((1 + range * 0.01) * sin(range * 0.02), 6) AS b FROM range(10)")
+@query("""WITH p AS (SELECT p_partkey, 1 + (p_size - 25) / 1000.0::DOUBLE AS s, (p_partkey % 100 - 50) / 500.0::DOUBLE AS a, p_size::DOUBLE AS tx, -p_size / 4.0::DOUBLE AS ty FROM part)
+SELECT p_partkey, round(s * cos(a), 6) AS a, round(s * sin(a), 6) AS b, round(31.5 - s * cos(a) * 31.5 + s * sin(a) * 24.5 + tx, 6) + 0.0 AS tx, round(24.5 - s * sin(a) * 31.5 - s * cos(a) * 24.5 + ty, 6) + 0.0 AS ty FROM p""")
 def similarity_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transforms(spark).select("frame", F.round(F.expr("m[0]"), 6).alias("a"), F.round(F.expr("m[3]"), 6).alias("b"))
+    """A similarity about a centre for each part, of its numbers."""
+    m = geometry.similarity("(1D + (p_size - 25) / 1000D)", "((p_partkey % 100 - 50) / 500D)", "cast(p_size AS double)", "(-p_size / 4D)", "31.5D", "24.5D")
+    out = table(spark, sf_dir, "part").select("p_partkey", m.alias("m"))
+    return out.select("p_partkey", F.round(F.expr("m[0]"), 6).alias("a"), F.round(F.expr("m[3]"), 6).alias("b"), (F.round(F.expr("m[2]"), 6) + 0.0).alias("tx"), (F.round(F.expr("m[5]"), 6) + 0.0).alias("ty"))
 
 
 @query(RASTER + SIM + " SELECT pt.frame, pt.y, pt.x, px.v FROM pt JOIN px ON px.frame = pt.frame AND px.y = greatest(0, least(h - 1, round_even(sy, 0))) AND px.x = greatest(0, least(w - 1, round_even(sx, 0)))")
@@ -64,36 +68,44 @@ def warp_lanczos3_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.warp(embedding_frames(spark, sf_dir), transforms(spark), "lanczos3").withColumn("v", F.round("v", 5))
 
 
-def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(link, correlation) from mean prices of the suppliers, nine links between ten frames."""
-    s = table(spark, sf_dir, "supplier").where("s_suppkey < 10")
-    return s.select(F.col("s_suppkey").cast("int").alias("n"), "s_acctbal").select((F.col("n") - 1).alias("link"), F.expr("0.8D + (abs(cast(s_acctbal AS bigint)) % 20) / 100D").alias("correlation"))
+def links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """(link, correlation) from the suppliers' accounts, a link for each supplier, and the number of frames that they join."""
+    s = table(spark, sf_dir, "supplier")
+    made = s.select(F.col("s_suppkey").cast("int").alias("link"), F.expr("0.8D + (abs(cast(s_acctbal AS bigint)) % 20) / 100D").alias("correlation"))
+    return made, s.agg(F.max("s_suppkey")).first()[0] + 2
 
 
-LINKS = "WITH l AS (SELECT CAST(s_suppkey - 1 AS INTEGER) AS link, 0.8::DOUBLE + (abs(CAST(trunc(s_acctbal) AS BIGINT)) % 20) / 100.0::DOUBLE AS correlation FROM supplier WHERE s_suppkey < 10), bad AS (SELECT link FROM l WHERE correlation < 0.9)"
-CULPRITS = LINKS + ", cu AS (SELECT CAST(f.range AS INTEGER) AS frame FROM range(10) f WHERE (f.range = 0 OR f.range - 1 IN (SELECT link FROM bad)) AND (f.range = 9 OR f.range IN (SELECT link FROM bad)))"
+LINKS = "WITH l AS (SELECT CAST(s_suppkey AS INTEGER) AS link, 0.8::DOUBLE + (abs(CAST(trunc(s_acctbal) AS BIGINT)) % 20) / 100.0::DOUBLE AS correlation FROM supplier), bad AS (SELECT link FROM l WHERE correlation < 0.9), nf AS (SELECT max(s_suppkey) + 2 AS n, (max(s_suppkey) + 2) // 2 AS ref FROM supplier), fs AS (SELECT CAST(unnest(range(n)) AS INTEGER) AS f, n, ref FROM nf)"
+CULPRITS = LINKS + ", cu AS (SELECT f AS frame FROM fs WHERE (f = 0 OR f - 1 IN (SELECT link FROM bad)) AND (f = n - 1 OR f IN (SELECT link FROM bad)))"
 
 
-@query(LINKS + " SELECT CAST(f.range AS INTEGER) AS frame FROM range(10) f WHERE EXISTS (SELECT 1 FROM bad WHERE link >= least(f.range, 5) AND link < greatest(f.range, 5))")
+@query(LINKS + " SELECT f AS frame FROM fs WHERE EXISTS (SELECT 1 FROM bad WHERE link >= least(f, ref) AND link < greatest(f, ref))")
 def affected_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return geometry.affected_frames(links(spark, sf_dir), 10, 5, 0.9)
+    held, n = links(spark, sf_dir)
+    return geometry.affected_frames(held, n, n // 2, 0.9)
 
 
 @query(CULPRITS + " SELECT frame FROM cu")
 def culprits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return geometry.culprits(links(spark, sf_dir), 10, 0.9)
+    held, n = links(spark, sf_dir)
+    return geometry.culprits(held, n, 0.9)
 
 
-@query(CULPRITS + " SELECT CAST(coalesce((SELECT f.range FROM range(10) f WHERE f.range NOT IN (SELECT frame FROM cu) ORDER BY abs(f.range - 5), f.range LIMIT 1), 5) AS INTEGER) AS ref")
+@query(CULPRITS + " SELECT CAST(coalesce((SELECT f FROM fs WHERE f NOT IN (SELECT frame FROM cu) ORDER BY abs(f - ref), f LIMIT 1), (SELECT ref FROM nf)) AS INTEGER) AS ref")
 def nearest_good(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return geometry.nearest_good(geometry.culprits(links(spark, sf_dir), 10, 0.9), 10, 5)
+    held, n = links(spark, sf_dir)
+    return geometry.nearest_good(geometry.culprits(held, n, 0.9), n, n // 2)
 
 
-@query("""WITH RECURSIVE m AS (SELECT range AS link, 1 + range * 0.01::DOUBLE AS s, range * 0.5::DOUBLE AS tx, range * -0.25::DOUBLE AS ty FROM range(9)
-), up AS (SELECT 5 AS f, 1.0::DOUBLE AS a, 0.0::DOUBLE AS u, 0.0::DOUBLE AS v UNION ALL SELECT f + 1, s * a, s * u + tx, s * v + ty FROM up JOIN m ON m.link = f
-), down AS (SELECT 5 AS f, 1.0::DOUBLE AS a, 0.0::DOUBLE AS u, 0.0::DOUBLE AS v UNION ALL SELECT f - 1, a / s, (u - tx) / s, (v - ty) / s FROM down JOIN m ON m.link = f - 1
+@query("""WITH RECURSIVE m AS (SELECT s_suppkey AS link, 1 + (s_suppkey % 7 - 3) / 1000.0::DOUBLE AS s, (s_suppkey % 5 - 2) / 2.0::DOUBLE AS tx, (s_suppkey % 3 - 1) / 4.0::DOUBLE AS ty FROM supplier), r AS (SELECT (max(s_suppkey) + 2) // 2 AS f FROM supplier
+), up AS (SELECT f, 1.0::DOUBLE AS a, 0.0::DOUBLE AS u, 0.0::DOUBLE AS v FROM r UNION ALL SELECT f + 1, s * a, s * u + tx, s * v + ty FROM up JOIN m ON m.link = f
+), down AS (SELECT f, 1.0::DOUBLE AS a, 0.0::DOUBLE AS u, 0.0::DOUBLE AS v FROM r UNION ALL SELECT f - 1, a / s, (u - tx) / s, (v - ty) / s FROM down JOIN m ON m.link = f - 1
 ), b AS (SELECT * FROM up UNION SELECT * FROM down) SELECT CAST(f AS INTEGER) AS frame, round(a, 6) AS scale, round(u, 6) + 0.0 AS tx, round(v, 6) + 0.0 AS ty FROM b""")
 def transform_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = spark.range(9).select(F.col("id").cast("int").alias("link"), F.expr("array(1D + id * 0.01D, 0D, id * 0.5D, 0D, 1D + id * 0.01D, id * -0.25D, 0D, 0D, 1D)").alias("m"))
-    out = geometry.chain_to_reference(pairs, 10, 5)
+    """Every frame of a stack to its middle, over a link for each supplier."""
+    s = table(spark, sf_dir, "supplier")
+    scale, tx, ty = "(1D + (s_suppkey % 7 - 3) / 1000D)", "((s_suppkey % 5 - 2) / 2D)", "((s_suppkey % 3 - 1) / 4D)"
+    pairs = s.select(F.col("s_suppkey").cast("int").alias("link"), F.expr(f"array({scale}, 0D, {tx}, 0D, {scale}, {ty}, 0D, 0D, 1D)").alias("m"))
+    n = s.agg(F.max("s_suppkey")).first()[0] + 2
+    out = geometry.chain_to_reference(pairs, n, n // 2)
     return out.select("frame", F.round(F.expr("m[0]"), 6).alias("scale"), (F.round(F.expr("m[2]"), 6) + 0.0).alias("tx"), (F.round(F.expr("m[5]"), 6) + 0.0).alias("ty"))

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -27,6 +28,18 @@ def follow_states(events: DataFrame, name: str, checkpoint: str) -> StreamingQue
     return projects.job_states(events).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def publish(events: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Writes a stream of job events to a table partitioned by batch. A batch that a restarted stream brings again replaces its own partition, so no event is there twice."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        rows = batch.withColumn("batch", F.lit(number).cast("long"))
+        if rows.isEmpty():
+            return
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(folder)
+
+    return events.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def grouped_by_gaps(frames: DataFrame, max_seconds: float = 10.0) -> DataFrame:
     """(stack, frame, grp) of a stream of ``frames(stack, frame, captured TIMESTAMP)`` that comes in order of time: a pause of more than ``max_seconds`` begins a new group.
 

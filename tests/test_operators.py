@@ -1,5 +1,6 @@
 """Small exact cases and independent numpy versions."""
 
+import itertools
 import math
 
 import numpy as np
@@ -74,18 +75,36 @@ def test_slabs(spark, n, size, overlap):
         fuse.in_slabs(held, n, overlap, overlap)
 
 
-@pytest.mark.parametrize("curve, percent, want", [([20, 90, 100, 86, 50], 85, (1, 3)), ([1, 1, 10, 1, 1], 85, (2, 2)), ([95, 20, 100, 20, 90], 85, (2, 2))])
-def test_in_focus_interval(spark, curve, percent, want):
-    r = select.intervals(spark.createDataFrame([(0, 0, curve)], "r int, c int, curve array<bigint>"), percent).first()
-    assert (r["lo"], r["hi"]) == want
-
-
-@pytest.mark.parametrize("rows, want", [([(0, 2), (1, 4), (5, 6)], [2, 6]), ([(0, 1), (2, 3), (5, 6)], [1, 3, 6]), ([], [])])
-def test_cover(spark, rows, want):
-    df = spark.createDataFrame([(a, b) for a, b in rows], "lo int, hi int")
-    assert select.stab_cover(df).first()["kept"] == want
-    kept = select.select_frames(df, 7).where("kept").count()
-    assert kept == (len(want) if len(want) >= 3 else 7)
+def test_in_focus_interval(spark):
+    """Random curves: the run of frames around the first peak, walked out from it frame by frame."""
+    rnd = np.random.default_rng(5)
+    curves = [(k, int(rnd.integers(40, 99)), rnd.integers(0, [3, 1000][k % 2], 1 + k % 12).tolist()) for k in range(60)]
+    for percent in sorted({p for _, p, _ in curves}):
+        mine = {k: c for k, p, c in curves if p == percent}
+        got = select.intervals(spark.createDataFrame([(k, 0, c) for k, c in mine.items()], "r int, c int, curve array<bigint>"), percent)
+        for row in got.collect():
+            curve = mine[row["r"]]
+            peak = low = high = curve.index(max(curve))
+            while low > 0 and 100 * curve[low - 1] >= percent * curve[peak]:
+                low -= 1
+            while high < len(curve) - 1 and 100 * curve[high + 1] >= percent * curve[peak]:
+                high += 1
+            assert (row["peak"], row["lo"], row["hi"]) == (peak, low, high)
+
+
+def test_cover(spark):
+    """Random intervals: every one is met, by no more points than an exhaustive search needs."""
+    rnd = np.random.default_rng(6)
+    for trial in range(8):
+        n, starts = 9, rnd.integers(0, 9, trial)
+        spans = [(int(a), int(min(n - 1, a + rnd.integers(0, 4)))) for a in starts]
+        df = spark.createDataFrame(spans, "lo int, hi int")
+        kept = select.stab_cover(df).first()["kept"]
+        meets = lambda points: all(any(a <= p <= b for p in points) for a, b in spans)
+        fewest = next(size for size in range(n + 1) if any(meets(points) for points in itertools.combinations(range(n), size)))
+        assert meets(kept) and len(kept) == fewest and kept == sorted(kept)
+        chosen = select.select_frames(df, n).where("kept").count()
+        assert chosen == (fewest if fewest >= 3 else n)
 
 
 def test_synthetic_rows_cover_the_neighbours(spark):

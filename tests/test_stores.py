@@ -99,7 +99,7 @@ def test_replay_from_checkpoints(spark, tmp_path):
     flat = pixels(embedding_frames(spark, DATA))
     base = flat.where("frame = 0").select("y", "x", F.col("v").cast("double").alias("v"))
     sources = flat.where("frame > 0").select(F.col("frame").alias("source"), "y", "x", F.col("v").cast("double").alias("s"))
-    strokes = _strokes(spark, DATA).withColumn("position", F.col("seq")).cache()
+    strokes = _strokes(spark, DATA).withColumn("position", F.col("seq") + 1).cache()
     store = RetouchImages(spark, f"{tmp_path}/images", 50, 64, every=3)
     assert store.save(base, strokes, sources) == 3 and store.save(base, strokes, sources) == 0
     before = parts(tmp_path / "images")

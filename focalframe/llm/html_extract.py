@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import OrderedDict
+from collections import Counter, OrderedDict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,9 +41,8 @@ MARKS = frozenset(
     "comment comments commentlist reply replies respond discussion disqus skip hidden".split()
 )
 ARTICLE = frozenset(("article", "main"))
-#: Open elements kept apart; deeper ones are put beside each other. Cells of an alignment table. Pivots and matchings that a task remembers.
-DEEPEST = 120
-CELLS = 40_000
+#: Fixed value: as in browsers' parsers, elements that would be nested deeper are put beside each other. Pivots and matchings that a task remembers.
+DEEPEST = 512
 CACHED = 2000
 MEMO = 50_000
 #: Distinct pages a host needs for a template; share of them that holds a constant, anywhere and inside an article.
@@ -61,12 +60,12 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
-    """An element: label (tag and classes without digits), children (nodes and strings) and whether it is page furniture."""
+    """An element: label (tag and classes without digits), children (nodes and strings), whether it is page furniture, and the size of its subtree once its shape is known."""
 
-    __slots__ = ("furniture", "kids", "label", "shape", "tag")
+    __slots__ = ("furniture", "kids", "label", "shape", "size", "tag")
 
     def __init__(self, tag: str, attributes: str) -> None:
-        self.tag, self.kids, self.shape, self.label, self.furniture = tag, [], None, tag, tag in FURNITURE
+        self.tag, self.kids, self.shape, self.size, self.label, self.furniture = tag, [], None, 0, tag, tag in FURNITURE
         if attributes:
             for name, *values in _ATTR.findall(attributes):
                 name, text = name.lower(), next((v for v in values if v), "")
@@ -83,6 +82,13 @@ def parse(text: str) -> Node:
     """The DOM of a page: omitted end tags are implied, stray ones ignored, raw text skipped, references decoded."""
     root = Node("#", "")
     stack, at, size = [root], 0, len(text)
+    # How many elements of each tag are open, so that a stray or needless end costs no walk over them.
+    still: Counter[str] = Counter()
+
+    def close(i: int) -> None:
+        still.subtract(x.tag for x in stack[i:])
+        del stack[i:]
+
     while at < size:
         m = _TOKEN.search(text, at)
         if m is None:
@@ -98,19 +104,19 @@ def parse(text: str) -> Node:
             continue
         tag = tag.lower()
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if still[tag] else ():
                 if stack[i].tag == tag:
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].tag in ("td", "th", "table") and tag not in BLOCK:
                     break
             continue
         if tag in BLOCK or tag == "p":
             over = ENDS.get(tag, ())
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if still["p"] or any(still[t] for t in over) else ():
                 open_tag = stack[i].tag
                 if open_tag == "p" or open_tag in over:
-                    del stack[i:]
+                    close(i)
                 elif open_tag in SCOPE and open_tag not in over or open_tag in ("ul", "ol", "dl") and tag in ENDS:
                     break
         node = Node(tag, m[3])
@@ -122,62 +128,115 @@ def parse(text: str) -> Node:
             at = end.end() if end else size
         elif len(stack) < DEEPEST:
             stack.append(node)
+            still[tag] += 1
     return root
 
 
 def shape(node: Node) -> int:
     """A hash of the labels of a subtree; equal shapes align completely."""
-    if node.shape is None:
-        node.shape = hash((node.label, *(shape(k) for k in node.kids if k.__class__ is Node)))
+    todo = [node]
+    while node.shape is None:
+        top = todo[-1]
+        waiting = [k for k in top.kids if k.__class__ is Node and k.shape is None]
+        if waiting:
+            todo += waiting
+            continue
+        todo.pop()
+        if top.shape is None:
+            kids = [k for k in top.kids if k.__class__ is Node]
+            top.shape, top.size = hash((top.label, *(k.shape for k in kids))), 1 + sum(k.size for k in kids)
     return node.shape
 
 
+def _ends(a: Node, b: Node) -> tuple[list[tuple[Node, Node]], list[Node], list[Node]]:
+    """Children of two nodes: the pairs of equal shape at both ends, and what is left between them."""
+    left, right = ([k for k in x.kids if k.__class__ is Node] for x in (a, b))
+    low, n, m = 0, len(left), len(right)
+    while low < n and low < m and left[low].shape == right[low].shape:
+        low += 1
+    while n > low and m > low and left[n - 1].shape == right[m - 1].shape:
+        n, m = n - 1, m - 1
+    return [*zip(left[:low] + left[n:], right[:low] + right[m:])], left[low:n], right[low:m]
+
+
+def _rows(x: list[Node], y: list[Node], memo: dict, under: list[int], first: int, last: int) -> Iterator[list[int]]:
+    """Rows ``last - 1`` down to ``first`` of the table of greatest weights of what follows in ``x`` and ``y``, from the row ``under`` them."""
+    for i in range(last - 1, first - 1, -1):
+        node, row = x[i], [0] * (len(y) + 1)
+        for j in range(len(y) - 1, -1, -1):
+            w = _known(node, y[j], memo)
+            row[j] = max(under[j], row[j + 1], w and under[j + 1] + w)
+        yield row
+        under = row
+
+
+def _known(a: Node, b: Node, memo: dict) -> int:
+    """The size of the largest matching of two subtrees that have been compared before."""
+    return a.size if a.shape == b.shape else memo[a.shape, b.shape] if a.label == b.label else 0
+
+
+def _wanted(x: list[Node], y: list[Node], memo: dict) -> list[tuple[Node, Node]]:
+    """Pairs of subtrees, one of each two shapes, whose matchings are not known yet."""
+    left, right = ({k.shape: k for k in nodes}.values() for nodes in (x, y))
+    return [(p, q) for p in left for q in right if p.label == q.label and p.shape != q.shape and (p.shape, q.shape) not in memo]
+
+
 def matched(a: Node, b: Node, memo: dict) -> int:
-    """The size of the largest simple tree matching of two subtrees."""
+    """The size of the largest simple tree matching of two subtrees. Pairs wait on a stack until those of their children are known."""
     if a.label != b.label:
         return 0
-    key = (shape(a), shape(b))
-    if key not in memo:
-        memo[key] = 1 + sum(w for _, _, w in aligned_kids(a, b, memo))
-    return memo[key]
+    shape(a), shape(b)
+    todo = [] if a.shape == b.shape or (a.shape, b.shape) in memo else [(a, b)]
+    while todo:
+        p, q = todo[-1]
+        if (p.shape, q.shape) in memo:
+            todo.pop()
+            continue
+        ends, x, y = _ends(p, q)
+        wanted = _wanted(x, y, memo)
+        if wanted:
+            todo += wanted
+            continue
+        row = [0] * (len(y) + 1)
+        for row in _rows(x, y, memo, row, 0, len(x)):
+            pass
+        memo[p.shape, q.shape] = 1 + sum(k.size for k, _ in ends) + row[0]
+        todo.pop()
+    return _known(a, b, memo)
 
 
 def aligned_kids(a: Node, b: Node, memo: dict) -> list[tuple[Node, Node, int]]:
-    """Which children the largest matching pairs, with the pairs' sizes. Equal ends are paired first; tables of more than ``CELLS`` cells by label in order."""
-    left, right = ([k for k in x.kids if k.__class__ is Node] for x in (a, b))
-    low, n, m = 0, len(left), len(right)
-    while low < n and low < m and shape(left[low]) == shape(right[low]):
-        low += 1
-    while n > low and m > low and shape(left[n - 1]) == shape(right[m - 1]):
-        n, m = n - 1, m - 1
-    out = [(x, y, matched(x, y, memo)) for x, y in zip(left[:low] + left[n:], right[:low] + right[m:])]
-    x, y = left[low:n], right[low:m]
+    """Which children the largest matching pairs, with the pairs' sizes. Equal ends are paired first.
+
+    Of the table of weights only every so many rows are kept; the rows between two of them are made again on the way back, so memory stays small for any number of children.
+    """
+    shape(a), shape(b)
+    ends, x, y = _ends(a, b)
+    out = [(p, q, p.size) for p, q in ends]
     if not x or not y:
         return out
-    if len(x) * len(y) > CELLS:
-        at = 0
-        for node in x:
-            spot = next((j for j in range(at, min(at + 50, len(y))) if y[j].label == node.label), None)
-            if spot is not None:
-                out.append((node, y[spot], matched(node, y[spot], memo)))
-                at = spot + 1
-        return out
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        row, under = best[i], best[i + 1]
-        for j in range(len(y) - 1, -1, -1):
-            w = matched(x[i], y[j], memo)
-            row[j] = max(under[j], row[j + 1], w and under[j + 1] + w)
+    for p, q in _wanted(x, y, memo):
+        matched(p, q, memo)
+    step = max(1, int(len(x) ** 0.5))
+    kept = {len(x): [0] * (len(y) + 1)}
+    for i, row in zip(range(len(x) - 1, -1, -1), _rows(x, y, memo, kept[len(x)], 0, len(x))):
+        if i % step == 0:
+            kept[i] = row
     i = j = 0
     while i < len(x) and j < len(y):
-        w = matched(x[i], y[j], memo)
-        if w and best[i][j] == best[i + 1][j + 1] + w:
-            out.append((x[i], y[j], w))
-            i, j = i + 1, j + 1
-        elif best[i][j] == best[i + 1][j]:
-            i += 1
-        else:
-            j += 1
+        last = min(i - i % step + step, len(x))
+        best = [*_rows(x, y, memo, kept[last], i, last)][::-1] + [kept[last]]
+        first = i
+        while i < last and j < len(y):
+            w = _known(x[i], y[j], memo)
+            here, under = best[i - first], best[i + 1 - first]
+            if w and here[j] == under[j + 1] + w:
+                out.append((x[i], y[j], w))
+                i, j = i + 1, j + 1
+            elif here[j] == under[j]:
+                i += 1
+            else:
+                j += 1
     return out
 
 
@@ -411,8 +470,8 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
 
     A null html reads as empty; its text is empty. Pages with a null url, or one without a host, share the wrapper of the empty
     host. Equal pages of a host count once in learning; of equal hashes the least page is the pivot. Null and repeated ids are carried along. A page without markup is
-    one block of text. Pages of any length are read whole; elements nested more than ``DEEPEST`` deep are read as if beside each other, and of
-    more than ``CELLS`` pairs of children nodes are aligned by label in order. Other columns are ignored; no pages give no rows.
+    one block of text. Pages of any length and with any number of elements are read whole; elements nested more than ``DEEPEST`` deep are read as if beside each other, as
+    browsers do. Other columns are ignored; no pages give no rows.
     """
     host = split_url("url")[0]
     plain = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))

@@ -1,6 +1,6 @@
 """URL filter with DataFrame functions only: fixed rules first, then a path-template tree for each host.
 
-The tree is grown a segment at a time, to the end of the longest path. Below each node a segment with enough labels whose
+The tree is grown from fork to fork, to the end of the longest path. Below each node a segment with enough labels whose
 share of bad pages differs from that of the others stays apart, however many siblings it has. Else the segments that are rare
 among the node's pages are variable and become a wildcard, and of the others those that do not differ are
 merged into one branch. A path's templates end in a leaf; leaves are judged by their labelled purity, smoothed towards
@@ -49,16 +49,32 @@ def _joined(rows: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
     return rows.join(F.broadcast(small) if few else small, on, "left")
 
 
+def _without_forks(rows: DataFrame) -> DataFrame:
+    """Open rows led over the segments that all rows of their node have in common: these would be merged one by one, or be variable where there is one row only."""
+    rest = F.expr("slice(__parts, __at + 1, size(__parts))")
+    nodes = rows.groupBy("host", "template").agg(F.count("*").alias("n"), F.min(rest).alias("low"), F.max(rest).alias("high"))
+    # What the least and the greatest of the paths share, all paths between them share.
+    fork = "array_position(transform(low, (x, i) -> coalesce(get(high, i) = x, false)), false)"
+    steps = F.expr(f"cast(CASE WHEN {fork} > 0 THEN {fork} - 1 ELSE size(low) END AS int)")
+    nodes = written(nodes.select("host", "template", F.when(F.col("n") > 1, MERGED).otherwise(WILDCARD).alias("__name"), steps.alias("__steps")), "nodes")
+    named = _joined(rows, nodes, ["host", "template"])
+    return named.withColumn("template", F.concat("template", F.expr("repeat(concat('/', __name), __steps)"))).withColumn("__at", F.col("__at") + F.col("__steps")).drop("__name", "__steps")
+
+
 def path_templates(pages: DataFrame) -> DataFrame:
-    """``pages(host, path, bad)`` (bad is 1, 0 or null) with ``template`` added: the leaf each path falls in."""
+    """``pages(host, path, bad)`` (bad is 1, 0 or null) with ``template`` added: the leaf each path falls in.
+
+    A round leads every open path to the next fork and past it, so there are as many rounds as forks on a path, however long it is; paths that have ended leave.
+    """
     parts = F.filter(F.split("path", "/"), lambda x: x != "")
-    rows = pages.withColumn("__parts", parts).withColumn("template", F.lit(""))
-    longest = rows.agg(F.max(F.size("__parts"))).first()[0] or 0
-    for depth in range(longest):
-        if depth:
-            rows = written(rows, "rows")
-        rows = rows.withColumn("__segment", F.get("__parts", F.lit(depth)))
-        here = rows.where("__segment is not null").groupBy("host", "template", "__segment").agg(F.count("*").alias("n"), F.count("bad").alias("known"), F.sum(F.coalesce("bad", F.lit(0))).alias("worse"))
+    rows = written(pages.withColumn("__parts", parts).withColumn("template", F.lit("")).withColumn("__at", F.lit(0)), "rows")
+    done = rows.where("__at >= size(__parts)")
+    rows = rows.where("__at < size(__parts)")
+    while rows.head(1):
+        led = written(_without_forks(rows), "led")
+        done = done.unionByName(led.where("__at >= size(__parts)"))
+        rows = led.where("__at < size(__parts)").withColumn("__segment", F.expr("__parts[__at]"))
+        here = rows.groupBy("host", "template", "__segment").agg(F.count("*").alias("n"), F.count("bad").alias("known"), F.sum(F.coalesce(F.col("bad"), F.lit(0))).alias("worse"))
         here = written(here, "branches")
         node = here.groupBy("host", "template").agg(F.sum("n").alias("all_n"), F.sum("known").alias("all_known"), F.sum("worse").alias("all_worse"))
         rest = F.col("all_known") - F.col("known")
@@ -70,8 +86,10 @@ def path_templates(pages: DataFrame) -> DataFrame:
         name = F.when(differs & (F.col("known") >= ENOUGH), F.col("__segment")).when(rare, WILDCARD).when(differs, F.col("__segment")).otherwise(MERGED)
         named = written(here.join(node, ["host", "template"]).select("host", "template", "__segment", name.alias("__name")), "names")
         rows = _joined(rows, named, ["host", "template", "__segment"])
-        rows = rows.withColumn("template", F.when(F.col("__name").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "__name"))).drop("__name", "__segment")
-    return rows.drop("__parts")
+        rows = written(rows.withColumn("template", F.concat("template", F.lit("/"), "__name")).withColumn("__at", F.col("__at") + 1).drop("__name", "__segment"), "rows")
+        done = done.unionByName(rows.where("__at >= size(__parts)"))
+        rows = rows.where("__at < size(__parts)")
+    return done.drop("__parts", "__at")
 
 
 def judge_urls(pages: DataFrame, labels: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:

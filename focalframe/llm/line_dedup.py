@@ -17,7 +17,6 @@ form groups, and the first line of each group stays.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -67,7 +66,6 @@ def allowed(n: np.ndarray, similarity: float) -> np.ndarray:
     return np.floor((1 - similarity) * np.asarray(n) + 1e-9).astype(np.int64)
 
 
-@cache
 def run_table(size: int, similarity: float) -> np.ndarray:
     """Whether lines of n < ``size`` words are keyed by runs of q words, at [n, q].
 
@@ -93,15 +91,14 @@ def all_runs(hashes: np.ndarray, q: int, use: np.ndarray) -> np.ndarray:
     return keys
 
 
-def run_keys(hashes: np.ndarray, offsets: np.ndarray, similarity: float, frequent: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def run_keys(hashes: np.ndarray, offsets: np.ndarray, similarity: float, frequent: np.ndarray, table: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(rows, keys) of the lines.
 
-    Lines of fewer than ``SHORT`` words get the hashes of all runs of the lengths in ``run_table``: similar ones that are not equal
+    Lines of fewer than ``SHORT`` words get the hashes of all runs of the lengths in ``table`` (of ``run_table``): similar ones that are not equal
     share one. Lines of ``similarity * SHORT`` words or more get the ``PICKED`` least hashes of their runs of ``PICKED_RUN``
     words; runs with several ``frequent`` words (sorted) come last.
     """
     counts, row = np.diff(offsets), tk.rows_of(offsets)
-    table = run_table(SHORT, similarity)
     for q in range(1, LONGEST + 1):
         n = max(len(hashes) - q + 1, 0)
         use = np.flatnonzero((row[:n] == row[len(row) - n :]) & (counts[row[:n]] < SHORT))
@@ -176,6 +173,7 @@ def _line_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _keyed(min_words: int, similarity: float, buckets: int, frequent: np.ndarray):
     """Packed (key, class) pairs of the classes in a text column, marked with 120 bits of the sketch and the number of words up to 255."""
+    table = run_table(SHORT, similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, seen = Packer(buckets), set()
@@ -191,7 +189,7 @@ def _keyed(min_words: int, similarity: float, buckets: int, frequent: np.ndarray
                 if len(seen) < SEEN:
                     seen.update(ids[fresh].tolist())
                 marks = marks_of(hashes, offsets)
-                for row, keys in run_keys(hashes, offsets, similarity, frequent):
+                for row, keys in run_keys(hashes, offsets, similarity, frequent, table):
                     use = fresh[row]
                     yield from packer.add(keys[use], ids[row[use]], marks[row[use]])
         yield from packer.flush()
@@ -239,7 +237,14 @@ def edit_distance(a: np.ndarray, b: np.ndarray) -> int:
     return distance
 
 
-def _similar(least: float):
+def shortest(min_words: int, similarity: float) -> int:
+    """Words of the shortest line that can be similar to one of ``min_words`` words."""
+    return max(1, int(np.ceil(similarity * min_words - 1e-9)))
+
+
+def _similar(least: float, min_words: int):
+    """Pairs within the edit similarity, of which one line at least has ``min_words`` words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ends = []
@@ -248,7 +253,7 @@ def _similar(least: float):
                 ends.append((batch.column(c).flatten().to_numpy(), np.concatenate([[0], np.cumsum(sizes)]), sizes))
             (x, x_at, nx), (y, y_at, ny) = ends
             most = allowed(np.maximum(nx, ny), least)
-            keep = np.abs(nx - ny) <= most
+            keep = (np.abs(nx - ny) <= most) & (np.maximum(nx, ny) >= min_words)
             for i in np.flatnonzero(keep):
                 keep[i] = edit_distance(x[x_at[i] : x_at[i + 1]], y[y_at[i] : y_at[i + 1]]) <= most[i]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
@@ -257,18 +262,19 @@ def _similar(least: float):
 
 
 def fuzzy_line_groups(docs: DataFrame, min_words: int, similarity: float, short_copies: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(lines(doc_id, line_no, class_id), groups(class_id, group_id)) of ``docs(doc_id, text)``; classes without links have no group row.
+    """(lines(doc_id, line_no, class_id, n_words), groups(class_id, group_id)) of ``docs(doc_id, text)``; classes without links have no group row.
 
-    With ``short_copies`` the lines hold those of fewer than ``min_words`` words too, which get no links.
+    Lines that are too short to be similar to one of ``min_words`` words get no links and are left out, unless ``short_copies``.
     """
-    lines = written(docs.mapInArrow(_lines(1 if short_copies else min_words), "doc_id long, line_no int, class_id long, n_words long"), "lines")
-    keyed = F.when(F.col("n_words") >= min_words, F.least("n_words", F.lit(SHORT)))
+    least = shortest(min_words, similarity)
+    lines = written(docs.mapInArrow(_lines(1 if short_copies else least), "doc_id long, line_no int, class_id long, n_words long"), "lines")
+    keyed = F.when(F.col("n_words") >= least, F.least("n_words", F.lit(SHORT)))
     total, n_keys = lines.where("doc_id is not null").agg(F.sum("n_words"), F.sum(keyed)).first()
     often = lines.where("doc_id is null").groupBy("class_id").agg(F.sum("n_words").alias("n")).where(-F.col("n") * FREQUENT >= (total or 0)).select("class_id").collect()
     frequent = np.sort(np.array([r[0] for r in often], np.int64).view(U))
     lines = lines.where("doc_id is not null")
     buckets = buckets_for(docs.sparkSession, n_keys or 0)
-    packed = docs.select("text").mapInArrow(_keyed(min_words, similarity, buckets, frequent), PACKED)
+    packed = docs.select("text").mapInArrow(_keyed(least, similarity, buckets, frequent), PACKED)
     found = written(candidates(packed, buckets, _marks_near(similarity)), "found")
     wanted = written(found.select(F.explode(F.array("a", "b")).alias("class_id")).where("class_id is not null").distinct(), "wanted")
     held = semi_by_id(lines.select("class_id", "doc_id"), wanted, "class_id").groupBy("class_id").agg(F.min("doc_id").alias("doc_id"))
@@ -285,18 +291,18 @@ def fuzzy_line_groups(docs: DataFrame, min_words: int, similarity: float, short_
         return F.expr(f"{apart} <= 2 * {most} - abs({x}.size - {y}.size)")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        return both_ends(pairs, values.select("id", "value")).mapInArrow(_similar(similarity), "a long, b long")
+        return both_ends(pairs, values.select("id", "value")).mapInArrow(_similar(similarity, min_words), "a long, b long")
 
     components = linked(found, values.drop("value"), near, verify, similarity)
-    return lines.drop("n_words"), components.select(F.col("node").alias("class_id"), F.col("component").alias("group_id"))
+    return lines, components.select(F.col("node").alias("class_id"), F.col("component").alias("group_id"))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", short_copies: bool = False) -> DataFrame:
     """``docs`` with repeated lines taken out of ``text_col``, and columns n_lines and n_removed (long) added or replaced.
 
     Of each group of equal or similar lines the one with the least (id, line number) stays. Lines of fewer than
-    ``min_words`` normalised words are left alone, or with ``short_copies`` only their exact copies (equal words) are taken out;
-    lines without a word stay. ``n_chars``, if there is such a column,
+    ``min_words`` normalised words are similar to longer ones only, of ``min_words`` words at least; where they are not they are left alone, or with ``short_copies`` their exact
+    copies (equal words) are taken out; lines without a word stay. ``n_chars``, if there is such a column,
     is brought up to date. A null text stays null with no lines; an empty text is one line and stays. Rows
     with a null id are returned as they are. Rows that share an id are one document: their equal line numbers count as
     one occurrence. Lines and texts of any length are read whole. Every other column is returned as it came.
@@ -305,7 +311,10 @@ def dedup_lines(docs: DataFrame, min_words: int = 5, similarity: float = 0.8, id
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
     lines, groups = fuzzy_line_groups(plain, min_words, similarity, short_copies)
     few = groups.count() <= BROADCAST_IDS
-    named = lines.join(F.broadcast(groups) if few else groups, "class_id", "left").select("doc_id", "line_no", F.coalesce("group_id", "class_id").alias("g"))
+    named = lines.join(F.broadcast(groups) if few else groups, "class_id", "left")
+    if not short_copies:
+        named = named.where((F.col("n_words") >= min_words) | F.col("group_id").isNotNull())
+    named = named.select("doc_id", "line_no", F.coalesce("group_id", "class_id").alias("g"))
     keep = named.groupBy("g").agg(F.min(F.struct("doc_id", "line_no")).alias("keep"), F.count("*").alias("n")).where("n > 1").select("g", "keep")
     out = named.join(keep, "g").where("struct(doc_id, line_no) <> keep")
     drops = written(out.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line_no").alias("__drop")), "drops")

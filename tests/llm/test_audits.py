@@ -81,7 +81,7 @@ def conversations(seed):
     rnd = random.Random(seed)
     texts = ["Yes.", "No", "what?", "  ", "", "A long answer, cut", "Done!\n", "One. Two", None, "x"]
     roles = ["user", "assistant", "system", "user", "assistant", "tool", "", None, "ux"]
-    rows = [(conv, rnd.choice([None, turn, turn + conv % 2]), rnd.choice(roles), rnd.choice(texts) if rnd.random() < 0.4 else f"text {turn}.{rnd.randrange(6)}{rnd.choice(['', '.'])}")
+    rows = [(conv, rnd.choice([None, turn, turn + (conv or 0) % 2]), rnd.choice(roles), rnd.choice(texts) if rnd.random() < 0.4 else f"text {turn}.{rnd.randrange(6)}{rnd.choice(['', '.'])}")
             for conv in [*range(30), None] for turn in range(rnd.randrange(1, 14))]
     rows += [(77, t, ["user", "assistant"][t % 2], f"turn {t % 90}.") for t in range(200)] + [(77, 5, "user", "same.")] * 40 + [(78, 0, "user", "y" * 300_000)]
     return rows

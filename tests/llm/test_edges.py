@@ -383,6 +383,37 @@ def test_simple_tree_matching_against_plain_recursion():
         assert html_extract.matched(a, b, {}) == slow(a, b)
 
 
+def test_wide_and_deep_pages_are_matched_like_others():
+    rnd = random.Random(9)
+    wide = ["<div>" + "".join(f"<p class={rnd.choice('abcd')}>t<b>{'<i></i>' * rnd.randrange(3)}</b></p>" for _ in range(n)) + "</div>" for n in (230, 260)]
+    a, b = (html_extract.parse(x) for x in wide)
+    x, y = ([k for k in r.kids[0].kids] for r in (a, b))
+    pair = lambda p, q: 0 if p.label != q.label else 2 + min(len(p.kids[1].kids), len(q.kids[1].kids))
+    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i, p in enumerate(x):
+        for j, q in enumerate(y):
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + pair(p, q))
+    assert html_extract.matched(a, b, {}) == 2 + best[-1][-1]
+    pairs = html_extract.aligned_kids(a.kids[0], b.kids[0], {})
+    assert sum(w for _, _, w in pairs) == best[-1][-1]
+    at = [(x.index(p), y.index(q)) for p, q, _ in pairs]
+    assert len({i for i, _ in at}) == len({j for _, j in at}) == len(at) and sorted(at) == sorted(at, key=lambda t: t[1])
+    deep = [html_extract.parse("<div>" * n + "deep" + "</div>" * n + "<p>after") for n in (600, 450)]
+    assert html_extract.matched(*deep, {}) == 452 and html_extract.matched(deep[0], deep[0], {}) == deep[0].size
+    assert [b.text for b in html_extract.blocks(deep[0])] == ["deep", "after"]
+
+
+def test_long_paths_take_as_many_rounds_as_forks(spark, monkeypatch):
+    rounds = []
+    led = url_filter._without_forks
+    monkeypatch.setattr(url_filter, "_without_forks", lambda rows: rounds.append(1) or led(rows))
+    long = "/".join(f"s{i}" for i in range(2000))
+    urls = [f"http://h.test/{long}/a", f"http://h.test/{long}/b", f"http://h.test/{long}/b", "http://h.test/x/y", "http://other.test/" + long, "http://other.test/", None]
+    pages = spark.createDataFrame([*enumerate(urls)], "page_id long, url string")
+    got = {r["page_id"]: r["template"] for r in url_filter.judge_urls(pages, spark.createDataFrame([], "page_id long, bad int")).collect()}
+    assert len(rounds) <= 3 and got == {0: "/+" * 2000 + "/*", 1: "/+" * 2001, 2: "/+" * 2001, 3: "/*/*", 4: "/*" * 2000, 5: "", 6: ""}
+
+
 def test_language_edges(spark):
     rows = [(i, t, lang, "s", 2) for i, (t, lang) in enumerate([("the cat sat on the mat", "en"), ("der hund und die katze", "de"), (None, "en"), ("123 !!", "de"), ("", None), ("the dog and the cat", None)] * 20)]
     df = spark.createDataFrame([*rows, (None, "the end of the day", "en", "s", 2)], "doc_id long, text string, lang string, lang_pred string, score int")

@@ -29,7 +29,7 @@ def groups_by_edit_distance(lines):
 def test_line_dedup_finds_all_lines_of_the_edit_similarity(spark):
     rnd = random.Random(8)
     texts = []
-    for n in (5, 6, 7, 8, 9, 10, 11, 12, 15, 19, 20, 25, 40, 60):
+    for n in (3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 15, 19, 20, 25, 40, 60):
         for _ in range(3):
             base = sentence(rnd, n)
             texts.append(base)
@@ -37,18 +37,55 @@ def test_line_dedup_finds_all_lines_of_the_edit_similarity(spark):
                 words = edited(rnd, base, share).split()
                 at = rnd.randrange(n)
                 texts.append(" ".join(words))
+                texts.append(" ".join([*base.split()[:at], "more", *base.split()[at:]]))
                 texts.append(" ".join(words[:at] + words[at + 1 :]))
     evenly = sentence(rnd, 20).split()
     texts.append(" ".join(evenly))
     evenly[3::5] = ["other"] * 4
     texts.append(" ".join(evenly))
-    texts = [t for t in texts if len(t.split()) >= 5]
+    texts = [t for t in dict.fromkeys(texts) if len(t.split()) >= 3]
+    assert {len(t.split()) for t in texts} >= {3, 4, 5, 6}
     want = groups_by_edit_distance([norm(t) for t in texts])
     got = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()}
     assert [got[i] for i in range(len(texts))] == [int(g != i) for i, g in enumerate(want)]
     assert sum(got.values()) > 150
 
 
+def test_lines_of_four_words_are_similar_to_five(spark):
+    docs = [(1, "please read the terms"), (2, "please read the terms now"), (3, "please read these terms"), (4, "read the terms"), (5, "quite another short line"), (6, "quite another short line"), (7, "please read the terms")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(df).collect()} == {1: 0, 2: 1, 3: 0, 4: 0, 5: 0, 6: 0, 7: 1}
+    assert {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(df, short_copies=True).collect()} == {1: 0, 2: 1, 3: 0, 4: 0, 5: 0, 6: 1, 7: 1}
+
+
+def test_kernels_run_where_the_package_is_not(tmp_path):
+    """Every kernel is pickled as tasks are and loaded by a process that cannot import the package."""
+    import os
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from focalframe.llm import conversation, html_extract, langid, links, ngram_join, topk, toxicity, warc
+    from focalframe.operators import dense, projects, register
+
+    step, walk, ending = conversation.tables()
+    kernels = [
+        line_dedup._lines(5), line_dedup._keyed(4, 0.8, 3, __import__("numpy").zeros(0, "u8")), line_dedup._line_words, line_dedup._similar(0.8, 5), line_dedup._marks_near(0.8), links._grouped(3, line_dedup._marks_near(0.8)),
+        conversation._cut(9, 9, conversation.KINDS), conversation._edit(step, walk, ending), conversation._summed(step), conversation._walked(step, walk), conversation._chained, conversation._hashed,
+        html_extract._learn, html_extract._extract, toxicity._words_of, register._band_sums("affine", 6), dense.phase_shift,
+    ]
+    assert langid and ngram_join and topk and warc and projects
+    (tmp_path / "kernels").write_bytes(cloudpickle.dumps(kernels))
+    import importlib.util
+
+    where = [os.path.dirname(os.path.dirname(importlib.util.find_spec(m).origin)) for m in ("pyspark", "numpy", "pyarrow")]
+    code = f"import pickle, sys; sys.path[:] = [p for p in sys.path if p and 'repo' not in p] + {where!r}; n = len(pickle.load(open({str(tmp_path / 'kernels')!r}, 'rb'))); import importlib.util; assert importlib.util.find_spec('focalframe') is None; print(n)"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=tmp_path, env=env, check=False)
+    assert out.stdout.strip() == str(len(kernels)), out.stderr[-800:]
+
+
 def test_line_dedup_takes_copies_of_short_lines(spark):
     docs = [(1, "Contact us\n\n---\nread more"), (2, "contact us!\n\n---\nnothing else"), (3, "contact them\nread  more")]
     got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), short_copies=True).collect()}

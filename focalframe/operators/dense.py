@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..raster import with_halo
-from . import fuse
+from . import fuse, registry
 from .stencils import box, gaussian_taps, median, separable, sharpness
 
 TAPS = gaussian_taps(1.0)
@@ -351,10 +351,10 @@ register("weighted")(lambda frames, sharpness_radius=8, temperature=0.05, **_: w
 
 
 def fused_by(name: str, frames: DataFrame, **parameters) -> DataFrame:
-    """Runs a registered method; an unknown name is an error that lists the known ones."""
+    """Runs a registered method; an unknown name, and a parameter that is unknown or out of its range, are errors that say what is known."""
     if name not in METHODS:
         raise ValueError(f"unknown method {name!r}; known: {', '.join(sorted(METHODS))}")
-    return METHODS[name](frames, **parameters)
+    return METHODS[name](frames, **(registry.checked(name, parameters) if name in registry.METHODS else parameters))
 
 
 @register("slab")

@@ -288,9 +288,38 @@ def revisions(changes: DataFrame) -> DataFrame:
     return changes.select("session").distinct().join(real.groupBy("session").agg(F.count("*").alias("rev"), F.sum(F.expr("(y1 - y0) * (x1 - x0)")).alias("dirty")), "session", "left").select("session", F.coalesce("rev", F.lit(0)).alias("rev"), F.coalesce("dirty", F.lit(0)).alias("dirty"))
 
 
-def flatten_sessions(sessions: DataFrame) -> DataFrame:
-    """New results (project_id, image_id, kind, method, name) of ``sessions(project_id, session, name)``; ids are digests of the session."""
-    return sessions.select("project_id", F.substring(F.sha2(F.col("session").cast("string"), 256), 1, 12).alias("image_id"), F.lit("result").alias("kind"), F.lit("retouch").alias("method"), "name")
+#: What an export of scene-linear samples does not bake in, and how codes map to samples.
+NO_BAKE = ("white_balance", "exposure_style", "tone_curve", "denoise", "sharpen", "output_color_conversion")
+FORMULA = "scene_linear = code / 65535 * span + offset"
+CALIBRATION = ("black_level", "white_level", "color_matrix1", "color_matrix2", "calibration_illuminant1", "calibration_illuminant2", "as_shot_neutral")
+
+
+def provenance(files: DataFrame, version: str, supplied: str | None = None) -> Column:
+    """JSON of how an export was made, from the columns decoder (a map), those of ``CALIBRATION`` (missing ones are null), offset and span of ``files``; the fields of the struct ``supplied`` are added at the end."""
+    known = set(files.columns)
+    calibration = [F.col(c) if c in known else F.lit(None).cast("double").alias(c) for c in CALIBRATION]
+    made = [
+        F.lit(1).alias("schema"), F.lit("focalframe").alias("application"), F.lit(version).alias("version"), F.lit("scene_linear_camera_rgb").alias("processing_domain"),
+        F.struct(*(F.lit(True).alias(n) for n in NO_BAKE)).alias("no_bake"), F.col("decoder"), F.struct(*calibration).alias("source_calibration"),
+        F.struct(F.col("offset"), F.col("span"), F.lit(FORMULA).alias("formula")).alias("integer_mapping"),
+    ]
+    made += [F.col(f"{supplied}.{f.name}") for f in files.schema[supplied].dataType.fields] if supplied else []
+    return F.to_json(F.struct(*made), {"ignoreNullFields": "false"})
+
+
+#: The metadata of an image that a project keeps.
+METADATA = """source_path string, icc binary, exif_bytes binary, xmp_bytes binary, exif map<string,string>, xmp map<string,string>, camera_make string, camera_model string,
+lens_model string, capture_time string, orientation int, source_orientation int, black_level array<double>, white_level double, color_matrix1 array<double>, as_shot_neutral array<double>"""
+
+
+def metadata_json(metadata: str = "metadata") -> Column:
+    """A struct of metadata as JSON: bytes in base64, absent fields null."""
+    return F.to_json(metadata, {"ignoreNullFields": "false"})
+
+
+def metadata_of(text: str = "text") -> Column:
+    """The metadata in a JSON text; fields that are missing are null, unknown ones are passed over, and a text that is no JSON object gives null."""
+    return F.when(F.get_json_object(text, "$").startswith("{"), F.from_json(text, METADATA))
 
 
 def job_states(events: DataFrame) -> DataFrame:

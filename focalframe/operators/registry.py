@@ -1,4 +1,4 @@
-"""The parameters of the fusion methods as forms show them (``dense.METHODS`` holds the methods); ranges are not enforced when a method runs."""
+"""The parameters of the fusion methods as forms show them (``dense.METHODS`` holds the methods), and the check of what a run is given."""
 
 from __future__ import annotations
 
@@ -46,3 +46,19 @@ def method(name: str) -> tuple[Parameter, ...]:
     if name not in METHODS:
         raise ValueError(f"unknown method {name!r}; known: {', '.join(METHODS)}")
     return tuple(p for p in PARAMETERS if p.method == name)
+
+
+def checked(name: str, given: dict[str, object]) -> dict[str, object]:
+    """``given`` as it is, if every parameter is one that the methods know and lies in its range; a method may get parameters of others, which slabs and tiles pass on."""
+    method(name)
+    known = {p.name: p for p in PARAMETERS}
+    for key, value in given.items():
+        if key not in known:
+            raise ValueError(f"unknown parameter {key!r}; known: {', '.join(sorted(known))}")
+        p = known[key]
+        if p.kind == "choice":
+            if value not in p.choices:
+                raise ValueError(f"{key} must be one of {', '.join(p.choices)}, not {value!r}")
+        elif isinstance(value, bool) or not isinstance(value, int if p.kind == "int" else (int, float)) or not p.least <= value <= p.most:
+            raise ValueError(f"{key} must be {'a whole number' if p.kind == 'int' else 'a number'} from {p.least:g} to {p.most:g}, not {value!r}")
+    return given

@@ -102,9 +102,10 @@ def job_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.job_order(jobs, o.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("job_id"), (-F.col("o_orderkey")).alias("wanted")))
 
 
-@query("SELECT p_partkey, regexp_replace(p_name || ' ' || p_type || ':' || p_size || ' {x} ' || CASE WHEN p_partkey < 1000 THEN lpad(CAST(p_partkey AS VARCHAR), 3, '0') ELSE CAST(p_partkey AS VARCHAR) END, '[\\\\/:*?\"<>|]', '_', 'g') AS name FROM part")
+@query("WITH s AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part) SELECT p_partkey, regexp_replace(p_name || ' ' || p_type || ':' || p_size || ' {x} ' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END, '[\\\\/:*?\"<>|]', '_', 'g') AS name FROM s")
 def export_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = table(spark, sf_dir, "part").withColumn("seq", F.when(F.length(F.col("p_partkey").cast("string")) < 3, F.lpad(F.col("p_partkey").cast("string"), 3, "0")).otherwise(F.col("p_partkey").cast("string")))
+    """Names of a brand's exports, numbered within the brand."""
+    parts = table(spark, sf_dir, "part").withColumn("seq", catalog.sequence_number(["p_partkey"], ["p_brand"]))
     return parts.select("p_partkey", catalog.export_name("{stack_name} {method}:{frames} {x} {seq}", stack_name=F.col("p_name"), method=F.col("p_type"), frames=F.col("p_size"), seq=F.col("seq")).alias("name"))
 
 

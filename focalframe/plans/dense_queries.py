@@ -65,9 +65,23 @@ def pmax_unsmoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pixels(dense.pmax(embedding_frames(spark, sf_dir), 0)).withColumn("v", F.round("v", 4) + 0.0)
 
 
-@query()
+def _masked_sql() -> str:
+    """As ``PMAX`` with the masks as frames from 100 on: they are averaged like frames and hold above one half."""
+    first = RASTER.replace("WITH px AS", "WITH px0 AS").replace("dim AS MATERIALIZED", "dim0 AS MATERIALIZED").replace("FROM px GROUP", "FROM px0 GROUP")
+    both = ", px AS MATERIALIZED (SELECT * FROM px0 UNION ALL SELECT frame + 100, y, x, CAST(v >= 16 AND (frame <> 3 OR x >= 32) AS BIGINT) FROM px0), dim AS MATERIALIZED (SELECT frame, max(y) + 1 AS h, max(x) + 1 AS w FROM px GROUP BY frame)"
+    sql = PMAX.replace(RASTER, first + both)
+    sql = sql.replace("d0 AS (SELECT frame, y, x, v FROM lv WHERE level = 0)", "d0 AS (SELECT frame, y, x, v FROM lv WHERE level = 0 AND frame < 100), ok0 AS (SELECT frame - 100 AS frame, y, x, v > 0 AS ok FROM px WHERE frame >= 100), ok1 AS (SELECT frame - 100 AS frame, y, x, v > 0.5 AS ok FROM lv WHERE level = 1 AND frame >= 100)")
+    sql = sql.replace("r1 AS (SELECT frame, y, x, v FROM lv WHERE level = 1)", "r1 AS (SELECT frame, y, x, v FROM lv WHERE level = 1 AND frame < 100)")
+    least = "CASE WHEN ok THEN e0.v ELSE '-infinity'::DOUBLE END"
+    sql = sql.replace("(e0.v, -frame)", f"({least}, -frame)").replace("FROM d0 JOIN e0 USING (frame, y, x)", "FROM d0 JOIN e0 USING (frame, y, x) JOIN ok0 USING (frame, y, x)")
+    rest = f"(e1.v + {dense.REST!r})"
+    sql = sql.replace(rest, f"(CASE WHEN ok THEN e1.v + {dense.REST!r} ELSE 0 END)")
+    return sql.replace("FROM r1 JOIN e1 USING (frame, y, x)", "FROM r1 JOIN e1 USING (frame, y, x) JOIN ok1 USING (frame, y, x)")
+
+
+@query(_masked_sql() + " SELECT sm.y, sm.x, round(up.v + CASE WHEN ok THEN d0.v ELSE fd.v END, 4) + 0.0 AS v FROM sm JOIN up USING (y, x) JOIN fd USING (y, x) JOIN d0 ON d0.frame = sm.v AND d0.y = sm.y AND d0.x = sm.x JOIN ok0 ON ok0.frame = sm.v AND ok0.y = sm.y AND ok0.x = sm.x")
 def pmax_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pixels(dense.pmax(_masked(spark, sf_dir)))
+    return _pixels(dense.pmax(_masked(spark, sf_dir))).withColumn("v", F.round("v", 4) + 0.0)
 
 
 @query(PYRAMID + " SELECT frame, level, y, x, round(v, 4) + 0.0 AS v FROM lv")
@@ -101,9 +115,34 @@ def slab_pmax_dmap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pixels(dense.fused_by("slab", embedding_frames(spark, sf_dir), slab_size=4, slab_overlap=1, estimation_radius=2, smoothing_radius=4))
 
 
-@query()
+def _tiled_sql(tile: int, overlap: int) -> str:
+    """Each tile as a stack of its own, numbered in steps of 100; the images meet under ramps where tiles overlap."""
+    first = RASTER.replace("WITH px AS", "WITH px0 AS").replace("dim AS MATERIALIZED", "dim0 AS MATERIALIZED").replace("FROM px GROUP", "FROM px0 GROUP")
+    step = tile - overlap
+
+    def ramp(at: str, lo: str, hi: str, n: str) -> str:
+        r = f"least({overlap}, {hi} - {lo})"
+        up, down = (f"1.0::DOUBLE / ({r} + 1) + ({d}) * (1 - 1.0::DOUBLE / ({r} + 1)) / greatest({r} - 1, 1)" for d in (f"{at} - {lo}", f"{r} - 1 - ({at} - ({hi} - {r}))"))
+        return f"CASE WHEN {hi} <> {n} AND {at} >= {hi} - {r} THEN {down} WHEN {lo} <> 0 AND {at} < {lo} + {r} THEN {up} ELSE 1.0::DOUBLE END"
+
+    return (
+        first + f""", sz AS (SELECT max(h) AS h, max(w) AS w FROM dim0), p0 AS (SELECT h, w, a.range AS y0, b.range AS x0 FROM sz, range(0, 100000, {step}) a, range(0, 100000, {step}) b
+  WHERE (a.range < greatest(h - {overlap}, 1) AND b.range < greatest(w - {overlap}, 1) AND (h > {tile} OR w > {tile})) OR (a.range = 0 AND b.range = 0)
+), plan AS MATERIALIZED (SELECT row_number() OVER (ORDER BY y0, x0) AS s, y0, x0, least(y0 + {tile}, h) AS y1, least(x0 + {tile}, w) AS x1, h, w FROM p0
+), px AS MATERIALIZED (SELECT CAST(s * 100 + frame AS INTEGER) AS frame, CAST(y - y0 AS INTEGER) AS y, CAST(x - x0 AS INTEGER) AS x, v FROM px0 JOIN plan ON y >= y0 AND y < y1 AND x >= x0 AND x < x1
+), dim AS MATERIALIZED (SELECT frame, max(y) + 1 AS h, max(x) + 1 AS w FROM px GROUP BY frame)"""
+        + SHARP.removeprefix(RASTER)
+        + f""", q AS (SELECT frame // 100 AS s, greatest(quantile_cont(v, 0.999), 1e-8) AS top FROM sh WHERE frame % 100 = 5 GROUP BY 1
+), l AS (SELECT q.s, sh.frame, y, x, sh.v / top / 0.05 AS l, px.v FROM sh JOIN px USING (frame, y, x) JOIN q ON q.s = sh.frame // 100), m AS (SELECT s, y, x, max(l) AS m FROM l GROUP BY ALL
+), im AS (SELECT s, y, x, sum(exp(l - m) * v) / greatest(sum(exp(l - m)), 1e-8) AS v FROM l JOIN m USING (s, y, x) GROUP BY ALL
+), wt AS (SELECT CAST(y + y0 AS INTEGER) AS y, CAST(x + x0 AS INTEGER) AS x, v, ({ramp("(y + y0)", "y0", "y1", "h")}) * ({ramp("(x + x0)", "x0", "x1", "w")}) AS wt FROM im JOIN plan USING (s))
+SELECT y, x, round(sum(wt * v) / greatest(sum(wt), 1e-8), 6) AS v FROM wt GROUP BY 1, 2"""
+    )
+
+
+@query(_tiled_sql(40, 8))
 def tiled_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dense.tiled("weighted", embedding_frames(spark, sf_dir), 40, 8, sharpness_radius=2)
+    return dense.tiled("weighted", embedding_frames(spark, sf_dir), 40, 8, sharpness_radius=2).withColumn("v", F.round("v", 6))
 
 
 @query()
@@ -118,6 +157,40 @@ def alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return register.align(frames, 10, 5, 0.9).select("frame", "affected", "recovered", "dropped", *(F.col("m")[k].alias(f"m{k}") for k in range(6)))
 
 
+def _planted_stack(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(frames, shifts(frame, tx, ty)): the blurred sum of all frames, seen from a place that moves a little from frame to frame."""
+    flat = embedding_frames(spark, sf_dir).select("y", "height", F.posexplode("row").alias("x", "v"))
+    mean = rows(flat.groupBy("y", "x").agg((F.sum("v") / F.lit(10)).alias("v"), F.max("height").alias("height")).withColumn("frame", F.lit(0)))
+    height = flat.agg(F.max("height")).first()[0]
+    scene = scratch.written(stencils.gaussian_blur(mean.withColumn("height", F.lit(height)), 1.5), "scene")
+    shifts = spark.range(10).select(F.col("id").cast("int").alias("frame"), F.expr("(id - 5) * 0.4D").alias("tx"), F.expr("(id - 5) * -0.3D").alias("ty"))
+    copies = scene.drop("frame").withColumn("frame", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    moved = rows(geometry.warp(copies, shifts.select("frame", geometry.translation("tx", "ty").alias("m")), "bicubic"))
+    return scratch.written(moved.withColumn("height", F.lit(height)), "planted"), shifts
+
+
+@query("SELECT CAST(range AS INTEGER) AS frame, TRUE AS recovered, TRUE AS correlates FROM range(10)")
+def direct_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frame of a stack registered with its middle frame directly; it is recovered if its planted shift is found to 0.1 pixels."""
+    frames, shifts = _planted_stack(spark, sf_dir)
+    pairs = spark.range(10).select(F.col("id").cast("int").alias("link"), F.lit(5).alias("a"), F.col("id").cast("int").alias("b"))
+    found = register.estimate_pairs(frames, pairs, "translation").join(shifts.withColumnRenamed("frame", "link"), "link")
+    # What the reference sees at p, the frame sees at p less its own shift.
+    near = F.expr("abs(m[2] + tx) < 0.1D AND abs(m[5] + ty) < 0.1D")
+    return found.select(F.col("link").alias("frame"), near.alias("recovered"), (F.col("correlation") > 0.95).alias("correlates"))
+
+
+@query("SELECT CAST(range AS INTEGER) AS frame, TRUE AS recovered, FALSE AS affected, FALSE AS dropped FROM range(10)")
+def align_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole alignment, neighbours chained to the middle: every frame of the planted stack is recovered to half a pixel at the corners, none is flagged."""
+    frames, shifts = _planted_stack(spark, sf_dir)
+    found = register.align(register.proxies(frames), 10, 5, 0.9).join(shifts, "frame")
+    size = frames.agg(F.max("height"), F.max(F.size("row"))).first()
+    corners = f"array(struct(0 AS x, 0 AS y), struct({size[1] - 1} AS x, 0 AS y), struct(0 AS x, {size[0] - 1} AS y), struct({size[1] - 1} AS x, {size[0] - 1} AS y))"
+    off_by = "sqrt(pow((m[0] - 1) * c.x + m[1] * c.y + m[2] + tx, 2) + pow(m[3] * c.x + (m[4] - 1) * c.y + m[5] + ty, 2))"
+    return found.select("frame", F.expr(f"forall({corners}, c -> {off_by} < 0.5D)").alias("recovered"), "affected", "dropped")
+
+
 @query("SELECT DISTINCT CAST(vec_id % 10 AS INTEGER) AS frame, TRUE AS recovered, TRUE AS correlates FROM embeddings")
 def polish_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each blurred frame is registered with a copy of itself moved by a known transform; it is recovered if no corner is off by 0.1 pixels."""

@@ -54,3 +54,25 @@ def merged_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "part").select("p_partkey", exif.alias("exif"), own.alias("portable_exif"), packet.alias("packet"), extra.alias("portable_xmp"))
     out = projects.merged_metadata(files).drop("lens")
     return out.select("p_partkey", "make", "model", "captured", "source_orientation", "orientation", F.size("exif").alias("n_exif"), F.col("xmp")["Xmp.aux.Lens"].alias("lens"))
+
+
+@query("""SELECT p_partkey, '{"schema":1,"application":"focalframe","version":"1","processing_domain":"scene_linear_camera_rgb","no_bake":{"white_balance":true,"exposure_style":true,"tone_curve":true,"denoise":true,"sharpen":true,"output_color_conversion":true},"decoder":{"name":"' || p_brand
+|| '"},"source_calibration":{"black_level":[' || p_size || ',1],"white_level":' || (p_size + 1000) || ',"color_matrix1":null,"color_matrix2":null,"calibration_illuminant1":null,"calibration_illuminant2":null,"as_shot_neutral":null},"integer_mapping":{"offset":' || p_size || ',"span":65535,"formula":"scene_linear = code / 65535 * span + offset"},"method":"' || p_type || '","frames":' || p_size || '}' AS provenance FROM part""")
+def provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an export says of how it was made."""
+    p = table(spark, sf_dir, "part")
+    files = p.select("p_partkey", F.create_map(F.lit("name"), "p_brand").alias("decoder"), F.array(F.col("p_size"), F.lit(1)).alias("black_level"), (F.col("p_size") + 1000).alias("white_level"), F.col("p_size").alias("offset"), F.lit(65535).alias("span"), F.struct(F.col("p_type").alias("method"), F.col("p_size").alias("frames")).alias("supplied"))
+    return files.select("p_partkey", projects.provenance(files, "1", "supplied").alias("provenance"))
+
+
+@query("""SELECT p_partkey, p_name AS source_path, CASE WHEN p_partkey % 3 <> 0 THEN p_brand END AS icc, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size AS INTEGER) END AS orientation, p_type AS make, CASE WHEN p_partkey % 5 <> 0 THEN p_size + 0.5::DOUBLE END AS black, p_partkey % 7 = 0 AS absent FROM part""")
+def metadata_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata with bytes, maps, lists and absent fields to JSON and back; texts that are no documents give nothing."""
+    p = table(spark, sf_dir, "part")
+    made = F.struct(
+        F.col("p_name").alias("source_path"), F.when(F.expr("p_partkey % 3 <> 0"), F.encode("p_brand", "UTF-8")).alias("icc"), F.create_map(F.lit("Exif.Image.Make"), "p_type").alias("exif"),
+        F.when(F.expr("p_partkey % 2 = 0"), F.col("p_size").cast("int")).alias("orientation"), F.when(F.expr("p_partkey % 5 <> 0"), F.array(F.col("p_size") + F.lit(0.5), F.lit(1.0))).alias("black_level"), F.lit("x").alias("unknown"),
+    )
+    texts = p.select("p_partkey", made.alias("metadata")).select("p_partkey", "metadata", projects.metadata_json().alias("text"))
+    back = texts.select("p_partkey", projects.metadata_of().alias("m"), F.when(F.expr("p_partkey % 7 = 0"), "[1, 2]").otherwise(F.col("text")).alias("text")).withColumn("absent", projects.metadata_of().isNull())
+    return back.select("p_partkey", "m.source_path", F.decode("m.icc", "UTF-8").alias("icc"), "m.orientation", F.col("m.exif")["Exif.Image.Make"].alias("make"), F.col("m.black_level")[0].alias("black"), "absent")

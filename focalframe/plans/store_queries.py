@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import retouch
 from ..raster import embedding_frames, pixels, rows, table
 from ..sources import frames as files
-from ..sources.store import AlignedCache, RetouchImages, TileStore, fresh_path
+from ..sources.store import AlignedCache, DocumentStore, RetouchImages, TileStore, fresh_path
 from .raster_queries import MASKS, RASTER, _strokes
 from .registry import query
 from .warp_queries import SIM, transforms
@@ -120,23 +120,71 @@ def tile_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("z", "ty", "tx", "dy", F.coalesce("renewed", F.lit(False)).alias("renewed"), F.posexplode("row").alias("dx", "v")).withColumn("v", F.round("v", 4))
 
 
-@query(RASTER.replace("WITH px", "WITH RECURSIVE px") + MASKS.replace("\nWITH st", ", st") + """, t AS (
+#: The strokes folded one after another over frame 0; {when} names those that take part.
+REPLAY = RASTER.replace("WITH px", "WITH RECURSIVE px") + MASKS.replace("\nWITH st", ", st") + """, t AS (
   SELECT m.py AS y, m.px AS x, row_number() OVER (PARTITION BY m.py, m.px ORDER BY m.seq) AS k, m.mask * st.opacity AS a, CASE WHEN st.mode = 'erase' THEN b.v ELSE s.v END AS s, b.v AS v
-  FROM mask m JOIN st USING (seq) JOIN px b ON b.frame = 0 AND b.y = m.py AND b.x = m.px LEFT JOIN px s ON s.frame = st.source AND s.y = m.py AND s.x = m.px WHERE m.seq < (SELECT max(seq) FROM st)
+  FROM mask m JOIN st USING (seq) JOIN px b ON b.frame = 0 AND b.y = m.py AND b.x = m.px LEFT JOIN px s ON s.frame = st.source AND s.y = m.py AND s.x = m.px WHERE {when}
 ), fold AS (
   SELECT y, x, k, v * (1 - a) + coalesce(s, v) * a AS v FROM t WHERE k = 1 UNION ALL
   SELECT t.y, t.x, t.k, f.v * (1 - t.a) + coalesce(t.s, t.v) * t.a FROM fold f JOIN t ON t.y = f.y AND t.x = f.x AND t.k = f.k + 1
-), last AS (SELECT y, x, arg_max(v, k) AS v FROM fold GROUP BY 1, 2)
-SELECT px.y, px.x, round(coalesce(last.v, px.v), 6) AS v, CAST((SELECT max(seq) FROM st) % 20 AS BIGINT) AS replayed FROM px LEFT JOIN last ON last.y = px.y AND last.x = px.x WHERE px.frame = 0""")
-def retouch_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The image after all strokes but the last, as an undo shows it: from the latest stored checkpoint and the strokes after it."""
+), last AS (SELECT y, x, arg_max(v, k) AS v FROM fold GROUP BY 1, 2), im AS (SELECT px.y, px.x, coalesce(last.v, px.v) AS v FROM px LEFT JOIN last ON last.y = px.y AND last.x = px.x WHERE px.frame = 0)"""
+
+
+def _session(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """(base, strokes, sources) of a session whose strokes are the suppliers', and how many strokes it has."""
     flat = pixels(embedding_frames(spark, sf_dir))
     base = flat.where("frame = 0").select("y", "x", F.col("v").cast("double").alias("v"))
     sources = flat.where("frame > 0").select(F.col("frame").alias("source"), "y", "x", F.col("v").cast("double").alias("s"))
     strokes = _strokes(spark, sf_dir).withColumn("position", F.col("seq") + 1)
+    return base, strokes, sources, strokes.agg(F.max("position")).first()[0]
+
+
+@query(REPLAY.format(when="m.seq < (SELECT max(seq) FROM st)") + " SELECT y, x, round(v, 6) AS v, CAST((SELECT max(seq) FROM st) % 20 AS BIGINT) AS replayed FROM im")
+def retouch_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The image after all strokes but the last, as an undo shows it: from the latest stored checkpoint and the strokes after it."""
+    base, strokes, sources, last = _session(spark, sf_dir)
     store = RetouchImages(spark, fresh_path(spark, "retouch"), 50, 64)
     store.save(base, strokes, sources)
-    last = strokes.agg(F.max("position")).first()[0]
     store.forget_after(last - 1)
     image, replayed = store.after(base, strokes, sources, last - 1)
     return image.select("y", "x", F.round("v", 6).alias("v"), F.lit(replayed).cast("long").alias("replayed"))
+
+
+@query(REPLAY.format(when="TRUE") + " SELECT substr(sha256('session'), 1, 12) AS image_id, 'result' AS kind, 'retouch' AS method, y, x, CAST(floor(greatest(0.0, least(1.0, v / 255.0::DOUBLE)) * 65535 + 0.5) AS BIGINT) AS code FROM im")
+def flatten_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A session flattened to a new result: its last image as a 16-bit file, read again, with the result's record."""
+    base, strokes, sources, last = _session(spark, sf_dir)
+    store, folder = RetouchImages(spark, fresh_path(spark, "retouch"), 50, 64), fresh_path(spark, "flattened")
+    store.save(base, strokes, sources)
+    image, _ = store.after(base, strokes, sources, last)
+    record = store.flatten(image, folder, "session", "retouched")
+    back = files.read_stack(spark, record["path"].rsplit("/", 1)[0])
+    return back.select(*(F.lit(record[c]).alias(c) for c in ("image_id", "kind", "method")), "y", F.posexplode("r").alias("x", "code"))
+
+
+PARTS = "WITH c AS (SELECT p_brand, sum(p_retailprice) > (SELECT sum(p_retailprice) / count(DISTINCT p_brand) FROM part) AS dear FROM part GROUP BY 1)"
+
+
+@query(PARTS + " SELECT p_brand AS project_id, CASE WHEN dear THEN 'Renamed ' ELSE 'Project ' END || p_brand AS name, count(*) AS frames, count(*) FILTER (p_partkey % 3 = 0) AS results FROM part JOIN c USING (p_brand) GROUP BY p_brand, dear")
+def project_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Projects kept as documents, of which those with the dearer parts are renamed and saved again."""
+    p = table(spark, sf_dir, "part")
+    images = F.collect_list(F.when(F.col("p_partkey") % 3 == 0, F.struct(F.col("p_partkey").alias("image_id"), F.lit("result").alias("kind"))))
+    made = p.groupBy(F.col("p_brand").alias("project_id")).agg(F.collect_list("p_partkey").alias("frames"), images.alias("images"), F.sum("p_retailprice").alias("price"))
+    store = DocumentStore(spark, fresh_path(spark, "projects"), "project_id", "name string, frames array<bigint>, images array<struct<image_id:bigint,kind:string>>", ("name", "frames"))
+    store.save(made.withColumn("name", F.concat(F.lit("Project "), "project_id")).drop("price"))
+    mean = made.agg(F.avg("price")).first()[0]
+    store.save(made.where(F.col("price") > F.lit(mean)).withColumn("name", F.concat(F.lit("Renamed "), "project_id")).drop("price"))
+    return store.load().select("project_id", "name", F.size("frames").cast("long").alias("frames"), F.size("images").cast("long").alias("results"))
+
+
+@query(PARTS + " SELECT p_brand, p_name AS name, CAST(p_size AS INTEGER) AS radius FROM part JOIN c USING (p_brand) WHERE NOT dear")
+def preset_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Presets kept as one document for each brand, after those of the dearer brands were deleted."""
+    p = table(spark, sf_dir, "part")
+    made = p.groupBy("p_brand").agg(F.collect_list(F.struct(F.col("p_name").alias("name"), F.col("p_size").alias("radius"))).alias("presets"), F.sum("p_retailprice").alias("price"))
+    store = DocumentStore(spark, fresh_path(spark, "presets"), "p_brand", "presets array<struct<name:string,radius:int>>")
+    store.save(made.drop("price"))
+    mean = made.agg(F.avg("price")).first()[0]
+    store.delete(made.where(F.col("price") > F.lit(mean)).select("p_brand"))
+    return store.load().select("p_brand", F.explode("presets").alias("p")).select("p_brand", "p.name", "p.radius")

@@ -48,9 +48,12 @@ def warp_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.warp_mask(embedding_frames(spark, sf_dir), transforms(spark))
 
 
-@query(RASTER + SIM + """, tap AS (SELECT pt.*, CAST(greatest(0, least(h - 1, floor(sy) + i.range)) AS INTEGER) AS iy, CAST(greatest(0, least(w - 1, floor(sx) + j.range)) AS INTEGER) AS ix, sy - floor(sy) - i.range AS dy, sx - floor(sx) - j.range AS dx FROM pt, range(-2, 4) i, range(-2, 4) j
+LANCZOS = RASTER + SIM + """, tap AS (SELECT pt.*, CAST(greatest(0, least(h - 1, floor(sy) + i.range)) AS INTEGER) AS iy, CAST(greatest(0, least(w - 1, floor(sx) + j.range)) AS INTEGER) AS ix, sy - floor(sy) - i.range AS dy, sx - floor(sx) - j.range AS dx FROM pt, range(-2, 4) i, range(-2, 4) j
 ), wt AS (SELECT *, CASE WHEN dy = 0 THEN 1 WHEN abs(dy) < 3 THEN sin(pi() * dy) / (pi() * dy) * sin(pi() * dy / 3) / (pi() * dy / 3) ELSE 0 END * CASE WHEN dx = 0 THEN 1 WHEN abs(dx) < 3 THEN sin(pi() * dx) / (pi() * dx) * sin(pi() * dx / 3) / (pi() * dx / 3) ELSE 0 END AS wt FROM tap)
-SELECT wt.frame, wt.y, wt.x, round(sum(wt.wt * px.v) / sum(wt.wt), 5) AS v FROM wt JOIN px ON px.frame = wt.frame AND px.y = iy AND px.x = ix GROUP BY 1, 2, 3""")
+SELECT wt.frame, wt.y, wt.x, round(sum(wt.wt * px.v) / sum(wt.wt), 5) AS v FROM wt JOIN px ON px.frame = wt.frame AND px.y = iy AND px.x = ix GROUP BY 1, 2, 3"""
+
+
+@query(LANCZOS)
 def warp_lanczos3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.warp(embedding_frames(spark, sf_dir), transforms(spark), "lanczos3").withColumn("v", F.round("v", 5))
 
@@ -62,9 +65,9 @@ def warp_bicubic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.warp(embedding_frames(spark, sf_dir), transforms(spark), "bicubic").withColumn("v", F.round("v", 4) + 0.0)
 
 
-@query()
+@query(LANCZOS)
 def warp_lanczos3_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Resamples every frame of the stack; compared with brute force in place of SQL."""
+    """Resamples every frame of the stack."""
     return geometry.warp(embedding_frames(spark, sf_dir), transforms(spark), "lanczos3").withColumn("v", F.round("v", 5))
 
 

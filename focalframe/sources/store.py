@@ -7,16 +7,19 @@ vouches for them, so that a run that dies between the two is simply repeated.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import geometry, retouch
 from ..raster import BAND
 from ..scratch import exists, fresh_path, remove
+from .frames import export_frames
 
 VERSION = 2
 
-__all__ = ["AlignedCache", "PartitionedTable", "RetouchImages", "TileStore", "fresh_path"]
+__all__ = ["AlignedCache", "DocumentStore", "PartitionedTable", "RetouchImages", "TileStore", "fresh_path"]
 
 
 class PartitionedTable:
@@ -38,8 +41,9 @@ class PartitionedTable:
 
     def drop(self, partitions: DataFrame) -> None:
         """Removes partitions; their values, a row for each, come to the driver."""
+        escaped = self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
         for row in partitions.select(*self.by).distinct().collect():
-            remove(self.spark, self.path + "".join(f"/{c}={row[c]}" for c in self.by))
+            remove(self.spark, self.path + "".join(f"/{c}={escaped(str(row[c]))}" for c in self.by))
 
 
 def frame_keys(frames: DataFrame, transforms: DataFrame) -> DataFrame:
@@ -119,6 +123,31 @@ class TileStore:
         return self.tiles.read()
 
 
+class DocumentStore:
+    """JSON documents by key, such as projects and presets: one partition a document, so that saving some leaves the others alone.
+
+    ``schema`` is the document's, without the key. A document that does not parse, or whose ``needed`` fields are missing, is passed over in reading.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str, schema: str, needed: tuple[str, ...] = ()) -> None:
+        self.key, self.schema, self.needed = key, schema, needed
+        self.documents = PartitionedTable(spark, path, f"document string, {key} string", [key])
+
+    def save(self, rows: DataFrame) -> None:
+        """Stores or replaces the documents of ``rows(key, fields...)``."""
+        fields = [c for c in rows.columns if c != self.key]
+        self.documents.replace(rows.select(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("document"), F.col(self.key).cast("string").alias(self.key)))
+
+    def delete(self, keys: DataFrame) -> None:
+        self.documents.drop(keys.select(F.col(self.key).cast("string").alias(self.key)))
+
+    def load(self) -> DataFrame:
+        """The documents' fields beside their key."""
+        parsed = self.documents.read().withColumn("d", F.from_json("document", self.schema))
+        whole = parsed.where("d IS NOT NULL").select(self.key, "d.*")
+        return whole.dropna(subset=list(self.needed)) if self.needed else whole
+
+
 class RetouchImages:
     """Images of a retouch session after every ``every`` strokes; undo starts from the latest one at or before the stroke it goes back to."""
 
@@ -151,3 +180,11 @@ class RetouchImages:
         """The image after ``n`` strokes and how many were replayed for it, fewer than ``every`` where all checkpoints are stored."""
         at = self.images.read().where(F.col("at") <= n).agg(F.max("at")).first()[0] or 0
         return self._after(base, strokes, sources, n, at), n - at
+
+    def flatten(self, image: DataFrame, folder: str, session: str, name: str) -> dict[str, str]:
+        """Exports an image (y, x, v in 0 to 255) of a session as a 16-bit file and returns the record of the new result: image_id, kind, path, method, name."""
+        image_id = hashlib.sha256(session.encode()).hexdigest()[:12]
+        packed = F.transform(F.array_sort(F.collect_list(F.struct("x", "v"))), lambda p: p["v"] / 255.0)
+        rows = image.groupBy("y").agg(packed.alias("row"))
+        export_frames(rows.select(F.lit(0).alias("frame"), F.col("y").cast("int").alias("y"), *(F.col("row").alias(c) for c in "rgb"), F.lit(self.height).alias("height")), f"{folder}/{image_id}", bits=16)
+        return {"image_id": image_id, "kind": "result", "path": f"{folder}/{image_id}/0000.tif", "method": "retouch", "name": name}

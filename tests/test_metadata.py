@@ -61,3 +61,15 @@ def test_merging(spark):
     assert (a["make"], a["lens"], a["captured"], a["orientation"], a["source_orientation"]) == ("B", "L", "t", 1, 6)
     assert (b["exif"], b["xmp"], b["make"], b["source_orientation"]) == ({}, {}, None, 1)
     assert (c["captured"], c["source_orientation"], c["xmp"]) == ("later", 1, {})
+
+
+def test_provenance_and_metadata_documents(spark):
+    import json
+
+    df = spark.createDataFrame([({"name": "d"}, [1.5], 2.0, 0.25, 4.0, ("pmax", [3]))], "decoder map<string,string>, black_level array<double>, white_level double, offset double, span double, supplied struct<method:string,frames:array<int>>")
+    made = json.loads(df.select(projects.provenance(df, "7", "supplied").alias("p")).first()["p"])
+    assert list(made) == ["schema", "application", "version", "processing_domain", "no_bake", "decoder", "source_calibration", "integer_mapping", "method", "frames"]
+    assert made["source_calibration"] == {c: {"black_level": [1.5], "white_level": 2.0}.get(c) for c in projects.CALIBRATION} and all(made["no_bake"].values()) and made["frames"] == [3]
+    texts = spark.createDataFrame([("{}",), ("[1]",), ("no",), (None,), ('{"orientation": 3, "icc": "AAE=", "new": 1}',)], "text string")
+    got = [r["m"] for r in texts.select(projects.metadata_of().alias("m")).collect()]
+    assert got[1:4] == [None] * 3 and got[0]["icc"] is None and got[4]["orientation"] == 3 and bytes(got[4]["icc"]) == b"\x00\x01"

@@ -5,10 +5,10 @@ import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 
-from focalframe.operators import geometry, retouch
+from focalframe.operators import dense, geometry, registry, retouch
 from focalframe.plans.raster_queries import _strokes
 from focalframe.raster import embedding_frames, pixels
-from focalframe.sources.store import AlignedCache, RetouchImages, TileStore
+from focalframe.sources.store import AlignedCache, DocumentStore, RetouchImages, TileStore
 
 
 def parts(root):
@@ -115,3 +115,29 @@ def test_replay_from_checkpoints(spark, tmp_path):
     assert store.save(base, strokes.withColumn("opacity", F.expr("CASE WHEN position > 7 THEN 0.1D ELSE opacity END")), sources) == 1
     after = parts(tmp_path / "images")
     assert all(after[k] == before[k] for k in ("at=3", "at=6")) and after["at=9"] != before["at=9"]
+
+
+def test_documents_are_kept_one_by_one(spark, tmp_path):
+    store = DocumentStore(spark, f"{tmp_path}/d", "name", "size int, tags array<string>", ("size",))
+    assert store.load().count() == 0
+    store.save(spark.createDataFrame([("a", 1, ["x"]), ("b/ö", 2, None), ("c", None, [])], "name string, size int, tags array<string>"))
+    before = parts(tmp_path / "d")
+    store.save(spark.createDataFrame([("a", 5, ["y", "z"])], "name string, size int, tags array<string>"))
+    after = parts(tmp_path / "d")
+    assert sum(after[k] != before[k] for k in before) == 1
+    assert sorted(map(tuple, store.load().collect())) == [("a", 5, ["y", "z"]), ("b/ö", 2, None)]
+    store.delete(spark.createDataFrame([("a",), ("none",)], "name string"))
+    assert [r["name"] for r in store.load().collect()] == ["b/ö"]
+    store.documents.replace(spark.createDataFrame([("{broken", "d"), ('{"size": 1}', "e")], "document string, name string"))
+    assert sorted(r["name"] for r in store.load().collect()) == ["b/ö", "e"]
+    store.delete(spark.createDataFrame([("b/ö",)], "name string"))
+    assert [r["name"] for r in store.load().collect()] == ["e"]
+
+
+def test_parameters_are_checked():
+    registry.checked("slab", {"slab_size": 4, "estimation_radius": 2, "inner_method": "pmax"})
+    for name, given, says in (("pmax", {"selection_smoothing": 4}, "from 0 to 3"), ("pmax", {"selection_smoothing": 1.0}, "whole number"), ("weighted", {"temperature": 0}, "from 0.001 to 1"), ("weighted", {"heat": 1}, "unknown parameter"), ("slab", {"inner_method": "slab"}, "one of pmax"), ("blend", {}, "unknown method")):
+        with pytest.raises(ValueError, match=says):
+            registry.checked(name, given)
+    with pytest.raises(ValueError, match="from 2 to 40"):
+        dense.fused_by("weighted", None, sharpness_radius=1)

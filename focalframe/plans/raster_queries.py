@@ -158,7 +158,8 @@ def _axis(at: str, lo: str, hi: str, n: str) -> str:
 SELECT y, x, count(*) AS tiles, round(sum(wt), 6) AS weight, round(sum(wt * v) / greatest(sum(wt), 1e-8), 6) AS v FROM w GROUP BY 1, 2""")
 def tile_feather(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = embedding_frames(spark, sf_dir)
-    size = frames.select(F.lit(0).alias("stack"), F.col("height").cast("long").alias("h"), F.lit(64).cast("long").alias("w")).distinct()
+    # The other frames may be a row lower.
+    size = frames.where("frame = 0").select(F.lit(0).alias("stack"), F.col("height").cast("long").alias("h"), F.lit(64).cast("long").alias("w")).distinct()
     h = size.first()["h"]
     image = pixels(frames).groupBy("y", "x").agg(F.sum("v").alias("v"))
     return fuse.feathered(image, fuse.tile_plan(size, 20, 4), 4, h, 64).withColumns({"weight": F.round("weight", 6), "v": F.round("v", 6)})

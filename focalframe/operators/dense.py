@@ -381,7 +381,7 @@ def tiled(name: str, frames: DataFrame, tile: int = 2048, overlap: int = 128, **
     plan = fuse.tile_plan(size, tile, overlap).select(F.expr(f"cast(y0 div {step} * {columns} + x0 div {step} AS int)").alias("stack"), "y0", "x0", "y1", "x1")
     held = frames.drop("stack").join(F.broadcast(plan), (F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y1")))
     cut = "slice({}, cast(x0 + 1 AS int), cast(x1 - x0 AS int))"
-    parts = held.select("stack", "frame", F.expr("cast(y - y0 AS int)").alias("y"), F.expr(cut.format("row")).alias("row"), F.expr("cast(y1 - y0 AS int)").alias("height"), F.expr(cut.format("valid")).alias("valid"))
+    parts = held.select("stack", "frame", F.expr("cast(y - y0 AS int)").alias("y"), F.expr(cut.format("row")).alias("row"), F.expr("cast(least(y1, height) - y0 AS int)").alias("height"), F.expr(cut.format("valid")).alias("valid"))
     made = pmax(parts, parameters.get("selection_smoothing", 1), depth) if name == "pmax" else fused_by(name, parts, **parameters)
     spots = made.join(F.broadcast(plan), "stack").select("y0", "x0", "y1", "x1", (F.col("y") + F.col("y0")).alias("y"), F.posexplode("row").alias("dx", "v")).withColumn("x", F.col("dx") + F.col("x0"))
     weight = F.expr(f"({fuse.feather('y', 'y0', 'y1', str(height), overlap)}) * ({fuse.feather('x', 'x0', 'x1', str(width), overlap)})")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators import geometry, retouch
 from ..raster import BAND
-from ..scratch import exists, fresh_path, remove
+from ..scratch import exists, fresh_path, remove, written
 from .frames import export_frames
 
 VERSION = 2
@@ -149,7 +149,7 @@ class DocumentStore:
 
 
 class RetouchImages:
-    """Images of a retouch session after every ``every`` strokes; undo starts from the latest one at or before the stroke it goes back to."""
+    """Images of a retouch session (the pixels that strokes can reach) after every ``every`` strokes; undo starts from the latest one at or before the stroke it goes back to."""
 
     def __init__(self, spark: SparkSession, path: str, height: int, width: int, every: int = 20) -> None:
         self.height, self.width, self.every = height, width, every
@@ -158,19 +158,22 @@ class RetouchImages:
     def _after(self, base: DataFrame, strokes: DataFrame, sources: DataFrame, n: int, at: int) -> DataFrame:
         """The image after ``n`` strokes, from the one stored ``at`` (0: the base). ``strokes`` have ``position`` from 1."""
         some = strokes.where((F.col("position") > at) & (F.col("position") <= n))
-        start = self.images.read().where(F.col("at") == at).select("y", "x", "v") if at else None
-        return retouch.retouched(base, some, sources, self.height, self.width, start)
+        return retouch.retouched(base, some, sources, self.height, self.width, self._stored(at))
+
+    def _stored(self, at: int) -> DataFrame | None:
+        return self.images.read().where(F.col("at") == at).select("y", "x", "v") if at else None
 
     def save(self, base: DataFrame, strokes: DataFrame, sources: DataFrame) -> int:
-        """Stores what is missing of the checkpoints of ``strokes(position, seq, ...)``; each is made from the one before it. The number of checkpoints made."""
+        """Stores what is missing of the checkpoints of ``strokes(position, seq, ...)``. The number of checkpoints made."""
         last = strokes.agg(F.max("position")).first()[0] or 0
         held = {r["at"] for r in self.images.read().select("at").distinct().collect()}
-        made = 0
-        for at in range(self.every, last + 1, self.every):
-            if at not in held:
-                self.images.replace(self._after(base, strokes, sources, at, at - self.every).select("y", "x", "v", F.lit(at).cast("long").alias("at")))
-                made += 1
-        return made
+        missing = [at for at in range(self.every, last + 1, self.every) if at not in held]
+        # A run of missing ones is made in one pass, from the checkpoint before it.
+        for first in [at for at in missing if at - self.every not in missing]:
+            run = [at for at in missing if at >= first and all(k not in held for k in range(first, at, self.every))]
+            some = strokes.where((F.col("position") > first - self.every) & (F.col("position") <= run[-1]))
+            self.images.replace(retouch.images_after(base, some, sources, self.height, self.width, run, self._stored(first - self.every)).select("y", "x", "v", "at"))
+        return len(missing)
 
     def forget_after(self, n: int) -> None:
         """Drops checkpoints of strokes that an undo has taken back."""
@@ -185,6 +188,8 @@ class RetouchImages:
         """Exports an image (y, x, v in 0 to 255) of a session as a 16-bit file and returns the record of the new result: image_id, kind, path, method, name."""
         image_id = hashlib.sha256(session.encode()).hexdigest()[:12]
         packed = F.transform(F.array_sort(F.collect_list(F.struct("x", "v"))), lambda p: p["v"] / 255.0)
-        rows = image.groupBy("y").agg(packed.alias("row"))
-        export_frames(rows.select(F.lit(0).alias("frame"), F.col("y").cast("int").alias("y"), *(F.col("row").alias(c) for c in "rgb"), F.lit(self.height).alias("height")), f"{folder}/{image_id}", bits=16)
+        rows = written(image.groupBy("y").agg(packed.alias("row")), "flattened")
+        # The image may reach beyond what strokes do.
+        height = (rows.agg(F.max("y")).first()[0] or 0) + 1
+        export_frames(rows.select(F.lit(0).alias("frame"), F.col("y").cast("int").alias("y"), *(F.col("row").alias(c) for c in "rgb"), F.lit(height).cast("int").alias("height")), f"{folder}/{image_id}", bits=16)
         return {"image_id": image_id, "kind": "result", "path": f"{folder}/{image_id}/0000.tif", "method": "retouch", "name": name}

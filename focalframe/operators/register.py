@@ -126,6 +126,15 @@ def partial_sums(t: np.ndarray, w: np.ndarray, g: np.ndarray) -> np.ndarray:
     return np.concatenate([plain, g.sum(0), t @ g, w @ g, (g.T @ g).ravel()])
 
 
+def plain_correlation(sums: np.ndarray) -> float:
+    """The correlation that partial sums stand for; 0 without overlap or texture."""
+    n, st, sw, tt, ww, tw = sums[:6]
+    if n < 16:
+        return 0.0
+    norm = np.sqrt(max(tt - st * st / n, 0.0) * max(ww - sw * sw / n, 0.0))
+    return float((tw - st * sw / n) / norm) if norm > 1e-12 * n else 0.0
+
+
 def ascent(sums: np.ndarray, p: int) -> tuple[np.ndarray | None, float]:
     """(step, correlation) from the sums over all samples; no step where the images have no overlap or texture.
 
@@ -289,11 +298,11 @@ def _halo_rows(m: str, band: int) -> str:
 
 
 def _band_sums(model: str, p: int):
-    """Partial sums of a band: its rows of the first frame (side 0) and the rows around it of the second (side 1)."""
+    """Partial sums of a band, and how telling its correlation is: its rows of the first frame (side 0) and the rows around it of the second (side 1)."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        link, _ = (k.as_py() for k in key)
-        out = np.zeros(6 + 3 * p + p * p)
+        link, band = (k.as_py() for k in key)
+        out, fit = np.zeros(6 + 3 * p + p * p), -1.0
         first, second = (table.filter(pc.equal(table["side"], side)).sort_by("y") for side in (0, 1))
         if first.num_rows and second.num_rows:
             m, height = np.array(table["m"][0].as_py()).reshape(3, 3), table["height"][0].as_py()
@@ -312,51 +321,85 @@ def _band_sums(model: str, p: int):
                 w, slope_x, slope_y = (sampled(v, sy, sx)[0] for v in (b, gx, gy))
                 unit = to @ np.stack([x[inside], y[inside], np.ones(inside.sum())])
                 out = partial_sums(a.ravel()[inside], w, derivatives(model, to @ m @ back, unit[0], unit[1], slope_x * back[0, 0], slope_y * back[0, 0]))
-        return pa.table({"link": pa.array([link], pa.int32()), "sums": pa.array([out.tolist()], pa.list_(pa.float64()))})
+                fit = plain_correlation(out) * np.sqrt(out[0])
+        return pa.table({"link": pa.array([link], pa.int32()), "band": pa.array([band], pa.int32()), "fit": pa.array([fit]), "sums": pa.array([out.tolist()], pa.list_(pa.float64()))})
 
     return run
 
 
+#: Rows that a window has at first where a frame as a whole does not correlate under its start, and the movement in pixels under which it grows.
+WINDOW, SETTLED = 256, 0.1
+
+
+def _window(at: int, reach: int, last: int) -> tuple[int, int]:
+    """First and last of at most ``reach`` bands around the band ``at``, and of a frame's bands 0 to ``last``."""
+    first = max(0, min(at - reach // 2, last + 1 - reach))
+    return first, min(last, first + reach - 1)
+
+
 def polish(frames: DataFrame, starts: DataFrame, model: str = "affine", rounds: int = 10, band: int = BAND) -> DataFrame:
     """(link, m, correlation): correlation steps from ``starts(link, a, b, m)`` on ``frames(frame, y, row, height)`` of full size and equal shape.
 
     A frame is never in one task: each band of the first frame meets the rows of the second that its samples come from, and gives the sums of its normal
     equations. These are added up; a few dozen numbers a link reach the driver, which solves them and sends the next transforms. Links that have
     settled leave. A link without overlap or texture keeps its start, with a null correlation.
+
+    A tall frame that does not correlate under its start as a whole may do so where the start is nearly right: steps are taken on a window around its most
+    telling band, which grows by three each time it has settled, to the whole frame. Each window takes ``rounds`` steps at most.
     """
     spark, p = frames.sparkSession, MODELS[model]
     links = {r["link"]: (r["a"], r["b"], np.array(r["m"]).reshape(3, 3)) for r in starts.select("link", "a", "b", "m").collect()}
+    begun = {k: m for k, (_, _, m) in links.items()}
     known = {r["frame"]: (r["height"], r["width"]) for r in frames.groupBy("frame").agg(F.max("height").alias("height"), F.max(F.size("row")).alias("width")).collect()}
     rho, open_ = dict.fromkeys(links, np.nan), {k for k, (a, b, _) in links.items() if a in known and known.get(a) == known.get(b)}
-    for _ in range(rounds):
-        if not open_:
-            break
-        made = [(k, a, b, m.ravel().tolist(), *known[a]) for k, (a, b, m) in sorted(links.items()) if k in open_]
-        now = F.broadcast(spark.createDataFrame(made, "link int, a int, b int, m array<double>, height int, width int"))
+    last = {k: (known[links[k][0]][0] - 1) // band for k in open_}
+    seed, reach, left, fresh = dict.fromkeys(open_, 0), {k: last[k] + 1 for k in open_}, dict.fromkeys(open_, rounds), set(open_)
+    least = -(-WINDOW // band)
+    while open_ and rounds > 0:
+        made = [(k, a, b, m.ravel().tolist(), *known[a], *_window(seed[k], reach[k], last[k])) for k, (a, b, m) in sorted(links.items()) if k in open_]
+        now = F.broadcast(spark.createDataFrame(made, "link int, a int, b int, m array<double>, height int, width int, first int, last int"))
         values = frames.select("frame", "y", F.col("row").cast("array<double>").alias("row"))
-        one = values.join(now, F.col("frame") == F.col("a")).select("link", F.expr(f"cast(y div {band} AS int)").alias("band"), F.lit(0).alias("side"), "y", "row", "m", "height")
-        needed = now.select("*", F.explode(F.expr(f"sequence(0, (height - 1) div {band})")).alias("band")).select("link", "band", "b", "m", "height", F.explode(F.expr(_halo_rows("m", band))).alias("row_b"))
-        two = values.join(needed, (F.col("frame") == F.col("b")) & (F.col("y") == F.col("row_b"))).select("link", F.col("band").cast("int").alias("band"), F.lit(1).alias("side"), "y", "row", "m", "height")
-        each = one.unionByName(two).groupBy("link", "band").applyInArrow(_band_sums(model, p), "link int, sums array<double>")
-        total = {k: np.zeros(6 + 3 * p + p * p) for k in open_}
-        for r in each.select("link", F.posexplode("sums")).groupBy("link", "pos").agg(F.sum("col").alias("v")).collect():
-            total[r["link"]][r["pos"]] = r["v"]
+        one = values.join(now, (F.col("frame") == F.col("a")) & F.expr(f"y div {band} BETWEEN first AND last")).select("link", F.expr(f"cast(y div {band} AS int)").alias("band"), F.lit(0).alias("side"), "y", "row", "m", "height")
+        needed = now.select("*", F.explode(F.expr("sequence(first, last)")).alias("band")).select("link", "band", "b", "m", "height", F.explode(F.expr(_halo_rows("m", band))).alias("row_b"))
+        two = values.join(needed, (F.col("frame") == F.col("b")) & (F.col("y") == F.col("row_b"))).select("link", "band", F.lit(1).alias("side"), "y", "row", "m", "height")
+        each = one.unionByName(two).groupBy("link", "band").applyInArrow(_band_sums(model, p), "link int, band int, fit double, sums array<double>")
+        total, telling = {k: np.zeros(6 + 3 * p + p * p) for k in open_}, {}
+        best = F.max_by("band", F.struct("fit", -F.col("band"))).alias("best")
+        for r in each.select("link", "band", "fit", F.posexplode("sums")).groupBy("link", "pos").agg(F.sum("col").alias("v"), best).collect():
+            total[r["link"]][r["pos"]], telling[r["link"]] = r["v"], r["best"]
         for k in sorted(open_):
-            step, found = ascent(total[k], p)
             a, b, m = links[k]
-            if step is None:
-                open_.discard(k)
-                continue
+            if k in fresh:
+                fresh.discard(k)
+                if k in telling and last[k] + 1 > least and plain_correlation(total[k]) < RETRY:
+                    seed[k], reach[k] = telling[k], least
+                    continue
+            step, found = ascent(total[k], p)
+            whole = reach[k] > last[k]
             to = centring(known[a])
             back = np.linalg.inv(to)
-            after = back @ moved_by(to @ m @ back, step, model) @ to
-            after = after / after[2, 2]
-            if not np.isfinite(after).all():
+            after = None if step is None else back @ moved_by(to @ m @ back, step, model) @ to
+            after = None if after is None else after / after[2, 2]
+            if after is None or not np.isfinite(after).all():
+                if not whole:
+                    # A window without overlap or texture tells nothing; a wider one may.
+                    reach[k], left[k] = reach[k] * 3, rounds
+                    continue
+                if np.isnan(rho[k]):
+                    links[k] = (a, b, begun[k])
                 open_.discard(k)
                 continue
-            if abs(found - rho[k]) < TOLERANCE:
-                open_.discard(k)
-            links[k], rho[k] = (a, b, after), found
+            links[k], left[k] = (a, b, after), left[k] - 1
+            if whole:
+                if abs(found - rho[k]) < TOLERANCE or not left[k]:
+                    open_.discard(k)
+                rho[k] = found
+            else:
+                low, high = _window(seed[k], reach[k], last[k])
+                corners = np.array([(x, y, 1.0) for x in (0, known[a][1] - 1) for y in (low * band, min((high + 1) * band, known[a][0]) - 1)])
+                old, new = (corners @ t.T for t in (m, after))
+                if np.hypot(*(old[:, :2] / old[:, 2:] - new[:, :2] / new[:, 2:]).T).max() < SETTLED or not left[k]:
+                    reach[k], left[k] = reach[k] * 3, rounds
     rows = [(k, m.ravel().tolist(), None if np.isnan(rho[k]) else rho[k]) for k, (_, _, m) in links.items()]
     return spark.createDataFrame(rows, "link int, m array<double>, correlation double")
 

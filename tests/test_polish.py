@@ -106,6 +106,16 @@ def test_polish_betters_the_proxy(spark, model):
     assert abs(got["gain"] - 2) < 0.05 and got["correlation"] > 0.99
 
 
+def test_a_tall_frame_whose_start_fits_only_at_one_end(spark):
+    height, width = 2000, 64
+    want = np.array([[1.004, -0.003, 0.3], [0.002, 0.98, 0.35], [0, 0, 1]])
+    a, b = planted(want, height, width, 8)
+    # At the other end the start is off by 40 pixels.
+    starts = spark.createDataFrame([(0, 0, 1, np.eye(3).ravel().tolist())], "link int, a int, b int, m array<double>")
+    got = register.polish(rows(spark, [a, b]), starts).first()
+    assert far(np.reshape(got["m"], (3, 3)), want, height, width) < 0.1 and got["correlation"] > 0.98
+
+
 def test_stability_of_a_refinement():
     shape, start = (100, 200), np.array([[1.02, -0.01, 4], [0.01, 1.02, -3], [0, 0, 1]])
     grown, moved = (np.array(x) for x in ([[1.06, 0, 0], [0, 1.06, 0], [0, 0, 1]], [[1, 0, 7.5], [0, 1, 7.5], [0, 0, 1]]))

@@ -82,8 +82,19 @@ def unspaced(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             signs[at[sign] + j] = True
     return alone[: len(buf)], after[: len(buf)], signs[: len(buf)]
 
+
+class _Powers(list):
+    """Two tables that grow with use; a kernel that is sent to a task leaves them behind, and the task makes its own."""
+
+    def __init__(self) -> None:
+        super().__init__([np.ones(1, U), np.ones(1, U)])
+
+    def __reduce__(self) -> tuple:
+        return _Powers, ()
+
+
 _BASE = 0x5851F42D4C957F2D
-_POWERS = [np.ones(1, U), np.ones(1, U)]
+_POWERS = _Powers()
 
 
 def _powers(n: int) -> list[np.ndarray]:

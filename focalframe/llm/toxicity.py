@@ -67,7 +67,8 @@ def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (hashes[1:] != hashes[:-1])])) if len(row) else np.zeros(0, np.int64)
             counts = np.diff(np.append(new, len(row)))
             ends = np.concatenate([[0], np.cumsum(np.bincount(row[new], minlength=hi - lo))])
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), tk.listed(hashes[new], ends), tk.listed(counts.astype(np.int64), ends), pa.array(n)], names=["grade", "words", "counts", "n"])
+            whole = pa.array(tk.sequences(hashes[new], ends).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), tk.listed(hashes[new], ends), tk.listed(counts.astype(np.int64), ends), pa.array(n), whole], names=["grade", "words", "counts", "n", "whole"])
 
 
 class Ordinal:
@@ -142,14 +143,14 @@ def sampled(marks: DataFrame, top: int, sample: int) -> DataFrame:
 
 def fit(labelled: DataFrame, top: int) -> Ordinal | None:
     """A model from a bounded sample ``labelled(text, grade)`` with grades 0 to ``top``; None unless two grades occur. Only features reach the driver."""
-    rows = labelled.select("grade", "text").mapInArrow(_words_of, "grade int, words array<long>, counts array<long>, n long").toArrow()
+    rows = labelled.select("grade", "text").mapInArrow(_words_of, "grade int, words array<long>, counts array<long>, n long, whole long").toArrow()
     grades = rows.column("grade").to_numpy()
     if len(set(grades.tolist())) < 2:
         return None
     words, counts = (rows.column(name).combine_chunks() for name in ("words", "counts"))
     ends = np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy())])
     # The same rows in any order give the same model.
-    order = np.lexsort((tk.sequences(words.flatten().to_numpy().view(U), ends), grades))
+    order = np.lexsort((rows.column("whole").to_numpy().view(U), grades))
     words, counts = (c.take(pa.array(order)) for c in (words, counts))
     ends = np.concatenate([[0], np.cumsum(np.diff(ends)[order])])
     return Ordinal(words.flatten().to_numpy().view(U), counts.flatten().to_numpy(), ends, rows.column("n").to_numpy()[order], grades[order], top)

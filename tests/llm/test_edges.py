@@ -2,11 +2,13 @@
 
 import hashlib
 import itertools
+import pickle
 import random
 import re
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 
 from focalframe.llm import decontam, html_extract, langid, line_dedup, links, mixing, ngram_join, textkernel, topk, toxicity, url_filter, warc
 
@@ -461,3 +463,11 @@ def test_word_kernel_against_regex():
     assert np.diff(at).tolist() == [len(w) for w in words]
     flat = [re.sub("[A-Z]", lambda m: m[0].lower(), w) for ws in words for w in ws]
     assert len(set(zip(flat, h.tolist()))) == len(set(flat)) == len(set(h.tolist()))
+
+
+def test_kernels_do_not_carry_the_tables_that_the_driver_made():
+    textkernel.sequences(np.arange(1 << 18, dtype=np.uint64), np.array([0, 1 << 18]))
+    assert len(cloudpickle.dumps(textkernel.sequences)) < 1_000_000
+    sent = pickle.loads(cloudpickle.dumps(textkernel.sequences))
+    words, at = np.arange(5000, dtype=np.uint64), np.array([0, 7, 7, 5000])
+    assert (sent(words, at) == textkernel.sequences(words, at)).all()

@@ -29,18 +29,25 @@ from .common import BROADCAST_IDS, semi_by_id, short_batches, written
 from .links import PACKED, Packer, both_ends, buckets_for, candidates, linked
 
 U = np.uint64
-#: Words in a key's run at most; class ids that a task remembers, so as to key each class about once.
-LONGEST = 4
+#: Words in a key's run at most (longer runs would only repeat what their own runs of three words find); class ids that a task remembers, so as to
+#: key each class about once.
+LONGEST = 3
 #: Words from which on lines are keyed by a choice of their runs; runs chosen of a line, and their words.
 SHORT = 20
 PICKED = 12
 PICKED_RUN = 3
+#: Lines whose picked runs are sorted at a time.
+PLACES = 1 << 18
 #: 64-bit words of the parity sketches.
 WIDTH = 8
 SKETCH = [f"s{i}" for i in range(WIDTH)]
 #: Share of all words from which on a word is frequent (so there are at most ``FREQUENT`` such words).
 FREQUENT = 500
 SEEN = 500_000
+#: Bits a wanted class of the filter that tasks carry, bits of it at most (32 MB; with more classes it only lets more others pass), and bits of one part.
+FILTER_BITS = 32
+FILTER_MOST = 1 << 28
+FILTER_PART = 1 << 20
 #: Documents with dropped lines that are broadcast at most (with five lines each); more are joined by a shuffle.
 BROADCAST_DROPS = 200_000
 
@@ -113,14 +120,18 @@ def run_keys(hashes: np.ndarray, offsets: np.ndarray, similarity: float, frequen
         common[frequent[np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)] == hashes] = 1
     late = sum(common[use + j] for j in range(PICKED_RUN)) > 1
     keys, rows = all_runs(hashes, PICKED_RUN, use) >> U(1) | late.astype(U) << U(63), row[use]
-    order = np.lexsort((keys, rows))
-    keys, rows = keys[order], rows[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = (keys[1:] != keys[:-1]) | (rows[1:] != rows[:-1])
-    keys, rows = keys[new], rows[new]
-    least = np.arange(len(rows)) - np.searchsorted(rows, rows) < PICKED
-    # Least hashes have few high bits; mixed again they choose buckets evenly.
-    yield rows[least], tk.mix(keys[least])
+    # A row's place and 46 bits of a key in one number: one array is sorted much faster than by two.
+    new = np.concatenate([[True], rows[1:] != rows[:-1]])
+    rows, place = rows[new], np.cumsum(new) - 1
+    edges = np.searchsorted(place, np.arange(0, len(rows) + PLACES, PLACES))
+    for base, (lo, hi) in enumerate(zip(edges, edges[1:])):
+        both = np.sort((place[lo:hi] - base * PLACES).astype(U) << U(46) | keys[lo:hi] >> U(18))
+        both = both[np.concatenate([[True], both[1:] != both[:-1]])]
+        own = (both >> U(46)).astype(np.int64)
+        starts = np.flatnonzero(np.diff(own, prepend=-1))
+        least = np.arange(len(own)) - starts[own] < PICKED
+        # Least hashes have few high bits; mixed again they choose buckets evenly.
+        yield rows[own[least] + base * PLACES], tk.mix(both[least] & U((1 << 46) - 1))
 
 
 def line_bounds(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,7 +153,8 @@ def _lines(min_words: int):
                 hashes, offsets = tk.words(data, bounds, tk.LINES)
                 number = np.arange(len(row)) - np.searchsorted(row, row)
                 use = np.diff(offsets) >= min_words
-                words, counts = np.unique(hashes, return_counts=True)
+                top = (hashes >> U(48)).astype(np.int64)
+                words, counts = np.unique(hashes[(np.bincount(top, minlength=1 << 16) * 2 * FREQUENT >= len(hashes))[top]], return_counts=True)
                 often = counts * 2 * FREQUENT >= len(hashes)
                 none, extra = pa.nulls(int(often.sum()), pa.int64()), np.zeros(int(often.sum()), np.int64)
                 columns = [
@@ -156,19 +168,58 @@ def _lines(min_words: int):
     return run
 
 
-def _line_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the lines whose class is in a row's list: number of words, sketch, and the words as 32 bits of their hashes."""
-    for batch in batches:
-        data, at = tk.bytes_of(batch.column(0))
-        for lo, hi in tk.chunks(at):
-            bounds, _ = line_bounds(data, at[lo : hi + 1])
-            hashes, offsets = tk.words(data, bounds, tk.LINES)
-            ids = tk.sequences(hashes, offsets).view(np.int64)
-            first = np.unique(ids, return_index=True)[1]
-            use = np.sort(first[np.isin(ids[first], batch.column(1).slice(lo, hi - lo).flatten().to_numpy())])
-            words = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array((hashes >> U(32)).astype(np.uint32).view(np.int32))).take(pa.array(use))
-            sketch = [pa.array(x.copy().view(np.int64)) for x in sketches(hashes, offsets)[use].T]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[use]), pa.array(np.diff(offsets)[use]), *sketch, words], names=["id", "size", *SKETCH, "value"])
+def _fresh(ids: np.ndarray, use: np.ndarray, seen: set[int]) -> np.ndarray:
+    """Which rows to ``use`` are the first of their class, here and among those ``seen``; these are added up to ``SEEN``."""
+    first = np.unique(ids, return_index=True)[1]
+    first = first[use[first]]
+    new = [i for i, x in zip(first.tolist(), ids[first].tolist()) if x not in seen]
+    if len(seen) < SEEN:
+        seen.update(ids[new].tolist())
+    out = np.zeros(len(ids), bool)
+    out[new] = True
+    return out
+
+
+def _filter_part(bits: int):
+    """One part of a filter of ``2 ** bits`` bits: those that the ids set."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        part = np.zeros(min(FILTER_PART, 1 << bits), bool)
+        part[(table["id"].to_numpy().view(U) >> U(64 - bits)).astype(np.int64) % len(part)] = True
+        return pa.table([pa.array([key[0].as_py()]), pa.array([np.packbits(part).tobytes()], pa.binary())], names=["part", "set"])
+
+    return run
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """Bits that tell which of ``2 ** n`` ranges hold some of ``ids(id)``, 64-bit hashes: other ids are passed by seldom, none of these is lost."""
+    bits = min(max(ids.count() * FILTER_BITS, 1 << 10), FILTER_MOST).bit_length() - 1
+    part = F.expr(f"shiftrightunsigned(id, {64 - bits}) div {FILTER_PART}")
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for r in ids.groupBy(part.alias("part")).applyInArrow(_filter_part(bits), "part long, set binary").collect():
+        out[r["part"] * FILTER_PART // 8 :][: len(r["set"])] = np.frombuffer(r["set"], np.uint8)
+    return out
+
+
+def _line_words(wanted: np.ndarray):
+    """Of the lines whose class passes the filter, about once a task: number of words, sketch, and the words as 32 bits of their hashes."""
+    shift = U(64 - (len(wanted) * 8).bit_length() + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            data, at = tk.bytes_of(batch.column(0))
+            for lo, hi in tk.chunks(at):
+                bounds, _ = line_bounds(data, at[lo : hi + 1])
+                hashes, offsets = tk.words(data, bounds, tk.LINES)
+                ids = tk.sequences(hashes, offsets)
+                place = (ids >> shift).astype(np.int64)
+                use = np.flatnonzero(_fresh(ids.view(np.int64), wanted[place >> 3] << (place & 7).astype(np.uint8) & 128 > 0, seen))
+                words = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array((hashes >> U(32)).astype(np.uint32).view(np.int32))).take(pa.array(use))
+                sketch = [pa.array(x.copy().view(np.int64)) for x in sketches(hashes, offsets)[use].T]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[use].view(np.int64)), pa.array(np.diff(offsets)[use]), *sketch, words], names=["id", "size", *SKETCH, "value"])
+
+    return run
 
 
 def _keyed(min_words: int, similarity: float, buckets: int, frequent: np.ndarray):
@@ -176,18 +227,14 @@ def _keyed(min_words: int, similarity: float, buckets: int, frequent: np.ndarray
     table = run_table(SHORT, similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, seen = Packer(buckets), set()
+        packer, seen = Packer(buckets), set[int]()
         for batch in batches:
             data, at = tk.bytes_of(batch.column(0))
             for lo, hi in tk.chunks(at):
                 bounds, _ = line_bounds(data, at[lo : hi + 1])
                 hashes, offsets = tk.words(data, bounds, tk.LINES)
                 counts, ids = np.diff(offsets), tk.sequences(hashes, offsets).view(np.int64)
-                fresh = np.zeros(len(ids), bool)
-                for i in np.unique(ids, return_index=True)[1]:
-                    fresh[i] = counts[i] >= min_words and int(ids[i]) not in seen
-                if len(seen) < SEEN:
-                    seen.update(ids[fresh].tolist())
+                fresh = _fresh(ids, counts >= min_words, seen)
                 marks = marks_of(hashes, offsets)
                 for row, keys in run_keys(hashes, offsets, similarity, frequent, table):
                     use = fresh[row]
@@ -210,8 +257,8 @@ def _marks_near(similarity: float):
     return near
 
 
-def edit_distance(a: np.ndarray, b: np.ndarray) -> int:
-    """Levenshtein distance of two sequences: common ends are cut off, bit vectors do the rest (Myers 1999, Hyyro 2003)."""
+def edit_distance(a: np.ndarray, b: np.ndarray, most: float = np.inf) -> int:
+    """Levenshtein distance of two sequences, or some lower bound above ``most``: common ends are cut off, bit vectors do the rest (Myers 1999, Hyyro 2003)."""
     short = min(len(a), len(b))
     differ = np.flatnonzero(a[:short] != b[:short])
     head = int(differ[0]) if len(differ) else short
@@ -226,12 +273,15 @@ def edit_distance(a: np.ndarray, b: np.ndarray) -> int:
     for i, x in enumerate(a):
         where[x] = where.get(x, 0) | 1 << i
     mask, top, distance = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
-    up, down = mask, 0
+    up, down, rest = mask, 0, len(b)
     for x in b:
         equal = where.get(x, 0)
         zero = (((equal & up) + up) ^ up) | equal | down
         right, left = down | (mask & ~(zero | up)), up & zero
         distance += bool(right & top) - bool(left & top)
+        rest -= 1
+        if distance - rest > most:
+            return distance - rest
         right, left = (right << 1 | 1) & mask, (left << 1) & mask
         up, down = left | (mask & ~(zero | right)), right & zero
     return distance
@@ -255,7 +305,7 @@ def _similar(least: float, min_words: int):
             most = allowed(np.maximum(nx, ny), least)
             keep = (np.abs(nx - ny) <= most) & (np.maximum(nx, ny) >= min_words)
             for i in np.flatnonzero(keep):
-                keep[i] = edit_distance(x[x_at[i] : x_at[i + 1]], y[y_at[i] : y_at[i + 1]]) <= most[i]
+                keep[i] = edit_distance(x[x_at[i] : x_at[i + 1]], y[y_at[i] : y_at[i + 1]], most[i]) <= most[i]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -276,13 +326,9 @@ def fuzzy_line_groups(docs: DataFrame, min_words: int, similarity: float, short_
     buckets = buckets_for(docs.sparkSession, n_keys or 0)
     packed = docs.select("text").mapInArrow(_keyed(least, similarity, buckets, frequent), PACKED)
     found = written(candidates(packed, buckets, _marks_near(similarity)), "found")
-    wanted = written(found.select(F.explode(F.array("a", "b")).alias("class_id")).where("class_id is not null").distinct(), "wanted")
-    held = semi_by_id(lines.select("class_id", "doc_id"), wanted, "class_id").groupBy("class_id").agg(F.min("doc_id").alias("doc_id"))
-    holders = written(held.groupBy("doc_id").agg(F.collect_list("class_id").alias("ids")), "holders")
-    size = holders.agg(F.count("*"), F.sum(F.size("ids"))).first()
-    few = size[0] + (size[1] or 0) <= BROADCAST_IDS
-    chosen = docs.join(F.broadcast(holders) if few else holders, "doc_id").select("text", "ids")
-    values = written(chosen.mapInArrow(_line_words, f"id long, size long, {', '.join(f'{c} long' for c in SKETCH)}, value array<int>"), "values")
+    wanted = written(found.select(F.explode(F.array("a", "b")).alias("id")).where("id is not null").distinct(), "wanted")
+    schema = f"id long, size long, {', '.join(f'{c} long' for c in SKETCH)}, value array<int>"
+    values = written(semi_by_id(docs.select("text").mapInArrow(_line_words(id_filter(wanted)), schema), wanted, "id").dropDuplicates(["id"]), "values")
 
     def near(x: str, y: str) -> Column:
         most = f"floor({1 - similarity!r}D * greatest({x}.size, {y}.size) + 1e-9D)"
@@ -321,9 +367,10 @@ def dedup_lines(docs: DataFrame, min_words: int = 5, similarity: float = 0.8, id
     size = drops.agg(F.count("*"), F.sum(F.size("__drop"))).first()
     few = size[0] <= BROADCAST_DROPS and (size[1] or 0) <= 5 * BROADCAST_DROPS
     joined = docs.join(F.broadcast(drops) if few else drops, F.col(id_col).cast("long") == F.col("__id"), "left")
-    parts = F.split(F.col(text_col).cast("string"), "\n", -1)
+    text = F.col(text_col).cast("string")
+    parts = F.split(text, "\n", -1)
     left = F.concat_ws("\n", F.filter(parts, lambda line, i: ~F.array_contains("__drop", i)))
-    joined = joined.withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(parts)).cast("long"))
+    joined = joined.withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long"))
     joined = joined.withColumn("n_removed", F.coalesce(F.array_size("__drop"), F.lit(0)).cast("long"))
     joined = joined.withColumn(text_col, F.when(F.col("__drop").isNull(), F.col(text_col)).otherwise(left))
     if "n_chars" in docs.columns and text_col != "n_chars":

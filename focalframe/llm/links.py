@@ -63,8 +63,12 @@ GROUPED = "key long, a long, b long"
 COMPARED = 2048
 PAIRED = 6
 PASSES = 6
+#: Pairs of neighbours that are kept for the next pass at most; more are found again.
+HELD = 4_000_000
 #: Items of a group that one task compares with all others of the group.
 PART = 4096
+#: Keys of large groups that an item names at most, so that its pairs are made once.
+FEW_KEYS = 16
 
 #: A test on two arrays of marks, a row of 64-bit words for each item.
 Near = Callable[[np.ndarray, np.ndarray], np.ndarray]
@@ -75,6 +79,17 @@ def _named(short: np.ndarray, bucket: np.ndarray | int) -> np.ndarray:
     return (short.astype(np.int64) << 15) ^ bucket
 
 
+def _by_key(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The order by key, then id; only what shares a key is sorted by both."""
+    order = np.argsort(keys)
+    same = np.zeros(len(keys) + 1, bool)
+    same[1:-1] = keys[order[1:]] == keys[order[:-1]]
+    shared = np.flatnonzero(same[1:] | same[:-1])
+    some = order[shared]
+    order[shared] = some[np.lexsort((ids[some], keys[some]))]
+    return order
+
+
 class Packer:
     """Gathers (key, id) pairs and sends them as one row per bucket: 48 bits of each key, and short references to the ids.
 
@@ -99,7 +114,7 @@ class Packer:
             return
         keys, ids, marks = (np.concatenate(x) for x in (self.keys, self.ids, self.marks))
         self.keys, self.ids, self.marks, self.size = [], [], [], 0
-        order = np.lexsort((ids, keys))
+        order = _by_key(keys, ids)
         keys, ids, marks = keys[order], ids[order], marks[order]
         new = np.ones(len(keys), bool)
         new[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
@@ -137,14 +152,22 @@ def _near_clusters(starts: np.ndarray, marks: np.ndarray, whole: np.ndarray, nea
     first, left = np.repeat(starts, sizes), np.repeat(starts + sizes, sizes) - np.arange(len(marks))
     large = np.repeat(whole, sizes)
     near, label = large.copy(), np.where(large, first, np.arange(len(marks)))
-    for _ in range(PASSES):
-        moved = np.zeros(len(marks), bool)
+    kept: list[tuple[np.ndarray, int]] | None = []
+
+    def neighbours() -> Iterator[tuple[np.ndarray, int]]:
         at = np.flatnonzero(~large)
         for step in range(1, COMPARED):
             at = at[left[at] > step]
             if not len(at):
                 break
-            a = at[near_marks(marks[at], marks[at + step])]
+            yield at[near_marks(marks[at], marks[at + step])], step
+
+    for turn in range(PASSES):
+        moved, held = np.zeros(len(marks), bool), 0
+        for a, step in kept if turn and kept is not None else neighbours():
+            if not turn and kept is not None:
+                held += len(a)
+                kept = [*kept, (a, step)] if held <= HELD else None
             b = a + step
             near[a] = near[b] = True
             least = np.minimum(label[a], label[b])
@@ -184,7 +207,7 @@ def _grouped(buckets: int, near_marks: Near):
             for part, x in zip(parts, (wide.view(np.int64).ravel(), own[refs], np.frombuffer(m.as_buffer(), U).reshape(len(own), -1)[refs], hot)):
                 part.append(x)
         keys, ids, marks, hot = (np.concatenate(p) for p in parts)
-        order = np.lexsort((ids, keys))
+        order = _by_key(keys, ids)
         keys, ids, marks, hot = keys[order], ids[order], marks[order], hot[order]
         starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         hot_groups = np.logical_or.reduceat(hot, starts) if len(starts) else np.zeros(0, bool)
@@ -265,10 +288,10 @@ def both_ends(pairs: DataFrame, values: DataFrame) -> DataFrame:
 
 
 def apart(members: DataFrame, components: DataFrame) -> DataFrame:
-    """(key, id, c, parts) of ``members(key, id)`` of groups whose members are in different components ``c``; parts tell how many a group is dealt to."""
-    members = members.join(components.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    """(key, id, keys, c, parts) of ``members(key, id, keys)`` of groups whose members are in different components ``c``; parts tell how many a group is dealt to."""
+    members = members.join(components.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "keys", F.coalesce("component", "id").alias("c"))
     ends = members.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).where("low <> high")
-    return members.join(ends.select("key", F.expr(f"cast(n div {PART} + 1 AS int)").alias("parts")), "key").select("key", "id", "c", "parts")
+    return members.join(ends.select("key", F.expr(f"cast(n div {PART} + 1 AS int)").alias("parts")), "key").select("key", "id", "keys", "c", "parts")
 
 
 def banded(members: DataFrame, facts: DataFrame, ratio: float) -> DataFrame:
@@ -290,16 +313,23 @@ def star(members: DataFrame, near: Callable[[str, str], Column], bits: str) -> D
     return met.groupBy(F.col("y.id").alias("b")).agg(F.min("x.h.id").alias("a")).select("a", "b")
 
 
-def across(members: DataFrame, near: Callable[[str, str], Column]) -> DataFrame:
-    """All pairs (a, b) of ``members(key, id, c, parts, band, ...)`` that share a key, are in different components and ``near`` (a test inside the join).
+def meetings(members: DataFrame, near: Callable[[str, str], Column]) -> DataFrame:
+    """All pairs (a, b) of ``members(key, id, keys, c, parts, band, ...)`` that share a key, are in different components and ``near`` (a test inside the join).
 
-    An item meets those of its own band of sizes and of the two beside it. One side of
-    a large group is dealt to parts, the other is copied to each of them.
+    An item meets those of its own band of sizes and of the next one. One side of
+    a large group is dealt to parts, the other is copied to each of them. Of the keys that two items share only the least one makes
+    their pair, where the items name their keys (``keys``).
     """
     one = members.withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
-    other = members.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("band", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)))
-    pairs = one.alias("x").join(other.alias("y"), [F.col(f"x.{k}") == F.col(f"y.{k}") for k in ("key", "part", "band")] + [F.expr("x.c < y.c"), near("x", "y")])
-    return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    other = members.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("above", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", F.expr("band - above"))
+    once = F.expr("x.keys IS NULL OR y.keys IS NULL OR x.key = array_min(array_intersect(x.keys, y.keys))")
+    pairs = one.alias("x").join(other.alias("y"), [F.col(f"x.{k}") == F.col(f"y.{k}") for k in ("key", "part", "band")] + [F.expr("x.c <> y.c AND (y.above = 1 OR x.c < y.c)"), near("x", "y"), once])
+    return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+
+
+def across(members: DataFrame, near: Callable[[str, str], Column]) -> DataFrame:
+    """The pairs of ``meetings``, those of items that name too many keys once as well."""
+    return meetings(members, near).distinct()
 
 
 def joined_by(components: DataFrame, links: DataFrame) -> DataFrame:
@@ -322,7 +352,8 @@ def linked(found: DataFrame, facts: DataFrame, near: Callable[[str, str], Column
     values = facts.select("id", F.struct(*(c for c in facts.columns if c != "id")).alias("value"))
     close = written(both_ends(pairs, values).where(near("value_a", "value_b")).select("a", "b"), "close")
     components = written(connected_components(verify(close)), "components")
-    members = written(found.where("key is not null").select("key", F.col("a").alias("id")).distinct(), "members")
+    held = found.where("key is not null").groupBy(F.col("a").alias("id")).agg(F.collect_set("key").alias("keys"))
+    members = written(held.select(F.explode("keys").alias("key"), "id", F.expr(f"CASE WHEN size(keys) <= {FEW_KEYS} THEN keys END").alias("keys")), "members")
     for step in ("star", "across") if members.limit(1).count() else ():
         left = written(banded(apart(members, components), facts, ratio), "left")
         if not left.limit(1).count():

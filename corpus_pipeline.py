@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from focalframe.llm.common import BROADCAST_IDS, table, written
+from focalframe.llm.common import BROADCAST_IDS, here, release, table, written
 from focalframe.llm.decontam import decontaminate
 from focalframe.llm.langid import identify
 from focalframe.llm.line_dedup import dedup_lines
@@ -27,11 +27,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of near duplicates the document of the smallest id; of rows with equal id and text one stays."""
+    before = here()
     joined = written(ngram_jaccard_join(docs, k=5, percent=80), "joined")
     extra = written(joined.where("component_id <> doc_id").select("doc_id").distinct(), "extra")
     few = extra.count() <= BROADCAST_IDS
     kept = docs.join(F.broadcast(extra) if few else extra, "doc_id", "left_anti").select(*docs.columns)
     repeated = written(joined.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id"), "repeated")
+    release(before, extra, repeated)
     n = repeated.count()
     if not n:
         return kept

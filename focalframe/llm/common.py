@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import itertools
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,24 +41,45 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
 
 
-_WRITTEN: list[tuple[SparkSession, str]] = []
+#: Session, path, thread and number of the tables in the shared folder.
+_WRITTEN: list[tuple[SparkSession, str, int, int]] = []
+_NUMBERS = itertools.count()
 
 
 def scratch_path(spark: SparkSession, what: str) -> str:
     """A fresh path in the shared folder; it is removed when the driver ends."""
     path = f"{shared_dir(spark)}/scratch-{what}-{uuid.uuid4().hex}"
-    _WRITTEN.append((spark, path))
+    _WRITTEN.append((spark, path, threading.get_ident(), next(_NUMBERS)))
     return path
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
+        return
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 @atexit.register
 def _remove_scratch() -> None:
-    for spark, path in _WRITTEN:
-        if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
-            continue
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    for spark, path, *_ in _WRITTEN:
+        _remove(spark, path)
+
+
+def here() -> int:
+    """A place in the order in which tables are made, for ``release``."""
+    return next(_NUMBERS)
+
+
+def release(since: int, *kept: DataFrame) -> None:
+    """Removes the tables that this thread has made since then, but for those that ``kept`` read: what was made of the others is a table by now."""
+    files = [f for df in kept for f in df.inputFiles()]
+    own = [x for x in _WRITTEN if x[3] > since and x[2] == threading.get_ident()]
+    for x in own:
+        if not any(x[1].rsplit("/", 1)[-1] in f for f in files):
+            _remove(*x[:2])
+            _WRITTEN.remove(x)
 
 
 def written(df: DataFrame, what: str) -> DataFrame:

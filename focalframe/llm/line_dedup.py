@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import BROADCAST_IDS, semi_by_id, short_batches, written
+from .common import BROADCAST_IDS, here, release, semi_by_id, short_batches, written
 from .links import PACKED, Packer, both_ends, buckets_for, candidates, linked
 
 U = np.uint64
@@ -354,6 +354,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 5, similarity: float = 0.8, id
     one occurrence. Lines and texts of any length are read whole. Every other column is returned as it came.
     """
     short_batches(docs.sparkSession)
+    before = here()
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
     lines, groups = fuzzy_line_groups(plain, min_words, similarity, short_copies)
     few = groups.count() <= BROADCAST_IDS
@@ -364,6 +365,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 5, similarity: float = 0.8, id
     keep = named.groupBy("g").agg(F.min(F.struct("doc_id", "line_no")).alias("keep"), F.count("*").alias("n")).where("n > 1").select("g", "keep")
     out = named.join(keep, "g").where("struct(doc_id, line_no) <> keep")
     drops = written(out.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line_no").alias("__drop")), "drops")
+    release(before, drops)
     size = drops.agg(F.count("*"), F.sum(F.size("__drop"))).first()
     few = size[0] <= BROADCAST_DROPS and (size[1] or 0) <= 5 * BROADCAST_DROPS
     joined = docs.join(F.broadcast(drops) if few else drops, F.col(id_col).cast("long") == F.col("__id"), "left")

@@ -143,6 +143,131 @@ class Packer:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PACKED)], schema=_PACKED)
 
 
+_THIN = pa.schema([("bucket", pa.int64()), ("keys", pa.binary()), ("ids", pa.binary()), ("hot", pa.binary())])
+THIN = "bucket long, keys binary, ids binary, hot binary"
+#: Bytes of a key that are sent beside its bucket.
+THIN_KEY = 5
+
+
+def _dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of each key, and 40 bits of what the bucket leaves open; both grow with the key."""
+    n = U(buckets)
+    with np.errstate(over="ignore"):
+        return ((keys >> U(32)) * n + ((keys & U(0xFFFFFFFF)) * n >> U(32)) >> U(32)).astype(np.int64), keys * n >> U(64 - 8 * THIN_KEY)
+
+
+def _thin_name(short: np.ndarray, bucket: np.ndarray | int) -> np.ndarray:
+    """The name of a key by the 40 bits beside its bucket."""
+    return (short.astype(np.int64) << (64 - 8 * THIN_KEY)) ^ bucket
+
+
+class ThinPacker:
+    """Gathers (key, id) pairs and sends them as one row per bucket: 40 bits of each key and the whole id, 13 bytes a pair whatever the number of buckets.
+
+    For items whose keys are seldom shared: nothing travels that would tell shared ones apart. Hot keys are sent as by ``Packer``.
+    """
+
+    def __init__(self, buckets: int) -> None:
+        self.buckets, self.keys, self.ids, self.size, self.sent = buckets, [], [], 0, 0
+
+    def add(self, keys: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.keys.append(keys)
+        self.ids.append(ids)
+        self.size += len(keys)
+        if self.size >= SENT_KEYS:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.size:
+            return
+        keys, ids = np.concatenate(self.keys), np.concatenate(self.ids)
+        self.keys, self.ids, self.size = [], [], 0
+        order = _by_key(keys, ids)
+        keys, ids = keys[order], ids[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
+        keys, ids = keys[new], ids[new]
+        bucket, short = _dealt(keys, self.buckets)
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        sizes = np.diff(np.append(starts, len(keys)))
+        rows, hot = [], np.repeat(sizes > HOT, sizes)
+        if hot.any():
+            self.sent += 1
+            past = self.buckets + int(mix(ids[:1].view(U) + U(self.sent))[0] >> U(20))
+            rows.append((past, _thin_name(short[hot], bucket[hot]).tobytes(), ids[hot].tobytes(), b""))
+            kept = ~hot
+            kept[starts] = True
+            ids, bucket, short, hot = (x[kept] for x in (ids, bucket, short, hot))
+        edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=self.buckets))
+        for lo, hi in zip(edges, edges[1:]):
+            # A plane for each byte: the first ones of sorted keys repeat, which compression takes out.
+            planes = np.ascontiguousarray(short[lo:hi]).view(np.uint8).reshape(-1, 8)[:, :THIN_KEY].T
+            rows.append((int(bucket[lo]), planes.tobytes(), ids[lo:hi].tobytes(), np.flatnonzero(hot[lo:hi]).astype(np.int32).tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _THIN)], schema=_THIN)
+
+
+def _thin_grouped(buckets: int):
+    """The candidates of a bucket of ``ThinPacker`` rows: pairs (key null) of two ids, and the members (b null) of groups too large to be listed in pairs.
+
+    A large group gives the pairs of one of its ids with all others as well: that of the least hash, which is the same for groups that share most of their ids.
+    """
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        bucket = key[0].as_py()
+        if bucket >= buckets:
+            names, ids = (np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table[c]]) for c in ("keys", "ids"))
+            return pa.table([pa.array(names), pa.array(ids), pa.nulls(len(ids), pa.int64())], schema=_GROUPED)
+        parts: list[list[np.ndarray]] = [[], [], []]
+        for k, i, h in zip(*(table[c] for c in ("keys", "ids", "hot"))):
+            own = np.frombuffer(i.as_buffer(), np.int64)
+            wide = np.zeros((len(own), 8), np.uint8)
+            wide[:, :THIN_KEY] = np.frombuffer(k.as_buffer(), np.uint8).reshape(THIN_KEY, -1).T
+            hot = np.zeros(len(own), bool)
+            hot[np.frombuffer(h.as_buffer(), np.int32)] = True
+            for part, x in zip(parts, (wide.view(np.int64).ravel(), own, hot)):
+                part.append(x)
+        keys, ids, hot = (np.concatenate(p) for p in parts)
+        order = _by_key(keys, ids)
+        keys, ids, hot = keys[order], ids[order], hot[order]
+        hot = np.logical_or.reduceat(hot, np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])))
+        new = np.ones(len(keys), bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
+        keys, ids = keys[new], ids[new]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        sizes = np.diff(np.append(first, len(keys)))
+        several = (sizes > 1) | hot
+        if not several.any():
+            return _GROUPED.empty_table()
+        names, sizes, hot, ids = _thin_name(keys[first[several]], bucket), sizes[several], hot[several], ids[np.repeat(several, sizes)]
+        first = np.cumsum(sizes) - sizes
+        # Groups of the same members, found by several keys, count once; those of hot keys go by the key's name.
+        names = np.where(hot, names, np.add.reduceat(mix(ids.view(U)), first).view(np.int64))
+        once = np.zeros(len(first), bool)
+        once[np.unique(names, return_index=True)[1]] = True
+        ids, names, hot, sizes = ids[np.repeat(once, sizes)], names[once], hot[once], sizes[once]
+        first = np.cumsum(sizes) - sizes
+        small = (sizes <= PAIRED) & ~hot
+        left = np.where(np.repeat(small, sizes), np.repeat(first + sizes, sizes) - np.arange(len(ids)), 0)
+        at, rest = np.flatnonzero(left > 1), np.repeat(~small, sizes)
+        hashes = mix(ids.view(U))
+        heads = np.repeat(ids[hashes == np.repeat(np.minimum.reduceat(hashes, first), sizes)], sizes)
+        pairs = [(ids[rest], heads[rest])]
+        for step in range(1, PAIRED):
+            at = at[left[at] > step]
+            pairs.append((ids[at], ids[at + step]))
+        a, b = (np.concatenate(x) for x in zip(*pairs))
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = a != b
+        new[1:] &= (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        a, b = a[new], b[new]
+        columns = [pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(np.repeat(names, sizes)[rest])]), pa.array(np.concatenate([a, ids[rest]])), pa.concat_arrays([pa.array(b), pa.nulls(int(rest.sum()), pa.int64())])]
+        return pa.table(columns, schema=_GROUPED)
+
+    return run
+
+
 def _near_clusters(starts: np.ndarray, marks: np.ndarray, whole: np.ndarray, near_marks: Near) -> tuple[np.ndarray, np.ndarray]:
     """For members of sorted groups: whether the marks of another are near, and a label that all members of a cluster of such neighbours share.
 
@@ -276,6 +401,11 @@ def candidates(packed: DataFrame, buckets: int, near_marks: Near) -> DataFrame:
     return packed.groupBy("bucket").applyInArrow(_grouped(buckets, near_marks), GROUPED)
 
 
+def thin_candidates(packed: DataFrame, buckets: int) -> DataFrame:
+    """(key, a, b) as ``candidates`` gives, of the rows of ``ThinPacker``."""
+    return packed.groupBy("bucket").applyInArrow(_thin_grouped(buckets), GROUPED)
+
+
 def both_ends(pairs: DataFrame, values: DataFrame) -> DataFrame:
     """(a, b, value_a, value_b): for each pair what ``values(id, value)`` holds of its two items.
 

@@ -5,7 +5,8 @@ of two sketches is at most the size of the sets' symmetric difference. Two sets
 ``100 * intersection >= percent * union``; then their difference is at most ``(100 - percent) / (100 + percent)`` of the sum
 of their sizes. Sizes fall into bands such that linked sets lie in one band or in neighbouring ones. For each band the
 sketch has one block more than the largest difference possible there, so that linked sets agree in at least one whole block
-(pigeonhole). Equal blocks make the candidates; a fixed-size sketch of the whole set sorts out most, the exact sets decide.
+(pigeonhole). Equal blocks make the candidates; a fixed-size sketch of the whole set sorts out most, one that is as wide as the set is large
+sorts out those of long texts, which a fixed size tells little about, and the exact sets decide. Only sets that are left then are made.
 
 An empty block says nothing, and all documents of a band with the same empty block would be candidates; so empty blocks give no keys.
 Linked sets whose equal blocks are all empty would be lost: bands where the chance of that is above ``MISS`` cut
@@ -22,8 +23,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import BROADCAST_IDS, semi_by_id, short_batches, written
-from .links import PACKED, Packer, both_ends, buckets_for, candidates, linked
+from .common import BROADCAST_IDS, here, release, semi_by_id, short_batches, written
+from .line_dedup import id_filter
+from .links import THIN, ThinPacker, both_ends, buckets_for, linked, thin_candidates
 
 U = np.uint64
 
@@ -68,33 +70,9 @@ class Bands:
 
 
 #: Bits in a block; only the odd ones are kept, as the XOR of their numbers' hashes.
-WIDE = 1 << 20
-#: 64-bit words of the fixed-size parity sketch that sorts out candidates before their sets are compared.
+WIDE = 1 << 32
+#: 64-bit words of the fixed-size parity sketch that sorts out candidates before wide sketches and sets are compared.
 WIDTH = 8
-#: Bits of the small parity sketch in a mark; the others hold the size, at most ``LARGEST``.
-MARK = 48
-LARGEST = (1 << 16) - 1
-
-
-def marks_of(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Small parity sketch and size of each set in 64 bits."""
-    out = np.zeros(len(offsets) - 1, U)
-    full = np.flatnonzero(np.diff(offsets) > 0)
-    if len(full):
-        out[full] = np.bitwise_xor.reduceat(U(1) << ((sets >> U(8)) % U(MARK)), offsets[full])
-    return (out << U(16) | np.minimum(np.diff(offsets), LARGEST).astype(U))[:, None]
-
-
-def _marks_near(percent: int):
-    """A test on marks that all linked sets pass; sets of ``LARGEST`` items or more pass with any other."""
-
-    def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        a, b = a[:, 0], b[:, 0]
-        x, y = ((m & U(LARGEST)).astype(np.int64) for m in (a, b))
-        fits = (100 * np.minimum(x, y) >= percent * np.maximum(x, y)) & (np.bitwise_count((a ^ b) >> U(16)) <= (x + y) * (100 - percent) // (100 + percent))
-        return (x == LARGEST) | (y == LARGEST) | fits
-
-    return near
 
 
 def fixed_sketches(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -105,6 +83,21 @@ def fixed_sketches(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(U).reshape(rows, WIDTH)
 
 
+def wide_sketches(sets: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Parity sketches of at least as many bits as a set has items, a power of two, as bytes; null where the fixed-size one has as many.
+
+    Halves of a sketch folded on each other make the one of half as many bits, and so on down to the fixed-size one.
+    """
+    sizes, row = np.diff(offsets), tk.rows_of(offsets)
+    bits = np.maximum(64 * WIDTH, 1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
+    bits[bits == 64 * WIDTH] = 0
+    begin = np.concatenate([[0], np.cumsum(bits)])
+    use = bits[row] > 0
+    at = begin[row[use]] + ((sets[use] >> U(20)) & (bits[row[use]] - 1).astype(U)).astype(np.int64)
+    odd = np.packbits((np.bincount(at, minlength=begin[-1]) & 1).astype(np.uint8))
+    return pa.array([odd[lo:hi].tobytes() if hi > lo else None for lo, hi in zip(begin // 8, begin[1:] // 8)], pa.binary())
+
+
 def class_ids(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """A 64-bit id for each set; equal sets share it."""
     return tk.sequences(sets, offsets, 43)
@@ -147,7 +140,7 @@ def sketch_keys(sets: np.ndarray, offsets: np.ndarray, bands: Bands) -> Iterator
 
 
 def _sketched(k: int, percent: int):
-    """Document rows: id, size and class of the set, number of keys, fixed-size sketch."""
+    """Document rows: id, size and class of the set, number of keys, fixed-size and wide sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
@@ -156,8 +149,8 @@ def _sketched(k: int, percent: int):
             for lo, hi in tk.chunks(at):
                 sets, offsets = tk.shingle_sets(*tk.words(data, at[lo : hi + 1], tk.SPACED), k)
                 columns = [np.diff(offsets), class_ids(sets, offsets).view(np.int64), key_counts(offsets, bands), *(x.copy().view(np.int64) for x in fixed_sketches(sets, offsets).T)]
-                names = ["doc_id", "n_shingles", "class_id", "n_keys", *(f"s{i}" for i in range(WIDTH))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *map(pa.array, columns)], names=names)
+                names = ["doc_id", "n_shingles", "class_id", "n_keys", *(f"s{i}" for i in range(WIDTH)), "wide"]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *map(pa.array, columns), wide_sketches(sets, offsets)], names=names)
 
     return run
 
@@ -166,26 +159,47 @@ def _keyed(k: int, percent: int, buckets: int):
     """Packed (block key, class) pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, packer = Bands(percent), Packer(buckets)
+        bands, packer = Bands(percent), ThinPacker(buckets)
         for batch in batches:
             data, at = tk.bytes_of(batch.column(0))
             for lo, hi in tk.chunks(at):
                 sets, offsets = tk.shingle_sets(*tk.words(data, at[lo : hi + 1], tk.SPACED), k)
-                ids, marks = class_ids(sets, offsets).view(np.int64), marks_of(sets, offsets)
+                ids = class_ids(sets, offsets).view(np.int64)
                 for keys, owner in sketch_keys(sets, offsets, bands):
-                    yield from packer.add(keys, ids[owner], marks[owner])
+                    yield from packer.add(keys, ids[owner])
         yield from packer.flush()
 
     return run
 
 
-def _sets(k: int):
+def _wide_near(percent: int):
+    """Pairs whose wide sketches, each folded to the bits of the other, differ no more than those of linked sets; pairs without two wide sketches pass."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, at = tk.bytes_of(batch.column(1))
+            ends = [(c.field("size").to_numpy(), c.field("wide")) for c in (batch.column(2), batch.column(3))]
+            keep = np.ones(len(batch), bool)
+            for i in np.flatnonzero(ends[0][1].is_valid().to_numpy(False) & ends[1][1].is_valid().to_numpy(False)):
+                x, y = (np.frombuffer(wide[i].as_buffer(), U) for _, wide in ends)
+                x, y = ((np.bitwise_xor.reduce(z.reshape(-1, min(len(x), len(y))), axis=0)) for z in (x, y))
+                keep[i] = np.bitwise_count(x ^ y).sum(dtype=np.int64) <= (ends[0][0][i] + ends[1][0][i]) * (100 - percent) // (100 + percent)
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _sets(k: int, wanted: np.ndarray):
+    """Classes and sets of the texts whose id's hash passes the filter; the others are not read for words."""
+    shift = U(64 - (len(wanted) * 8).bit_length() + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = (batch.column(0).to_numpy().view(U) >> shift).astype(np.int64)
+            texts = batch.column(1).filter(pa.array(wanted[place >> 3] << (place & 7).astype(np.uint8) & 128 > 0, pa.bool_()))
+            data, at = tk.bytes_of(texts) if len(texts) else (None, [0])
             for lo, hi in tk.chunks(at):
                 sets, offsets = tk.shingle_sets(*tk.words(data, at[lo : hi + 1], tk.SPACED), k)
-                yield pa.RecordBatch.from_arrays([pa.array(class_ids(sets, offsets).view(np.int64)), tk.listed(sets, offsets)], names=["class_id", "set"])
+                yield pa.RecordBatch.from_arrays([pa.array(class_ids(sets, offsets).view(np.int64)), tk.listed(sets, offsets)], names=["id", "value"])
 
     return run
 
@@ -201,29 +215,39 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     of ``docs`` are ignored.
     """
     short_batches(docs.sparkSession)
+    before = here()
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sketched = written(source.mapInArrow(_sketched(k, percent), "doc_id long, n_shingles long, class_id long, n_keys long, " + ", ".join(f"s{i} long" for i in range(WIDTH))), "sketches")
+    schema = f"doc_id long, n_shingles long, class_id long, n_keys long, {', '.join(f's{i} long' for i in range(WIDTH))}, wide binary"
+    sketched = written(source.mapInArrow(_sketched(k, percent), schema), "sketches")
     full = sketched.where("n_shingles > 0")
     buckets = buckets_for(docs.sparkSession, sketched.agg(F.sum("n_keys")).first()[0] or 0)
-    found = written(candidates(source.select("text").mapInArrow(_keyed(k, percent, buckets), PACKED), buckets, _marks_near(percent)), "found")
-    wanted = written(found.select(F.explode(F.array("a", "b")).alias("class_id")).where("class_id is not null").distinct(), "wanted")
+    found = written(thin_candidates(source.select("text").mapInArrow(_keyed(k, percent, buckets), THIN), buckets), "found")
+    wanted = written(found.select(F.explode(F.array("a", "b")).alias("id")).where("id is not null").distinct(), "wanted")
     sketch = [f"s{i}" for i in range(WIDTH)]
-    facts = full.select(F.col("class_id").alias("id"), "doc_id", F.col("n_shingles").alias("size"), *sketch)
-    facts = semi_by_id(facts, wanted.withColumnRenamed("class_id", "id"), "id").groupBy("id")
-    facts = written(facts.agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("size", *sketch))), "facts")
-    chosen = semi_by_id(source, facts.select("doc_id").distinct(), "doc_id").unionByName(source.where("doc_id is null"))
-    sets = written(semi_by_id(chosen.mapInArrow(_sets(k), "class_id long, set array<long>"), wanted, "class_id"), "sets")
+    facts = semi_by_id(full.select(F.col("class_id").alias("id"), "doc_id", F.col("n_shingles").alias("size"), *sketch, "wide"), wanted, "id").groupBy("id")
+    facts = written(facts.agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("size", *sketch, "wide"))), "facts")
 
     def near(x: str, y: str) -> Column:
         apart = " + ".join(f"bit_count({x}.s{i} ^ {y}.s{i})" for i in range(WIDTH))
-        return F.expr(f"{apart} <= ({x}.size + {y}.size) * {100 - percent} div {100 + percent}")
+        fits = f"100 * least({x}.size, {y}.size) >= {percent} * greatest({x}.size, {y}.size)"
+        return F.expr(f"{fits} AND {apart} <= ({x}.size + {y}.size) * {100 - percent} div {100 + percent}")
 
     def verify(pairs: DataFrame) -> DataFrame:
+        close = written(both_ends(pairs, facts.select("id", F.struct("size", "wide").alias("value"))).mapInArrow(_wide_near(percent), "a long, b long"), "near")
+        ends = written(close.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ends")
+        if not ends.limit(1).count():
+            return close
+        # Texts are not moved: tasks pass those by that no wanted document can have.
+        few = ends.count() <= BROADCAST_IDS
+        held = facts.join(F.broadcast(ends) if few else ends, "id").select(F.xxhash64("doc_id").alias("id")).distinct()
+        made = source.select(F.xxhash64("doc_id"), "text").mapInArrow(_sets(k, id_filter(held)), "id long, value array<long>")
+        sets = written(semi_by_id(made, ends, "id"), "sets")
         both = F.size(F.array_intersect("value_a", "value_b"))
         fits = 100 * both >= percent * (F.size("value_a") + F.size("value_b") - both)
-        return both_ends(pairs, sets.select(F.col("class_id").alias("id"), F.col("set").alias("value"))).where(fits).select("a", "b")
+        return both_ends(close, sets).where(fits).select("a", "b")
 
-    components = linked(found, facts.drop("doc_id"), near, verify, percent / 100)
+    components = linked(found, facts.drop("doc_id", "wide"), near, verify, percent / 100)
+    release(before, sketched, components)
     classes = components.select(F.col("node").alias("class_id"), "component")
     named = sketched.select("doc_id", "n_shingles", "class_id").join(F.broadcast(classes) if classes.count() <= BROADCAST_IDS else classes, "class_id", "left")
     named = named.withColumn("component", F.when(F.col("n_shingles") > 0, F.coalesce("component", "class_id")))
